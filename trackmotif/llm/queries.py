@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trackmotif.llm import avi_mjpeg
+from trackmotif.llm import avi_mjpeg, bpe_lexicon
 from trackmotif.session import table
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op2_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi_mjpeg.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_lexicon.codec_digests(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_avi_motion_jpeg,)}
+    return {f.__name__: f for f in (op2_avi_motion_jpeg, op10_bpe_lexicon)}
 
 
 def oracle_sql() -> dict[str, str]:
