@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trackmotif.llm import avi_mjpeg, bpe_lexicon
+from trackmotif.llm import avi_mjpeg, bpe_lexicon, minhash_tensor, sstable
 from trackmotif.session import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,12 +17,20 @@ def op2_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi_mjpeg.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_tensor.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
+def op5_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.read_digests(sstable.write_shards(table(spark, sf_dir, "documents"), TOKENIZER))
+
+
 def op10_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.codec_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_avi_motion_jpeg, op10_bpe_lexicon)}
+    return {f.__name__: f for f in (op2_avi_motion_jpeg, op3_minhash_tensor, op5_token_sstable, op10_bpe_lexicon)}
 
 
 def oracle_sql() -> dict[str, str]:
