@@ -21,21 +21,17 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackmotif.llm.words import lettered
 from trackmotif.session import ship_package
 
 WINDOW, SHARD_BYTES = 10, 1 << 20
 #: A document of which more than this share of words is hit is dropped whole by ``decontaminate``.
 MAX_COVERAGE = 0.8
 
-# Fixed rule: A-Z count as a-z; words are runs of ASCII letters, digits and everything beyond ASCII.
-_WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+# The words of words.lettered(), in a text.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_WORD_BYTES).split()
-
-
 class Automaton:
     """Of items (id, text); ``window`` consecutive words of an item, or all of a shorter one, make a hit."""
 
@@ -46,7 +42,7 @@ class Automaton:
         self.link, self.length = [-1], [0]
         rows = []
         for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in lettered(text)]
             if ids:
                 rows.append((name, ids))
                 last = 0
@@ -168,7 +164,7 @@ def _search(automaton: Broadcast) -> Callable:
         for texts in batches:
             out = []
             for text in texts:
-                words = words_of(text.as_py())
+                words = lettered(text.as_py())
                 spans, found = automaton.value.match(words)
                 out.append({"n_words": len(words), "spans": [x for s in spans for x in s], "items": sorted(found)})
             yield pa.array(out, kind)

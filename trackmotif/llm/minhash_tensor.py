@@ -21,50 +21,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackmotif.llm.components import components
+from trackmotif.llm.words import BASE, hashes, mix, spaced
 from trackmotif.session import materialise, ship_package
 
 COLLECTION, MINIMA, SEED = 16, 4, 20_261
-MEMO_WORDS, BLOCK = 400_000, 4096
+BLOCK = 4096
 #: Similarity, as a percentage, from which two documents are linked.
 PERCENT = 80
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # fixed values of the splitmix64 finaliser
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _WordHashes()
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word; A-Z count as a-z, and words end at a space or at U+0009 to U+000D."""
-    words = text.encode().translate(_LOWER).split()
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-
-
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's ``size``-word shingles; of the whole if it has fewer words."""
-    w = word_hashes(text or "")
+    w = hashes(spaced(text))
     if len(w) == 0:
         return w
     width = min(size, len(w))
     h = np.full(len(w) - width + 1, width, np.uint64)
     for k in range(width):
-        h = h * _BASE + w[k : len(w) - width + 1 + k]
+        h = h * BASE + w[k : len(w) - width + 1 + k]
     return np.unique(mix(h))
 
 
@@ -81,7 +54,7 @@ def subkeys(h: np.ndarray, collection: int = COLLECTION, minima: int = MINIMA) -
         np.minimum(low, (h[k : k + BLOCK, None] * a + b).min(axis=0), out=low)
     key = np.arange(2 * collection, dtype=np.uint64)
     for part in low.reshape(2 * collection, minima).T:
-        key = mix(key * _BASE + part)
+        key = mix(key * BASE + part)
     side = (np.arange(2 * collection) >= collection).astype(np.uint64)
     return ((key << np.uint64(1)) | side).view(np.int64)
 

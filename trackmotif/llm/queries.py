@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trackmotif.llm import avi_mjpeg, bpe_lexicon, decontam, minhash_tensor, sstable
+from trackmotif.llm import avi_mjpeg, bpe_lexicon, decontam, minhash_tensor, sstable, toxicity
 from trackmotif.session import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,12 +29,16 @@ def op6_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.codec_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_avi_motion_jpeg, op3_minhash_tensor, op5_token_sstable, op6_suffix_automaton, op10_bpe_lexicon)}
+    return {f.__name__: f for f in (op2_avi_motion_jpeg, op3_minhash_tensor, op5_token_sstable, op6_suffix_automaton, op8_ftrl_toxicity, op10_bpe_lexicon)}
 
 
 def oracle_sql() -> dict[str, str]:
