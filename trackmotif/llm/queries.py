@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trackmotif.llm import avi_mjpeg, bpe_lexicon, decontam, minhash_tensor, sstable, toxicity
+from trackmotif.llm import avi_mjpeg, bpe_lexicon, decontam, line_dedup, minhash_tensor, pii, sstable, toxicity
 from trackmotif.session import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,15 @@ def op6_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(docs, counts=("n_lines", "n_dropped")).drop("source")
+
+
 def op8_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,8 +47,8 @@ def op10_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_avi_motion_jpeg, op3_minhash_tensor, op5_token_sstable, op6_suffix_automaton, op8_ftrl_toxicity, op10_bpe_lexicon)}
+    return {f.__name__: f for f in (op2_avi_motion_jpeg, op3_minhash_tensor, op5_token_sstable, op6_suffix_automaton, op7_information_pii, op8_ftrl_toxicity, op9_line_dedup, op10_bpe_lexicon)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": line_dedup.ORACLE_SQL}
