@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trackmotif.llm import avi_mjpeg, bpe_lexicon, decontam, line_dedup, minhash_tensor, pii, sstable, toxicity
+from trackmotif.llm import avi_mjpeg, bpe_lexicon, decontam, line_dedup, minhash_tensor, pii, sstable, toxicity, warc
 from trackmotif.session import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,10 @@ def op3_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_tensor.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
+def op4_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digests(table(spark, sf_dir, "pages"))
+
+
 def op5_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_digests(sstable.write_shards(table(spark, sf_dir, "documents"), TOKENIZER))
 
@@ -47,8 +51,8 @@ def op10_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_avi_motion_jpeg, op3_minhash_tensor, op5_token_sstable, op6_suffix_automaton, op7_information_pii, op8_ftrl_toxicity, op9_line_dedup, op10_bpe_lexicon)}
+    return {f.__name__: f for f in (op2_avi_motion_jpeg, op3_minhash_tensor, op4_warc_source, op5_token_sstable, op6_suffix_automaton, op7_information_pii, op8_ftrl_toxicity, op9_line_dedup, op10_bpe_lexicon)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op4_warc_source": warc.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
