@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trackmotif.llm import avi_mjpeg, bpe_lexicon, decontam, line_dedup, minhash_tensor, pii, sstable, toxicity, warc
+from trackmotif.llm import avi_mjpeg, bpe_lexicon, decontam, line_dedup, minhash_tensor, pii, quality, sstable, toxicity, warc
 from trackmotif.session import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", "n_units", F.exp("log_ppl").alias("perplexity"), F.exp("fence").alias("threshold"), "accepted")
+
+
 def op2_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi_mjpeg.media_digests(table(spark, sf_dir, "documents"))
 
@@ -51,7 +57,7 @@ def op10_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_avi_motion_jpeg, op3_minhash_tensor, op4_warc_source, op5_token_sstable, op6_suffix_automaton, op7_information_pii, op8_ftrl_toxicity, op9_line_dedup, op10_bpe_lexicon)}
+    return {f.__name__: f for f in (op1_kneser_ney_quality, op2_avi_motion_jpeg, op3_minhash_tensor, op4_warc_source, op5_token_sstable, op6_suffix_automaton, op7_information_pii, op8_ftrl_toxicity, op9_line_dedup, op10_bpe_lexicon)}
 
 
 def oracle_sql() -> dict[str, str]:
