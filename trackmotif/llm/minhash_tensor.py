@@ -125,11 +125,10 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = PERCENT, collec
     needed = entries.select("id").distinct()
     texts = docs.where("doc_id is not null").withColumnRenamed("doc_id", "id").join(needed, "id", "left_semi")
     sets = materialise(_sets(texts, size), "sets")
-    sizes = sets.select("id", F.size("set").alias("n"))
 
     # Each set with the smallest identifier it meets; then with other buckets' smallest, where components still differ.
     links = materialise(_confirmed(stars.groupBy("a").agg(F.min("b").alias("b")), sets, percent), "confirmed")
-    for pairs in (lambda of: _apart(stars, of), lambda of: _rest(entries, sizes, of, percent)):
+    for pairs in (lambda of: _apart(stars, of), lambda of: _rest(entries, sets, of, percent)):
         of = materialise(components(links), "components")
         links = materialise(links.union(_confirmed(pairs(of), sets, percent)), "confirmed")
     of = components(links)
@@ -150,12 +149,23 @@ def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return _labelled(_labelled(pairs, of, "a", "ca"), of, "b", "cb").where("ca <> cb").select("a", "b")
 
 
-def _rest(entries: DataFrame, sizes: DataFrame, of: DataFrame, percent: int) -> DataFrame:
-    """Pairs within a bucket that are neither in one component nor with its smallest identifier, of compatible sizes."""
+def _rest(entries: DataFrame, sets: DataFrame, of: DataFrame, percent: int) -> DataFrame:
+    """Pairs within a bucket that are neither in one component nor with its smallest identifier.
+
+    Pairs that can't be similar enough are ruled out before they are formed, by what each set has to itself: of the
+    shingles that no other set of these buckets has, none is common, so with c shingles left in each set (n in all), at
+    most m = min(c, c') are common, and the similarity is at most m / (n + n' - m).
+    """
     labelled = _labelled(entries, of, "id", "c")
     mixed = labelled.groupBy("bucket").agg(F.min("c").alias("lc"), F.max("c").alias("hc")).where("lc < hc").select("bucket")
-    left = labelled.where("id <> low").join(mixed, "bucket", "left_semi").join(sizes, "id")
-    a = left.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-    b = left.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    fits = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    left = materialise(labelled.join(mixed, "bucket", "left_semi").where("id <> low").select("bucket", "id", "c"), "mixed")
+    own = sets.join(left.select("id").distinct(), "id", "left_semi")
+    alone = own.select("id", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("high")).where("id = high").groupBy("id").agg(F.count("*").alias("alone"))
+    shared = own.select("id", F.size("set").cast("long").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
+    shared = materialise(shared.where(100 * F.col("s") >= percent * F.col("n")), "shared")
+    left = left.join(shared, "id")
+    a = left.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    b = left.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    most = F.least("sa", "sb")
+    fits = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
     return a.join(b, "bucket").where((F.col("ca") < F.col("cb")) & fits).select("a", "b").distinct()
