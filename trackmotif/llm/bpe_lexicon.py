@@ -432,18 +432,18 @@ def _encoder(tokenizer: str, lexicon: str) -> Encoder:
 
 def encode_column(df: DataFrame, tokenizer: str, text_column: str = "text", output: str = "token_ids", lexicon: str | None = None) -> DataFrame:
     """``df`` with one more column: the ids (array<int>) of each text. Null and empty texts have no ids."""
+    ship_package(df.sparkSession)
     lexicon = lexicon or build_lexicon(df, tokenizer, text_column=text_column)
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        coder = _encoder(tokenizer, lexicon).coder(lambda x: x)
-        for series in batches:
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = _encoder(tokenizer, lexicon).coder(lambda x: np.array(x, np.int32).tobytes())
+        for texts in batches:
             rows = []
-            for part in chunks(t or "" for t in series):
-                rows += [[i for v in values for i in v] for values in coder.values(part)]
-            yield pd.Series(rows)
+            for part in chunks(t.as_py() or "" for t in texts):
+                rows += [b"".join(values) for values in coder.values(part)]
+            ends = np.cumsum([0, *(len(r) // 4 for r in rows)])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
     return df.withColumn(output, ids(F.col(text_column)))
 
@@ -452,13 +452,15 @@ def decode_column(df: DataFrame, tokenizer: str, ids_column: str = "token_ids",
     """``df`` with the decoded text of an array of ids; null stays null. Bytes that are no UTF-8 become U+FFFD."""
     ship_package(df.sparkSession)
 
-    @F.pandas_udf("string")
-    def text(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        encoder = Encoder(vocabulary(tokenizer), None)
-        for series in batches:
-            yield pd.Series([None if x is None else encoder.decode(x) for x in series])
+    @F.arrow_udf("string")
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bytes_of = vocabulary(tokenizer).bytes_of
+        for rows in batches:
+            out = []
+            for row in rows:
+                ids = row.values
+                out.append(None if ids is None else b"".join(map(bytes_of.__getitem__, ids.to_numpy(zero_copy_only=False).tolist())).decode("utf-8", "replace"))
+            yield pa.array(out, pa.string())
 
     return df.withColumn(output, text(F.col(ids_column)))
 
