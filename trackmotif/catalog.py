@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from trackmotif.plans import window_queries
+
+GROUPS = (window_queries.QUERIES,)
+
 
 def flagship(spark, sf_dir):
-    return queries()["nms_pick"](spark, sf_dir)
+    return window_queries.nms_pick(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: fn for group in GROUPS for name, (fn, _) in group.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for group in GROUPS for name, (_, sql) in group.items() if sql}
