@@ -132,7 +132,7 @@ class Table:
             at = order == k
             self.levels.append(self._build(gram[at].astype(np.int64).view(np.uint64), p[at], backoff[at]))
         at = (order == 0) & ~np.isnan(backoff)
-        n1 = int((order == 1).sum())
+        n1 = int(((order == 1) & ~np.isnan(p)).sum())
         self.unknown = float(backoff[at][0]) + float(np.log(1.0 / (n1 + 1))) if at.any() else 0.0
 
     @staticmethod
@@ -277,7 +277,7 @@ def _log_perplexity_by_shards(df: DataFrame, found: DataFrame) -> DataFrame:
 
     needed = dealt.groupBy("_block").applyInArrow(wanted, "_block long, order int, gram long")
     joined = needed.join(found, ["order", "gram"])
-    n1 = found.where("order = 1").count()
+    n1 = found.where("order = 1 and p is not null").count()
     schema = dealt.drop("_block").schema.simpleString()[7:-1]
 
     def score(docs: pa.Table, rows: pa.Table) -> pa.Table:
