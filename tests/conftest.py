@@ -39,7 +39,7 @@ def same():
     """Rows of a Spark and a DuckDB result, by column name, in any order."""
 
     def plain(x):
-        if x is None or x != x or str(x) == "<NA>":
+        if x is None or str(x) == "<NA>" or x != x:
             return None
         return x.item() if hasattr(x, "item") else x
 
