@@ -25,7 +25,7 @@ from trackmotif.llm.words import BASE, hashes, mix, spaced
 from trackmotif.session import materialise, ship_package
 
 COLLECTION, MINIMA, SEED = 16, 4, 20_261
-BLOCK = 4096
+BLOCK, RARE = 4096, 8
 #: Similarity, as a percentage, from which two documents are linked.
 PERCENT = 80
 
@@ -116,7 +116,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = PERCENT, collec
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     parts = keys.join(shared, "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
     odd = lambda k: k.bitwiseAND(F.lit(1)) == 1
-    halves = parts.select("id", F.filter("keys", lambda k: ~odd(k)).alias("ka"), F.filter("keys", odd).alias("kb"))
+    halves = materialise(parts.select("id", F.filter("keys", lambda k: ~odd(k)).alias("ka"), F.filter("keys", odd).alias("kb")), "halves")
     table = halves.select("id", "kb", F.explode("ka").alias("x")).select("id", "x", F.explode("kb").alias("y")).select("id", F.xxhash64("x", "y").alias("bucket"))
     buckets = table.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     entries = materialise(table.join(buckets, "bucket").select("bucket", "id", "low"), "buckets")
@@ -128,7 +128,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = PERCENT, collec
 
     # Each set with the smallest identifier it meets; then with other buckets' smallest, where components still differ.
     links = materialise(_confirmed(stars.groupBy("a").agg(F.min("b").alias("b")), sets, percent), "confirmed")
-    for pairs in (lambda of: _apart(stars, of), lambda of: _rest(entries, sets, of, percent)):
+    for pairs in (lambda of: _apart(stars, of), lambda of: _rest(entries, halves, sets, of, percent)):
         of = materialise(components(links), "components")
         links = materialise(links.union(_confirmed(pairs(of), sets, percent)), "confirmed")
     of = components(links)
@@ -149,23 +149,37 @@ def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return _labelled(_labelled(pairs, of, "a", "ca"), of, "b", "cb").where("ca <> cb").select("a", "b")
 
 
-def _rest(entries: DataFrame, sets: DataFrame, of: DataFrame, percent: int) -> DataFrame:
-    """Pairs within a bucket that are neither in one component nor with its smallest identifier.
+def _rest(entries: DataFrame, halves: DataFrame, sets: DataFrame, of: DataFrame, percent: int) -> DataFrame:
+    """The pairs that share a table, are in different components, and can be similar enough.
 
-    Pairs that can't be similar enough are ruled out before they are formed, by what each set has to itself: of the
-    shingles that no other set of these buckets has, none is common, so with c shingles left in each set (n in all), at
-    most m = min(c, c') are common, and the similarity is at most m / (n + n' - m).
+    Of the sets in buckets of several components, a shingle that at most ``RARE`` have is rare. Pairs with a rare shingle
+    in common are found by it: no shingle makes more than RARE * RARE / 2. All others have at most m = min(s, s') shingles
+    in common, where s of a set's n are not rare, so their similarity is at most m / (n + n' - m): what falls short is
+    never formed. Each other pair is formed once, under the smallest sub-key of the first collection that it shares.
     """
     labelled = _labelled(entries, of, "id", "c")
     mixed = labelled.groupBy("bucket").agg(F.min("c").alias("lc"), F.max("c").alias("hc")).where("lc < hc").select("bucket")
-    left = materialise(labelled.join(mixed, "bucket", "left_semi").where("id <> low").select("bucket", "id", "c"), "mixed")
-    own = sets.join(left.select("id").distinct(), "id", "left_semi")
-    alone = own.select("id", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("high")).where("id = high").groupBy("id").agg(F.count("*").alias("alone"))
-    shared = own.select("id", F.size("set").cast("long").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
-    shared = materialise(shared.where(100 * F.col("s") >= percent * F.col("n")), "shared")
-    left = left.join(shared, "id")
-    a = left.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    b = left.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    most = F.least("sa", "sb")
-    fits = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
-    return a.join(b, "bucket").where((F.col("ca") < F.col("cb")) & fits).select("a", "b").distinct()
+    nodes = materialise(labelled.join(mixed, "bucket", "left_semi").select("id", "c").distinct(), "mixed")
+    own = sets.join(nodes, "id").groupBy("id", "c").agg(F.flatten(F.collect_set("set")).alias("set"))
+    own = materialise(own.select("id", "c", F.array_distinct("set").alias("set"), F.size(F.array_distinct("set")).cast("long").alias("n")), "mixed-sets")
+    shingles_of = own.select("id", F.explode("set").alias("shingle"))
+    few = shingles_of.groupBy("shingle").agg(F.count("*").alias("f")).where(F.col("f") <= RARE)
+    rare = materialise(shingles_of.join(few, "shingle"), "rare")
+    less = rare.groupBy("id").agg(F.count("*").alias("rare"), F.sum((F.col("f") == 1).cast("long")).alias("alone"))
+    sized = own.select("id", "c", "n").join(less, "id", "left").na.fill(0, ["rare", "alone"])
+
+    m = F.least("s", "s2")
+    fits = (F.col("c") < F.col("c2")) & (100 * m >= percent * (F.col("n") + F.col("n2") - m))
+
+    def twice(rows: DataFrame, key: str, *carried: str) -> tuple[DataFrame, DataFrame]:
+        return rows.select(key, "id", *carried), rows.select(key, F.col("id").alias("id2"), *(F.col(x).alias(f"{x}2") for x in carried))
+
+    could = lambda common: 100 * F.col(common) >= percent * F.col("n")
+    by_rare = sized.withColumn("s", F.col("n") - F.col("alone")).where(could("s")).join(rare.where("f > 1"), "id")
+    a, b = twice(by_rare, "shingle", "c", "n", "s")
+    first = a.join(b, "shingle").where(fits).select("id", "id2")
+    by_key = sized.withColumn("s", F.col("n") - F.col("rare")).where(could("s")).join(halves, "id").withColumn("key", F.explode("ka"))
+    a, b = twice(by_key, "key", "c", "n", "s", "ka", "kb")
+    once = (F.array_min(F.array_intersect("ka", "ka2")) == F.col("key")) & F.arrays_overlap("kb", "kb2")
+    second = a.join(b, "key").where(fits & once).select("id", "id2")
+    return first.unionByName(second).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
