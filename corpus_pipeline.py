@@ -47,9 +47,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the ids of the text and their number, and whether they decode to it."""
-    encoded = bpe_lexicon.encode_column(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), TOKENIZER)
-    decoded = bpe_lexicon.decode_column(encoded, TOKENIZER)
-    return decoded.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("exact"))
+    return bpe_lexicon.encode_rows(docs, TOKENIZER)
 
 
 STAGES = [

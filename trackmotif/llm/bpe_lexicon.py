@@ -465,6 +465,35 @@ def decode_column(df: DataFrame, tokenizer: str, ids_column: str = "token_ids",
     return df.withColumn(output, text(F.col(ids_column)))
 
 
+def encode_rows(df: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+    """doc_id, token_ids, n_tokens, and exact (they decode to the text), for every row of doc_id and text.
+
+    Null text counts as empty; other columns are left out. Rows go back a chunk at a time, so that memory holds one
+    Arrow batch of texts and the ids of one chunk.
+    """
+    ship_package(df.sparkSession)
+    lexicon = build_lexicon(df, tokenizer, lexicon_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(tokenizer, lexicon)
+        bytes_of = encoder.vocab.bytes_of
+        coder = encoder.coder(lambda ids: (np.array(ids, np.int32).tobytes(), b"".join([bytes_of[i] for i in ids])))
+        schema = pa.schema([("doc_id", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("exact", pa.bool_())])
+        for batch in batches:
+            at = 0
+            for part in chunks(t.as_py() or "" for t in batch.column(1)):
+                rows, exact = [], []
+                for text, values in zip(part, coder.values(part), strict=True):
+                    rows.append(b"".join([v[0] for v in values]))
+                    exact.append(b"".join([v[1] for v in values]).decode("utf-8", "replace") == text)
+                counts = [len(r) // 4 for r in rows]
+                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)).cast(pa.int64()), ids, pa.array(counts, pa.int64()), pa.array(exact, pa.bool_())], schema=schema)
+                at += len(part)
+
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens long, exact boolean")
+
+
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
