@@ -153,27 +153,40 @@ def _shards(items: DataFrame, id_column: str, text_column: str, shard_bytes: int
         yield [(r.name, r.text) for r in part.collect()]
 
 
-RESULT = "struct<n_words:bigint,spans:array<int>,items:array<string>>"
+RESULT = "struct<n_words:bigint,spans:array<int>,items:array<string>,clean:string>"
 
 
 def _search(automaton: Broadcast) -> Callable:
-    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("clean", pa.string())])
 
     @F.arrow_udf(RESULT)
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             out = []
-            for text in texts:
-                words = lettered(text.as_py())
+            for value in texts:
+                text = value.as_py()
+                words = lettered(text)
                 spans, found = automaton.value.match(words)
-                out.append({"n_words": len(words), "spans": [x for s in spans for x in s], "items": sorted(found)})
+                out.append({"n_words": len(words), "spans": [x for s in spans for x in s], "items": sorted(found), "clean": without_spans(text, spans) if spans else None})
             yield pa.array(out, kind)
 
     return search
 
 
+def _cut(text: F.Column, spans: F.Column) -> F.Column:
+    """The text without spans of several shards; null if there are none."""
+
+    @F.arrow_udf("string")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, found in batches:
+            yield pa.array([without_spans(t, merged(s)) if s else None for t, s in zip(texts.to_pylist(), found.to_pylist(), strict=True)], pa.string())
+
+    return cut(text, spans)
+
+
 def matches(df: DataFrame, items: DataFrame, output: str, window: int = WINDOW, text_column: str = "text", item_id: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``df`` with one more column, a struct: n_words, the hit spans' first and past-the-end word numbers in turn, items."""
+    """``df`` with one more column, a struct: n_words, the hit spans' first and past-the-end word
+    numbers in turn, items, and the text without the spans (null if there are none)."""
     spark = df.sparkSession
     ship_package(spark)
     columns = []
@@ -188,6 +201,7 @@ def matches(df: DataFrame, items: DataFrame, output: str, window: int = WINDOW,
         F.flatten(F.array(*(F.col(f"`{c}`.spans") for c in columns))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(f"`{c}`.items") for c in columns))))).alias("items"),
     )
+    joined = joined.withField("clean", _cut(F.col(text_column), joined["spans"]))
     return df.withColumn(output, joined).drop(*columns)
 
 
@@ -202,6 +216,14 @@ def merged(spans: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _hit_words(spans: F.Column) -> F.Column:
+    """Words in the spans, which may be of several shards: each adds what lies past the furthest end so far."""
+    pairs = F.transform(F.sequence(F.lit(0), F.shiftright(F.size(spans), 1) - 1), lambda k: F.struct(F.get(spans, 2 * k).alias("a"), F.get(spans, 2 * k + 1).alias("b")))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    step = lambda s, x: F.struct((s["n"] + F.greatest(x["b"] - F.greatest(x["a"], s["end"]), F.lit(0))).alias("n"), F.greatest(s["end"], x["b"]).alias("end"))
+    return F.when(F.size(spans) == 0, F.lit(0)).otherwise(F.aggregate(F.array_sort(pairs), start, step)["n"]).cast("long")
+
+
 def contamination(df: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """For every row: words, hit words, items whose windows occur, sha256 of their sorted names, and whether any is hit.
 
@@ -209,11 +231,7 @@ def contamination(df: DataFrame, items: DataFrame, window: int = WINDOW, shard_b
     benchmark hits nothing. Other columns are left out; repeated rows give repeated rows.
     """
     found = matches(df.select("doc_id", "text"), items, "found", window, shard_bytes=shard_bytes)
-    ordered = F.array_sort(F.transform(F.sequence(F.lit(0), F.shiftright(F.size("found.spans"), 1) - 1), lambda k: F.struct(F.get("found.spans", 2 * k).alias("a"), F.get("found.spans", 2 * k + 1).alias("b"))))
-    # Words hit: each span adds what lies past the furthest end so far.
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-    step = lambda s, x: F.struct((s["n"] + F.greatest(x["b"] - F.greatest(x["a"], s["end"]), F.lit(0))).alias("n"), F.greatest(s["end"], x["b"]).alias("end"))
-    hit = F.when(F.size("found.spans") == 0, F.lit(0)).otherwise(F.aggregate(ordered, start, step)["n"]).cast("long")
+    hit = _hit_words(F.col("found.spans"))
     return found.select(
         "doc_id",
         F.col("found.n_words").alias("n_words"),
@@ -243,17 +261,6 @@ def decontaminate(df: DataFrame, items: DataFrame, window: int = WINDOW, max_cov
     while name in df.columns:
         name = "_" + name
 
-    @F.arrow_udf("string")
-    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, spans in batches:
-            yield pa.array([without_spans(t, merged(s)) if s else t for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
-
-    @F.arrow_udf("bigint")
-    def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for spans in batches:
-            yield pa.array([sum(b - a for a, b in merged(s)) for s in spans.to_pylist()], pa.int64())
-
     found = matches(df, items, name, window, text_column)
-    spans = F.col(f"`{name}`.spans")
-    kept = found.where(hits(spans) <= max_coverage * F.col(f"`{name}`.n_words"))
-    return kept.withColumn(text_column, cut(F.col(text_column), spans)).drop(name)
+    kept = found.where(_hit_words(F.col(f"`{name}`.spans")) <= max_coverage * F.col(f"`{name}`.n_words"))
+    return kept.withColumn(text_column, F.coalesce(F.col(f"`{name}`.clean"), F.col(text_column))).drop(name)
