@@ -92,13 +92,13 @@ def fine(found: DataFrame, pairs: DataFrame) -> DataFrame:
 def clustered(found: DataFrame, s: Settings, filtered: bool) -> DataFrame:
     """sign, ord, cluster of the seqlets that stay in the graph."""
     pairs = materialise(fine(found, coarse(found, s)), "pairs")
-    key = lambda c: F.struct("sign", c).alias(c)
+    key = lambda c: F.struct("sign", F.col(c).alias("id")).alias(c)
     rows = pairs.select(key("i"), key("j"), "sim", F.round("fine", 9).alias("fine"))
     if filtered:
         rows = knn.correlated(rows.withColumn("sim", F.round("sim", 9)), "fine", "sim", s.correlation)
     edges = graph.symmetric(rows.select("i", "j", graph.distance("fine").alias("d")))
     adapted = materialise(graph.density_adapted(edges, s.perplexity), "graph")
-    plain = adapted.select(F.col("i.sign").alias("sign"), F.col("i.i").alias("i"), F.col("j.j").alias("j"), "w")
+    plain = adapted.select(F.col("i.sign").alias("sign"), F.col("i.id").alias("i"), F.col("j.id").alias("j"), "w")
     return graph.communities(plain, "sign", s.seeds).select("sign", F.col("id").alias("ord"), F.col("label").alias("cluster"))
 
 
