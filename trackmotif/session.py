@@ -9,6 +9,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Arrow batches are held to 8 MB unless the session asks for another size than Spark's own.
+BATCH_CONF, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
 
@@ -30,6 +32,8 @@ def build_session(app: str = "trackmotif", cores: int | str = "*", **conf: str)
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``trackmotif`` importable in Python workers: a zip of the sources goes to every executor, once per context."""
+    if spark.conf.get(BATCH_CONF, "") in ("", "-1", BATCH_DEFAULT):
+        spark.conf.set(BATCH_CONF, str(8 << 20))
     context = spark.sparkContext
     if getattr(context, "_trackmotif_shipped", False):
         return
