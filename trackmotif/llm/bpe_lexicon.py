@@ -28,6 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackmotif.llm.memory import release
 from trackmotif.session import ship_package
 
 # Unicode's White_Space; letters and numbers that Unicode 16 added to Python's tables; the word pattern.
@@ -404,6 +405,7 @@ def frequent_words(df: DataFrame, text_column: str = "text", least: int = LEAST_
                         settle()
         settle()
         kept = [(w, n) for w, n in words.items() if n >= least and len(w) <= MEMO_CHARS]
+        release(words, pieces)
         for i in range(0, len(kept), 50_000):
             yield pa.RecordBatch.from_pydict({"word": [w for w, _ in kept[i : i + 50_000]], "n": [n for _, n in kept[i : i + 50_000]]}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
 
@@ -444,6 +446,7 @@ def encode_column(df: DataFrame, tokenizer: str, text_column: str = "text", outp
                 rows += [b"".join(values) for values in coder.values(part)]
             ends = np.cumsum([0, *(len(r) // 4 for r in rows)])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+        release(coder.memo)
 
     return df.withColumn(output, ids(F.col(text_column)))
 
@@ -490,6 +493,7 @@ def encode_rows(df: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_WORD
                 ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)).cast(pa.int64()), ids, pa.array(counts, pa.int64()), pa.array(exact, pa.bool_())], schema=schema)
                 at += len(part)
+        release(coder.memo)
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens long, exact boolean")
 
@@ -519,5 +523,6 @@ def codec_digests(df: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_WO
                     first.append(hashlib.sha256(ids[:-1]).hexdigest())
                     second.append(hashlib.sha256(b"".join([v[1] for v in values]).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], schema=schema)
+        release(coder.memo)
 
     return df.select("doc_id", "text").mapInArrow(run, DIGEST)

@@ -21,6 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackmotif.llm.memory import release
 from trackmotif.llm.words import lettered
 from trackmotif.session import ship_package
 
@@ -169,6 +170,7 @@ def _search(automaton: Broadcast) -> Callable:
                 spans, found = automaton.value.match(words)
                 out.append({"n_words": len(words), "spans": [x for s in spans for x in s], "items": sorted(found), "clean": without_spans(text, spans) if spans else None})
             yield pa.array(out, kind)
+        release()
 
     return search
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackmotif.llm.components import components
-from trackmotif.llm.words import BASE, hashes, mix, spaced
+from trackmotif.llm.words import BASE, forget, hashes, mix, spaced
 from trackmotif.session import materialise, ship_package
 
 COLLECTION, MINIMA, SEED = 16, 4, 20_261
@@ -72,6 +72,7 @@ def _signatures(df: DataFrame, size: int, collection: int, minima: int) -> DataF
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 subs.append(subkeys(h, collection, minima) if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(subs, pa.list_(pa.int64()))], schema=schema)
+        forget()
 
     return df.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, subkeys array<long>")
 
@@ -83,6 +84,7 @@ def _sets(df: DataFrame, size: int) -> DataFrame:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), size).view(np.int64) for t in part.column(1)], pa.list_(pa.int64()))], schema=schema)
+        forget()
 
     return df.mapInArrow(run, "id long, set array<long>")
 

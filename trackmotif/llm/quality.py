@@ -20,6 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackmotif.llm.memory import release
 from trackmotif.session import materialise, ship_package
 
 ORDER, PAD = 4, 0xFFFF
@@ -68,6 +69,8 @@ def _count(df: DataFrame) -> DataFrame:
         settle()
         for k in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000].view(np.int64)), pa.array(counts[k : k + 100_000])], names=["gram", "n"])
+        del keys, counts
+        release()
 
     return df.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -249,6 +252,7 @@ def log_perplexity(df: DataFrame, found: DataFrame, broadcast_entries: int = BRO
             for texts in batches:
                 got = list(_logs(table, (x.as_py() for x in texts)))
                 yield pa.StructArray.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([s for _, s in got], pa.float64())], ["n", "s"])
+            release()
 
         name = "_scored"
         while name in df.columns:

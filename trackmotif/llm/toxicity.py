@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackmotif.llm.words import BASE, hashes, lettered, mix
+from trackmotif.llm.words import BASE, forget, hashes, lettered, mix
 from trackmotif.session import ship_package
 
 BITS = 20
@@ -136,5 +136,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, l
         for batch in batches:
             scores = [score(features(t.as_py(), bits), dense) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(x >= threshold) for x in scores], pa.int32())], schema=schema)
+        forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(held_out(), F.lit(False)).alias("held_out")).mapInArrow(run, DIGEST)

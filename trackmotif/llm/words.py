@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MEMO_WORDS = 400_000
+from trackmotif.llm.memory import release
+
+MEMO_WORDS = 250_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -24,6 +26,11 @@ class _WordHashes(dict):
 _words = _WordHashes()
 
 
+def forget() -> None:
+    """Empty the memo, at a task's end."""
+    release(_words)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX[1]
