@@ -32,7 +32,7 @@ def build_session(app: str = "trackmotif", cores: int | str = "*", **conf: str)
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``trackmotif`` importable in Python workers: a zip of the sources goes to every executor, once per context."""
-    if spark.conf.get(BATCH_CONF, "") in ("", "-1", BATCH_DEFAULT):
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
         spark.conf.set(BATCH_CONF, str(8 << 20))
     context = spark.sparkContext
     if getattr(context, "_trackmotif_shipped", False):
