@@ -252,7 +252,8 @@ def log_perplexity(df: DataFrame, found: DataFrame, broadcast_entries: int = BRO
             for texts in batches:
                 got = list(_logs(table, (x.as_py() for x in texts)))
                 yield pa.StructArray.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([s for _, s in got], pa.float64())], ["n", "s"])
-            release()
+            table = None
+            release(_tables)
 
         name = "_scored"
         while name in df.columns:
