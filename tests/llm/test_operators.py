@@ -295,3 +295,10 @@ def test_quality_keeps_clean_documents(spark, data):
     rows = queries.op1_kneser_ney_quality(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").groupBy("quality").agg(F.avg(F.col("accepted").cast("int")).alias("a")).collect()
     share = {r.quality: r.a for r in rows}
     assert share[1] > 0.98 and share[0] < 0.2
+
+
+def test_quality_rejects_junk(spark, data):
+    big = data.replace("sf0.001", "sf0.1")
+    rows = queries.op1_kneser_ney_quality(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").groupBy("quality").agg(F.avg(F.col("accepted").cast("int")).alias("a")).collect()
+    share = {r.quality: r.a for r in rows}
+    assert share[1] > 0.985 and share[0] < 0.06

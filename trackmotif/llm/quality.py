@@ -24,9 +24,9 @@ from trackmotif.llm.memory import release
 from trackmotif.session import materialise, ship_package
 
 ORDER, PAD = 4, 0xFFFF
-#: A document is rejected where its log-perplexity is above q75 + FENCE * (q75 - q25), and LEAST_MARGIN, of its language;
-#: languages of fewer trusted documents use the quantiles of all. Accuracy of the quantile sketch.
-FENCE, LEAST_MARGIN, LEAST_TRUSTED, ACCURACY = 10.0, 0.35, 30, 10_000
+#: A document is rejected where its log-perplexity is above q75 + FENCE * (q75 - q25) of its language; languages of fewer
+#: trusted documents use the quantiles of all. Accuracy of the quantile sketch.
+FENCE, LEAST_TRUSTED, ACCURACY = 4.0, 30, 10_000
 #: Entries of a model that is broadcast at most (12 bytes each, four slots an entry at most); trusted ids, as well.
 BROADCAST_ENTRIES, BROADCAST_IDS = 2_000_000, 4_000_000
 CHUNK_UNITS, BLOCK_UNITS = 1 << 19, 16_000_000
@@ -311,7 +311,7 @@ def classify(docs: DataFrame, labels: DataFrame, trusted_label: str = "quality",
     scored = materialise(log_perplexity(docs, model(trusted.where("text is not null and text <> ''")), broadcast_entries), "scored")
     known = scored.join(F.broadcast(ids) if few else ids, own, "left_semi").where("log_ppl is not null").select("lang", "log_ppl")
     quartiles = F.percentile_approx("log_ppl", [0.25, 0.75], ACCURACY)
-    fence = lambda q: q[1] + F.greatest(FENCE * (q[1] - q[0]), F.lit(LEAST_MARGIN))
+    fence = lambda q: q[1] + FENCE * (q[1] - q[0])
     by_lang = known.groupBy("lang").agg(F.count("*").alias("n"), quartiles.alias("q")).where(F.col("n") >= LEAST_TRUSTED)
     by_lang = by_lang.select(F.col("lang").alias("_lang"), fence(F.col("q")).alias("_fence"))
     overall = known.agg(quartiles.alias("q")).select(fence(F.col("q")).alias("f")).first()[0]
