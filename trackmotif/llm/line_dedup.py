@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trackmotif.session import materialise
 
-RATIO, MIN_PAGES, BROADCAST_BYTES = 0.1, 5, 8 << 20
+RATIO, MIN_PAGES, BROADCAST_BYTES = 0.01, 5, 8 << 20
 
 
 def _lines(text: Column) -> Column:
