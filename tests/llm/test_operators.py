@@ -214,6 +214,14 @@ def test_pii_terms(spark):
     assert {r.doc_id: r.text for r in pii.sanitise(df).collect()}[0] == " john   at [EMAIL] about quarterly figures number0"
 
 
+def test_pii_terms_of_shared_parts(spark):
+    private = ["mail j{k}@corp.org", "host 10.20.30.{k} up", "call +1555123400{k} now"]
+    for where, word in enumerate(("zorblat", "quibber", "snarfle")):  # each value once, its shared part in all
+        docs = [(k, f"{word} met us number{k} " + private[where].format(k=k + 1)) for k in range(4)] + [(10 + k, f"met us number {k}") for k in range(40)]
+        rows = {r.doc_id: r for r in pii.digests(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert all(f"term:0:{len(word)}" in rows[k].spans for k in range(4)) and all(rows[10 + k].spans == "" for k in range(40))
+
+
 def test_toxicity_on_held_out_labels(spark, data):
     big = data.replace("sf0.001", "sf0.1")
     rows = queries.op8_ftrl_toxicity(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("held_out").collect()

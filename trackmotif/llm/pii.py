@@ -1,6 +1,7 @@
 """Personal data, and terms that disclose it, by information content. DataFrame functions only.
 
-Base spans are found by pattern. Each distinct value found is a protected entity c. Over all documents, a term t that
+Base spans are found by pattern. Each distinct value found is a protected entity c, and so is each part of it that other
+values share (a mail address's domain, say). Over all documents, a term t that
 occurs with it discloses PMI(t; c) = ln(p(t, c) / (p(t) p(c))) of the IC(c) = -ln p(c) there is to know about it. Where
 PMI / IC reaches ``DISCLOSURE`` on ``SUPPORT`` distinct texts at least, the term's occurrences in documents with that
 entity are spans too; ``sanitise`` generalises them to a label, and removes those that disclose everything.
@@ -85,9 +86,19 @@ def _named(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["start"], x["end"]))
 
 
+# Of a value in its plain form, the part that others share: a mail address's domain, an IP address's first three numbers,
+# a card's issuer, a phone number without its last four digits.
+SHARED = {"email": r"@(.*)$", "ip": r"^(.*)\.", "card": r"^(.{6})", "phone": r"^(.*).{4}$"}
+
+
 def _entities(kind: str) -> Column:
+    """Each value, the part of it that others share, and a mail address's name."""
     value = lambda x: F.lower(x["value"]) if kind in ("email", "ip") else _digits(x["value"])
-    return F.transform(kind, lambda x: F.concat(F.lit(f"{kind}:"), value(x)))
+    values = F.transform(kind, value)
+    out = [F.transform(values, lambda v: F.concat(F.lit(f"{kind}:"), v)), F.transform(values, lambda v: F.concat(F.lit(f"{kind} of:"), F.regexp_extract(v, SHARED[kind], 1)))]
+    if kind == "email":
+        out.append(F.transform(values, lambda v: F.concat(F.lit("email name:"), F.substring_index(v, "@", 1))))
+    return F.concat(*out)
 
 
 def _terms(text: Column) -> Column:
