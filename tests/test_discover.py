@@ -53,3 +53,14 @@ def test_planted_motif_is_found_on_both_strands(spark):
     assert MOTIF in read or MOTIF in other
     sure = [max(r) for r in largest.ppm]
     assert sorted(sure)[-len(MOTIF)] > 0.9
+
+
+def test_pair_draws_from_all_seqlets():
+    rng = np.random.default_rng(5)
+    own, odd = rng.normal(size=(2, 12, 4))
+    contrib = {k: (own if k < 300 else odd) + rng.normal(size=(12, 4)) * 0.1 for k in range(600)}  # weak members differ
+    contrib |= {1000 + k: own + rng.normal(size=(12, 4)) * 0.1 for k in range(300)}
+    tracks = kernels.Tracks({k: (x == x.max(axis=1, keepdims=True)).astype(float) for k, x in contrib.items()}, contrib, contrib, 13)
+    q, p = (kernels.Pattern(tracks, [(k, 0, 12, False) for k in keys]) for keys in (range(600), range(1000, 1300)))
+    few, every = (kernels._pair(p, q, kernels.Settings(sub_sample=n))[1] for n in (200, 600))
+    assert every > 0.7 and abs(few - every) < 0.08
