@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trackmotif.functions import vec
 from trackmotif.operators import graph, nms, patterns, thresholds, windows
+from trackmotif.plans import bindings, pattern_queries
 from trackmotif.sources import text
 
 
@@ -94,3 +95,30 @@ def test_bed_is_numbered_after_the_filter(spark, tmp_path):
     path.write_text("".join(f"chr{k % 3}\t{k}\t{k + 10}\tp{k}\t{k}\n" for k in range(50)))
     rows = text.read_bed(spark, str(path), ["chr1"]).orderBy("row_idx").collect()
     assert [r.start for r in rows] == [k for k in range(50) if k % 3 == 1] and [r.row_idx for r in rows] == list(range(len(rows)))
+
+
+def test_auroc_pairs_score_all_rows(spark, data):
+    big = data.replace("sf0.001", "sf0.1")
+    tracks = bindings.e_track(spark, big).select("label", "contrib").collect()
+    rows = {}
+    for r in tracks:
+        x = np.array(r.contrib).ravel()
+        rows.setdefault(r.label, []).append(x / np.abs(x).sum())
+    assert min(map(len, rows.values())) > pattern_queries.CAP
+    got = {(r.a, r.b): r.auroc for r in pattern_queries.auroc_pairs_all(spark, big).collect()}
+    assert set(got) == {(a, b) for a in rows for b in rows if a != b}
+
+    def sims(xs, ys):
+        return [round(float((np.minimum(abs(x), abs(y)) * np.sign(x) * np.sign(y)).sum() / np.maximum(abs(x), abs(y)).sum()), 9) for x in xs for y in ys]
+
+    labels = sorted(rows)
+    for a, b in ((labels[0], labels[1]), (labels[-1], labels[0])):
+        own, other = np.array(sims(rows[a], rows[a])), np.array(sims(rows[a], rows[b]))
+        share = np.mean([(x > other).mean() + (x == other).mean() / 2 for x in own])
+        assert abs(got[a, b] - share) < 2e-6
+
+
+def test_label_aurocs_are_those_of_the_sql(spark, data):
+    expected = {(r.a, r.b): r.auroc for r in pattern_queries.auroc_pairs(spark, data).collect()}
+    got = {(r.a, r.b): r.auroc for r in pattern_queries._label_aurocs(pattern_queries._sampled(spark, data)).collect()}
+    assert set(got) == set(expected) and all(abs(got[k] - expected[k]) < 2e-6 for k in got)

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmotif.functions import vec
-from trackmotif.operators import patterns, seqlets
+from trackmotif.operators import kernels, patterns, seqlets
 from trackmotif.plans.bindings import E_SQL, e_track, long
-from trackmotif.session import table
+from trackmotif.session import ship_package, table
 from trackmotif.sources import text
 
 WIDTH, CAP, CHROMS, CROP = 6, 50, ("chr1", "chr3", "chr7"), 400
+#: Rows a label that are compared at most, drawn by hash, as many as the reference draws from a pattern.
+SUB_SAMPLE = 1000
 r6 = lambda c: F.round(c, 6)
 
 
@@ -54,9 +60,12 @@ def pattern_support_trim(spark, sf_dir):
     return patterns.support_bounds(counts, "label", "pos", "n", 0.8, 1000)
 
 
+def _scaled(spark, sf_dir):
+    return e_track(spark, sf_dir).select("vec_id", "label", vec.l1(vec.flatten(F.col("contrib"))).alias("x"))
+
+
 def _sampled(spark, sf_dir):
-    rows = e_track(spark, sf_dir).select("vec_id", "label", vec.l1(vec.flatten(F.col("contrib"))).alias("x"))
-    return patterns.first_of(rows, "label", "vec_id", CAP)
+    return patterns.first_of(_scaled(spark, sf_dir), "label", "vec_id", CAP)
 
 
 def _pair_scores(spark, sf_dir):
@@ -67,6 +76,7 @@ def _pair_scores(spark, sf_dir):
 
 
 def auroc_pairs(spark, sf_dir):
+    """Of the first CAP rows of each label alone, as its SQL has it; auroc_pairs_all compares all rows."""
     scores = _pair_scores(spark, sf_dir).groupBy("a", "b", "sim").agg(F.count("*").alias("n"))
     own = scores.where("a = b").select("a", "sim", F.col("n").alias("n1"))
     others = scores.where("a <> b")
@@ -78,6 +88,37 @@ def auroc_pairs(spark, sf_dir):
     return found.select("a", "b", r6("auroc").alias("auroc"), r6(patterns.contamination(F.col("auroc"))).alias("contamination"))
 
 
+def _label_aurocs(rows: DataFrame) -> DataFrame:
+    """a, b, auroc of label, x: how well similarities within a are told from those of a with b. A task has a pair of labels."""
+    ship_package(rows.sparkSession)
+    blocks = rows.groupBy("label").agg(F.collect_list("x").alias("x"))
+    pairs = blocks.select(F.col("label").alias("a"), F.col("x").alias("xa")).join(blocks.select(F.col("label").alias("b"), F.col("x").alias("xb")), F.col("a") < F.col("b"))
+
+    def sims(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = []
+        for row in x:
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out.append(np.nan_to_num((np.minimum(np.abs(row), np.abs(y)) * np.sign(row) * np.sign(y)).sum(axis=1) / np.maximum(np.abs(row), np.abs(y)).sum(axis=1)))
+        return np.round(np.concatenate(out), 9)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                x, y = np.array(r["xa"]), np.array(r["xb"])
+                cross = sims(x, y)
+                found = [kernels._auroc(sims(x, x), cross), kernels._auroc(sims(y, y), cross)]
+                yield pa.RecordBatch.from_pydict({"a": pa.array([r["a"], r["b"]], pa.int32()), "b": pa.array([r["b"], r["a"]], pa.int32()), "auroc": found})
+
+    return pairs.repartition("a", "b").mapInArrow(run, "a int, b int, auroc double")
+
+
+def auroc_pairs_all(spark, sf_dir):
+    rows = _scaled(spark, sf_dir).withColumn("drawn", F.xxhash64("vec_id"))
+    found = _label_aurocs(patterns.first_of(rows, "label", "drawn", SUB_SAMPLE))
+    return found.select("a", "b", r6("auroc").alias("auroc"), r6(patterns.contamination(F.col("auroc"))).alias("contamination"))
+
+
 def auroc_label_scores(spark, sf_dir):
     scores = long(e_track(spark, sf_dir), "contrib", "x", "label").select("label", F.round("x", 4).alias("x"), (F.col("base") < 2).alias("y"))
     return patterns.auroc(scores, "x", "y", "label").select("label", r6("auroc").alias("auroc"))
@@ -211,6 +252,7 @@ QUERIES = {
         u AS (SELECT a, b, (sum(r) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)) AS auroc FROM r GROUP BY a, b)
         SELECT a, b, round(auroc, 6) AS auroc, round(2 * (1 - greatest(auroc, 0.5)), 6) AS contamination FROM u""",
     ),
+    "auroc_pairs_all": (auroc_pairs_all, None),
     "auroc_label_scores": (
         auroc_label_scores,
         E_SQL + """, x AS (SELECT label, round(contrib, 4) + 0.0 AS x, base < 2 AS y FROM c), r AS (SELECT label, y, rank() OVER (PARTITION BY label ORDER BY x) + (count(*) OVER (PARTITION BY label, x) - 1) / 2 AS r FROM x)
