@@ -1,5 +1,6 @@
 """The operators against brute force, the libraries and held-out labels."""
 
+import gzip
 import hashlib
 import io
 import random
@@ -121,6 +122,15 @@ def test_warc_source(spark, tmp_path):
     assert {r.payload_digest for r in warc.read(spark, str(plain), "digest").where("record_type = 'response'").collect()} == {warc.digest_of(b"x" * 9000)}
 
 
+def test_warc_members_of_several_records(spark, tmp_path):
+    records = [warc.record(kind, f"urn:{k}", b"x" * (9000 * k), "D", "u", "d", "urn:r") for k, kind in enumerate(("revisit", "response", "revisit", "response"))]
+    packed = tmp_path / "one.warc.gz"
+    packed.write_bytes(gzip.compress(b"".join(records[:3])) + gzip.compress(records[3]))
+    rows = warc.read(spark, str(packed))
+    assert sorted(r.record_id for r in rows.collect()) == [f"urn:{k}" for k in range(4)]
+    assert sorted(len(r.payload) for r in rows.where("record_type = 'response'").collect()) == [9000, 27_000]
+
+
 def test_shards(spark, data, documents):
     tokenizer, start, expected = Tokenizer.from_file(TOKENIZER), 0, []
     manifest = sstable.write_shards(spark.read.parquet(f"{data}/documents.parquet"), TOKENIZER)

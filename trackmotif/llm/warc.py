@@ -114,7 +114,7 @@ def _plain_records(f: pa.NativeFile, wanted) -> Iterator[tuple[dict, bytes | Non
 
 
 def _packed_records(f: pa.NativeFile, wanted) -> Iterator[tuple[dict, bytes | None]]:
-    """The same of a file of gzip members, one a record."""
+    """The same of a file of gzip members, of one record or several. Members that state their length (sl) have one."""
     at, end = 0, f.size()
     while at < end:
         f.seek(at)
@@ -139,9 +139,18 @@ def _packed_records(f: pa.NativeFile, wanted) -> Iterator[tuple[dict, bytes | No
             if not fresh:
                 raise ValueError("a gzip member is cut short")
             parts.append(unpack.decompress(fresh))
-        if use:
-            block = b"".join(parts)[k + 4 :][: int(headers["content-length"])]
-            yield row, block
+        data = b"".join(parts)
+        while True:
+            end_of_block = k + 4 + int(headers["content-length"])
+            if use:
+                yield row, data[k + 4 : end_of_block]
+            start = end_of_block + 4
+            if not data[start : start + HEAD_BYTES].strip(b"\r\n"):
+                break
+            if (k := data.find(b"\r\n\r\n", start)) < 0:
+                raise ValueError("a record's headers don't end")
+            headers = _parse_head(data[start:k])
+            use = wanted(row := _columns(headers))
         at = f.tell() - len(unpack.unused_data)
 
 
