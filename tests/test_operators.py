@@ -122,3 +122,10 @@ def test_label_aurocs_are_those_of_the_sql(spark, data):
     expected = {(r.a, r.b): r.auroc for r in pattern_queries.auroc_pairs(spark, data).collect()}
     got = {(r.a, r.b): r.auroc for r in pattern_queries._label_aurocs(pattern_queries._sampled(spark, data)).collect()}
     assert set(got) == set(expected) and all(abs(got[k] - expected[k]) < 2e-6 for k in got)
+
+
+def test_threshold_sample_draws_equal_values_each_alone(spark):
+    df = spark.range(4000).selectExpr("id div 40 as example_idx", "id % 40 as pos", "cast(if(id % 2 = 0, 0, id) as double) as total")
+    for seed in (1, 1234):
+        rows = thresholds.sampled(df, "total", 1000, seed).collect()
+        assert len(rows) == 1000 and 400 < sum(r.total == 0 for r in rows) < 600

@@ -126,6 +126,12 @@ def order_statistic(df: DataFrame, value: str, q: float) -> DataFrame:
     return ordered.offset(rank).limit(1).select(F.lit(rank).cast("long").alias("rank"), "magnitude")
 
 
+def sampled(df: DataFrame, value: str, cap: int, seed: int) -> DataFrame:
+    """``cap`` values, drawn by a hash of the other columns (example and position), so that equal values are drawn each alone."""
+    keys = [c for c in df.columns if c != value] or [value]
+    return df.orderBy(F.xxhash64(*keys, F.lit(seed))).limit(cap).select(value)
+
+
 def thresholds(df: DataFrame, value: str = "total", fdr: float = 0.2, cap: int = 1_000_000, weak: float = 0.8, seed: int = 1234) -> dict[str, float]:
     """high, low and sign (weak) thresholds of smoothed values; only scalars and samples of at most ``cap`` reach the driver."""
     spark: SparkSession = df.sparkSession
@@ -134,7 +140,7 @@ def thresholds(df: DataFrame, value: str = "total", fdr: float = 0.2, cap: int =
     up, down = df.where(F.col(value) >= mu).count(), df.where(F.col(value) <= mu).count()
     null = laplace_draws(mu, rates.rate_up, rates.rate_down, up / (up + down), seed=seed)
     total = df.count()
-    sample = df.select(value) if total <= cap else df.select(value).orderBy(F.xxhash64(value, F.lit(seed))).limit(cap)
+    sample = df.select(value) if total <= cap else sampled(df, value, cap, seed)
     values = np.sort(sample.toArrow()[value].to_numpy())
     pos, neg = values[values >= 0], values[values < 0][::-1]
     high = precision_threshold(pos, null[null >= 0], True, fdr) if len(pos) else math.inf
