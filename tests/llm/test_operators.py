@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trackmotif.llm import avi_mjpeg, bpe_lexicon, components, decontam, minhash_tensor, pii, quality, queries, sstable, warc
+from trackmotif.llm import avi_mjpeg, bpe_lexicon, components, decontam, minhash_tensor, pieces, pii, quality, queries, sstable, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -250,24 +250,31 @@ def test_codec_is_the_library_s(spark, data, documents):
 
 
 def test_merges_and_lexicon_on_odd_texts():
-    tokenizer, vocab, rng = Tokenizer.from_file(TOKENIZER), bpe_lexicon.Vocabulary(TOKENIZER), random.Random(1)
+    tokenizer, vocab, rng = Tokenizer.from_file(TOKENIZER), bpe_lexicon.Vocabulary.parse(TOKENIZER), random.Random(1)
     parts = [*" \n\t.,!-é日１٣\0", "  ", " \n", "a", "b1", "'s", "'re", "\x1c", "\x85", "ՙ", "ᲊ", "\U000105c0", "\U00011de0", "<|endoftext|>", "the", " hello"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(1500)] + ["a" * 5000, "ab" * 3000, " ", "日" * 2000, "<|endoftext|>", ""]
-    words = sorted({w for t in texts for k in bpe_lexicon.keys_of(t) for w in bpe_lexicon.words_of(bpe_lexicon.piece_of(k))})
-    raw = [w.encode() for w in words]
-    assert [vocab.merge_long(w) for w in raw] == vocab.merge(raw)
-    half = raw[::2]
-    lexicon = bpe_lexicon.Lexicon.compile(dict(zip(half, vocab.merge(half), strict=True)))
-    assert (lexicon.ranks(raw) >= 0).tolist() == [k % 2 == 0 for k in range(len(raw))]
+    words = sorted({w.encode() for t in texts for w in bpe_lexicon.words_of(t)})
+    lengths = np.array([len(w) for w in words])
+    raw, starts = np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths
+    counts, ids = vocab.merge(raw, starts, lengths)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [vocab.merge_long(w).tolist() for w in words]
+    lexicon = bpe_lexicon.Lexicon.compile(words[::2], vocab)
+    assert (lexicon.ranks(raw, starts, lengths) >= 0).tolist() == [k % 2 == 0 for k in range(len(words))]
     for used in (None, lexicon):
         encoder = bpe_lexicon.Encoder(vocab, used)
-        got = [[i for v in values for i in v] for values in encoder.coder(lambda x: x).values(texts)]
+        got = [x.tolist() for x in encoder.encode(texts)]
         assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
         assert [encoder.decode(g) for g in got] == texts
+    library = sstable.library_coder(TOKENIZER)
+    assert list(sstable.encode(texts, library)) == [np.array([*g, 0], f"<u{library[2]}").tobytes() for g in got]
+    # Keys that collide: texts that come back otherwise are encoded piece by piece.
+    pieces.mix, kept = (lambda x: x & np.uint64(3)), pieces.mix
+    assert [x.tolist() for x in bpe_lexicon.Encoder(vocab, lexicon).encode(texts)] == got
+    pieces.mix = kept
 
 
 def _brute_log_ppl(train, texts):
-    pad = "￿" * 3
+    pad = "\udbff" * 3
     counts = [Counter(), Counter(), Counter(), Counter()]
     for t in train:
         s = pad + t
@@ -303,8 +310,8 @@ def test_perplexity_is_kneser_ney(spark, documents):
     found = quality.model(spark.createDataFrame([(t,) for t in train], "text string"))
     df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
     expected = _brute_log_ppl(train, texts)
-    for bound in (quality.BROADCAST_ENTRIES, 0):
-        got = [r.log_ppl for r in quality.log_perplexity(df, found, bound).orderBy("k").collect()]
+    for block in (quality.BLOCK_UNITS, 500):
+        got = [r.log_ppl for r in quality.log_perplexity(df, found, block).orderBy("k").collect()]
         assert np.allclose(got, expected, rtol=1e-9)
 
 

@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackmotif.llm import storage
-from trackmotif.llm.bpe_lexicon import PieceCoder, chunks
+from trackmotif.llm.bpe_lexicon import Vocabulary
+from trackmotif.llm.memory import release
+from trackmotif.llm.pieces import Coder, Pieces, chunks
 from trackmotif.session import materialise, scratch_dir, ship_package
 
 BLOCK_BYTES, WHOLE_EVERY, BLOOM_BITS, BLOOM_HASHES = 1 << 17, 16, 10, 7
 MAGIC = b"TMSSTAB1"
 _FOOTER = struct.Struct("<QQQQQQI8s")  # index at, size; filter at, size; entries; ids; bytes an id; magic
-#: Pieces whose ids a worker keeps: about 200 bytes each.
-MEMO_PIECES = 900_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -199,8 +199,9 @@ class Reader:
         return out
 
 
-def _library_coder(path: str) -> tuple[PieceCoder | None, object, int]:
-    """The tokenizers library's ids, by distinct pieces where the file's word pattern allows that (see bpe_lexicon)."""
+def library_coder(path: str) -> tuple[Coder | None, object, int]:
+    """The tokenizers library's ids, by distinct pieces where the file's word pattern allows that (see pieces); the
+    library's tokenizer; and how many bytes an id takes."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import json
 
@@ -210,38 +211,31 @@ def _library_coder(path: str) -> tuple[PieceCoder | None, object, int]:
     tokenizer.no_truncation()
     tokenizer.no_padding()
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    width = 2 if 1 + max([tokenizer.get_vocab_size(), *special.values()]) <= 1 << 16 else 4
+    size = 1 + max([tokenizer.get_vocab_size() - 1, *special.values()])
+    width = 2 if size <= 1 << 16 else 4
     state = json.loads(tokenizer.to_str())
     words = state["pre_tokenizer"] or {}
     plain = words.get("type") == "ByteLevel" and words.get("use_regex") and not words.get("add_prefix_space") and not state["normalizer"]
     if not plain or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in state["added_tokens"]):
         return None, tokenizer, width
+    vocab = Vocabulary.parse(path)
 
-    def ids(pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{width}").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def resolve(p: Pieces, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in tokenizer.encode_batch_fast([p.piece(k).decode() for k in at.tolist()], add_special_tokens=False)]
+        return np.fromiter(map(len, found), np.int64, len(found)), np.array([i for ids in found for i in ids], f"<u{width}")
 
-    return PieceCoder(ids, {s: np.array([i], f"<u{width}").tobytes() for s, i in special.items()}, MEMO_PIECES), tokenizer, width
+    return Coder(resolve, special, vocab.bytes_of, np.uint16 if width == 2 else np.int32), tokenizer, width
 
 
-_coders: dict[str, tuple] = {}
-
-
-def encode(texts: Iterable[str], path: str, end_id: int | None = 0) -> tuple[Iterator[bytes], int]:
-    """Little-endian ids of each text as the tokenizers library gives them, with the end id; bytes an id."""
-    if path not in _coders:
-        _coders.clear()
-        _coders[path] = _library_coder(path)
-    coder, tokenizer, width = _coders[path]
+def encode(texts: Iterable[str], coders: tuple, end_id: int | None = 0) -> Iterator[bytes]:
+    """Little-endian ids of each text as the tokenizers library gives them, with the end id."""
+    coder, tokenizer, width = coders
     end = b"" if end_id is None else np.array([end_id], f"<u{width}").tobytes()
-
-    def run() -> Iterator[bytes]:
-        for part in chunks(texts):
-            if coder is None:
-                yield from (np.array(e.ids, f"<u{width}").tobytes() + end for e in tokenizer.encode_batch_fast(part, add_special_tokens=False))
-            else:
-                yield from (b"".join(values) + end for values in coder.values(part))
-
-    return run(), width
+    for part in chunks(t.encode() for t in texts):
+        if coder is None:
+            yield from (np.array(e.ids, f"<u{width}").tobytes() + end for e in tokenizer.encode_batch_fast([t.decode() for t in part], add_special_tokens=False))
+        else:
+            yield from (ids.astype(f"<u{width}").tobytes() + end for ids, _ in coder.encode(part))
 
 
 MANIFEST = "shard int, path string, first_key binary, last_key binary, n_docs long, n_ids long"
@@ -261,14 +255,17 @@ def write_shards(df: DataFrame, tokenizer: str, folder: str | None = None, id_co
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, writer = TaskContext.get().partitionId(), None
         path = f"{folder}/shard-{part:06d}-{uuid.uuid4().hex}.sst"
+        coders = library_coder(tokenizer)
         with storage.create(path) as out:
             for batch in batches:
-                values, width = encode((t.as_py() or "" for t in batch.column(1)), tokenizer, end_id)
-                writer = writer or Writer(out, width)
+                values = encode((t.as_py() or "" for t in batch.column(1)), coders, end_id)
+                writer = writer or Writer(out, coders[2])
                 for doc, value in zip(batch.column(0), values, strict=True):
                     writer.add(key_of(doc.as_py()), value)
             writer = writer or Writer(out, 4)
             writer.finish()
+        del coders
+        release()
         if writer.entries:
             row = {"shard": [part], "path": [path], "first_key": [writer.first], "last_key": [writer.last], "n_docs": [writer.entries], "n_ids": [writer.ids]}
             yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("first_key", pa.binary()), ("last_key", pa.binary()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))

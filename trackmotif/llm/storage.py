@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import json
 from collections.abc import Iterator
 from typing import BinaryIO
 
+import numpy as np
 from pyarrow import fs
 
 
@@ -28,3 +30,26 @@ def open_file(uri: str) -> Iterator[BinaryIO]:
     system, path = resolve(uri)
     with system.open_input_file(path) as f:
         yield f
+
+
+def pack(parts: dict[str, np.ndarray], out: BinaryIO) -> None:
+    """Arrays as one file that ``mapped`` reads: a line of JSON with names, types and lengths, then the arrays at multiples of 8."""
+    head = json.dumps([(name, x.dtype.str, len(x)) for name, x in parts.items()]).encode()
+    head += b" " * (-(len(head) + 1) % 8) + b"\n"
+    out.write(head)
+    for x in parts.values():
+        data = x.tobytes()
+        out.write(data + b"\0" * (-len(data) % 8))
+
+
+def mapped(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a local file, memory-mapped: their pages are the file's, and a node's processes share them."""
+    data = np.memmap(path, np.uint8, "r")
+    with open(path, "rb") as f:
+        head = f.readline()
+    parts, at = {}, len(head)
+    for name, kind, n in json.loads(head):
+        end = at + n * np.dtype(kind).itemsize
+        parts[name] = data[at:end].view(kind)
+        at = end + -end % 8
+    return parts
