@@ -1,88 +1,80 @@
 """Benchmark decontamination with a generalised suffix automaton of the items' normalised words.
 
 The automaton accepts every run of consecutive words of any item. A document's words are streamed through it while the
-length of the longest run that ends at the current word is kept; words that no item has send it back to its start, so
-only stretches of known words that are long enough are streamed at all. Where the length reaches the window (or a whole
-shorter item ends), those words are hit.
+length of the longest run that ends at the current word is kept; where the length reaches the window (or a whole shorter
+item ends), those words are hit. Only stretches of words whose every neighbouring pair some item may have are streamed.
 
-The automaton is broadcast. Its size is bounded: items are dealt to shards of at most ``SHARD_BYTES`` of text (an item
-is not split), and a larger benchmark takes one pass for each shard.
+Items are dealt to shards of about ``SHARD_BYTES`` of text, long ones in pieces that overlap by a window less one word, and
+a task compiles each shard to flat arrays in a file of the shared folder. The files go to every node once and are
+memory-mapped there, so that a node's workers share them and none holds states of its own. Documents are read once, and go
+through all shards in that pass.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from collections.abc import Callable, Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackmotif.llm import storage
 from trackmotif.llm.memory import release
-from trackmotif.llm.words import lettered
-from trackmotif.session import ship_package
+from trackmotif.llm.words import BASE, forget, hashes, lettered, mix
+from trackmotif.session import materialise, scratch_dir, ship_package
 
-WINDOW, SHARD_BYTES = 10, 1 << 20
+WINDOW, SHARD_BYTES, PIECE_WORDS = 10, 1 << 20, 20_000
 #: A document of which more than this share of words is hit is dropped whole by ``decontaminate``.
 MAX_COVERAGE = 0.8
+#: Bits of the table of pairs of neighbouring words.
+PAIR_BITS = 21
 
 # The words of words.lettered(), in a text.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-class Automaton:
-    """Of items (id, text); ``window`` consecutive words of an item, or all of a shorter one, make a hit."""
+def _pairs(h: np.ndarray) -> np.ndarray:
+    return (mix(h[:-1] * BASE + h[1:]) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
+def _table(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each ends, and all of them joined."""
+    return np.cumsum([len(r) for r in rows], dtype=np.int64), np.frombuffer(b"".join(rows), np.uint8)
+
 
-    def __init__(self, items: Iterable[tuple[str, str]], window: int = WINDOW):
-        self.window = window
-        self.vocabulary: dict[bytes, int] = {}
+class _Builder:
+    """States of the items so far; a state's transitions are a dict until they are laid out as arrays."""
+
+    def __init__(self):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        rows = []
-        for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in lettered(text)]
-            if ids:
-                rows.append((name, ids))
-                last = 0
-                for t in ids:
-                    last = self._extend(last, t)
-        self.shortest = min([window, *(len(ids) for _, ids in rows)])
-        self.windows: dict[int, set[str]] = {}
-        self.whole: dict[int, list[tuple[int, str]]] = {}
-        for name, ids in rows:
-            if len(ids) < window:
-                state = 0
-                for t in ids:
-                    state = self.next[state][t]
-                self.whole.setdefault(state, []).append((len(ids), name))
-            else:
-                for _, state, length in self._stream(ids):
-                    if length >= window:
-                        self.windows.setdefault(self._of_window(state), set()).add(name)
-        # The nearest state on the way of suffix links, itself included, in which short items end; 0 if none.
-        self.near = [0] * len(self.next)
-        if self.whole:
-            for v in sorted(range(1, len(self.next)), key=self.length.__getitem__):
-                self.near[v] = v if v in self.whole else self.near[self.link[v]]
 
-    def _extend(self, last: int, t: int) -> int:
-        def clone(p: int, q: int) -> int:
-            copy = len(self.next)
-            self.next.append(dict(self.next[q]))
-            self.length.append(self.length[p] + 1)
-            self.link.append(self.link[q])
-            self.link[q] = copy
-            while p >= 0 and self.next[p].get(t) == q:
-                self.next[p][t] = copy
-                p = self.link[p]
-            return copy
+    def add(self, ids: list[int]) -> None:
+        last = 0
+        for t in ids:
+            last = self._extend(last, t)
+
+    def _clone(self, p: int, q: int, t: int) -> int:
+        copy = len(self.next)
+        self.next.append(dict(self.next[q]))
+        self.length.append(self.length[p] + 1)
+        self.link.append(self.link[q])
+        self.link[q] = copy
+        while p >= 0 and self.next[p].get(t) == q:
+            self.next[p][t] = copy
+            p = self.link[p]
+        return copy
 
+    def _extend(self, last: int, t: int) -> int:
         q = self.next[last].get(t)
         if q is not None:
-            return q if self.length[q] == self.length[last] + 1 else clone(last, q)
+            return q if self.length[q] == self.length[last] + 1 else self._clone(last, q, t)
         new, p = len(self.next), last
         self.next.append({})
         self.length.append(self.length[last] + 1)
@@ -92,125 +84,226 @@ class Automaton:
             p = self.link[p]
         if p >= 0:
             q = self.next[p][t]
-            target = q if self.length[q] == self.length[p] + 1 else clone(p, q)
+            target = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, t)
             self.link[new] = target
         return new
 
-    def _of_window(self, state: int) -> int:
+
+class Automaton:
+    """Of items; ``window`` consecutive words of an item, or all of a shorter one, make a hit. All of it is flat arrays."""
+
+    def __init__(self, parts: dict[str, np.ndarray]):
+        self.parts = parts
+        self.window, self.shortest = parts["limits"].tolist()
+        view = lambda name: memoryview(np.ascontiguousarray(parts[name]))
+        self.start, self.label, self.target, self.link, self.length, self.near = map(view, ("start", "label", "target", "link", "length", "near"))
+
+    @staticmethod
+    def compile(items: Iterable[tuple[str, str]], window: int = WINDOW) -> Automaton:
+        """From (name, text)."""
+        vocabulary: dict[bytes, int] = {}
+        names: dict[str, int] = {}
+        rows, built = [], _Builder()
+        for name, text in items:
+            ids = [vocabulary.setdefault(w, len(vocabulary)) for w in lettered(text)]
+            if ids:
+                rows.append((names.setdefault(name, len(names)), ids))
+                built.add(ids)
+        # Words are numbered by their hashes' order.
+        words = list(vocabulary)
+        h = hashes(words)
+        order = np.argsort(h, kind="stable")
+        number = np.empty(len(words), np.int64)
+        number[order] = np.arange(len(words))
+        lookup = number.tolist()
+        start, label, target = [0], [], []
+        for edges in built.next:
+            for t, to in sorted((lookup[t], to) for t, to in edges.items()):
+                label.append(t)
+                target.append(to)
+            start.append(len(label))
+        seen = np.zeros(1 << PAIR_BITS, np.uint8)
+        for _, ids in rows:
+            seen[_pairs(h[ids])] = 1
+        whole: dict[int, list[tuple[int, int]]] = {}
+        windows: dict[int, set[int]] = {}
+        plain = np.int32
+        parts = {
+            "limits": np.array([window, min([window, *(len(ids) for _, ids in rows)])], np.int64),
+            "hash": h[order], "start": np.array(start, plain), "label": np.array(label, plain), "target": np.array(target, plain),
+            "link": np.array(built.link, plain), "length": np.array(built.length, plain), "near": np.zeros(len(built.next), plain), "pairs": seen,
+        }
+        parts["word_ends"], parts["word_bytes"] = _table([words[k] for k in order])
+        parts["name_ends"], parts["name_bytes"] = _table([n.encode() for n in names])
+        found = Automaton(parts)
+        for name, ids in rows:
+            ids = [lookup[t] for t in ids]
+            if len(ids) < window:
+                *_, (_, state, _) = found.stream(ids)
+                whole.setdefault(state, []).append((len(ids), name))
+            else:
+                for _, state, length in found.stream(ids):
+                    if length >= window:
+                        windows.setdefault(found.of_window(state), set()).add(name)
+        # The nearest state on the way of suffix links, itself included, in which short items end; 0 if none.
+        near = [0] * len(built.next)
+        if whole:
+            for v in sorted(range(1, len(near)), key=built.length.__getitem__):
+                near[v] = v if v in whole else near[built.link[v]]
+        parts["near"] = np.array(near, plain)
+        for kind, rows_of in (("whole", {k: sorted(v) for k, v in whole.items()}), ("window", {k: [(0, n) for n in sorted(v)] for k, v in windows.items()})):
+            states = sorted(rows_of)
+            parts[f"{kind}_state"] = np.array(states, plain)
+            parts[f"{kind}_start"] = np.cumsum([0, *(len(rows_of[s]) for s in states)], dtype=np.int64)
+            parts[f"{kind}_size"] = np.array([n for s in states for n, _ in rows_of[s]], plain)
+            parts[f"{kind}_name"] = np.array([k for s in states for _, k in rows_of[s]], plain)
+        return Automaton(parts)
+
+    def of_window(self, state: int) -> int:
         while self.length[self.link[state]] >= self.window:
             state = self.link[state]
         return state
 
-    def _stream(self, ids: list[int]) -> Iterator[tuple[int, int, int]]:
+    def _rows(self, kind: str, state: int) -> Iterator[tuple[int, int]]:
+        k = int(np.searchsorted(self.parts[f"{kind}_state"], state))
+        a, b = self.parts[f"{kind}_start"][k : k + 2].tolist()
+        return zip(self.parts[f"{kind}_size"][a:b].tolist(), self.parts[f"{kind}_name"][a:b].tolist(), strict=True)
+
+    def name(self, k: int) -> str:
+        ends = self.parts["name_ends"]
+        return self.parts["name_bytes"][int(ends[k - 1]) if k else 0 : int(ends[k])].tobytes().decode()
+
+    def ids(self, words: list[bytes], h: np.ndarray) -> list[int]:
+        """Number of each word, -1 for those that no item has: found by hash, then compared."""
+        own, ends, text = self.parts["hash"], self.parts["word_ends"], self.parts["word_bytes"]
+        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+        out = np.where(own[at] == h, at, -1).tolist()
+        for k, i in enumerate(out):
+            if i >= 0 and text[int(ends[i - 1]) if i else 0 : int(ends[i])].tobytes() != words[k]:
+                out[k] = -1
+        return out
+
+    def stream(self, ids: Iterable[int]) -> Iterator[tuple[int, int, int]]:
         """Position, state, and length of the longest run of an item that ends there."""
+        start, label, target, link, sizes = self.start, self.label, self.target, self.link, self.length
         state = length = 0
         for k, t in enumerate(ids):
-            while t not in self.next[state]:
+            while True:
+                high = start[state + 1]
+                j = bisect_left(label, t, start[state], high)
+                if j < high and label[j] == t:
+                    state, length = target[j], length + 1
+                    break
                 if state == 0:
-                    length = -1
+                    length = 0
                     break
-                state = self.link[state]
-                length = self.length[state]
-            else:
-                state = self.next[state][t]
-            length += 1
+                state = link[state]
+                length = sizes[state]
             yield k, state, length
 
-    def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """[first, last + 1) word numbers of the hit spans, ascending and apart, and the items whose windows occur."""
-        known = np.fromiter(map(self.vocabulary.get, words, [-1] * len(words)), np.int64, len(words))
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], known >= 0, [False]])))
+    def _stretches(self, words: list[bytes], h: np.ndarray) -> list[tuple[int, int]]:
+        """[first, last + 1) word numbers of all stretches that can hold a hit."""
+        if self.shortest < 2:
+            ok, more = np.array(self.ids(words, h)) >= 0, 0
+        else:
+            ok, more = self.parts["pairs"][_pairs(h)] > 0, 1
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], ok, [False]]))).reshape(-1, 2)
+        return [(a, b + more) for a, b in edges.tolist() if b + more - a >= self.shortest]
+
+    def match(self, words: list[bytes], h: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
+        """[first, last + 1) word numbers of hit spans, ascending and apart, and the items whose windows occur."""
         spans: list[list[int]] = []
-        items: set[str] = set()
-        for a, b in edges.reshape(-1, 2).tolist():
-            if b - a < self.shortest:
-                continue
-            for k, state, length in self._stream(known[a:b].tolist()):
+        states, items = set(), set()
+        if len(words) < self.shortest or not len(self.parts["hash"]):
+            return [], set()
+        for a, b in self._stretches(words, h):
+            for k, state, length in self.stream(self.ids(words[a:b], h[a:b])):
                 reach = 0
                 if length >= self.window:
                     reach = self.window
-                    items |= self.windows[self._of_window(state)]
+                    states.add(self.of_window(state))
                 v = self.near[state]
                 while v:
-                    for size, name in self.whole[v]:
+                    for size, name in self._rows("whole", v):
                         if size <= length:
                             reach = max(reach, size)
                             items.add(name)
                     v = self.near[self.link[v]]
                 if reach:
-                    start, end = a + k + 1 - reach, a + k + 1
-                    while spans and spans[-1][1] >= start:
-                        start = min(start, spans.pop()[0])
-                    spans.append([start, end])
-        return [(x, y) for x, y in spans], items
-
-
-def _shards(items: DataFrame, id_column: str, text_column: str, shard_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    rows = items.select(F.col(id_column).cast("string").alias("name"), F.col(text_column).alias("text")).where("name is not null and text is not null")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, math.ceil(total / shard_bytes))
-    for k in range(count):
-        part = rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(count)) == k)
-        yield [(r.name, r.text) for r in part.collect()]
-
-
-RESULT = "struct<n_words:bigint,spans:array<int>,items:array<string>,clean:string>"
-
-
-def _search(automaton: Broadcast) -> Callable:
-    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("clean", pa.string())])
-
-    @F.arrow_udf(RESULT)
-    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            out = []
-            for value in texts:
-                text = value.as_py()
-                words = lettered(text)
-                spans, found = automaton.value.match(words)
-                out.append({"n_words": len(words), "spans": [x for s in spans for x in s], "items": sorted(found), "clean": without_spans(text, spans) if spans else None})
-            yield pa.array(out, kind)
-        release()
-
-    return search
-
-
-def _cut(text: F.Column, spans: F.Column) -> F.Column:
-    """The text without spans of several shards; null if there are none."""
-
-    @F.arrow_udf("string")
-    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, found in batches:
-            yield pa.array([without_spans(t, merged(s)) if s else None for t, s in zip(texts.to_pylist(), found.to_pylist(), strict=True)], pa.string())
-
-    return cut(text, spans)
+                    first, last = a + k + 1 - reach, a + k + 1
+                    while spans and spans[-1][1] >= first:
+                        first = min(first, spans.pop()[0])
+                    spans.append([first, last])
+        for s in states:
+            items.update(name for _, name in self._rows("window", s))
+        return [(x, y) for x, y in spans], {self.name(k) for k in items}
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Items as pieces of at most ``PIECE_WORDS`` words, which overlap so that every window is in one of them."""
+    for batch in batches:
+        names, texts = [], []
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = lettered(text)
+            for k in range(0, max(1, len(words) - window + 1), PIECE_WORDS):
+                names.append(name)
+                texts.append(b" ".join(words[k : k + PIECE_WORDS + window - 1]).decode())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["name", "text"])
+
+
+def compile_shards(items: DataFrame, window: int = WINDOW, item_id: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES) -> list[str]:
+    """Names, on every node, of the automata of all items: a task compiles a shard and writes it to the shared folder.
+
+    Items with a null id or text are left out. Only the files' names and sizes reach the driver.
+    """
+    spark = items.sparkSession
+    ship_package(spark)
+    rows = items.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).alias("text")).where("name is not null and text is not null")
+    pieces = materialise(rows.mapInArrow(lambda b: _pieces(b, window), "name string, text string").distinct(), "items")
+    count = max(1, math.ceil((pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / shard_bytes))
+    folder = scratch_dir(spark, "automata")
+
+    def build(part: pa.Table) -> pa.Table:
+        k = part["shard"][0].as_py()
+        found = Automaton.compile(sorted(zip(part["name"].to_pylist(), part["text"].to_pylist(), strict=True)), window)
+        path = f"{folder}/{hashlib.md5(folder.encode()).hexdigest()}-{k}.sam"
+        with storage.create(path) as out:
+            storage.pack(found.parts, out)
+        states = len(found.parts["link"])
+        del found
+        forget()
+        return pa.table({"path": [path], "states": pa.array([states], pa.int64())})
+
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("name", "text"), F.lit(count)))
+    paths = sorted(r.path for r in dealt.groupBy("shard").applyInArrow(build, "path string, states long").collect())
+    for path in paths:
+        spark.sparkContext.addFile(path)
+    return [p.rpartition("/")[2] for p in paths]
+
+
+class Search:
+    """All shards of a benchmark, on a node."""
+
+    def __init__(self, names: list[str]):
+        self.automata = [Automaton(storage.mapped(SparkFiles.get(n))) for n in names]
+
+    def __call__(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[str]]:
+        """Number of words, hit spans as word numbers, and names of the items found, sorted."""
+        words = lettered(text)
+        h = hashes(words)
+        spans: list[tuple[int, int]] = []
+        items: set[str] = set()
+        for a in self.automata:
+            more, found = a.match(words, h)
+            spans += more
+            items |= found
+        return len(words), merged(spans), sorted(items)
 
 
-def matches(df: DataFrame, items: DataFrame, output: str, window: int = WINDOW, text_column: str = "text", item_id: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``df`` with one more column, a struct: n_words, the hit spans' first and past-the-end word
-    numbers in turn, items, and the text without the spans (null if there are none)."""
-    spark = df.sparkSession
-    ship_package(spark)
-    columns = []
-    for k, rows in enumerate(_shards(items, item_id, item_text, shard_bytes)):
-        automaton = spark.sparkContext.broadcast(Automaton(rows, window))
-        columns.append(f"{output}{k}")
-        df = df.withColumn(columns[-1], _search(automaton)(F.col(text_column)))
-    if len(columns) == 1:
-        return df.withColumnRenamed(columns[0], output)
-    joined = F.struct(
-        F.col(f"`{columns[0]}`.n_words").alias("n_words"),
-        F.flatten(F.array(*(F.col(f"`{c}`.spans") for c in columns))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(f"`{c}`.items") for c in columns))))).alias("items"),
-    )
-    joined = joined.withField("clean", _cut(F.col(text_column), joined["spans"]))
-    return df.withColumn(output, joined).drop(*columns)
-
-
-def merged(spans: list[int]) -> list[tuple[int, int]]:
-    """Spans in turn, of any order, as ascending pairs that don't touch."""
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of any order as ascending ones that don't touch."""
     out: list[list[int]] = []
-    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -218,12 +311,11 @@ def merged(spans: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _hit_words(spans: F.Column) -> F.Column:
-    """Words in the spans, which may be of several shards: each adds what lies past the furthest end so far."""
-    pairs = F.transform(F.sequence(F.lit(0), F.shiftright(F.size(spans), 1) - 1), lambda k: F.struct(F.get(spans, 2 * k).alias("a"), F.get(spans, 2 * k + 1).alias("b")))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-    step = lambda s, x: F.struct((s["n"] + F.greatest(x["b"] - F.greatest(x["a"], s["end"]), F.lit(0))).alias("n"), F.greatest(s["end"], x["b"]).alias("end"))
-    return F.when(F.size(spans) == 0, F.lit(0)).otherwise(F.aggregate(F.array_sort(pairs), start, step)["n"]).cast("long")
+def covered(spans: list[tuple[int, int]]) -> int:
+    return sum(b - a for a, b in spans)
+
+
+DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def contamination(df: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -232,16 +324,22 @@ def contamination(df: DataFrame, items: DataFrame, window: int = WINDOW, shard_b
     Null text has no words; items with a null id or text are left out, and rows with one item id are one item; an empty
     benchmark hits nothing. Other columns are left out; repeated rows give repeated rows.
     """
-    found = matches(df.select("doc_id", "text"), items, "found", window, shard_bytes=shard_bytes)
-    hit = _hit_words(F.col("found.spans"))
-    return found.select(
-        "doc_id",
-        F.col("found.n_words").alias("n_words"),
-        hit.alias("n_hit"),
-        F.size("found.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
-        (F.size("found.spans") > 0).alias("contaminated"),
-    )
+    names = compile_shards(items, window, shard_bytes=shard_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Search(names)
+        for batch in batches:
+            rows = [search(t.as_py()) for t in batch.column(1)]
+            hit = [covered(s) for _, s, _ in rows]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column(0).cast(pa.int64()), "n_words": pa.array([n for n, _, _ in rows], pa.int64()), "n_hit": pa.array(hit, pa.int64()),
+                "n_items": pa.array([len(x) for _, _, x in rows], pa.int64()), "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for _, _, x in rows], pa.string()),
+                "contaminated": pa.array([n > 0 for n in hit], pa.bool_()),
+            })
+        del search
+        forget()
+
+    return df.select("doc_id", "text").mapInArrow(run, DIGEST)
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -257,12 +355,24 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def decontaminate(df: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, text_column: str = "text") -> DataFrame:
     """``df`` without the hit spans of its texts, and without rows of which more than ``max_coverage`` of words is hit.
 
-    All other columns and all rows without a hit stay as they are, null texts too.
+    All other columns and all rows without a hit stay as they are, null texts too. What a cut brings together is not
+    searched again.
     """
-    name = "_found"
-    while name in df.columns:
-        name = "_" + name
-
-    found = matches(df, items, name, window, text_column)
-    kept = found.where(_hit_words(F.col(f"`{name}`.spans")) <= max_coverage * F.col(f"`{name}`.n_words"))
-    return kept.withColumn(text_column, F.coalesce(F.col(f"`{name}`.clean"), F.col(text_column))).drop(name)
+    names = compile_shards(items, window)
+    at = df.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Search(names)
+        for batch in batches:
+            texts, kept = [], []
+            for value in batch.column(at):
+                text = value.as_py()
+                n, spans, _ = search(text)
+                texts.append(without_spans(text, spans) if spans else text)
+                kept.append(covered(spans) <= max_coverage * n)
+            out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            yield out if all(kept) else out.filter(pa.array(kept))
+        del search
+        forget()
+
+    return df.mapInArrow(run, df.schema)
