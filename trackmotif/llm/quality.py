@@ -2,12 +2,12 @@
 
 The model is over characters (UTF-16 units), of order 4, so that a gram is exactly one 64-bit key: the unit predicted in
 its low 16 bits, the ones before above. Counts are summed up by task, then sharded by key; each order's probabilities come
-from joins of the count table with those of its contexts and of the next lower order. A document's perplexity is that of
-its whole text, and it is rejected where that is above a fence of its language's quantiles over the trusted documents.
+from joins of the count table with those of its contexts and of the next lower order.
 
-Scoring looks grams up in a hash table that is broadcast while the model's measured size allows it. A larger model is
-joined by shards instead: documents are dealt to blocks, a block's distinct grams are joined with the model, and come back
-to the block. Both give the same numbers.
+Scoring is a join as well. Documents are dealt to blocks; a block's distinct grams are joined, sharded by key, with each
+order's probabilities and backoffs, and come back to the block with one log-probability each, where every text's units are
+summed up. A document's perplexity is that of its whole text, and it is rejected where that is above a fence of its
+language's quantiles over the trusted documents.
 """
 
 from __future__ import annotations
@@ -16,20 +16,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from trackmotif.llm.memory import release
+from trackmotif.operators.ranking import quantiles
 from trackmotif.session import materialise, ship_package
 
-ORDER, PAD = 4, 0xFFFF
+#: Order, and what stands before a text: a high surrogate that nothing completes, which no text has in such a place.
+ORDER, PAD = 4, 0xDBFF
 #: A document is rejected where its log-perplexity is above q75 + FENCE * (q75 - q25) of its language; languages of fewer
-#: trusted documents use the quantiles of all. Accuracy of the quantile sketch.
-FENCE, LEAST_TRUSTED, ACCURACY = 4.0, 30, 10_000
-#: Entries of a model that is broadcast at most (12 bytes each, four slots an entry at most); trusted ids, as well.
-BROADCAST_ENTRIES, BROADCAST_IDS = 2_000_000, 4_000_000
-CHUNK_UNITS, BLOCK_UNITS = 1 << 19, 16_000_000
+#: trusted documents use the quantiles of all.
+FENCE, LEAST_TRUSTED = 4.0, 30
+#: Units that a task looks at together, and that a block of documents has on average.
+CHUNK_UNITS, BLOCK_UNITS = 1 << 18, 40_000_000
+#: Trusted identifiers that are broadcast at most, 8 bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,6 +51,8 @@ def grams(u: np.ndarray) -> np.ndarray:
 def _count(df: DataFrame) -> DataFrame:
     """gram, n: counts of order 4 over all texts."""
 
+    ship_package(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         held: list[np.ndarray] = []
@@ -125,196 +131,159 @@ def model(trusted: DataFrame) -> DataFrame:
     return materialise(found.select("order", "gram", F.log("p").alias("p"), F.log("backoff").alias("backoff")), "model")
 
 
-class Table:
-    """Log-probabilities and log-backoffs by order and key, in one open-addressed hash table an order."""
-
-    def __init__(self, order: np.ndarray, gram: np.ndarray, p: np.ndarray, backoff: np.ndarray):
-        """p and backoff are NaN where there is none."""
-        self.levels = []
-        for k in range(ORDER + 1):
-            at = order == k
-            self.levels.append(self._build(gram[at].astype(np.int64).view(np.uint64), p[at], backoff[at]))
-        at = (order == 0) & ~np.isnan(backoff)
-        n1 = int(((order == 1) & ~np.isnan(p)).sum())
-        self.unknown = float(backoff[at][0]) + float(np.log(1.0 / (n1 + 1))) if at.any() else 0.0
-
-    @staticmethod
-    def _build(keys: np.ndarray, p: np.ndarray, backoff: np.ndarray) -> tuple:
-        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
-        slots = np.full(1 << bits, -1, np.int64)
-        at = ((keys * _MULTIPLIER) >> np.uint64(64 - bits)).astype(np.int64)
-        todo = np.arange(len(keys))
+
+class Lookup:
+    """Positions of 64-bit keys in an open-addressed table."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.keys = keys
+        at, todo = self._home(keys), np.arange(len(keys))
         while len(todo):  # each free slot takes the first that comes; the others move on
-            free = slots[at[todo]] < 0
+            free = self.slots[at[todo]] < 0
             first, where = np.unique(at[todo[free]], return_index=True)
             placed = todo[free][where]
-            slots[first] = placed
+            self.slots[first] = placed
             rest = np.ones(len(keys), bool)
             rest[placed] = False
             todo = todo[rest[todo]]
-            at[todo] = (at[todo] + 1) & ((1 << bits) - 1)
-        kept = np.where(slots >= 0, slots, 0)
-        none = np.uint64(0)
-        return bits, slots >= 0, keys[kept] if len(keys) else np.full(1 << bits, none), np.where(slots >= 0, p[kept], np.nan) if len(keys) else None, np.where(slots >= 0, backoff[kept], np.nan) if len(keys) else None
-
-    def _find(self, order: int, keys: np.ndarray) -> np.ndarray:
-        """Slot of each key, -1 if there is none."""
-        bits, used, table, _, _ = self.levels[order]
-        at = ((keys * _MULTIPLIER) >> np.uint64(64 - bits)).astype(np.int64)
-        out = np.where(used[at] & (table[at] == keys), at, -1)
-        todo = np.flatnonzero((out < 0) & used[at])
-        while len(todo):
-            at[todo] = (at[todo] + 1) & ((1 << bits) - 1)
-            here = at[todo]
-            hit = used[here] & (table[here] == keys[todo])
-            out[todo[hit]] = here[hit]
-            todo = todo[~hit & used[here]]
-        return out
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _MULTIPLIER) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def log_p(self, keys: np.ndarray) -> np.ndarray:
-        """Of each order-4 key."""
-        out = np.zeros(len(keys))
-        todo = np.arange(len(keys))
-        for order in range(ORDER, 0, -1):
-            k = keys[todo] if order == ORDER else keys[todo] & np.uint64((1 << 16 * order) - 1)
-            if self.levels[order][3] is not None:
-                at = self._find(order, k)
-                p = np.where(at >= 0, self.levels[order][3][at], np.nan)
-            else:
-                p = np.full(len(k), np.nan)
-            seen = ~np.isnan(p)
-            out[todo[seen]] += p[seen]
-            todo, k = todo[~seen], k[~seen]
-            if not len(todo):
-                break
-            if order > 1 and self.levels[order - 1][4] is not None:
-                at = self._find(order - 1, k >> np.uint64(16))
-                b = np.where(at >= 0, self.levels[order - 1][4][at], np.nan)
-                out[todo] += np.where(np.isnan(b), 0.0, b)
-        out[todo] += self.unknown
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Of keys that are all there."""
+        at = self._home(keys)
+        out = self.slots[at]
+        todo = np.flatnonzero(self.keys[out] != keys)
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            out[todo] = self.slots[at[todo]]
+            if (out[todo] < 0).any():
+                raise KeyError("a gram without a probability")
+            todo = todo[self.keys[out[todo]] != keys[todo]]
         return out
 
 
-def _logs(table: Table, texts: Iterator[str | None]) -> Iterator[tuple[int, float]]:
-    """Number of units and sum of log-probabilities of each text; texts go through the table many at a time."""
+def _chunks(texts: Iterator[str | None]) -> Iterator[list[np.ndarray]]:
+    """Grams of texts, some ``CHUNK_UNITS`` at a time; a longer text is a chunk of its own."""
     held: list[np.ndarray] = []
     size = 0
-
-    def settle() -> Iterator[tuple[int, float]]:
-        if held:
-            p = table.log_p(np.concatenate(held))
-            ends = np.cumsum([len(h) for h in held])
-            sums = np.concatenate([[0.0], np.cumsum(p)])[ends]
-            starts = np.concatenate([[0.0], sums[:-1]])
-            for h, a, b in zip(held, starts, sums, strict=True):
-                yield len(h), float(b - a)
-
     for text in texts:
         held.append(grams(units(text)))
         size += len(held[-1])
         if size > CHUNK_UNITS:
-            yield from settle()
+            yield held
             held, size = [], 0
-    yield from settle()
-
+    if held:
+        yield held
 
-def _table_of(rows: pa.Table) -> Table:
-    as_floats = lambda c: np.array(c.to_numpy(zero_copy_only=False), np.float64)
-    return Table(rows["order"].to_numpy().astype(np.int64), rows["gram"].to_numpy(), as_floats(rows["p"]), as_floats(rows["backoff"]))
 
+def _wanted(part: pa.Table) -> pa.Table:
+    """The distinct grams of a block."""
+    found = pa.array([], pa.int64())
+    for held in _chunks(x.as_py() for x in part["text"]):
+        found = pc.unique(pa.concat_arrays([found, pc.unique(pa.array(np.concatenate(held).view(np.int64)))]))
+    block = part["_block"][0].as_py()
+    del part
+    release()
+    return pa.table({"_block": pa.array(np.full(len(found), block, np.int64)), "gram": found})
 
-_tables: dict[int, Table] = {}
 
+def _log_p(grams_: DataFrame, found: DataFrame) -> DataFrame:
+    """gram, s: the log-probability of each distinct gram. From the order 1 up, a gram has its own probability where the
+    model has it, else that of its end, times the backoff of its context where the model has that."""
+    n1 = found.where("order = 1 and p is not null").count()
+    empty = found.where("order = 0 and backoff is not null").select("backoff").first()
+    keys_of = {ORDER: grams_}
+    for order in range(ORDER - 1, 0, -1):
+        keys_of[order] = keys_of[order + 1].select(_low(order).alias("gram")).distinct()
+    below: DataFrame | None = None
+    for order, keys in sorted(keys_of.items()):
+        own = found.where(F.col("order") == order).select("gram", "p")
+        rows = keys.join(own, "gram", "left")
+        if below is None:
+            unknown = empty.backoff - float(np.log(n1 + 1)) if empty else 0.0
+            rows = rows.select("gram", F.coalesce("p", F.lit(unknown)).alias("s"))
+        else:
+            back = found.where(F.col("order") == order - 1).select(F.col("gram").alias("context"), "backoff")
+            rows = rows.withColumn("context", F.shiftrightunsigned("gram", 16)).join(back, "context", "left")
+            rows = rows.withColumn("end", _low(order - 1)).join(below.select(F.col("gram").alias("end"), F.col("s").alias("s_end")), "end")
+            rows = rows.select("gram", F.coalesce("p", F.coalesce("backoff", F.lit(0.0)) + F.col("s_end")).alias("s"))
+        below = rows
+    return below
 
-def _broadcast_table(rows: Broadcast, key: int) -> Table:
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = Table(*rows.value)
-    return _tables[key]
 
+def log_perplexity(df: DataFrame, found: DataFrame, block_units: int = BLOCK_UNITS, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``df`` (all of them unless told), which has a column text, and n_units, log_ppl (mean of -log p;
+    null for texts without characters).
 
-def log_perplexity(df: DataFrame, found: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """``df`` (with a column text) and n_units, log_ppl (mean of -log p; null for texts without characters)."""
+    Rows are dealt to blocks by a hash of their plain columns; a task holds a block's texts, and the log-probabilities of
+    its distinct grams. A text longer than that makes its block longer. Rows come back in any order. Both uses of the
+    dealt rows are in one plan, which shuffles them once.
+    """
     spark = df.sparkSession
-    for c in ("n_units", "log_ppl"):
+    ship_package(spark)
+    for c in ("n_units", "log_ppl", "_block"):
         if c in df.columns:
             raise ValueError(f"a column is named {c}")
-    entries = found.count()
-    if entries <= broadcast_entries:
-        t = found.toArrow()
-        as_floats = lambda c: np.array(t[c].to_numpy(zero_copy_only=False), np.float64)
-        rows = spark.sparkContext.broadcast((t["order"].to_numpy().astype(np.int64), t["gram"].to_numpy(), as_floats("p"), as_floats("backoff")))
-        number = rows._id if hasattr(rows, "_id") else id(rows)
-
-        @F.arrow_udf("struct<n:bigint,s:double>")
-        def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            table = _broadcast_table(rows, number)
-            for texts in batches:
-                got = list(_logs(table, (x.as_py() for x in texts)))
-                yield pa.StructArray.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([s for _, s in got], pa.float64())], ["n", "s"])
-            table = None
-            release(_tables)
-
-        name = "_scored"
-        while name in df.columns:
-            name = "_" + name
-        out = df.withColumn(name, scored(F.col("text")))
-        return out.select(*df.columns, F.col(f"{name}.n").alias("n_units"), F.when(F.col(f"{name}.n") > 0, -F.col(f"{name}.s") / F.col(f"{name}.n")).alias("log_ppl"))
-    return _log_perplexity_by_shards(df, found)
-
-
-def _log_perplexity_by_shards(df: DataFrame, found: DataFrame) -> DataFrame:
-    size = df.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(df.sparkSession.sparkContext.defaultParallelism, size // BLOCK_UNITS + 1)
-    dealt = materialise(df.withColumn("_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))), "blocks")
-
-    def wanted(part: pa.Table) -> pa.Table:
-        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(grams(units(x.as_py()))) for x in part["text"])]))
-        orders, all_keys = [np.zeros(1, np.int64)], [np.zeros(1, np.uint64)]
-        for order in range(ORDER, 0, -1):
-            ends = np.unique(keys & np.uint64((1 << 16 * order) - 1)) if order < ORDER else keys
-            heads = np.unique(ends >> np.uint64(16)) if order > 1 else ends[:0]
-            for o, k in ((order, ends), (order - 1, heads)):
-                orders.append(np.full(len(k), o))
-                all_keys.append(k)
-        pairs = pa.table({"_block": pa.array(np.full(sum(map(len, orders)), part["_block"][0].as_py(), np.int64)), "order": np.concatenate(orders).astype(np.int32), "gram": np.concatenate(all_keys).view(np.int64)})
-        return pairs.group_by(["_block", "order", "gram"]).aggregate([])
-
-    needed = dealt.groupBy("_block").applyInArrow(wanted, "_block long, order int, gram long")
-    joined = needed.join(found, ["order", "gram"])
-    n1 = found.where("order = 1 and p is not null").count()
-    schema = dealt.drop("_block").schema.simpleString()[7:-1]
+    columns = columns or df.columns
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(spark.sparkContext.defaultParallelism, -(-size // block_units))
+    plain = [f.name for f in df.schema if isinstance(f.dataType, AtomicType)]
+    dealt = df.withColumn("_block", F.pmod(F.xxhash64(*plain), F.lit(blocks)))
+    needed = dealt.groupBy("_block").applyInArrow(_wanted, "_block long, gram long")
+    scored = needed.join(_log_p(needed.select("gram").distinct(), found), "gram")
+    schema = ",".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema)
 
     def score(docs: pa.Table, rows: pa.Table) -> pa.Table:
-        table = _table_of(rows)
-        at = [i for i, o in enumerate(rows["order"].to_pylist()) if o == 0]
-        table.unknown = float(rows["backoff"][at[0]].as_py()) + float(np.log(1.0 / (n1 + 1))) if at else 0.0
-        got = list(_logs(table, (x.as_py() for x in docs["text"])))
-        docs = docs.drop_columns(["_block"])
-        return docs.append_column("n_units", pa.array([n for n, _ in got], pa.int64())).append_column("log_ppl", pa.array([-s / n if n else None for n, s in got], pa.float64()))
+        table = Lookup(rows["gram"].to_numpy().view(np.uint64))
+        logs = rows["s"].to_numpy()
+        counts, sums = [], []
+        for held in _chunks(x.as_py() for x in docs["text"]):
+            p = logs[table.find(np.concatenate(held))]
+            ends = np.cumsum([len(h) for h in held])
+            total = np.concatenate([[0.0], np.cumsum(p)])
+            counts += [len(h) for h in held]
+            sums += (total[ends] - total[np.concatenate([[0], ends[:-1]])]).tolist()
+        mean = [-s / n if n else None for n, s in zip(counts, sums, strict=True)]
+        out = docs.select(columns).append_column("n_units", pa.array(counts, pa.int64())).append_column("log_ppl", pa.array(mean, pa.float64()))
+        del table, logs, rows
+        release()
+        return out
+
+    return dealt.groupBy("_block").cogroup(scored.groupBy("_block")).applyInArrow(score, f"{schema},n_units bigint,log_ppl double")
 
-    return dealt.groupBy("_block").cogroup(joined.groupBy("_block")).applyInArrow(score, f"{schema},n_units:bigint,log_ppl:double")
 
+def fences(known: DataFrame) -> tuple[dict, float | None]:
+    """The fence of each language of ``known`` (lang, log_ppl) with trusted documents enough, and that of all."""
+    fence = lambda q: q[1] + FENCE * (q[1] - q[0])
+    by_lang = {k: fence(q) for k, (n, q) in quantiles(known, "log_ppl", [0.25, 0.75], "lang").items() if n >= LEAST_TRUSTED}
+    overall = quantiles(known, "log_ppl", [0.25, 0.75])
+    return by_lang, fence(overall[None][1]) if None in overall else None
 
-def classify(docs: DataFrame, labels: DataFrame, trusted_label: str = "quality", broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """``docs`` and n_units, log_ppl, fence (of its language) and accepted.
 
-    The model is trained on all documents whose label is 1. Texts without characters have no perplexity and are not
-    accepted; without any trusted text all others are. A null language is a language. Rows and all other columns stay as
-    they are; docs must not have columns of the new names.
+def classify(docs: DataFrame, labels: DataFrame, trusted_label: str = "quality", columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all of them unless told) and n_units, log_ppl, fence (of its language) and accepted.
+
+    The model is trained on all documents whose label is 1; of several labels of a document, one such is enough. Texts
+    without characters have no perplexity and are not accepted; without any trusted text all others are. A null language
+    is a language. Rows and all other columns stay as they are; docs must not have columns of the new names.
     """
-    ship_package(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_package(spark)
+    columns = columns or docs.columns
     ids = labels.where(F.col(trusted_label) == 1).select(F.col("doc_id").alias("_trusted")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    own = F.col("doc_id") == F.col("_trusted")
-    trusted = docs.join(F.broadcast(ids) if few else ids, own, "left_semi")
-    scored = materialise(log_perplexity(docs, model(trusted.where("text is not null and text <> ''")), broadcast_entries), "scored")
-    known = scored.join(F.broadcast(ids) if few else ids, own, "left_semi").where("log_ppl is not null").select("lang", "log_ppl")
-    quartiles = F.percentile_approx("log_ppl", [0.25, 0.75], ACCURACY)
-    fence = lambda q: q[1] + FENCE * (q[1] - q[0])
-    by_lang = known.groupBy("lang").agg(F.count("*").alias("n"), quartiles.alias("q")).where(F.col("n") >= LEAST_TRUSTED)
-    by_lang = by_lang.select(F.col("lang").alias("_lang"), fence(F.col("q")).alias("_fence"))
-    overall = known.agg(quartiles.alias("q")).select(fence(F.col("q")).alias("f")).first()[0]
-    out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    out = out.withColumn("fence", F.coalesce(F.col("_fence"), F.lit(overall).cast("double"))).drop("_lang", "_fence")
+    ids = ids.withColumn("_known", F.lit(True))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    marked = docs.join(ids, F.col("doc_id") == F.col("_trusted"), "left").drop("_trusted")
+    found = model(marked.where("_known and text is not null and text <> ''"))
+    kept = [c for c in dict.fromkeys([*columns, "lang", "_known"]) if c != "text"]
+    scored = materialise(log_perplexity(marked.select(*kept, "text"), found, columns=list(dict.fromkeys([*columns, "lang", "_known"]))), "scored")
+    by_lang, overall = fences(scored.where("_known and log_ppl is not null").select("lang", "log_ppl"))
+    rows = spark.createDataFrame([(k, v) for k, v in by_lang.items()], "_lang string, _fence double")
+    out = scored.join(F.broadcast(rows), F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    out = out.select(*columns, "n_units", "log_ppl", F.coalesce(F.col("_fence"), F.lit(overall).cast("double")).alias("fence"))
     return out.withColumn("accepted", F.coalesce(F.col("log_ppl") <= F.coalesce("fence", F.lit(float("inf"))), F.lit(False)))

@@ -15,7 +15,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id", "lang"])
     return found.select("doc_id", "lang", "n_units", F.exp("log_ppl").alias("perplexity"), F.exp("fence").alias("threshold"), "accepted")
 
 
