@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from trackmotif.llm import storage
 from trackmotif.llm.memory import release
-from trackmotif.llm.words import BASE, forget, hashes, lettered, mix
+from trackmotif.llm.words import BASE, Words, lettered, mix
 from trackmotif.session import materialise, scratch_dir, ship_package
 
 WINDOW, SHARD_BYTES, PIECE_WORDS = 10, 1 << 20, 20_000
@@ -105,13 +105,13 @@ class Automaton:
         names: dict[str, int] = {}
         rows, built = [], _Builder()
         for name, text in items:
-            ids = [vocabulary.setdefault(w, len(vocabulary)) for w in lettered(text)]
+            ids = [vocabulary.setdefault(w, len(vocabulary)) for w in lettered(text).list()]
             if ids:
                 rows.append((names.setdefault(name, len(names)), ids))
                 built.add(ids)
         # Words are numbered by their hashes' order.
         words = list(vocabulary)
-        h = hashes(words)
+        h = lettered(b" ".join(words).decode()).hashes
         order = np.argsort(h, kind="stable")
         number = np.empty(len(words), np.int64)
         number[order] = np.arange(len(words))
@@ -173,13 +173,14 @@ class Automaton:
         ends = self.parts["name_ends"]
         return self.parts["name_bytes"][int(ends[k - 1]) if k else 0 : int(ends[k])].tobytes().decode()
 
-    def ids(self, words: list[bytes], h: np.ndarray) -> list[int]:
-        """Number of each word, -1 for those that no item has: found by hash, then compared."""
+    def ids(self, words: Words, a: int, b: int) -> list[int]:
+        """Number of each of the words [a, b), -1 for those that no item has: found by hash, then compared."""
         own, ends, text = self.parts["hash"], self.parts["word_ends"], self.parts["word_bytes"]
+        h = words.hashes[a:b]
         at = np.minimum(np.searchsorted(own, h), len(own) - 1)
         out = np.where(own[at] == h, at, -1).tolist()
         for k, i in enumerate(out):
-            if i >= 0 and text[int(ends[i - 1]) if i else 0 : int(ends[i])].tobytes() != words[k]:
+            if i >= 0 and text[int(ends[i - 1]) if i else 0 : int(ends[i])].tobytes() != words.word(a + k):
                 out[k] = -1
         return out
 
@@ -201,23 +202,23 @@ class Automaton:
                 length = sizes[state]
             yield k, state, length
 
-    def _stretches(self, words: list[bytes], h: np.ndarray) -> list[tuple[int, int]]:
+    def _stretches(self, words: Words) -> list[tuple[int, int]]:
         """[first, last + 1) word numbers of all stretches that can hold a hit."""
         if self.shortest < 2:
-            ok, more = np.array(self.ids(words, h)) >= 0, 0
+            ok, more = np.array(self.ids(words, 0, len(words))) >= 0, 0
         else:
-            ok, more = self.parts["pairs"][_pairs(h)] > 0, 1
+            ok, more = self.parts["pairs"][_pairs(words.hashes)] > 0, 1
         edges = np.flatnonzero(np.diff(np.concatenate([[False], ok, [False]]))).reshape(-1, 2)
         return [(a, b + more) for a, b in edges.tolist() if b + more - a >= self.shortest]
 
-    def match(self, words: list[bytes], h: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
+    def match(self, words: Words) -> tuple[list[tuple[int, int]], set[str]]:
         """[first, last + 1) word numbers of hit spans, ascending and apart, and the items whose windows occur."""
         spans: list[list[int]] = []
         states, items = set(), set()
         if len(words) < self.shortest or not len(self.parts["hash"]):
             return [], set()
-        for a, b in self._stretches(words, h):
-            for k, state, length in self.stream(self.ids(words[a:b], h[a:b])):
+        for a, b in self._stretches(words):
+            for k, state, length in self.stream(self.ids(words, a, b)):
                 reach = 0
                 if length >= self.window:
                     reach = self.window
@@ -244,7 +245,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
     for batch in batches:
         names, texts = [], []
         for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = lettered(text)
+            words = lettered(text).list()
             for k in range(0, max(1, len(words) - window + 1), PIECE_WORDS):
                 names.append(name)
                 texts.append(b" ".join(words[k : k + PIECE_WORDS + window - 1]).decode())
@@ -271,7 +272,7 @@ def compile_shards(items: DataFrame, window: int = WINDOW, item_id: str = "item_
             storage.pack(found.parts, out)
         states = len(found.parts["link"])
         del found
-        forget()
+        release()
         return pa.table({"path": [path], "states": pa.array([states], pa.int64())})
 
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("name", "text"), F.lit(count)))
@@ -290,11 +291,10 @@ class Search:
     def __call__(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[str]]:
         """Number of words, hit spans as word numbers, and names of the items found, sorted."""
         words = lettered(text)
-        h = hashes(words)
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
         for a in self.automata:
-            more, found = a.match(words, h)
+            more, found = a.match(words)
             spans += more
             items |= found
         return len(words), merged(spans), sorted(items)
@@ -337,7 +337,7 @@ def contamination(df: DataFrame, items: DataFrame, window: int = WINDOW, shard_b
                 "contaminated": pa.array([n > 0 for n in hit], pa.bool_()),
             })
         del search
-        forget()
+        release()
 
     return df.select("doc_id", "text").mapInArrow(run, DIGEST)
 
@@ -373,6 +373,6 @@ def decontaminate(df: DataFrame, items: DataFrame, window: int = WINDOW, max_cov
             out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield out if all(kept) else out.filter(pa.array(kept))
         del search
-        forget()
+        release()
 
     return df.mapInArrow(run, df.schema)

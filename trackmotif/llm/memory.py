@@ -1,4 +1,8 @@
-"""Python workers live on between tasks: what a task no longer needs goes back to the system."""
+"""Python workers live on between tasks: what a task no longer needs goes back to the system.
+
+Workers take Arrow's memory from the C library, which gives blocks of 1 MB or more back as soon as they are free; importing
+this module sees to both.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +11,18 @@ import gc
 
 import pyarrow as pa
 
+_MMAP_THRESHOLD, _TRIM_THRESHOLD = -3, -1  # fixed values of mallopt
+_C = ctypes.CDLL(None)
+if hasattr(_C, "mallopt"):
+    _C.mallopt(_MMAP_THRESHOLD, 1 << 20)
+    _C.mallopt(_TRIM_THRESHOLD, 1 << 20)
+pa.set_memory_pool(pa.system_memory_pool())
+
 
 def release(*caches: dict) -> None:
     """Empty the caches, and return free memory of Python, Arrow and the C library."""
     for cache in caches:
         cache.clear()
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)

@@ -8,6 +8,9 @@ probability (1 - (1 - 0.8**4)**16)**2 > 0.9995, of 0.85 with > 0.9999.
 Equal sets are one node. A sub-key that only one set has can't be part of a shared table and goes before the tables
 are formed. In each bucket every set is first compared with the bucket's smallest identifier; only sets that are then
 still in different components are compared further, and links are always confirmed on the full sets.
+
+Sets hold 64-bit hashes of shingles: two sets of n and m shingles have a pair of different shingles with one hash with a
+probability below n * m / 2**64, so below 1e-9 for sets of 100,000, and only one of many would turn a link.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackmotif.llm.components import components
-from trackmotif.llm.words import BASE, forget, hashes, mix, spaced
+from trackmotif.llm.memory import release
+from trackmotif.llm.words import BASE, mix, spaced
 from trackmotif.session import materialise, ship_package
 
 COLLECTION, MINIMA, SEED = 16, 4, 20_261
@@ -31,7 +35,7 @@ PERCENT = 80
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's ``size``-word shingles; of the whole if it has fewer words."""
-    w = hashes(spaced(text))
+    w = spaced(text).hashes
     if len(w) == 0:
         return w
     width = min(size, len(w))
@@ -72,7 +76,7 @@ def _signatures(df: DataFrame, size: int, collection: int, minima: int) -> DataF
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 subs.append(subkeys(h, collection, minima) if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(subs, pa.list_(pa.int64()))], schema=schema)
-        forget()
+        release()
 
     return df.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, subkeys array<long>")
 
@@ -84,7 +88,7 @@ def _sets(df: DataFrame, size: int) -> DataFrame:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), size).view(np.int64) for t in part.column(1)], pa.list_(pa.int64()))], schema=schema)
-        forget()
+        release()
 
     return df.mapInArrow(run, "id long, set array<long>")
 
@@ -133,7 +137,10 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = PERCENT, collec
     for pairs in (lambda of: _apart(stars, of), lambda of: _rest(entries, halves, sets, of, percent)):
         of = materialise(components(links), "components")
         links = materialise(links.union(_confirmed(pairs(of), sets, percent)), "confirmed")
-    of = components(links)
+    # An identifier with several sets links the classes of these.
+    several = named.select("doc_id", "set_key").distinct().join(classes, "set_key").groupBy("doc_id").agg(F.min("id").alias("low"), F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
+    own = several.select(F.explode("ids").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+    of = components(links.select("a", "b").union(own))
 
     found = classes.join(of, "id", "left").select("set_key", F.coalesce("component_id", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
@@ -162,13 +169,14 @@ def _rest(entries: DataFrame, halves: DataFrame, sets: DataFrame, of: DataFrame,
     labelled = _labelled(entries, of, "id", "c")
     mixed = labelled.groupBy("bucket").agg(F.min("c").alias("lc"), F.max("c").alias("hc")).where("lc < hc").select("bucket")
     nodes = materialise(labelled.join(mixed, "bucket", "left_semi").select("id", "c").distinct(), "mixed")
-    own = sets.join(nodes, "id").groupBy("id", "c").agg(F.flatten(F.collect_set("set")).alias("set"))
-    own = materialise(own.select("id", "c", F.array_distinct("set").alias("set"), F.size(F.array_distinct("set")).cast("long").alias("n")), "mixed-sets")
-    shingles_of = own.select("id", F.explode("set").alias("shingle"))
+    # An identifier may have several sets: each is ruled by its own size.
+    own = sets.join(nodes, "id").select("id", F.xxhash64("set").alias("of"), "c", "set", F.size("set").cast("long").alias("n")).dropDuplicates(["id", "of"])
+    own = materialise(own, "mixed-sets")
+    shingles_of = own.select("id", "of", F.explode("set").alias("shingle"))
     few = shingles_of.groupBy("shingle").agg(F.count("*").alias("f")).where(F.col("f") <= RARE)
     rare = materialise(shingles_of.join(few, "shingle"), "rare")
-    less = rare.groupBy("id").agg(F.count("*").alias("rare"), F.sum((F.col("f") == 1).cast("long")).alias("alone"))
-    sized = own.select("id", "c", "n").join(less, "id", "left").na.fill(0, ["rare", "alone"])
+    less = rare.groupBy("id", "of").agg(F.count("*").alias("rare"), F.sum((F.col("f") == 1).cast("long")).alias("alone"))
+    sized = own.select("id", "of", "c", "n").join(less, ["id", "of"], "left").na.fill(0, ["rare", "alone"])
 
     m = F.least("s", "s2")
     fits = (F.col("c") < F.col("c2")) & (100 * m >= percent * (F.col("n") + F.col("n2") - m))
@@ -177,7 +185,7 @@ def _rest(entries: DataFrame, halves: DataFrame, sets: DataFrame, of: DataFrame,
         return rows.select(key, "id", *carried), rows.select(key, F.col("id").alias("id2"), *(F.col(x).alias(f"{x}2") for x in carried))
 
     could = lambda common: 100 * F.col(common) >= percent * F.col("n")
-    by_rare = sized.withColumn("s", F.col("n") - F.col("alone")).where(could("s")).join(rare.where("f > 1"), "id")
+    by_rare = sized.withColumn("s", F.col("n") - F.col("alone")).where(could("s")).join(rare.where("f > 1").drop("f"), ["id", "of"])
     a, b = twice(by_rare, "shingle", "c", "n", "s")
     first = a.join(b, "shingle").where(fits).select("id", "id2")
     by_key = sized.withColumn("s", F.col("n") - F.col("rare")).where(could("s")).join(halves, "id").withColumn("key", F.explode("ka"))

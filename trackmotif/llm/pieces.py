@@ -15,19 +15,15 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-from trackmotif.llm.words import mix
+from trackmotif.llm.words import span_hashes
 
 #: Texts are handled in chunks of so many bytes; so many pieces stay between chunks.
 CHUNK_BYTES, MEMO_PIECES = 1_000_000, 500_000
 
-_BASE = np.uint64(0xD1342543DE82EF95)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_OF_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _LETTER, _DIGIT, _MARK = np.zeros((3, 256), bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _DIGIT[48:58] = True
 _MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 # Unicode's White_Space beyond ASCII, as UTF-8 with the last byte of short ones left out.
 _WIDE_SPACES = np.array([0xC28500, 0xC2A000, 0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080], np.int64)
@@ -39,15 +35,6 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
 class Pieces:
     """The pieces of texts (UTF-8): where they start and how long they are, their keys, and which piece each text starts with.
 
@@ -79,9 +66,7 @@ class Pieces:
         ends = np.append(self.starts[1:], n) if n else self.starts
         self.lengths = ends - self.starts
         self.first = np.append(np.searchsorted(self.starts, begins), len(self.starts))
-        power, inverse = _power(n + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_OF_BYTE[raw] * inverse[:n])])
-        self.keys = mix((sums[ends] - sums[self.starts]) * power[self.starts] + self.lengths.astype(np.uint64))
+        self.keys = span_hashes(raw, self.starts, ends)
         self.core = self._cores(ends, following)
 
     def _cores(self, ends: np.ndarray, following: np.ndarray) -> np.ndarray:

@@ -10,12 +10,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackmotif.llm.words import BASE, forget, hashes, lettered, mix
+from trackmotif.llm.memory import release
+from trackmotif.llm.words import BASE, lettered, mix
 from trackmotif.session import ship_package
 
 BITS = 20
@@ -27,7 +27,7 @@ THRESHOLD = 0.3
 
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
     """Hashed words, pairs of neighbours and pairs with one word between, with repetitions."""
-    h = hashes(lettered(text))
+    h = lettered(text).hashes
     parts = [mix(h)]
     for gap in (1, 2):
         if len(h) > gap:
@@ -87,31 +87,34 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     """Dense weights (bias last) learnt from at most ``limit`` labelled rows that are not held out.
 
     The labelled identifiers that are taken (bounded by ``limit``) are broadcast; their texts' features meet in one task,
-    which sends back the weights that are not zero. Null labels and identifiers are left out; without rows of both
-    labels the weights are the bias alone.
+    which sends back the weights that are not zero. Of an identifier's labels the largest counts; of its rows, that with
+    the smallest text's hash. Null labels and identifiers are left out; without rows of both labels the weights are the
+    bias alone.
     """
     spark = docs.sparkSession
     ship_package(spark)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
     taken = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("doc_id", "x.text", "label")
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(features(t.as_py(), bits)).astype("<i4").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], names=["doc_id", "found", "label"])
 
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        if parts:
-            data = pd.concat(parts)
-            order = sorted(range(len(data)), key=lambda i: (zlib.crc32(str(data.doc_id.iloc[i]).encode()), data.doc_id.iloc[i], data.found.iloc[i]))
-            got = fit([(np.frombuffer(data.found.iloc[i], "<i4").astype(np.int64), int(data.label.iloc[i])) for i in order], bits=bits)
-            yield pd.DataFrame({"at": list(got), "weight": list(got.values())})
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if rows:
+            rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+            got = fit([(np.frombuffer(found, "<i4"), label) for _, found, label in rows], bits=bits)
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.float64())], names=["at", "weight"])
+        del rows
+        release()
 
     prepared = rows.mapInArrow(prepare, "doc_id long, found binary, label int")
     weights = np.zeros((1 << bits) + 1)
-    for r in prepared.repartition(1).mapInPandas(learn, "at long, weight double").collect():
+    for r in prepared.repartition(1).mapInArrow(learn, "at long, weight double").collect():
         weights[r.at] = r.weight
     return weights
 
@@ -136,6 +139,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, l
         for batch in batches:
             scores = [score(features(t.as_py(), bits), dense) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(x >= threshold) for x in scores], pa.int32())], schema=schema)
-        forget()
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(held_out(), F.lit(False)).alias("held_out")).mapInArrow(run, DIGEST)
