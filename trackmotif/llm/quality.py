@@ -4,7 +4,7 @@ The model is over characters (UTF-16 units), of order 4, so that a gram is exact
 its low 16 bits, the ones before above. Counts are summed up by task, then sharded by key; each order's probabilities come
 from joins of the count table with those of its contexts and of the next lower order.
 
-Scoring is a join as well. Documents are dealt to blocks; a block's distinct grams are joined, sharded by key, with each
+Scoring is a join as well. Documents are in blocks; a block's distinct grams are joined, sharded by key, with each
 order's probabilities and backoffs, and come back to the block with one log-probability each, where every text's units are
 summed up. A document's perplexity is that of its whole text, and it is rejected where that is above a fence of its
 language's quantiles over the trusted documents.
@@ -12,6 +12,7 @@ language's quantiles over the trusted documents.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ ORDER, PAD = 4, 0xDBFF
 FENCE, LEAST_TRUSTED = 4.0, 30
 #: Units that a task looks at together, and that a block of documents has on average.
 CHUNK_UNITS, BLOCK_UNITS = 1 << 18, 40_000_000
+#: Distinct grams that a task holds before it hands them on.
+HELD_GRAMS = 4_000_000
 #: Trusted identifiers that are broadcast at most, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -181,15 +184,49 @@ def _chunks(texts: Iterator[str | None]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def _wanted(part: pa.Table) -> pa.Table:
-    """The distinct grams of a block."""
-    found = pa.array([], pa.int64())
-    for held in _chunks(x.as_py() for x in part["text"]):
-        found = pc.unique(pa.concat_arrays([found, pc.unique(pa.array(np.concatenate(held).view(np.int64)))]))
-    block = part["_block"][0].as_py()
-    del part
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, gram: the distinct grams of each block, as far as the task has it; a full hand is given on."""
+    held: dict[int, pa.Array] = {}
+    none = pa.array([], pa.int64())
+
+    def settled() -> Iterator[pa.RecordBatch]:
+        for block, found in held.items():
+            for k in range(0, len(found), 200_000):
+                part = found.slice(k, 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int64)), part], names=["_block", "gram"])
+        held.clear()
+
+    for batch in batches:
+        blocks = batch.column(0).to_numpy(zero_copy_only=False)
+        for block in np.unique(blocks).tolist():
+            texts = batch.column(1).filter(pa.array(blocks == block))
+            for chunk in _chunks(x.as_py() for x in texts):
+                fresh = pc.unique(pa.array(np.concatenate(chunk).view(np.int64)))
+                held[block] = pc.unique(pa.concat_arrays([held.get(block, none), fresh]))
+        if sum(map(len, held.values())) > HELD_GRAMS:
+            yield from settled()
+    yield from settled()
     release()
-    return pa.table({"_block": pa.array(np.full(len(found), block, np.int64)), "gram": found})
+
+
+def _bytes(size: str) -> int:
+    """Of a setting such as 128m."""
+    found = re.fullmatch(r"\s*(\d+)\s*([kmgt]?)i?b?\s*", size.lower())
+    if not found:
+        raise ValueError(f"not a size: {size}")
+    return int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[found[2]]
+
+
+def blocked(df: DataFrame, block_units: int = BLOCK_UNITS) -> DataFrame:
+    """``df`` and _block. Rows of a file's split are a few blocks, so that a task finds a block's grams by itself; other
+    rows are dealt by a hash of their plain columns, to as many blocks as their texts need."""
+    spark = df.sparkSession
+    plain = F.xxhash64(*(f.name for f in df.schema if isinstance(f.dataType, AtomicType)))
+    parts = max(1, -(-3 * _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) // block_units))  # texts are about three times their files
+    if df.inputFiles():
+        return df.withColumn("_block", F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(plain, F.lit(parts))))
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return df.withColumn("_block", F.pmod(plain, F.lit(max(spark.sparkContext.defaultParallelism, -(-size // block_units)))))
 
 
 def _log_p(grams_: DataFrame, found: DataFrame) -> DataFrame:
@@ -220,22 +257,19 @@ def log_perplexity(df: DataFrame, found: DataFrame, block_units: int = BLOCK_UNI
     """``columns`` of ``df`` (all of them unless told), which has a column text, and n_units, log_ppl (mean of -log p;
     null for texts without characters).
 
-    Rows are dealt to blocks by a hash of their plain columns; a task holds a block's texts, and the log-probabilities of
-    its distinct grams. A text longer than that makes its block longer. Rows come back in any order. Both uses of the
-    dealt rows are in one plan, which shuffles them once.
+    A task holds a block's texts (see ``blocked``, which ``df`` may have gone through), and the log-probabilities of its
+    distinct grams. A text longer than a block makes its block longer. Rows come back in any order.
     """
     spark = df.sparkSession
     ship_package(spark)
-    for c in ("n_units", "log_ppl", "_block"):
+    columns = columns or [c for c in df.columns if c != "_block"]
+    for c in ("n_units", "log_ppl"):
         if c in df.columns:
             raise ValueError(f"a column is named {c}")
-    columns = columns or df.columns
-    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(spark.sparkContext.defaultParallelism, -(-size // block_units))
-    plain = [f.name for f in df.schema if isinstance(f.dataType, AtomicType)]
-    dealt = df.withColumn("_block", F.pmod(F.xxhash64(*plain), F.lit(blocks)))
-    needed = dealt.groupBy("_block").applyInArrow(_wanted, "_block long, gram long")
-    scored = needed.join(_log_p(needed.select("gram").distinct(), found), "gram")
+    dealt = df if "_block" in df.columns else blocked(df, block_units)
+    needed = materialise(dealt.select("_block", "text").mapInArrow(_wanted, "_block long, gram long"), "wanted")
+    every = materialise(_log_p(materialise(needed.select("gram").distinct(), "grams"), found), "log-p")
+    scored = needed.join(every, "gram")
     schema = ",".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema)
 
     def score(docs: pa.Table, rows: pa.Table) -> pa.Table:
@@ -278,9 +312,11 @@ def classify(docs: DataFrame, labels: DataFrame, trusted_label: str = "quality",
     ids = labels.where(F.col(trusted_label) == 1).select(F.col("doc_id").alias("_trusted")).distinct()
     ids = ids.withColumn("_known", F.lit(True))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    marked = docs.join(ids, F.col("doc_id") == F.col("_trusted"), "left").drop("_trusted")
+    if clash := {"_known", "_block", "_trusted", "n_units", "log_ppl", "fence", "accepted"} & set(docs.columns):
+        raise ValueError(f"columns are named {sorted(clash)}")
+    marked = blocked(docs).join(ids, F.col("doc_id") == F.col("_trusted"), "left").drop("_trusted")
     found = model(marked.where("_known and text is not null and text <> ''"))
-    kept = [c for c in dict.fromkeys([*columns, "lang", "_known"]) if c != "text"]
+    kept = [c for c in dict.fromkeys([*columns, "lang", "_known", "_block"]) if c != "text"]
     scored = materialise(log_perplexity(marked.select(*kept, "text"), found, columns=list(dict.fromkeys([*columns, "lang", "_known"]))), "scored")
     by_lang, overall = fences(scored.where("_known and log_ppl is not null").select("lang", "log_ppl"))
     rows = spark.createDataFrame([(k, v) for k, v in by_lang.items()], "_lang string, _fence double")
