@@ -1,11 +1,14 @@
 """Personal data, and terms that disclose it, by information content. DataFrame functions only.
 
-Base spans are found by pattern. Each distinct value found is a protected entity c, and so is each part of it that other
-values share (a mail address's domain, say). Over all documents, a term t that
-occurs with it discloses PMI(t; c) = ln(p(t, c) / (p(t) p(c))) of the IC(c) = -ln p(c) there is to know about it. Where
+Base spans are found by pattern. Each distinct value found is a protected entity c, and so are its generalisations: the
+part of it that other values share (a mail address's domain, say), and its kind. Over all documents, a term t (any word)
+that occurs with it discloses PMI(t; c) = ln(p(t, c) / (p(t) p(c))) of the IC(c) = -ln p(c) there is to know about it. Where
 PMI / IC reaches ``DISCLOSURE`` on ``SUPPORT`` distinct texts at least, the term's occurrences in documents with that
 entity are spans too; ``sanitise`` generalises them to a label, and removes those that disclose everything.
 
+PMI / IC of d needs p(c | t) >= p(c) ** (1 - d), so that of n documents at most n(c) ** d * n ** (1 - d) can have t. Terms
+that more have, and entities and terms on too few texts, go before a text's entities meet its terms.
+
 All that is found depends on a row's text alone, so tables are keyed by the text's hash, and equal texts are worked on once.
 """
 
@@ -92,21 +95,57 @@ SHARED = {"email": r"@(.*)$", "ip": r"^(.*)\.", "card": r"^(.{6})", "phone": r"^
 
 
 def _entities(kind: str) -> Column:
-    """Each value, the part of it that others share, and a mail address's name."""
+    """Each value, the part of it that others share, a mail address's name, and the kind itself."""
     value = lambda x: F.lower(x["value"]) if kind in ("email", "ip") else _digits(x["value"])
     values = F.transform(kind, value)
     out = [F.transform(values, lambda v: F.concat(F.lit(f"{kind}:"), v)), F.transform(values, lambda v: F.concat(F.lit(f"{kind} of:"), F.regexp_extract(v, SHARED[kind], 1)))]
     if kind == "email":
         out.append(F.transform(values, lambda v: F.concat(F.lit("email name:"), F.substring_index(v, "@", 1))))
-    return F.concat(*out)
+    return F.concat(*out, F.transform(F.slice(kind, 1, 1), lambda x: F.lit(kind)))
+
+
+def _bare(text: Column) -> Column:
+    """The text without its base spans."""
+    every = F.array_sort(F.concat(*(F.transform(base_spans(text, k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in KINDS)))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def cut(s: Column, x: Column) -> Column:
+        part = F.when(x["start"] > s["at"], F.substring(text, s["at"] + 1, x["start"] - s["at"])).otherwise("")
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], part, F.lit(" ")).alias("out"))
+
+    done = F.aggregate(every, start, cut)
+    return F.when(F.size(every) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
 
 
 def _terms(text: Column) -> Column:
-    """Distinct words of four letters or more, without those in what looks like base spans; A-Z count as a-z."""
-    for pattern in KINDS.values():
-        text = F.regexp_replace(text, pattern, " ")
-    words = F.split(F.translate(text, UPPER, LOWER), rf"[^{_TERM}]+")
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.rlike("[0-9]")))
+    """Distinct words beside the base spans; A-Z count as a-z."""
+    hinted = F.greatest(*(text.rlike(h) for h in HINTS.values()))
+    words = F.split(F.translate(F.when(hinted, _bare(text)).otherwise(text), UPPER, LOWER), rf"[^{_TERM}]+")
+    return F.array_distinct(F.filter(words, lambda w: w != ""))
+
+
+def disclosures(df: DataFrame, private: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, share) of what discloses enough, and the (key, entity, term) it was looked for in.
+
+    ``private`` has the distinct texts with base spans: key, rows, entities, terms. Counts are over all rows of ``df``."""
+    n = df.count()
+    held = materialise(private.select("key", "rows", F.explode("entities").alias("entity")), "pii-entities")
+    entities = materialise(held.groupBy("entity").agg(F.sum("rows").alias("with_entity"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts"), "pii-counts")
+    limit = lambda c: F.pow(F.col(c).cast("double"), disclosure) * float(max(n, 1)) ** (1 - disclosure) + 1e-6
+    most = entities.agg(F.max(limit("with_entity"))).first()[0] or 0.0
+    every = df.where("text is not null").select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    terms = every.where((F.col("with_term") >= support) & (F.col("with_term") <= most))
+    found = private.select("key", F.explode("terms").alias("term")).join(terms, "term")
+    found = found.groupBy("key").agg(F.collect_list(F.struct("term", "with_term")).alias("terms"))
+    own = held.join(entities, "entity").groupBy("key", "rows").agg(F.collect_list(F.struct("entity", "with_entity", limit("with_entity").alias("limit"))).alias("entities"))
+    pairs = own.join(found, "key").select("key", "rows", F.explode("entities").alias("e"), "terms")
+    pairs = pairs.select("key", "rows", "e", F.explode(F.filter("terms", lambda t: t["with_term"] <= F.col("e.limit"))).alias("t"))
+    pairs = materialise(pairs.select("key", "rows", "e.entity", "e.with_entity", "t.term", "t.with_term"), "pii-pairs")
+    together = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count("*").alias("texts"), F.first("with_entity").alias("with_entity"), F.first("with_term").alias("with_term"))
+    pmi = F.log(F.col("both").cast("double") * n / (F.col("with_term").cast("double") * F.col("with_entity").cast("double")))
+    share = F.when(F.col("with_entity") < n, pmi / F.log(F.lit(float(n)) / F.col("with_entity").cast("double")))
+    told = together.where(F.col("texts") >= support).select("entity", "term", F.least(share, F.lit(1.0)).alias("share")).where(F.col("share") >= disclosure - 1e-9)
+    return told, pairs.select("key", "entity", "term")
 
 
 def find(df: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -115,33 +154,25 @@ def find(df: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT)
 
     Null text counts as empty; repeated rows give repeated rows; a null doc_id stays null; other columns are left out.
     """
+    df = df.select("doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = df.select("doc_id", text.alias("text")).select("doc_id", "text", *(base_spans(F.col("text"), k).alias(k) for k in KINDS))
     some = F.greatest(*(F.size(k) for k in KINDS)) > 0
     rows = materialise(rows.select("doc_id", F.when(some, F.col("text")).alias("text"), F.when(some, F.md5("text")).alias("key"), *KINDS), "pii")
-    plain = rows.where("key is null").select("doc_id", "text", *KINDS, F.array().cast("array<struct<start:int,end:int,value:string,share:double>>").alias("terms"))
+    none = F.array().cast("array<struct<start:int,end:int,value:string,share:double>>")
+    plain = rows.where("key is null").select("doc_id", "text", *KINDS, none.alias("terms"))
     private = rows.where("key is not null")
 
     distinct = private.groupBy("key").agg(F.count("*").alias("rows"), F.first("text").alias("text"), *(F.first(k).alias(k) for k in KINDS))
-    pairs = distinct.select("key", "rows", F.array_distinct(F.concat(*(_entities(k) for k in KINDS))).alias("entities"), _terms(F.col("text")).alias("terms"))
-    pairs = materialise(pairs.select("key", "rows", F.explode("entities").alias("entity"), "terms").select("key", "rows", "entity", F.explode("terms").alias("term")), "pii-pairs")
-    together = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-
-    # Counts over all documents, of terms and of entities.
-    n = df.count()
-    of_term = df.where("text is not null").select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    of_entity = pairs.groupBy("entity", "key").agg(F.first("rows").alias("rows")).groupBy("entity").agg(F.sum("rows").alias("with_entity"))
-    measured = together.join(of_term, "term").join(of_entity, "entity")
-    pmi = F.log(F.col("both").cast("double") * n / (F.col("with_term").cast("double") * F.col("with_entity").cast("double")))
-    share = F.when(F.col("with_entity") < n, pmi / F.log(F.lit(float(n)) / F.col("with_entity").cast("double")))
-    told = measured.select("entity", "term", F.least(share, F.lit(1.0)).alias("share")).where(F.col("share") >= disclosure - 1e-9)
+    distinct = materialise(distinct.select("key", "rows", "text", F.array_distinct(F.concat(*(_entities(k) for k in KINDS))).alias("entities"), _terms(F.col("text")).alias("terms")), "pii-texts")
+    told, pairs = disclosures(df, distinct, disclosure, support)
     in_text = pairs.join(told, ["entity", "term"]).groupBy("key", "term").agg(F.max("share").alias("share")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias("told"))
 
     lower = F.translate("text", UPPER, LOWER)
     any_term = F.concat(F.lit(rf"(?<![{_TERM}])(?:"), F.array_join(F.transform("told", lambda x: x["term"]), "|"), F.lit(rf")(?![{_TERM}])"))
     shares = F.map_from_entries("told")
     spans = distinct.select("key", "text").join(in_text, "key").select("key", F.transform(positions(lower, any_term), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.element_at(shares, x["value"]).alias("share"))).alias("terms"))
-    return plain.unionByName(private.join(spans, "key", "left").select("doc_id", "text", *KINDS, F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,value:string,share:double>>")).alias("terms")))
+    return plain.unionByName(private.join(spans, "key", "left").select("doc_id", "text", *KINDS, F.coalesce("terms", none).alias("terms")))
 
 
 def digests(df: DataFrame) -> DataFrame:
