@@ -13,6 +13,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -96,23 +97,29 @@ class _Bits:
     def __init__(self, data: bytes):
         self.data, self.at, self.have, self.value = data, 0, 0, 0
 
-    def take(self, n: int) -> int:
+    def _fill(self, n: int) -> None:
         while self.have < n:
-            self.value = (self.value << 8) | (self.data[self.at] if self.at < len(self.data) else 0)
-            self.at += 1
-            self.have += 8
+            part = self.data[self.at : self.at + 8]
+            self.value = (self.value << 64) | int.from_bytes(part.ljust(8, b"\0"), "big")
+            self.at += 8
+            self.have += 64
+
+    def take(self, n: int) -> int:
+        self._fill(n)
         self.have -= n
         out = self.value >> self.have
         self.value &= (1 << self.have) - 1
         return out
 
-    def symbol(self, table: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = (code << 1) | self.take(1)
-            if (length, code) in table:
-                return table[length, code]
-        raise ValueError("no such Huffman code")
+    def symbol(self, table: list[int]) -> int:
+        """By the next 16 bits: the table has length << 8 | value, 0 where no code begins so."""
+        self._fill(16)
+        entry = table[self.value >> (self.have - 16)]
+        if not entry:
+            raise ValueError("no such Huffman code")
+        self.have -= entry >> 8
+        self.value &= (1 << self.have) - 1
+        return entry & 255
 
     def signed(self, size: int) -> int:
         if not size:
@@ -121,11 +128,13 @@ class _Bits:
         return v if v >> (size - 1) else v - (1 << size) + 1
 
 
-def _huffman(counts: bytes, values: bytes) -> dict[tuple[int, int], int]:
-    table, code, k = {}, 0, 0
+@lru_cache(maxsize=32)
+def _huffman(counts: bytes, values: bytes) -> list[int]:
+    table, code, k = [0] * 65536, 0, 0
     for length in range(1, 17):
         for _ in range(counts[length - 1]):
-            table[length, code] = values[k]
+            first, span = code << (16 - length), 1 << (16 - length)
+            table[first : first + span] = [length << 8 | values[k]] * span
             code, k = code + 1, k + 1
         code <<= 1
     return table
@@ -270,56 +279,114 @@ def write_avi(frames: list[bytes], width: int, rows: int, fps: int = FPS, privat
     return _chunk(b"RIFF", b"AVI " + head + _chunk(b"LIST", b"".join(movi)) + _chunk(b"idx1", b"".join(index)))
 
 
+def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """Name, body's start and size of each chunk; of a list, its type and where its first chunk is."""
+    while at + 8 <= end:
+        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if name in (b"LIST", b"RIFF"):
+            yield name + data[at + 8 : at + 12], at + 12, max(0, min(size, end - at - 8) - 4)
+        else:
+            yield name, at + 8, size
+        at += 8 + size + size % 2
+
+
+def _standard_index(data: bytes, at: int) -> list[tuple[int, int]]:
+    """(start, size) of the frames that an OpenDML index chunk's body names."""
+    longs, _, kind, used, _, base = struct.unpack_from("<HBBI4sQ", data, at)
+    if longs != 2 or kind != 1:
+        raise ValueError("an OpenDML index of another kind")
+    pairs = struct.iter_unpack("<II", data[at + 24 : at + 24 + 8 * used])
+    return [(base + offset, size & 0x7FFFFFFF) for offset, size in pairs]
+
+
 def read_avi(data: bytes) -> dict:
-    """Frame rate, strd bytes and the frames that idx1 names (without an index: the movi chunks in order)."""
+    """Frame rate and strd bytes of the first video stream, and (start, size) of its frames.
+
+    An OpenDML index decides where there is one, else idx1, whose offsets may count from the movi list or from the file's
+    start, else the order of chunks in the movi lists, with those in rec lists and in further RIFF parts. Frames without
+    bytes repeat the one before and are left out.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    out = {"fps": float(FPS), "private": b"", "frames": []}
-    index, movi = None, None
-
-    def walk(at: int, end: int) -> None:
-        nonlocal index, movi
-        while at + 8 <= end:
-            name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-            body = at + 8
-            if name == b"LIST":
-                if data[body : body + 4] == b"movi":
-                    movi = (body, body + size)
-                else:
-                    walk(body + 4, body + size)
-            elif name == b"strh" and data[body : body + 4] == b"vids":
-                scale, rate = struct.unpack_from("<II", data, body + 20)
-                out["fps"] = rate / max(scale, 1)
-            elif name == b"strd":
-                out["private"] = data[body : body + size]
-            elif name == b"idx1":
-                index = [struct.unpack_from("<4sIII", data, k) for k in range(body, body + size - 15, 16)]
-            at = body + size + size % 2
-
-    walk(12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]))
-    if movi is None:
-        return out
-    if index is None:
-        at, index = movi[0] + 4, []
-        while at + 8 <= movi[1]:
-            name, size = struct.unpack_from("<4sI", data, at)
-            index.append((name, 0, at - movi[0], size))
-            at += 8 + size + size % 2
-    for name, _, offset, size in index:
-        if name[2:] in (b"dc", b"db"):
-            out["frames"].append(data[movi[0] + offset + 8 : movi[0] + offset + 8 + size])
-    return out
-
-
-def shots(samples: np.ndarray) -> list[tuple[int, int]]:
-    """[first, last + 1) frame numbers of each shot: a cut is a histogram difference above its surroundings' mean plus
-    ``DEVIATIONS`` standard deviations, ``LEAST`` at least."""
+    fps, private, stream, streams = float(FPS), b"", None, 0
+    indexes, movi = {"indx": None, "idx1": None}, []
+    for part, at, size in _chunks(data, 0, len(data)):
+        if not part.startswith(b"RIFF"):
+            continue
+        for name, a, n in _chunks(data, at, at + size):
+            if name == b"LISTmovi":
+                movi.append((a, a + n))
+            elif name == b"idx1" and indexes["idx1"] is None:
+                indexes["idx1"] = list(struct.iter_unpack("<4sIII", data[a : a + n - n % 16]))
+            elif name == b"LISThdrl":
+                for sub, b, m in _chunks(data, a, a + n):
+                    if sub != b"LISTstrl":
+                        continue
+                    inner = {k: (x, y) for k, x, y in _chunks(data, b, b + m)}
+                    head = inner.get(b"strh", (0, 0))[0]
+                    if stream is None and data[head : head + 4] == b"vids":
+                        stream = b"%02d" % streams
+                        scale, rate = struct.unpack_from("<II", data, head + 20)
+                        fps = rate / max(scale, 1)
+                        x, y = inner.get(b"strd", (0, 0))
+                        private = data[x : x + y]
+                        if b"indx" in inner:
+                            indexes["indx"] = inner[b"indx"][0]
+                    streams += 1
+    wanted = lambda name: name[:2] == stream and name[2:] in (b"dc", b"db")
+    frames: list[tuple[int, int]] = []
+    if stream is None or not movi:
+        pass
+    elif (at := indexes["indx"]) is not None:
+        longs, _, kind, used = struct.unpack_from("<HBBI", data, at)
+        if kind == 0:
+            for place, _, _ in struct.iter_unpack("<QII", data[at + 24 : at + 24 + 16 * used]):
+                frames += _standard_index(data, place + 8)
+        else:
+            frames = _standard_index(data, at)
+    elif indexes["idx1"] is not None:
+        own = [(name, offset, size) for name, _, offset, size in indexes["idx1"] if wanted(name)]
+        base = movi[0][0] - 4
+        if own and data[base + own[0][1] : base + own[0][1] + 4] != own[0][0]:
+            base = 0
+            if data[own[0][1] : own[0][1] + 4] != own[0][0]:
+                raise ValueError("idx1 names no frame")
+        frames = [(base + offset + 8, size) for _, offset, size in own]
+    else:
+        waiting = list(reversed(movi))
+        while waiting:
+            at, end = waiting.pop()
+            lists = []
+            for name, a, n in _chunks(data, at, end):
+                if name == b"LISTrec ":
+                    lists.append((a, a + n))
+                    frames += [(x, y) for k, x, y in _chunks(data, a, a + n) if wanted(k)]
+                elif wanted(name):
+                    frames.append((a, n))
+    return {"fps": fps, "private": private, "frames": [f for f in frames if f[1]]}
+
+
+def frames_of(data: bytes, places: list[tuple[int, int]], together: int = 64) -> Iterator[np.ndarray]:
+    """Samples of some frames at a time."""
+    for k in range(0, len(places), together):
+        yield decode_frames([data[a : a + n] for a, n in places[k : k + together]])
+
+
+def histograms(samples: np.ndarray) -> np.ndarray:
+    """Share of each of ``BINS`` levels, and the mean level, of each frame."""
     count = len(samples)
+    bins = (samples.reshape(count, -1) >> 4).astype(np.int64) + BINS * np.arange(count)[:, None]
+    hist = np.bincount(bins.ravel(), minlength=BINS * count).reshape(count, BINS) / max(1, samples[0].size)
+    return np.concatenate([hist, samples.reshape(count, -1).mean(axis=1)[:, None]], axis=1)
+
+
+def shots(measured: np.ndarray) -> list[tuple[int, int]]:
+    """[first, last + 1) frame numbers of each shot, from ``histograms``: a cut is a histogram difference above its
+    surroundings' mean plus ``DEVIATIONS`` standard deviations, ``LEAST`` at least."""
+    count = len(measured)
     if count == 0:
         return []
-    bins = (samples.reshape(count, -1) >> 4).astype(np.int64) + BINS * np.arange(count)[:, None]
-    hist = np.bincount(bins.ravel(), minlength=BINS * count).reshape(count, BINS) / samples[0].size
-    jump = np.abs(np.diff(hist, axis=0)).sum(axis=1) / 2
+    jump = np.abs(np.diff(measured[:, :BINS], axis=0)).sum(axis=1) / 2
     cuts = [0]
     for t in np.flatnonzero(jump > LEAST):
         near = np.delete(jump[max(0, t - AROUND) : t + AROUND + 1], min(t, AROUND))
@@ -328,6 +395,11 @@ def shots(samples: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], count], strict=True))
 
 
+def measure(data: bytes, places: list[tuple[int, int]]) -> np.ndarray:
+    """``histograms`` of all frames, which are decoded some at a time."""
+    return np.concatenate([np.zeros((0, BINS + 1)), *(histograms(x) for x in frames_of(data, places))])
+
+
 def store(payload: bytes) -> bytes:
     """``payload`` (a positive multiple of 64 bytes) as an AVI file."""
     lines = len(payload) // WIDTH
@@ -337,26 +409,32 @@ def store(payload: bytes) -> bytes:
     return write_avi(encode_frames(samples), WIDTH, rows, private=struct.pack("<Q", len(payload)))
 
 
-def load(media: bytes) -> tuple[bytes, np.ndarray, float]:
-    """The payload stored in an AVI file, its frames' samples and the frame rate."""
+def load(media: bytes) -> tuple[bytes, np.ndarray, tuple[int, int], float]:
+    """The payload stored in an AVI file, its frames' measures, their rows and columns, and the frame rate."""
     avi = read_avi(media)
-    samples = decode_frames(avi["frames"])
-    size = struct.unpack("<Q", avi["private"])[0] if len(avi["private"]) == 8 else samples.size
-    return samples.tobytes()[:size], samples, avi["fps"]
+    parts, measured, shape = [], [np.zeros((0, BINS + 1))], (0, 0)
+    for samples in frames_of(media, avi["frames"]):
+        parts.append(samples.tobytes())
+        measured.append(histograms(samples))
+        shape = samples.shape[1:]
+    payload = b"".join(parts)
+    size = struct.unpack("<Q", avi["private"])[0] if len(avi["private"]) == 8 else len(payload)
+    return payload[:size], np.concatenate(measured), shape, avi["fps"]
 
 
 def pad(raw: bytes) -> bytes:
     return raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
 
 
-def describe(samples: np.ndarray, fps: float) -> str:
+def describe(measured: np.ndarray, shape: tuple[int, int], fps: float) -> str:
     """frames, and the timed shots in milliseconds with their mean level."""
-    found = ";".join(f"{round(1000 * a / fps)}-{round(1000 * b / fps)}:{samples[a:b].mean():.3f}" for a, b in shots(samples))
-    return f"{len(samples)}x{'x'.join(map(str, samples.shape[1:]))}|{found}"
+    found = ";".join(f"{round(1000 * a / fps)}-{round(1000 * b / fps)}:{measured[a:b, BINS].mean():.3f}" for a, b in shots(measured))
+    return f"{len(measured)}x{'x'.join(map(str, shape))}|{found}"
 
 
 def clips(df: DataFrame, id_column: str, media_column: str) -> DataFrame:
-    """Timed clip rows of a binary column of AVI files: id, clip, start_ms, end_ms, n_frames, mean_level, error.
+    """Timed clip rows of a binary column of AVI files: id, clip, start_ms, end_ms, n_frames, mean_level, error. A file's
+    frames are decoded some at a time, so that a task holds the file and a few frames.
 
     Null media give no row; media that can't be read give one row whose ``error`` says why. Other columns are left out.
     """
@@ -371,9 +449,9 @@ def clips(df: DataFrame, id_column: str, media_column: str) -> DataFrame:
                     continue
                 try:
                     avi = read_avi(media)
-                    samples = decode_frames(avi["frames"])
-                    for k, (a, b) in enumerate(shots(samples)):
-                        rows.append((key.as_py(), k, round(1000 * a / avi["fps"]), round(1000 * b / avi["fps"]), b - a, float(samples[a:b].mean()), None))
+                    measured = measure(media, avi["frames"])
+                    for k, (a, b) in enumerate(shots(measured)):
+                        rows.append((key.as_py(), k, round(1000 * a / avi["fps"]), round(1000 * b / avi["fps"]), b - a, float(measured[a:b, BINS].mean()), None))
                 except (ValueError, IndexError, KeyError, struct.error) as e:
                     rows.append((key.as_py(), None, None, None, None, None, f"{type(e).__name__}: {e}"))
             schema = pa.schema([batch.schema.field(0), ("clip", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("n_frames", pa.int32()), ("mean_level", pa.float64()), ("error", pa.string())])
@@ -400,8 +478,8 @@ def media_digests(df: DataFrame) -> DataFrame:
             for text in batch.column(1):
                 raw = (text.as_py() or "").encode()
                 media = store(pad(raw))
-                payload, samples, fps = load(media)
-                row = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), describe(samples, fps))
+                payload, measured, shape, fps = load(media)
+                row = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), describe(measured, shape, fps))
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
