@@ -26,8 +26,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from trackmotif.llm import storage
 from trackmotif.session import scratch_dir, ship_package
 
-SCHEMA = "record_type string, record_id string, target_uri string, date string, content_type string, payload_digest string, refers_to string, payload_length long, payload binary"
-_FIELDS = pa.schema([*((n, pa.string()) for n in ("record_type", "record_id", "target_uri", "date", "content_type", "payload_digest", "refers_to")), ("payload_length", pa.int64()), ("payload", pa.binary())])
+SCHEMA = "record_type string, record_id string, target_uri string, date string, content_type string, payload_digest string, refers_to string, payload_length long, payload binary, error string"
+_FIELDS = pa.schema([*((n, pa.string()) for n in ("record_type", "record_id", "target_uri", "date", "content_type", "payload_digest", "refers_to")), ("payload_length", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
 # Header names of the columns; the profile of a revisit; the length field's gzip subfield.
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -92,8 +92,16 @@ def _columns(headers: dict[str, str]) -> dict[str, str | None]:
     return row
 
 
-def _plain_records(f: pa.NativeFile, wanted) -> Iterator[tuple[dict, bytes | None]]:
-    """Header columns and block of each wanted record of an uncompressed file."""
+def _length(headers: dict[str, str]) -> int:
+    size = headers.get("content-length", "")
+    if not size.isdecimal():
+        raise ValueError(f"a record has no length: {size!r}")
+    return int(size)
+
+
+def _plain_records(f: pa.NativeFile, wanted, whole: bool) -> Iterator[tuple[dict, bytes, int]]:
+    """Header columns, block and its length, of each wanted record of an uncompressed file. Without ``whole`` a block's
+    first ``HEAD_BYTES`` are all that is read of it."""
     at, end = 0, f.size()
     while at < end:
         f.seek(at)
@@ -106,15 +114,18 @@ def _plain_records(f: pa.NativeFile, wanted) -> Iterator[tuple[dict, bytes | Non
                 return
             head += more
         headers = _parse_head(head[:k])
-        size, start = int(headers["content-length"]), at + k + 4
+        size, start = _length(headers), at + k + 4
+        if start + size > end:
+            raise ValueError("a record is cut short")
         if wanted(row := _columns(headers)):
             f.seek(start)
-            yield row, f.read(size)
+            yield row, f.read(size if whole else min(size, HEAD_BYTES)), size
         at = start + size + 4
 
 
-def _packed_records(f: pa.NativeFile, wanted) -> Iterator[tuple[dict, bytes | None]]:
-    """The same of a file of gzip members, of one record or several. Members that state their length (sl) have one."""
+def _packed_records(f: pa.NativeFile, wanted, whole: bool) -> Iterator[tuple[dict, bytes, int]]:
+    """The same of a file of gzip members, of one record or several. Members that state their length (sl) have one record,
+    and are inflated no further than needed; of others, what isn't needed is inflated to find their end, and not kept."""
     at, end = 0, f.size()
     while at < end:
         f.seek(at)
@@ -122,36 +133,52 @@ def _packed_records(f: pa.NativeFile, wanted) -> Iterator[tuple[dict, bytes | No
         size = None
         if len(raw) > 24 and raw[3] & 4 and raw[12:14] == b"sl":
             size = struct.unpack_from("<I", raw, 16)[0]
-        unpack = zlib.decompressobj(31)
-        data = unpack.decompress(raw, HEAD_BYTES)
-        while (k := data.find(b"\r\n\r\n")) < 0 and not unpack.eof:
-            data += unpack.decompress(unpack.unconsumed_tail or f.read(HEAD_BYTES), HEAD_BYTES)
-        headers = _parse_head(data[:k])
-        row = _columns(headers)
-        use = wanted(row)
-        if not use and size:
-            at += size
-            continue
-        parts = [data]
-        while not unpack.eof:
-            left = size - (f.tell() - at) if size else 1 << 16
-            fresh = unpack.unconsumed_tail or f.read(max(left, 1))
-            if not fresh:
-                raise ValueError("a gzip member is cut short")
-            parts.append(unpack.decompress(fresh))
-        data = b"".join(parts)
+        unpack, fresh = zlib.decompressobj(31), raw
+        data = b""
+
+        def more(least: int) -> None:
+            """Inflate until there are so many bytes, or the member ends."""
+            nonlocal data, fresh
+            parts, have = [data], len(data)
+            while have < least and not unpack.eof:
+                if not fresh and not (fresh := f.read(1 << 16)):
+                    raise ValueError("a gzip member is cut short")
+                parts.append(got := unpack.decompress(fresh, max(HEAD_BYTES, least - have)))
+                have += len(got)
+                fresh = unpack.unconsumed_tail
+            data = b"".join(parts)
+
         while True:
-            end_of_block = k + 4 + int(headers["content-length"])
-            if use:
-                yield row, data[k + 4 : end_of_block]
-            start = end_of_block + 4
-            if not data[start : start + HEAD_BYTES].strip(b"\r\n"):
+            more(4)
+            while (k := data.find(b"\r\n\r\n")) < 0 and not unpack.eof:
+                more(len(data) + HEAD_BYTES)
+            if k < 0:
+                if data.strip(b"\r\n"):
+                    raise ValueError("a record's headers don't end")
+                break
+            headers = _parse_head(data[:k])
+            length = _length(headers)
+            if wanted(row := _columns(headers)):
+                more(k + 4 + (length if whole else min(length, HEAD_BYTES)))
+                block = data[k + 4 : k + 4 + length]
+                if len(block) < (length if whole else min(length, HEAD_BYTES)):
+                    raise ValueError("a record is cut short")
+                yield row, block, length
+            if size:
                 break
-            if (k := data.find(b"\r\n\r\n", start)) < 0:
-                raise ValueError("a record's headers don't end")
-            headers = _parse_head(data[start:k])
-            use = wanted(row := _columns(headers))
-        at = f.tell() - len(unpack.unused_data)
+            left = k + 4 + length + 4
+            while len(data) < left and not unpack.eof:
+                left -= len(data)
+                data = b""
+                more(min(left, 1 << 20))
+            data = data[left:]
+        if size:
+            at += size
+        else:
+            while not unpack.eof:
+                data = b""
+                more(1 << 20)
+            at = f.tell() - len(unpack.unused_data)
 
 
 def _matches(row: dict, filters: list[tuple[str, str, object]]) -> bool:
@@ -171,10 +198,15 @@ class Files(InputPartition):
 
 
 class Reader(DataSourceReader):
-    """Options: path; payload = "full", "digest" (digest and length computed from what is read, no bytes) or "none"."""
+    """Options: path; payload = "full", "digest" (digest and length computed from what is read, no bytes) or "none" (the
+    length that headers state; no payload is read or inflated whole); mode = "fail", where a malformed record or one
+    without a length ends the job, or "permissive", where it gives one row with nothing but ``error``, and the rest of its
+    file is given up."""
 
     def __init__(self, options: dict[str, str]):
-        self.path, self.payload, self.filters = options["path"], options.get("payload", "full"), []
+        self.path, self.payload, self.mode, self.filters = options["path"], options.get("payload", "full"), options.get("mode", "fail"), []
+        if self.mode not in ("fail", "permissive"):
+            raise ValueError("mode must be fail or permissive")
         if self.payload not in ("full", "digest", "none"):
             raise ValueError("payload must be full, digest or none")
 
@@ -217,31 +249,41 @@ class Reader(DataSourceReader):
 
     def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
         """Without any file Spark asks once, with no partition."""
-        # A response's payload is needed in two of the modes; revisits carry the length of what they refer to.
         rows: list[dict] = []
         held = 0
         for path in partition.paths if partition else []:
-            with storage.open_file(path) as f:
-                f.seek(0)
-                packed = f.read(2) == b"\x1f\x8b"
-                for row, block in (_packed_records if packed else _plain_records)(f, lambda r: _matches(r, self.filters)):
-                    head, _, payload = block.partition(b"\r\n\r\n") if block[:5] == b"HTTP/" else (b"", b"", block)
-                    declared = [h.partition(b":")[2] for h in head.split(b"\r\n") if h.lower().startswith(b"content-length:")]
-                    if row["record_type"] == "revisit":
-                        row["payload_length"], payload = int(declared[0]) if declared else None, None
-                    else:
-                        row["payload_length"] = len(payload)
-                        if self.payload == "digest":
-                            row["payload_digest"] = digest_of(payload)
-                    row["payload"] = payload if self.payload == "full" else None
-                    rows.append(row)
-                    held += len(row["payload"] or b"") + 300
-                    if held >= BATCH_BYTES:
-                        yield pa.RecordBatch.from_pylist(rows, schema=_FIELDS)
-                        rows, held = [], 0
+            try:
+                with storage.open_file(path) as f:
+                    f.seek(0)
+                    records = _packed_records if f.read(2) == b"\x1f\x8b" else _plain_records
+                    for row, block, length in records(f, lambda r: _matches(r, self.filters), self.payload != "none"):
+                        rows.append(self._row(row, block, length))
+                        held += len(row["payload"] or b"") + 300
+                        if held >= BATCH_BYTES:
+                            yield pa.RecordBatch.from_pylist(rows, schema=_FIELDS)
+                            rows, held = [], 0
+            except (ValueError, zlib.error) as e:
+                if self.mode == "fail":
+                    raise ValueError(f"{path}: {e}") from e
+                rows.append({"error": f"{path}: {e}"})
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_FIELDS)
 
+    def _row(self, row: dict, block: bytes, length: int) -> dict:
+        """A response's payload follows the HTTP head; a revisit has the length of what it refers to in its head."""
+        head, gap, payload = block.partition(b"\r\n\r\n") if block[:5] == b"HTTP/" else (b"", b"", block)
+        declared = [h.partition(b":")[2].strip() for h in head.split(b"\r\n") if h.lower().startswith(b"content-length:")]
+        row["payload"] = None
+        if row["record_type"] == "revisit":
+            row["payload_length"] = int(declared[0]) if declared and declared[0].isdigit() else None
+            return row
+        row["payload_length"] = length - len(head) - len(gap)
+        if self.payload == "digest":
+            row["payload_digest"] = digest_of(payload)
+        elif self.payload == "full":
+            row["payload"] = payload
+        return row
+
 
 @dataclass
 class Written(WriterCommitMessage):
@@ -295,9 +337,9 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
-def read(spark: SparkSession, path: str, payload: str = "full") -> DataFrame:
+def read(spark: SparkSession, path: str, payload: str = "full", mode: str = "fail") -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", payload).load(path)
+    return spark.read.format("warc").option("payload", payload).option("mode", mode).load(path)
 
 
 def _base32(hexadecimal: F.Column) -> F.Column:
@@ -333,6 +375,7 @@ def archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         F.when(again, name("first")).alias("refers_to"),
         F.octet_length("payload").cast("long").alias("payload_length"),
         "payload",
+        F.lit(None).cast("string").alias("error"),
     )
     records.write.format("warc").mode("append").save(path)
 
