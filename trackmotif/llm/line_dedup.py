@@ -16,6 +16,12 @@ from trackmotif.session import materialise
 RATIO, MIN_PAGES, BROADCAST_BYTES = 0.01, 5, 8 << 20
 
 
+def host_of(url: Column) -> Column:
+    """The host of a URL in lower case, without user, port and a leading www; null where there is none."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^www\.", "")
+    return F.when(host != "", host)
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -30,7 +36,7 @@ def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio:
     return common.groupBy("host").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: tuple[str, str] | None = None) -> DataFrame:
+def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: tuple[str, str] | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with its text rid of boilerplate lines; with ``counts``, also columns of these names: lines, and lines dropped.
 
     Blank lines are neither counted nor dropped. Null texts stay null and have 0 lines; rows whose lines all go keep an
@@ -41,7 +47,7 @@ def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", ra
         prefix = "_" + prefix
     found = materialise(boilerplate(df, host, text, ratio, min_pages), "boilerplate").select(F.col("host").alias(f"{prefix}h"), F.col("lines").alias(f"{prefix}l"))
     size = found.agg(F.sum(64 + F.coalesce(F.octet_length(f"{prefix}h"), F.lit(0)) + 8 * F.size(f"{prefix}l"))).first()[0] or 0
-    joined = df.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, F.col(host).eqNullSafe(F.col(f"{prefix}h")), "left")
+    joined = df.join(F.broadcast(found) if size <= broadcast_bytes else found.hint("merge"), F.col(host).eqNullSafe(F.col(f"{prefix}h")), "left")
     bad = lambda x: (F.trim(x) != "") & F.array_contains(f"{prefix}l", F.xxhash64(x))
     lines = _lines(F.col(text))
     some = F.exists(lines, bad)
