@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trackmotif.functions import vec
-from trackmotif.operators import graph, nms, patterns, thresholds, windows
+from trackmotif.operators import graph, nms, patterns, ranking, thresholds, windows
 from trackmotif.plans import bindings, pattern_queries
 from trackmotif.sources import text
 
@@ -70,9 +70,34 @@ def test_leiden_finds_planted_groups(spark):
 
 
 def test_vetoed_merges():
-    pairs = [(0, 1, 0.95, 0.9), (1, 2, 0.92, 0.9), (0, 2, 0.1, 0.0)]
+    pairs = [(0, 1, 0.95, 0.9, 0.9), (0, 2, 0.1, 0.0, 0.0), (1, 2, 0.92, 0.9, 0.9)]
     assert patterns.merges(pairs, [(0.8, 0.8)], [(0.4, 0.75)]) == [(0, 1)]
     assert patterns.merges(pairs, [(0.8, 0.8)], []) == [(0, 1), (1, 2)]
+    # The veto looks at the mean of both contaminations, the threshold at the lesser.
+    pairs = [(0, 1, 0.95, 0.9, 0.9), (0, 2, 0.7, 0.3, 0.5), (1, 2, 0.92, 0.9, 0.9)]
+    assert patterns.merges(pairs, [(0.8, 0.8)], [(0.4, 0.75)]) == [(0, 1), (1, 2)]
+    assert patterns.merges([(0, 1, 0.95, 0.5, 0.9)], [(0.8, 0.8)], []) == []
+
+
+def test_rows_are_numbered_without_gaps(spark):
+    rows = spark.range(2_000_000).where("id % 7 <> 0").select("id", F.concat(F.lit("name "), "id").alias("name"), (F.col("id") % 3).alias("k"))
+    out = ranking.numbered(rows, "id")
+    r = out.agg(F.count("*").alias("n"), F.countDistinct("row_idx").alias("d"), F.max("row_idx").alias("m")).first()
+    assert r.n == r.d == r.m + 1 == 1_714_285
+    assert out.where("row_idx <> id - 1 - id div 7").count() == 0 and out.columns == [*rows.columns, "row_idx"]
+
+
+def test_ranks_and_quantiles(spark):
+    rng = np.random.RandomState(4)
+    rows = [(f"g{k % 3}" if k % 5 else None, float(v)) for k, v in enumerate(np.round(rng.normal(size=3000), 1))] + [("g0", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    found = ranking.quantiles(df, "v", [0.0, 0.1, 0.5, 0.97, 1.0], "g")
+    for g in ("g0", "g1", "g2", None):
+        own = [v for k, v in rows if k == g and v is not None]
+        assert found[g][0] == len(own) and np.allclose(found[g][1], np.percentile(own, [0, 10, 50, 97, 100]))
+    every = sorted(v for _, v in rows if v is not None)
+    assert ranking.at_ranks(df.where("v is not null").select("v"), "v", {None: [0, 7, 2999, 3000]}) == {None: {0: every[0], 7: every[7], 2999: every[2999]}}
+    assert ranking.quantiles(df.limit(0), "v", [0.5]) == {}
 
 
 def test_thresholds_of_a_planted_signal(spark):

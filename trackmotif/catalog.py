@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackmotif.plans import pattern_queries, similarity_queries, window_queries
+from trackmotif.plans import discovery_queries, pattern_queries, similarity_queries, window_queries
 
-GROUPS = (window_queries.QUERIES, similarity_queries.QUERIES, pattern_queries.QUERIES)
+GROUPS = (window_queries.QUERIES, similarity_queries.QUERIES, pattern_queries.QUERIES, discovery_queries.QUERIES)
 
 
 def flagship(spark, sf_dir):

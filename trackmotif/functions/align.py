@@ -1,41 +1,10 @@
-"""Sliding similarities of one tensor over another that is padded with zeros."""
+"""How far one tensor may slide over another that is padded with zeros; the sliding itself is in the numpy kernels."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from trackmotif.functions import vec
-
 
 def padding(length: int, min_overlap: float, rounding: str = "ceil") -> int:
     """Positions added on each side; alignments round up, neighbour searches down."""
     return int(math.ceil(length * (1 - min_overlap)) if rounding == "ceil" else length * (1 - min_overlap))
-
-
-def pad(flat: Column, positions: int, channels: int) -> Column:
-    zeros = F.array_repeat(F.lit(0.0), positions * channels)
-    return F.concat(zeros, flat, zeros)
-
-
-def offsets(query: Column, target: Column, length: int, channels: int, positions: int, metric: str) -> Column:
-    """score and offset (of the query on the unpadded target) at every place, flat arrays of equal length."""
-    padded = pad(target, positions, channels)
-    of = {"jaccard": vec.jaccard, "cosine": vec.cosine}[metric]
-    place = F.sequence(F.lit(0), F.lit(2 * positions))
-    return F.transform(place, lambda k: F.struct(of(query, F.slice(padded, k * channels + 1, F.lit(length * channels))).alias("score"), (k - positions).alias("offset")))
-
-
-def best(found: Column) -> Column:
-    """The best score, at its first offset."""
-    start = F.struct(F.lit(-2.0).alias("score"), F.lit(0).alias("offset"))
-    return F.aggregate(found, start, lambda s, x: F.when(x["score"] > s["score"], x).otherwise(s))
-
-
-def best_of_strands(forward: Column, reverse: Column) -> Column:
-    """score, offset and is_revcomp; the reverse strand only where it is strictly better."""
-    return F.when(reverse["score"] > forward["score"], F.struct(reverse["score"].alias("score"), reverse["offset"].alias("offset"), F.lit(True).alias("is_revcomp"))).otherwise(
-        F.struct(forward["score"].alias("score"), forward["offset"].alias("offset"), F.lit(False).alias("is_revcomp"))
-    )

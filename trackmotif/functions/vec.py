@@ -13,6 +13,11 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, though it stands in a function of an array's elements."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def reshape(flat: Column, width: int = 4) -> Column:
     """A flat array as rows of ``width``; what is left over goes."""
     rows = F.floor(F.size(flat) / width).cast("int")
@@ -48,15 +53,14 @@ def centred_crop(values: Column, width: int) -> Column:
 def l1(values: Column) -> Column:
     """Divided by the sum of magnitudes; unchanged where that is zero."""
     size = F.aggregate(values, F.lit(0.0), lambda s, x: s + F.abs(x))
-    return F.when(size == 0, values).otherwise(F.transform(values, lambda x: F.try_divide(x, size)))
+    return bound(size, lambda n: F.when(n == 0, values).otherwise(F.transform(values, lambda x: F.try_divide(x, n))))
 
 
 def centred_l2(values: Column) -> Column:
     """Mean taken off, then divided by the Euclidean length plus 1e-7."""
-    mean = total(values) / F.size(values)
-    moved = F.transform(values, lambda x: x - mean)
-    length = F.sqrt(F.aggregate(moved, F.lit(0.0), lambda s, x: s + x * x)) + F.lit(1e-7)
-    return F.transform(moved, lambda x: x / length)
+    moved = bound(total(values) / F.size(values), lambda mean: F.transform(values, lambda x: x - mean))
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)) + F.lit(1e-7)
+    return bound(moved, lambda v: bound(length(v), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def flatten(tensor: Column) -> Column:
@@ -80,9 +84,8 @@ def cosine(x: Column, y: Column) -> Column:
 
 
 def softmax(row: Column) -> Column:
-    high = F.array_max(row)
-    powers = F.transform(row, lambda x: F.exp(x - high))
-    return F.transform(powers, lambda x: x / total(powers))
+    powers = bound(F.array_max(row), lambda high: F.transform(row, lambda x: F.exp(x - high)))
+    return bound(powers, lambda p: bound(total(p), lambda n: F.transform(p, lambda x: x / n)))
 
 
 def information(ppm: Column, background: list[float], pseudocount: float = 0.001, renormalise: bool = True) -> Column:

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackmotif.session import materialise, ship_package
+
 EPS = 1e-7
 
 
@@ -24,41 +29,45 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return real.unionByName(real.select(F.col("j").alias("i"), F.col("i").alias("j"), "d")).groupBy("i", "j").agg(F.avg("d").alias("d"))
 
 
-def precision_of(distances: Column, perplexity: float, with_self: bool = True, steps: int = 100) -> Column:
-    """beta for which the entropy of exp(-d * beta) is ln(perplexity); the point itself counts one where ``with_self``.
+def precision(distances: np.ndarray, perplexity: float, own: float = 1.0, steps: int = 100) -> float:
+    """beta for which the entropy of exp(-d * beta) is ln(perplexity), where the point itself counts ``own``."""
+    low, high, beta, goal = -math.inf, math.inf, 1.0, math.log(perplexity)
+    for _ in range(steps):
+        e = np.exp(-distances * beta)
+        total = max(own + e.sum(), 1e-8)
+        gap = math.log(total) + beta * float(distances @ e) / total - goal
+        if abs(gap) <= 1e-5:
+            break
+        low, high = (beta, high) if gap > 0 else (low, beta)
+        beta = (low + high) / 2 if math.isfinite(low + high) else beta * 2 if gap > 0 else beta / 2
+    return beta
+
 
-    A bisection in one expression: it doubles or halves until both bounds are known.
-    """
-    state = F.struct(F.lit(1.0).alias("beta"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(False).alias("done"))
-    own = 1.0 if with_self else 0.0
-
-    def step(s: Column, _: Column) -> Column:
-        sums = F.aggregate(
-            distances,
-            F.struct(F.lit(own).alias("p"), F.lit(0.0).alias("dp")),
-            lambda a, d: F.struct((a["p"] + F.exp(-d * s["beta"])).alias("p"), (a["dp"] + d * F.exp(-d * s["beta"])).alias("dp")),
-        )
-        p = F.greatest(sums["p"], F.lit(1e-8))
-        gap = F.log(p) + s["beta"] * sums["dp"] / p - math.log(perplexity)
-        flat = gap > 0
-        beta = F.when(flat, F.when(s["high"] == float("inf"), s["beta"] * 2).otherwise((s["beta"] + s["high"]) / 2)).otherwise(F.when(s["low"] == float("-inf"), s["beta"] / 2).otherwise((s["beta"] + s["low"]) / 2))
-        moved = F.struct(beta.alias("beta"), F.when(flat, s["beta"]).otherwise(s["low"]).alias("low"), F.when(flat, s["high"]).otherwise(s["beta"]).alias("high"), F.lit(False).alias("done"))
-        stay = F.struct(s["beta"].alias("beta"), s["low"].alias("low"), s["high"].alias("high"), F.lit(True).alias("done"))
-        return F.when(s["done"] | (F.abs(gap) <= 1e-5), stay).otherwise(moved)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state, step)["beta"]
+def _precisions(ds: Column, perplexity: float, own: float) -> Column:
+    """beta, and the sum of exp(-d / beta), of an array of distances."""
+
+    @F.arrow_udf("struct<beta:double,inverse:double>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in batches:
+            each = [row.values.to_numpy(zero_copy_only=False) for row in rows]
+            betas = [precision(d, perplexity, own) for d in each]
+            sums = [float(np.exp(-d / b).sum()) for d, b in zip(each, betas, strict=True)]
+            yield pa.StructArray.from_arrays([pa.array(betas, pa.float64()), pa.array(sums, pa.float64())], ["beta", "inverse"])
+
+    return found(ds)
 
 
 def precisions(edges: DataFrame, perplexity: float) -> DataFrame:
     """i, beta, norm of each row of symmetric distances. The kernel that follows divides by beta."""
+    ship_package(edges.sparkSession)
     rows = edges.groupBy("i").agg(F.array_sort(F.collect_list("d")).alias("ds"))
-    rows = rows.select("i", "ds", precision_of(F.col("ds"), perplexity).alias("beta"))
-    return rows.select("i", "beta", (F.aggregate("ds", F.lit(0.0), lambda s, d: s + F.exp(-d / F.col("beta"))) + 1).alias("norm"))
+    rows = rows.select("i", _precisions(F.col("ds"), perplexity, 1.0).alias("x"))
+    return rows.select("i", "x.beta", (F.col("x.inverse") + 1).alias("norm"))
 
 
 def density_adapted(edges: DataFrame, perplexity: float = 10.0) -> DataFrame:
     """i, j, w of a graph whose kernels fit each row's density, with 1 / norm on the diagonal."""
-    found = precisions(edges, perplexity)
+    found = materialise(precisions(edges, perplexity), "precisions")
     a, b = found.select("i", F.col("beta").alias("bi"), F.col("norm").alias("ni")), found.select(F.col("i").alias("j"), F.col("beta").alias("bj"), F.col("norm").alias("nj"))
     both = edges.join(a, "i").join(b, "j")
     w = F.sqrt(F.exp(-F.col("d") / F.col("bi")) / F.col("ni") * F.exp(-F.col("d") / F.col("bj")) / F.col("nj"))
@@ -67,12 +76,13 @@ def density_adapted(edges: DataFrame, perplexity: float = 10.0) -> DataFrame:
 
 
 def conditional(edges: DataFrame, perplexity: float) -> DataFrame:
-    """i, j, p: each row's shares of exp(-d * beta), the point itself not counted."""
+    """i, j, p: each row's shares of exp(-d * beta), the point itself not counted. A perplexity above a row's number of
+    neighbours can't be reached; the search then ends with the flattest shares it has met."""
+    ship_package(edges.sparkSession)
     rows = edges.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("d", "j"))).alias("e"))
-    ds = F.transform("e", lambda x: x["d"])
-    rows = rows.select("i", "e", precision_of(ds, perplexity, with_self=False).alias("beta"))
-    parts = rows.select("i", F.explode(F.transform("e", lambda x: F.struct(x["j"].alias("j"), F.exp(-x["d"] * F.col("beta")).alias("k")))).alias("x"), F.aggregate("e", F.lit(0.0), lambda s, x: s + F.exp(-x["d"] * F.col("beta"))).alias("sum"))
-    return parts.select("i", "x.j", (F.col("x.k") / F.greatest("sum", F.lit(1e-8))).alias("p"))
+    rows = rows.select("i", "e", _precisions(F.transform("e", lambda x: x["d"]), perplexity, 0.0).alias("x"))
+    rows = rows.select("i", F.explode("e").alias("e"), "x.beta", F.aggregate("e", F.lit(0.0), lambda s, x: s + F.exp(-x["d"] * F.col("x.beta"))).alias("sum"))
+    return rows.select("i", "e.j", (F.exp(-F.col("e.d") * F.col("beta")) / F.greatest("sum", F.lit(1e-8))).alias("p"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -123,7 +133,7 @@ def _moved(g: _Graph, label: np.ndarray, rng: np.random.RandomState, within: np.
     label = label.copy()
     weight = np.bincount(label, g.degree, g.n)
     members = np.bincount(label, minlength=g.n)
-    queue = list(rng.permutation(g.n))
+    queue = deque(rng.permutation(g.n))
     waiting = np.ones(g.n, bool)
     while queue:
         v = queue.pop()
@@ -152,7 +162,7 @@ def _moved(g: _Graph, label: np.ndarray, rng: np.random.RandomState, within: np.
                 for u in to[label[to] != best].tolist():
                     if not waiting[u]:
                         waiting[u] = True
-                        queue.insert(0, u)
+                        queue.appendleft(u)
     return np.unique(label, return_inverse=True)[1]
 
 
@@ -188,21 +198,29 @@ def leiden(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, seed: int) -> tu
 def communities(edges: DataFrame, group: str | None = None, seeds: int = 2) -> DataFrame:
     """(group,) id, label, q: the best of ``seeds`` runs for each group of edges.
 
-    Seeds are tried in parallel, a group and seed in one task: a metacluster's graph has a bounded number of nodes
-    (``max_seqlets_per_metacluster``) with at most two times ``nearest_neighbors`` edges each, which is what has to fit.
+    A group's edges are packed into one row of arrays, which goes to each seed's task; a metacluster's graph has a bounded
+    number of nodes (``max_seqlets``) with at most two times ``neighbours`` edges each, which is what has to fit.
     """
+    ship_package(edges.sparkSession)
     name = group or "_g"
     rows = edges.withColumn("_g", F.lit(0)) if group is None else edges
     kind = rows.schema[name].dataType.simpleString()
-    seeded = rows.select(name, "i", "j", "w", F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("seed"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([part.i.to_numpy(), part.j.to_numpy()]))
-        part = part.sort_values(["i", "j"])
-        label, q = leiden(len(ids), np.searchsorted(ids, part.i), np.searchsorted(ids, part.j), part.w.to_numpy(), int(part.seed.iloc[0]) * 100)
-        return pd.DataFrame({name: part[name].iloc[0], "seed": part.seed.iloc[0], "q": q, "id": ids, "label": label})
-
-    found = seeded.groupBy(name, "seed").applyInPandas(run, f"{name} {kind}, seed int, q double, id long, label long")
+    order = F.array_sort(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("w").cast("double").alias("w"))))
+    packed = rows.groupBy(name).agg(order.alias("e"))
+    tasks = materialise(packed, "edges").withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds)))).repartition(seeds * 4, name, "seed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                e = batch.column("e")[k].values
+                i, j, w = (e.field(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "w"))
+                ids = np.unique(np.concatenate([i, j]))
+                seed = batch.column("seed")[k].as_py()
+                label, q = leiden(len(ids), np.searchsorted(ids, i), np.searchsorted(ids, j), w, seed * 100)
+                one = batch.column(name).slice(k, 1)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([one] * len(ids)), pa.array(np.full(len(ids), seed), pa.int32()), pa.array(np.full(len(ids), q)), pa.array(ids), pa.array(label)], names=[name, "seed", "q", "id", "label"])
+
+    found = materialise(tasks.mapInArrow(run, f"{name} {kind}, seed int, q double, id long, label long"), "communities")
     best = found.groupBy(name).agg(F.max(F.struct(F.col("q"), (-F.col("seed")).alias("s"))).alias("b")).select(name, F.col("b.q").alias("bq"), (-F.col("b.s")).alias("bs"))
     out = found.join(F.broadcast(best), name).where((F.col("q") == F.col("bq")) & (F.col("seed") == F.col("bs"))).select(name, "id", "label", "q")
     return out if group else out.drop("_g")

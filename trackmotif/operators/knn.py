@@ -16,7 +16,8 @@ def sparse_dot(a: DataFrame, b: DataFrame, key: str, word: str = "word", value:
     """i, j, dot of every pair of rows with a word in common.
 
     A sort-merge join on the word and a sum that starts before the shuffle by pair. Rows hold at most a fixed number of
-    words each; AQE splits words that many rows have.
+    words each; a word that n rows have makes n * n products, so that the rows a call may have (``max_seqlets`` of a sign
+    in discovery) are what bounds it. AQE splits words that many rows have.
     """
     left = a.select(F.col(key).alias("i"), word, F.col(value).alias("_a"))
     right = b.select(F.col(key).alias("j"), word, F.col(value).alias("_b"))
@@ -36,13 +37,17 @@ def top_k(pairs: DataFrame, k: int, score: Column | str = "sim") -> DataFrame:
     return pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def filled(pairs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``top_k`` where rows short of k pairs are filled with the smallest other ids at similarity 0."""
-    first = ids.select(F.col("id").alias("j")).orderBy("j").limit(2 * k)
-    least = pairs.groupBy("i").agg(F.count("*").alias("n"))
-    short = ids.select(F.col("id").alias("i")).join(least, "i", "left").where(F.coalesce("n", F.lit(0)) < k).select("i")
-    fill = short.crossJoin(F.broadcast(first)).join(pairs.select("i", "j"), ["i", "j"], "left_anti").withColumn("sim", F.lit(0.0))
-    return top_k(pairs.select("i", "j", "sim").unionByName(fill.select("i", "j", "sim")), k)
+def filled(pairs: DataFrame, ids: DataFrame, k: int, group: str) -> DataFrame:
+    """group, i, j, sim, rank: ``pairs`` (group, i, j, sim) that are above 0, and for rows short of k of these the group's
+    smallest other ids at similarity 0. ``ids`` has (group, id)."""
+    real = pairs.where(F.col("sim") > 0).select(group, "i", "j", "sim")
+    place = F.row_number().over(Window.partitionBy(group).orderBy("id"))
+    first = ids.withColumn("_n", place).where(F.col("_n") <= k).select(group, F.col("id").alias("j"))
+    had = real.groupBy(group, "i").agg(F.count("*").alias("_n"))
+    short = ids.select(group, F.col("id").alias("i")).join(had, [group, "i"], "left").where(F.coalesce("_n", F.lit(0)) < k).select(group, "i")
+    fill = short.join(first, group).join(real.select(group, "i", "j"), [group, "i", "j"], "left_anti").withColumn("sim", F.lit(0.0))
+    rank = F.row_number().over(Window.partitionBy(group, "i").orderBy(F.desc(F.round("sim", 12)), "j"))
+    return real.unionByName(fill).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
 def spearman(pairs: DataFrame, x: str, y: str, by: str = "i") -> DataFrame:

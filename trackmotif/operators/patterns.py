@@ -73,20 +73,22 @@ def first_of(members: DataFrame, pattern: str, order: str, cap: int) -> DataFram
     return members.withColumn("_k", F.row_number().over(Window.partitionBy(pattern).orderBy(order))).where(F.col("_k") <= cap).drop("_k")
 
 
-def merges(pairs: list[tuple[int, int, float, float]], thresholds: list[tuple[float, float]], vetoes: list[tuple[float, float]]) -> list[tuple[int, int]]:
-    """Pairs (i, j) of patterns to merge, from (i, j, similarity, contamination) rows of i < j, the most similar first.
+def merges(pairs: list[tuple[int, int, float, float, float]], thresholds: list[tuple[float, float]], vetoes: list[tuple[float, float]]) -> list[tuple[int, int]]:
+    """Pairs (i, j) of patterns to merge, from rows (i, j, similarity, least and mean contamination) of i < j, the most
+    similar first.
 
-    A pair is merged if some threshold (contamination, similarity) is reached by both its numbers, unless a pair across the
-    sets of patterns already merged with either falls below a veto.
+    A pair is merged if its similarity and least contamination both reach some threshold (contamination, similarity),
+    unless a pair across the sets of patterns already merged with either has a mean contamination and a similarity that
+    are both at or below a veto.
     """
-    score = {(i, j): (s, c) for i, j, s, c in pairs}
+    score = {(i, j): (s, mean) for i, j, s, _, mean in pairs}
     partners: dict[int, set[int]] = {}
     out = []
-    for i, j, s, c in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
-        if not any(c >= t and s >= u for t, u in thresholds):
+    for i, j, s, least, _ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if not any(least >= t and s >= u for t, u in thresholds):
             continue
         union = partners.get(i, {i}) | partners.get(j, {j})
-        across = [score[min(a, b), max(a, b)] for a in union for b in union if a < b and (a, b) in score]
+        across = [score[a, b] for a in union for b in union if a < b and (a, b) in score]
         if any(y <= t and x <= u for x, y in across for t, u in vetoes):
             continue
         for k in union:

@@ -9,6 +9,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trackmotif.operators import ranking
+
 LEVELS = [k / 20 for k in range(1, 20)]
 
 
@@ -39,13 +41,13 @@ def two_level_mode(df: DataFrame, value: str, bins: int = 1000) -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: str, levels: list[float] = LEVELS) -> DataFrame:
-    """level, q: linear interpolation between the two nearest values, exact."""
-    found = df.agg(F.percentile(value, F.array(*map(F.lit, levels))).alias("q"))
-    return found.select(F.posexplode("q").alias("k", "q")).select(F.get(F.array(*map(F.lit, levels)), F.col("k")).alias("level"), "q")
+    """level, q: linear interpolation between the two nearest values, exact; found by a range sort (see ranking)."""
+    found = ranking.quantiles(df, value, levels)
+    return df.sparkSession.createDataFrame(list(zip(levels, found[None][1], strict=True)) if found else [], "level double, q double")
 
 
 def laplace_rates(df: DataFrame, value: str, mu: DataFrame, levels: list[float] = LEVELS) -> DataFrame:
-    """mu, and on each side of it the largest of -ln(1 - level) / |q - mu| over the side's percentiles."""
+    """mu (one row), and on each side of it the largest of -ln(1 - level) / |q - mu| over the side's percentiles."""
     own = df.select(value).crossJoin(F.broadcast(mu))
     above = percentiles(own.where(F.col(value) >= F.col("mu")), value, levels).select("level", F.col("q").alias("up"))
     below = percentiles(own.where(F.col(value) <= F.col("mu")).select((-F.col(value)).alias(value)), value, levels).select("level", (-F.col("q")).alias("down"))
@@ -55,9 +57,8 @@ def laplace_rates(df: DataFrame, value: str, mu: DataFrame, levels: list[float]
 
 
 def laplace_draws(mu: float, up: float, down: float, share_up: float, count: int = 10_000, seed: int = 1234) -> np.ndarray:
-    """Inverse-CDF draws from the null: above mu with probability ``share_up``."""
-    rng = np.random.RandomState(seed)
-    side, u = rng.uniform(size=count), rng.uniform(size=count)
+    """Inverse-CDF draws from the null, two uniforms each: above mu with probability ``share_up``, and how far."""
+    side, u = np.random.RandomState(seed).uniform(size=(count, 2)).T
     size = -np.log(1 - u)
     return np.where(side < share_up, mu + size / up, mu - size / down)
 
@@ -105,10 +106,12 @@ def pool_adjacent(values: np.ndarray, labels: np.ndarray, weights: np.ndarray, i
 
 def refined(df: DataFrame, value: str, high: float, low: float, least: float = 0.03, most: float = 0.2) -> DataFrame:
     """The thresholds, made symmetric at a percentile of magnitudes where too few or too many windows pass."""
-    passing = F.avg(((F.col(value) >= high) | (F.col(value) <= low)).cast("double"))
-    stats = df.agg(passing.alias("share"), F.percentile(F.abs(value), F.array(F.lit(1 - least), F.lit(1 - most))).alias("q"))
-    bound = F.when(F.col("share") < least, F.get("q", F.lit(0))).when(F.col("share") > most, F.get("q", F.lit(1)))
-    return stats.select("share", F.coalesce(bound, F.lit(high)).alias("high"), F.coalesce(-bound, F.lit(low)).alias("low"))
+    share = df.agg(F.avg(((F.col(value) >= high) | (F.col(value) <= low)).cast("double"))).first()[0]
+    bound = None
+    if share is not None and not least <= share <= most:
+        bound = ranking.quantiles(df.select(F.abs(value).alias("m")), "m", [1 - least if share < least else 1 - most])[None][1][0]
+    row = (share, high, low) if bound is None else (share, bound, -bound)
+    return df.sparkSession.createDataFrame([row], "share double, high double, low double")
 
 
 def signed_ecdf(df: DataFrame, value: str, thresholds: list[float]) -> DataFrame:
@@ -119,11 +122,9 @@ def signed_ecdf(df: DataFrame, value: str, thresholds: list[float]) -> DataFrame
 
 
 def order_statistic(df: DataFrame, value: str, q: float) -> DataFrame:
-    """The magnitude with rank int(q * n) from 0, as one row; sorted by ranges, and only partition counts are summed up."""
-    n = df.where(F.col(value).isNotNull()).count()
-    rank = min(n - 1, int(q * n))
-    ordered = df.where(F.col(value).isNotNull()).select(F.abs(value).alias("magnitude")).orderBy("magnitude")
-    return ordered.offset(rank).limit(1).select(F.lit(rank).cast("long").alias("rank"), "magnitude")
+    """The magnitude with rank int(q * n) from 0, as one row; nothing if there are no values."""
+    found = ranking.at_ranks(df.where(F.col(value).isNotNull()).select(F.abs(value).alias("magnitude")), "magnitude", lambda _, n: [min(n - 1, int(q * n))])
+    return df.sparkSession.createDataFrame(list(found[None].items()), "rank long, magnitude double")
 
 
 def sampled(df: DataFrame, value: str, cap: int, seed: int) -> DataFrame:
@@ -132,7 +133,7 @@ def sampled(df: DataFrame, value: str, cap: int, seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64(*keys, F.lit(seed))).limit(cap).select(value)
 
 
-def thresholds(df: DataFrame, value: str = "total", fdr: float = 0.2, cap: int = 1_000_000, weak: float = 0.8, seed: int = 1234) -> dict[str, float]:
+def thresholds(df: DataFrame, value: str = "total", fdr: float = 0.2, cap: int = 1_000_000, weak: float = 0.8, seed: int = 1234, least: float = 0.03, most: float = 0.2) -> dict[str, float]:
     """high, low and sign (weak) thresholds of smoothed values; only scalars and samples of at most ``cap`` reach the driver."""
     spark: SparkSession = df.sparkSession
     mu = two_level_mode(df, value).first()["mu"]
@@ -145,7 +146,7 @@ def thresholds(df: DataFrame, value: str = "total", fdr: float = 0.2, cap: int =
     pos, neg = values[values >= 0], values[values < 0][::-1]
     high = precision_threshold(pos, null[null >= 0], True, fdr) if len(pos) else math.inf
     low = precision_threshold(neg, null[null < 0], False, fdr) if len(neg) else -math.inf
-    r = refined(df, value, high, low).first()
+    r = refined(df, value, high, low, least, most).first()
     ecdf = {x.threshold: x.ecdf for x in signed_ecdf(df, value, [r.high, r.low]).collect()}
     q = max(0.0, min(min(abs(e) for e in ecdf.values()) - 0.0001, weak))
     return {"high": r.high, "low": r.low, "sign": order_statistic(df, value, q).first()["magnitude"]}

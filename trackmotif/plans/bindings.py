@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackmotif.functions import vec
+from trackmotif.operators.ranking import quantiles
 from trackmotif.session import table
 
 WINDOW = 5
@@ -38,9 +39,9 @@ def long(df: DataFrame, tensor: str, name: str, *keep: str) -> DataFrame:
 
 
 def v_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, pos, value. The median is one row that is broadcast."""
+    """user_id, pos, value."""
     events = table(spark, sf_dir, "events")
-    middle = events.agg(F.percentile("value", F.lit(0.5)).alias("m"))
+    middle = quantiles(events, "value", [0.5])[None][1][0]
     order = Window.partitionBy("user_id").orderBy("event_id")
     rows = events.select("user_id", (F.row_number().over(order) - 1).cast("long").alias("pos"), "value")
-    return rows.crossJoin(F.broadcast(middle)).select("user_id", "pos", (F.col("value") - F.col("m")).alias("value"))
+    return rows.select("user_id", "pos", (F.col("value") - F.lit(middle)).alias("value"))

@@ -2,15 +2,16 @@
 
 Everything up to the clusters is relational and keyed by sign, so that both signs run as one job. A cluster is folded
 into its pattern in one task; merging is sequential in what it has merged before, so a sign's patterns meet in one task.
-Both are bounded by ``max_seqlets`` seqlets a sign, whose tracks come along. Each stage is written to the shared folder.
+Both are bounded by ``max_seqlets`` seqlets a sign, and each example's tracks come to such a task once. Each stage is
+written to the shared folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from trackmotif.session import materialise, ship_package
 
 SIGNS = {"pos": 1, "neg": -1}
 TENSORS = ("one_hot", "contrib", "hyp")
-COORDINATES = "sign string, cluster long, ord long, example_idx long, start long, end long, is_revcomp boolean"
+COORDINATES = pa.schema([("sign", pa.string()), ("cluster", pa.int64()), ("ord", pa.int64()), ("example_idx", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("is_revcomp", pa.bool_())])
 
 
 def with_contributions(tracks: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def extract(tracks: DataFrame, s: Settings) -> DataFrame:
         raise ValueError("flank must be at least 1")
     scores = tracks.select("example_idx", F.posexplode(vec.row_sums(F.col("contrib"))).alias("pos", "value"))
     smoothed = materialise(windows.sliding_sum(scores, s.window, "example_idx"), "smoothed")
-    t = thresholds.thresholds(smoothed, fdr=s.fdr, weak=s.weak)
+    t = thresholds.thresholds(smoothed, fdr=s.fdr, weak=s.weak, least=s.min_passing, most=s.max_passing)
     radius = int(0.5 * s.window) + s.flank
     picks = nms.pick(windows.candidates(smoothed, t["high"], t["low"], s.flank, "example_idx"), radius, "example_idx")
     core = picks.join(smoothed.select("example_idx", "pos", "total"), ["example_idx", "pos"])
@@ -47,31 +48,36 @@ def extract(tracks: DataFrame, s: Settings) -> DataFrame:
     return kept.select("sign", "ord", "example_idx", (F.col("pos") - s.flank).alias("start"), (F.col("pos") + s.window + s.flank).alias("end"), F.lit(False).alias("is_revcomp"))
 
 
-def _array(x) -> np.ndarray:
-    return np.array([np.asarray(r, float) for r in x])
+def tensors(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """Each row of an array<array<double>> column as (positions, 4)."""
+    rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = rows.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+    ends = np.cumsum(rows.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(flat, ends[:-1]) if len(rows) else []
 
 
 def coarse(found: DataFrame, s: Settings) -> DataFrame:
-    """sign, i, j, rank, sim: neighbours by words in common, on either strand; ids are ``ord``."""
-    kind = "sign string, id long, strand int, word long, value double"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f.itertuples(index=False):
-                hot, hyp = _array(r.one_hot), _array(r.hyp) * SIGNS[r.sign]
-                for strand, (a, b) in enumerate(((hyp * hot, hot), ((hyp * hot)[::-1, ::-1], hot[::-1, ::-1]))):
+    """sign, i, j, rank, sim: neighbours by words in common, on either strand; ids are ``ord``. Rows with too few such
+    neighbours get the smallest other ids at similarity 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sign, ord_, hot, hyp in zip(batch.column("sign").to_pylist(), batch.column("ord").to_pylist(), tensors(batch.column("one_hot")), tensors(batch.column("hyp")), strict=True):
+                own = hyp * hot * SIGNS[sign]
+                for strand, (a, b) in enumerate(((own, hot), (own[::-1, ::-1], hot[::-1, ::-1]))):
                     key, value = words(a, b)
                     norm = np.linalg.norm(value)
                     if norm > 0:
-                        yield pd.DataFrame({"sign": r.sign, "id": r.ord, "strand": strand, "word": key, "value": value / norm})
+                        n = len(key)
+                        yield pa.RecordBatch.from_arrays([pa.array([sign] * n), pa.array([ord_] * n, pa.int64()), pa.array([strand] * n, pa.int32()), pa.array(key), pa.array(value / norm)], names=["sign", "id", "strand", "word", "value"])
 
-    rows = materialise(found.select("sign", "ord", "one_hot", "hyp").mapInPandas(run, kind), "words")
+    rows = materialise(found.select("sign", "ord", "one_hot", "hyp").mapInArrow(run, "sign string, id long, strand int, word long, value double"), "words")
     key = F.struct("sign", "id")
     side = lambda k: rows.where(F.col("strand") == k).select(key.alias("id"), F.struct("sign", "word").alias("word"), "value")
-    forward, reverse = knn.sparse_dot(side(0), side(0), "id"), knn.sparse_dot(side(0), side(1), "id")
-    sims = knn.larger_of(forward, reverse)
+    sims = knn.larger_of(knn.sparse_dot(side(0), side(0), "id"), knn.sparse_dot(side(0), side(1), "id"))
     near = knn.top_k(sims, s.neighbours + 1, F.round("sim", 12))
-    return near.select(F.col("i.sign").alias("sign"), F.col("i.id").alias("i"), F.col("j.id").alias("j"), "rank", "sim")
+    near = near.select(F.col("i.sign").alias("sign"), F.col("i.id").alias("i"), F.col("j.id").alias("j"), "sim")
+    return knn.filled(materialise(near, "near"), found.select("sign", F.col("ord").alias("id")), s.neighbours + 1, "sign")
 
 
 def fine(found: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -81,12 +87,13 @@ def fine(found: DataFrame, pairs: DataFrame) -> DataFrame:
     b = own.select("sign", F.col("ord").alias("j"), F.col("contrib").alias("cj"), F.col("hyp").alias("hj"))
     joined = pairs.join(a, ["sign", "i"]).join(b, ["sign", "j"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            value = [fine_similarity(features(_array(r.cj), _array(r.hj)), features(_array(r.ci), _array(r.hi))) for r in f.itertuples(index=False)]
-            yield f[["sign", "i", "j", "rank", "sim"]].assign(fine=value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = zip(*(tensors(batch.column(c)) for c in ("ci", "hi", "cj", "hj")), strict=True)
+            value = [fine_similarity(features(cj, hj), features(ci, hi)) for ci, hi, cj, hj in parts]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sign", "i", "j", "rank", "sim")), pa.array(value, pa.float64())], names=["sign", "i", "j", "rank", "sim", "fine"])
 
-    return joined.select("sign", "i", "j", "rank", "sim", "ci", "hi", "cj", "hj").mapInPandas(run, "sign string, i long, j long, rank long, sim double, fine double")
+    return joined.select("sign", "i", "j", "rank", "sim", "ci", "hi", "cj", "hj").mapInArrow(run, "sign string, i long, j long, rank long, sim double, fine double")
 
 
 def clustered(found: DataFrame, s: Settings, filtered: bool) -> DataFrame:
@@ -102,34 +109,34 @@ def clustered(found: DataFrame, s: Settings, filtered: bool) -> DataFrame:
     return graph.communities(plain, "sign", s.seeds).select("sign", F.col("id").alias("ord"), F.col("label").alias("cluster"))
 
 
-def _tracks(part: pd.DataFrame) -> Tracks:
-    first = part.drop_duplicates("example_idx")
-    get = lambda c: dict(zip(first.example_idx.tolist(), map(_array, first[c]), strict=True))
-    found = {c: get(c) for c in TENSORS}
-    return Tracks(found["one_hot"], found["contrib"], found["hyp"], len(next(iter(found["one_hot"].values()))))
+def held(part: pa.Table) -> Tracks:
+    """The tracks of a table of example_idx, one_hot and hyp."""
+    ids = part["example_idx"].to_pylist()
+    hot, hyp = (dict(zip(ids, tensors(part[c]), strict=True)) for c in ("one_hot", "hyp"))
+    return Tracks(hot, {k: hot[k] * hyp[k] for k in ids}, hyp, len(next(iter(hot.values()))) if ids else 0)
 
 
-def _seqlets(part: pd.DataFrame) -> list:
-    return list(zip(part.example_idx.tolist(), part.start.tolist(), part.end.tolist(), part.is_revcomp.tolist(), strict=True))
+def seqlets_of(part: pa.Table) -> list:
+    return list(zip(*(part[c].to_pylist() for c in ("example_idx", "start", "end", "is_revcomp")), strict=True))
 
 
-def _with_tracks(rows: DataFrame, tracks: DataFrame) -> DataFrame:
-    return rows.join(tracks.select("example_idx", *TENSORS), "example_idx")
+def folded(rows: DataFrame, tracks: DataFrame, keys: list[str], fold: Callable[[pa.Table, Tracks], pa.Table], schema: str) -> DataFrame:
+    """``fold`` of each group of seqlets and the tracks of its examples, each of which comes along once."""
+    needed = rows.select(*keys, "example_idx").distinct().join(tracks.select("example_idx", "one_hot", "hyp"), "example_idx")
+    needed = needed.select(*(F.col(c).alias(c) for c in needed.columns))  # attributes of its own beside those of rows
+    return rows.groupBy(*keys).cogroup(needed.groupBy(*keys)).applyInArrow(lambda own, examples: fold(own, held(examples)), schema)
 
 
 def patterns_of(rows: DataFrame, tracks: DataFrame, background: np.ndarray, s: Settings) -> DataFrame:
     """The coordinates of each cluster's pattern, in its order."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        p = cluster_pattern(_tracks(part), _seqlets(part), SIGNS[part.sign.iloc[0]], background, s)
-        return _coordinates([] if p is None else [(part.sign.iloc[0], int(part.cluster.iloc[0]), p)])
+    def run(part: pa.Table, tracks: Tracks) -> pa.Table:
+        sign, cluster = part["sign"][0].as_py(), part["cluster"][0].as_py()
+        p = cluster_pattern(tracks, seqlets_of(part), SIGNS[sign], background, s)
+        found = [(sign, cluster, n, *x) for n, x in enumerate(p.seqlets)] if p is not None else []
+        return pa.Table.from_arrays([pa.array([r[k] for r in found], f.type) for k, f in enumerate(COORDINATES)], schema=COORDINATES)
 
-    return _with_tracks(rows, tracks).groupBy("sign", "cluster").applyInPandas(run, COORDINATES)
-
-
-def _coordinates(found: list[tuple[str, int, Pattern]]) -> pd.DataFrame:
-    rows = [(sign, k, n, *x) for sign, k, p in found for n, x in enumerate(p.seqlets)]
-    return pd.DataFrame(rows, columns=["sign", "cluster", "ord", "example_idx", "start", "end", "is_revcomp"])
+    return folded(rows, tracks, ["sign", "cluster"], run, "sign string, cluster long, ord long, example_idx long, start long, end long, is_revcomp boolean")
 
 
 def background_of(found: DataFrame) -> np.ndarray:
@@ -137,7 +144,23 @@ def background_of(found: DataFrame) -> np.ndarray:
     return np.array([r.f for r in mean])
 
 
-RESULT = "sign string, pattern_idx int, ord long, example_idx long, start long, end long, is_revcomp boolean, subcluster int"
+RESULT = pa.schema([("sign", pa.string()), ("pattern_idx", pa.int32()), ("ord", pa.int64()), ("example_idx", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("is_revcomp", pa.bool_()), ("subcluster", pa.int32())])
+RESULT_DDL = "sign string, pattern_idx int, ord long, example_idx long, start long, end long, is_revcomp boolean, subcluster int"
+
+
+def merged(patterns: DataFrame, tracks: DataFrame, background: np.ndarray, s: Settings) -> DataFrame:
+    """Members of the final patterns of each sign, from (sign, cluster, ord, coordinates)."""
+
+    def run(part: pa.Table, tracks: Tracks) -> pa.Table:
+        part = part.sort_by([("cluster", "ascending"), ("ord", "ascending")])
+        sign, by = part["sign"][0].as_py(), {}
+        for c, x in zip(part["cluster"].to_pylist(), seqlets_of(part), strict=True):
+            by.setdefault(c, []).append(x)
+        found = finished([Pattern(tracks, x) for x in by.values()], background, s)
+        out = [(sign, k, n, *x, int(c)) for k, (p, sub) in enumerate(found) for n, (x, c) in enumerate(zip(p.seqlets, sub, strict=True))]
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(RESULT)], schema=RESULT)
+
+    return folded(patterns, tracks, ["sign"], run, RESULT_DDL)
 
 
 def discover(tracks: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -154,23 +177,17 @@ def discover(tracks: DataFrame, settings: Settings | None = None) -> DataFrame:
         patterns = materialise(patterns_of(members, tracks, background, s), "patterns")
         if round_ == 1:
             one = seqlets.distinct(patterns.withColumn("_o", F.struct("cluster", "ord")), ["sign", "example_idx", "start", "end"], "_o")
-            numbered = seqlets.first_of_each_sign(one.drop("ord"), 1 << 30, "cluster", "example_idx", "start")
+            numbered = seqlets.first_of_each_sign(one.withColumnRenamed("ord", "place"), 1 << 30, "cluster", "place")
             rows = materialise(numbered.select("sign", "ord", "example_idx", "start", "end", "is_revcomp"), "seqlets")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        held, sign = _tracks(part), part.sign.iloc[0]
-        parts = [Pattern(held, _seqlets(p.sort_values("ord"))) for _, p in part.groupby("cluster")]
-        out = [(sign, k, n, *x, int(c)) for k, (p, sub) in enumerate(finished(parts, background, s)) for n, (x, c) in enumerate(zip(p.seqlets, sub, strict=True))]
-        return pd.DataFrame(out, columns=["sign", "pattern_idx", "ord", "example_idx", "start", "end", "is_revcomp", "subcluster"])
-
-    return materialise(_with_tracks(patterns, tracks).groupBy("sign").applyInPandas(run, RESULT), "members")
+    return materialise(merged(patterns, tracks, background, s), "members")
 
 
-def summarised(members: DataFrame, tracks: DataFrame) -> DataFrame:
-    """sign, pattern_idx, length, n_seqlets and the mean matrices ppm, cwm and hcwm of every pattern."""
+def summarised(members: DataFrame, tracks: DataFrame, *by: str) -> DataFrame:
+    """sign, pattern_idx (and more columns ``by``), length, n_seqlets and the mean matrices ppm, cwm and hcwm."""
     from trackmotif.operators import patterns as ops
 
-    found = seqlets.slices(members, with_contributions(tracks)).withColumn("pattern", F.struct("sign", "pattern_idx"))
+    keys = ("sign", "pattern_idx", *by)
+    found = seqlets.slices(members, with_contributions(tracks)).withColumn("pattern", F.struct(*keys))
     means = ops.matrices(ops.means(found.select("pattern", *TENSORS), "pattern", *TENSORS), "pattern", *TENSORS)
     sizes = found.groupBy("pattern").agg(F.count("*").alias("n_seqlets"))
-    return means.join(sizes, "pattern").select("pattern.sign", "pattern.pattern_idx", F.size("one_hot").alias("length"), "n_seqlets", F.col("one_hot").alias("ppm"), F.col("contrib").alias("cwm"), F.col("hyp").alias("hcwm"))
+    return means.join(sizes, "pattern").select(*(f"pattern.{k}" for k in keys), F.size("one_hot").alias("length"), "n_seqlets", F.col("one_hot").alias("ppm"), F.col("contrib").alias("cwm"), F.col("hyp").alias("hcwm"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmotif.functions import vec
-from trackmotif.operators import kernels, patterns, seqlets
+from trackmotif.operators import kernels, patterns, ranking, seqlets
 from trackmotif.plans.bindings import E_SQL, e_track, long
 from trackmotif.session import ship_package, table
 from trackmotif.sources import text
@@ -137,7 +137,7 @@ def trim_bounds(spark, sf_dir):
 
 def _peaks(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("chr"), F.col("c_nationkey")).alias("chrom"), (F.col("c_custkey") * 1000).alias("start"), (F.col("c_custkey") * 1000 + 401).alias("end"), F.col("c_acctbal").alias("score"))
-    return text.numbered(text.with_chroms(rows, list(CHROMS)), "c_custkey")
+    return ranking.numbered(text.with_chroms(rows, list(CHROMS)), "c_custkey")
 
 
 def chrom_filter_rows(spark, sf_dir):

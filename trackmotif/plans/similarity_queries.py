@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from trackmotif.functions import align, kmers, vec
-from trackmotif.operators import graph, knn
+from trackmotif.operators import graph, kernels, knn
 from trackmotif.plans.bindings import E_SQL, e_track
+from trackmotif.session import materialise, ship_package
 
 SITES, SPAN, ENTRIES, K, PERPLEXITY, OVERLAP = 6, 8, 10, 5, 3.0, 0.7
+#: Rows of a label that meet those of another block at once.
+BLOCK = 500
 CHOICE = {"min_k": 2, "max_k": 3, "max_len": SPAN, "max_gap": SPAN}
 r6 = lambda c: F.round(c, 6)
 
@@ -41,6 +48,10 @@ def _neighbours(spark, sf_dir):
     return knn.top_k(pairs, K, F.round("sim", 9))
 
 
+def _near(spark, sf_dir):
+    return materialise(_neighbours(spark, sf_dir), "near")
+
+
 def sparse_cosine_knn(spark, sf_dir):
     return _neighbours(spark, sf_dir).select("i", "j", "rank", r6("sim").alias("sim"))
 
@@ -51,26 +62,57 @@ def _features(spark, sf_dir):
     return rows.select("vec_id", "label", flat("contrib").alias("fwd"), flat("rev").alias("rev"))
 
 
-def _jaccard(spark, sf_dir):
+def _blocks(spark, sf_dir):
+    """The vectors of each label in blocks of at most about ``BLOCK`` rows, so that no label is one task's."""
     rows = _features(spark, sf_dir)
-    a = rows.select("label", F.col("vec_id").alias("i"), F.col("fwd").alias("x"))
-    b = rows.select("label", F.col("vec_id").alias("j"), F.col("fwd").alias("y"))
-    return a.join(b, "label").select("i", "j", vec.jaccard(F.col("x"), F.col("y")).alias("sim"))
+    count = rows.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.lit(1)).alias("of"))
+    dealt = rows.join(F.broadcast(count), "label").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("of")))
+    return dealt.groupBy("label", "block").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("fwd").alias("x"))
 
 
 def jaccard_knn(spark, sf_dir):
-    return knn.top_k(_jaccard(spark, sf_dir), K, F.round("sim", 9)).select("i", "j", "rank", r6("sim").alias("sim"))
+    """Of all vectors of a label, as subclustering compares them: a task has a pair of blocks and keeps each row's best."""
+    ship_package(spark)
+    blocks = materialise(_blocks(spark, sf_dir), "blocks")
+    other = blocks.select("label", F.col("ids").alias("ids2"), F.col("x").alias("y"), F.col("block").alias("block2"))
+    pairs = blocks.join(other, "label").repartition("label", "block", "block2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                i, j = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("ids", "ids2"))
+                x, y = (batch.column(c)[k].values.flatten().to_numpy(zero_copy_only=False).reshape(-1, 64) for c in ("x", "y"))
+                sims = kernels.similarities(x, y)
+                order = np.argsort(j, kind="stable")
+                best = order[np.argsort(-np.round(sims[:, order], 9), axis=1, kind="stable")[:, :K]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, best.shape[1])), pa.array(j[best].ravel()), pa.array(np.take_along_axis(sims, best, axis=1).ravel())], names=["i", "j", "sim"])
+
+    found = pairs.select("ids", "x", "ids2", "y").mapInArrow(run, "i long, j long, sim double")
+    return knn.top_k(found, K, F.round("sim", 9)).select("i", "j", "rank", r6("sim").alias("sim"))
 
 
 def _aligned(spark, sf_dir, metric):
+    ship_package(spark)
     rows = _features(spark, sf_dir)
-    pairs = _neighbours(spark, sf_dir).select("i", "j")
+    pairs = _near(spark, sf_dir).select("i", "j")
     a = rows.select(F.col("vec_id").alias("i"), F.col("fwd").alias("x"))
     b = rows.select(F.col("vec_id").alias("j"), F.col("fwd").alias("f"), F.col("rev").alias("r"))
     pad = align.padding(16, OVERLAP, "floor" if metric == "jaccard" else "ceil")
-    of = lambda c: align.best(F.transform(align.offsets(F.col(c), F.col("x"), 16, 4, pad, metric), lambda x: F.struct(F.round(x["score"], 9).alias("score"), x["offset"].alias("offset"))))
-    found = pairs.join(a, "i").join(b, "j").select("i", "j", of("f").alias("f"), of("r").alias("r"))
-    return found.select("i", "j", align.best_of_strands(F.col("f"), F.col("r")).alias("b")).select("i", "j", r6("b.score").alias("score"), "b.offset", "b.is_revcomp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, f, r = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, 16, 4) for c in ("x", "f", "r"))
+            out = []
+            for target, forward, reverse in zip(x, f, r, strict=True):
+                found = [np.round(kernels.slide(q, target, pad, metric), 9) for q in (forward, reverse)]
+                turned = bool(found[1].max() > found[0].max())
+                at = int(found[turned].argmax())
+                out.append((float(found[turned][at]), at - pad, turned))
+            score, offset, turned = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("j"), pa.array(score, pa.float64()), pa.array(offset, pa.int32()), pa.array(turned, pa.bool_())], names=["i", "j", "score", "offset", "is_revcomp"])
+
+    found = pairs.join(a, "i").join(b, "j").select("i", "j", "x", "f", "r").mapInArrow(run, "i long, j long, score double, offset int, is_revcomp boolean")
+    return found.select("i", "j", r6("score").alias("score"), "offset", "is_revcomp")
 
 
 def sliding_jaccard_best(spark, sf_dir):
@@ -84,8 +126,8 @@ def sliding_cosine_best(spark, sf_dir):
 def _both(spark, sf_dir):
     fine = _features(spark, sf_dir)
     a, b = fine.select(F.col("vec_id").alias("i"), F.col("fwd").alias("x")), fine.select(F.col("vec_id").alias("j"), F.col("fwd").alias("y"))
-    pairs = _neighbours(spark, sf_dir).select("i", "j", F.round("sim", 9).alias("coarse"))
-    return pairs.join(a, "i").join(b, "j").select("i", "j", "coarse", F.round(vec.jaccard(F.col("x"), F.col("y")), 9).alias("fine"))
+    pairs = _near(spark, sf_dir).select("i", "j", F.round("sim", 9).alias("coarse"))
+    return materialise(pairs.join(a, "i").join(b, "j").select("i", "j", "coarse", F.round(vec.jaccard(F.col("x"), F.col("y")), 9).alias("fine")), "fine")
 
 
 def spearman_rows(spark, sf_dir):
@@ -97,8 +139,8 @@ def spearman_filter(spark, sf_dir):
 
 
 def _distances(spark, sf_dir):
-    near = knn.top_k(_jaccard(spark, sf_dir), K, F.round("sim", 9))
-    return near.select("i", "j", F.round(graph.distance("sim"), 9).alias("d"))
+    """Of the neighbours by words, by their fine similarity, as discovery's graph has them."""
+    return _both(spark, sf_dir).select("i", "j", F.round(graph.distance("fine"), 9).alias("d"))
 
 
 def sim_to_distance(spark, sf_dir):
@@ -147,7 +189,7 @@ _FLAT = """, flat AS (SELECT vec_id, label, pos * 4 + base AS k, (15 - pos) * 4
 _JAC = """, jac AS (SELECT a.vec_id AS i, b.vec_id AS j, coalesce(sum(least(abs(a.x), abs(b.x)) * sign(a.x) * sign(b.x)) / nullif(sum(greatest(abs(a.x), abs(b.x))), 0), 0) AS sim
   FROM flat a JOIN flat b ON a.label = b.label AND a.k = b.k GROUP BY 1, 2)"""
 _JKNN = f", jk AS (SELECT i, j, rank, sim FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(sim, 9) DESC, j)::BIGINT AS rank FROM jac) WHERE rank <= {K})"
-_DIST = ", dist AS (SELECT i, j, round(greatest(ln(2.0::DOUBLE / greatest(sim, 1e-7) - 1), 0), 9) AS d FROM jk)"
+_DIST = ", dist AS (SELECT i, j, round(greatest(ln(2.0::DOUBLE / greatest(fine, 1e-7) - 1), 0), 9) AS d FROM fine)"
 _SYM = ", sym AS (SELECT i, j, avg(d) AS d FROM (SELECT i, j, d FROM dist WHERE d > 0 UNION ALL SELECT j, i, d FROM dist WHERE d > 0) GROUP BY i, j)"
 
 
@@ -185,7 +227,7 @@ bis AS (SELECT i, ds, 0 AS step, 1.0::DOUBLE AS beta, '-infinity'::DOUBLE AS low
   FROM (SELECT *, abs(gap) <= 1e-5 AS ok FROM (SELECT *, ln(p) + beta * dp / p - ln({PERPLEXITY}) AS gap FROM (SELECT *, 1 + list_sum(list_transform(ds, lambda d: exp(-d * beta))) AS p, list_sum(list_transform(ds, lambda d: d * exp(-d * beta))) AS dp FROM bis WHERE step < 100 AND NOT done))) x),
 betas AS (SELECT i, ds, arg_max(beta, step) AS beta FROM bis GROUP BY i, ds),
 norms AS (SELECT i, beta, 1 + list_sum(list_transform(ds, lambda d: exp(-d / beta))) AS norm FROM betas)"""
-_GRAPH = (E_SQL + _FLAT + _JAC + _JKNN + _DIST + _SYM).replace("WITH t", "WITH RECURSIVE t", 1)
+_GRAPH = (_WORDS + _BOTH + _DIST + _SYM).replace("WITH t", "WITH RECURSIVE t", 1)
 
 QUERIES = {
     "gkmer_scores": (gkmer_scores, _WORDS + " SELECT vec_id, word, round(value, 6) AS value FROM allw"),
@@ -200,8 +242,8 @@ QUERIES = {
         spearman_filter,
         _WORDS + _BOTH + _rho("(SELECT * FROM fine WHERE abs(fine) > 0)") + " SELECT i, j, round(fine, 6) AS fine FROM fine WHERE i IN (SELECT i FROM rho WHERE rho > 0.151 AND NOT isnan(rho)) AND j IN (SELECT i FROM rho WHERE rho > 0.151 AND NOT isnan(rho))",
     ),
-    "sim_to_distance": (sim_to_distance, E_SQL + _FLAT + _JAC + _JKNN + _DIST + " SELECT i, j, round(d, 6) AS d FROM dist"),
-    "symmetrise_edges": (symmetrise_edges, E_SQL + _FLAT + _JAC + _JKNN + _DIST + _SYM + " SELECT i, j, round(d, 6) AS d FROM sym"),
+    "sim_to_distance": (sim_to_distance, _WORDS + _BOTH + _DIST + " SELECT i, j, round(d, 6) AS d FROM dist"),
+    "symmetrise_edges": (symmetrise_edges, _WORDS + _BOTH + _DIST + _SYM + " SELECT i, j, round(d, 6) AS d FROM sym"),
     "perplexity_beta": (perplexity_beta, _GRAPH + _BETA + " SELECT i, round(beta, 6) AS beta, round(norm, 6) AS norm FROM norms"),
     "density_weights": (
         density_weights,

@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from trackmotif.operators.ranking import numbered
+from trackmotif.sources.files import create
 
 # Fixed values of the MEME format.
 MEME_HEADER = "MEME version 4\n\nALPHABET= ACGT\n\nstrands: + -\n\nBackground letter frequencies\nA 0.25 C 0.25 G 0.25 T 0.25\n"
@@ -35,30 +38,18 @@ def meme_motifs(lines: Iterator[str]) -> Iterator[tuple[str, list[list[float]]]]
         yield name, rows
 
 
-class MemeSource(DataSource):
-    """Format "meme": one row a motif of a file; option path."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "meme"
-
-    def schema(self) -> str:
-        return "name string, pwm array<array<double>>"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _MemeReader(self.options["path"])
+def read_meme(spark: SparkSession, path: str) -> DataFrame:
+    """name and pwm (array<array<double>>) of every motif of a MEME file, or of a folder of them, wherever Spark reads."""
+    from trackmotif.session import ship_package
 
+    ship_package(spark)
 
-class _MemeReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [m for t in batch.column(0) for m in meme_motifs(iter(t.as_py().splitlines()))]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.string()), pa.array([m for _, m in found], pa.list_(pa.list_(pa.float64())))], names=["name", "pwm"])
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(self.path)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, encoding="utf-8") as f:
-            yield from meme_motifs(f)
+    return spark.read.text(path, wholetext=True).mapInArrow(run, "name string, pwm array<array<double>>")
 
 
 def meme_block(name: Column, pwm: Column, digits: int = 6, sites: int = 1) -> Column:
@@ -71,17 +62,19 @@ def meme_block(name: Column, pwm: Column, digits: int = 6, sites: int = 1) -> Co
 def write_meme(df: DataFrame, path: str, name: str = "name", pwm: str = "pwm", digits: int = 6) -> None:
     """A header and one block a motif, by name; a motif set is small."""
     lines = [r.block for r in df.orderBy(name).select(meme_block(F.col(name), F.col(pwm), digits).alias("block")).toLocalIterator()]
-    with open(path, "w", encoding="utf-8") as f:
+    with create(path) as f:
         f.write("\n".join([MEME_HEADER, *lines]))
 
 
 def bed_line(*columns: Column) -> Column:
-    """Tab-separated; missing optional columns are left out."""
+    """Up to 12 columns, tab-separated; missing optional ones are left out."""
     return F.concat_ws("\t", *columns)
 
 
-def track_line(name: Column) -> Column:
-    return F.concat(F.lit('track name="'), name, F.lit('"'))
+def track_line(name: Column, **options: str) -> Column:
+    """The line that begins a track; options follow in the order given, quoted where they have spaces."""
+    more = "".join(f' {k}="{v}"' if " " in v else f" {k}={v}" for k, v in options.items())
+    return F.concat(F.lit('track name="'), name, F.lit(f'"{more}'))
 
 
 def fasta_entry(header: Column, sequence: Column) -> Column:
@@ -100,15 +93,6 @@ def with_chroms(rows: DataFrame, chroms: list[str] | None) -> DataFrame:
     return rows if chroms is None or chroms == ["*"] else rows.where(F.col("chrom").isin(chroms))
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """``rows`` with row_idx from 0 by ``order``: numbers within partitions of a sort, plus the counts before them."""
-    ordered = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    ordered = ordered.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    counts = ordered.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return ordered.join(F.broadcast(before), "_p").withColumn("row_idx", F.col("_b") + F.col("_k") - 1).drop("_p", "_k", "_b")
-
-
 def read_tomtom(spark: SparkSession, path: str) -> DataFrame:
     """target and p of a TOMTOM table: its second and sixth columns, comments left out."""
     rows = spark.read.option("sep", "\t").option("comment", "#").option("header", "true").csv(path)
