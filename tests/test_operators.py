@@ -129,9 +129,10 @@ def test_auroc_pairs_score_all_rows(spark, data):
     for r in tracks:
         x = np.array(r.contrib).ravel()
         rows.setdefault(r.label, []).append(x / np.abs(x).sum())
-    assert min(map(len, rows.values())) > pattern_queries.CAP
-    got = {(r.a, r.b): r.auroc for r in pattern_queries.auroc_pairs_all(spark, big).collect()}
-    assert set(got) == {(a, b) for a in rows for b in rows if a != b}
+    got = {(r.a, r.b): r.auroc for r in pattern_queries.auroc_pairs(spark, big).collect()}
+    drawn = {(r.a, r.b): r.auroc for r in pattern_queries.auroc_pairs_all(spark, big).collect()}
+    assert set(got) == {(a, b) for a in rows for b in rows if a != b} == set(drawn)
+    assert max(map(len, rows.values())) <= pattern_queries.SUB_SAMPLE and all(abs(got[k] - drawn[k]) < 2e-6 for k in got)
 
     def sims(xs, ys):
         return [round(float((np.minimum(abs(x), abs(y)) * np.sign(x) * np.sign(y)).sum() / np.maximum(abs(x), abs(y)).sum()), 9) for x in xs for y in ys]
@@ -143,10 +144,10 @@ def test_auroc_pairs_score_all_rows(spark, data):
         assert abs(got[a, b] - share) < 2e-6
 
 
-def test_label_aurocs_are_those_of_the_sql(spark, data):
-    expected = {(r.a, r.b): r.auroc for r in pattern_queries.auroc_pairs(spark, data).collect()}
-    got = {(r.a, r.b): r.auroc for r in pattern_queries._label_aurocs(pattern_queries._sampled(spark, data)).collect()}
-    assert set(got) == set(expected) and all(abs(got[k] - expected[k]) < 2e-6 for k in got)
+def test_pair_scores_in_blocks(spark, data):
+    rows = pattern_queries._scaled(spark, data)
+    whole, parts = (sorted(map(tuple, pattern_queries._pair_scores(rows, n).collect())) for n in (500, 7))
+    assert whole == parts and sum(r[3] for r in whole) == rows.count() ** 2
 
 
 def test_threshold_sample_draws_equal_values_each_alone(spark):

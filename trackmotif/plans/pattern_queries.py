@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from trackmotif.functions import vec
 from trackmotif.operators import kernels, patterns, ranking, seqlets
 from trackmotif.plans.bindings import E_SQL, e_track, long
-from trackmotif.session import ship_package, table
+from trackmotif.session import materialise, ship_package, table
 from trackmotif.sources import text
 
-WIDTH, CAP, CHROMS, CROP = 6, 50, ("chr1", "chr3", "chr7"), 400
+WIDTH, CHROMS, CROP = 6, ("chr1", "chr3", "chr7"), 400
+#: Rows of a label that meet those of another block at once.
+BLOCK = 500
 #: Rows a label that are compared at most, drawn by hash, as many as the reference draws from a pattern.
 SUB_SAMPLE = 1000
 r6 = lambda c: F.round(c, 6)
@@ -64,20 +66,30 @@ def _scaled(spark, sf_dir):
     return e_track(spark, sf_dir).select("vec_id", "label", vec.l1(vec.flatten(F.col("contrib"))).alias("x"))
 
 
-def _sampled(spark, sf_dir):
-    return patterns.first_of(_scaled(spark, sf_dir), "label", "vec_id", CAP)
+def _pair_scores(rows: DataFrame, size: int = BLOCK) -> DataFrame:
+    """a, b, sim, n: how often a row of label a and one of label b have each similarity, over all rows. Rows are in blocks
+    of about ``size``; a task compares two blocks, so that no label is one task's."""
+    ship_package(rows.sparkSession)
+    count = rows.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("of"))
+    dealt = rows.join(F.broadcast(count), "label").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("of")))
+    blocks = materialise(dealt.groupBy(F.col("label").alias("a"), "block").agg(F.collect_list("x").alias("x")), "blocks")
+    pairs = blocks.select("a", "x").crossJoin(blocks.select(F.col("a").alias("b"), F.col("x").alias("y")))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = (np.array(batch.column(c)[k].as_py()) for c in ("x", "y"))
+                sims, n = np.unique(np.round(kernels.similarities(x, y), 9) + 0.0, return_counts=True)
+                labels = [pa.concat_arrays([batch.column(c).slice(k, 1)] * len(sims)) for c in ("a", "b")]
+                yield pa.RecordBatch.from_arrays([*labels, pa.array(sims), pa.array(n, pa.int64())], names=["a", "b", "sim", "n"])
 
-def _pair_scores(spark, sf_dir):
-    """Similarities within each label and from it to each other, of the labels' samples (bounded by CAP)."""
-    rows = _sampled(spark, sf_dir)
-    a, b = rows.select(F.col("label").alias("a"), F.col("x").alias("xa")), rows.select(F.col("label").alias("b"), F.col("x").alias("xb"))
-    return a.crossJoin(b).select("a", "b", F.round(vec.jaccard(F.col("xa"), F.col("xb")), 9).alias("sim"))
+    found = pairs.select("a", "b", "x", "y").mapInArrow(run, "a int, b int, sim double, n long")
+    return found.groupBy("a", "b", "sim").agg(F.sum("n").alias("n"))
 
 
 def auroc_pairs(spark, sf_dir):
-    """Of the first CAP rows of each label alone, as its SQL has it; auroc_pairs_all compares all rows."""
-    scores = _pair_scores(spark, sf_dir).groupBy("a", "b", "sim").agg(F.count("*").alias("n"))
+    """Over all rows of all labels."""
+    scores = _pair_scores(_scaled(spark, sf_dir))
     own = scores.where("a = b").select("a", "sim", F.col("n").alias("n1"))
     others = scores.where("a <> b")
     labels = others.select("a", "b").distinct()
@@ -94,18 +106,12 @@ def _label_aurocs(rows: DataFrame) -> DataFrame:
     blocks = rows.groupBy("label").agg(F.collect_list("x").alias("x"))
     pairs = blocks.select(F.col("label").alias("a"), F.col("x").alias("xa")).join(blocks.select(F.col("label").alias("b"), F.col("x").alias("xb")), F.col("a") < F.col("b"))
 
-    def sims(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        out = []
-        for row in x:
-            with np.errstate(invalid="ignore", divide="ignore"):
-                out.append(np.nan_to_num((np.minimum(np.abs(row), np.abs(y)) * np.sign(row) * np.sign(y)).sum(axis=1) / np.maximum(np.abs(row), np.abs(y)).sum(axis=1)))
-        return np.round(np.concatenate(out), 9)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 r = batch.slice(k, 1).to_pylist()[0]
                 x, y = np.array(r["xa"]), np.array(r["xb"])
+                sims = lambda p, q: np.round(kernels.similarities(p, q).ravel(), 9)
                 cross = sims(x, y)
                 found = [kernels._auroc(sims(x, x), cross), kernels._auroc(sims(y, y), cross)]
                 yield pa.RecordBatch.from_pydict({"a": pa.array([r["a"], r["b"]], pa.int32()), "b": pa.array([r["b"], r["a"]], pa.int32()), "auroc": found})
@@ -245,7 +251,7 @@ QUERIES = {
     ),
     "auroc_pairs": (
         auroc_pairs,
-        E_SQL + f""", f AS (SELECT vec_id, label, pos * 4 + base AS k, contrib / sum(abs(contrib)) OVER (PARTITION BY vec_id) AS x FROM c WHERE vec_id IN (SELECT vec_id FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r <= {CAP})),
+        E_SQL + f""", f AS (SELECT vec_id, label, pos * 4 + base AS k, contrib / sum(abs(contrib)) OVER (PARTITION BY vec_id) AS x FROM c),
         p AS (SELECT a.label AS a, b.label AS b, round(coalesce(sum(least(abs(a.x), abs(b.x)) * sign(a.x) * sign(b.x)) / nullif(sum(greatest(abs(a.x), abs(b.x))), 0), 0), 9) AS sim FROM f a JOIN f b ON a.k = b.k GROUP BY a.label, b.label, a.vec_id, b.vec_id),
         x AS (SELECT o.a, o.b, w.sim, true AS y FROM (SELECT DISTINCT a, b FROM p WHERE a <> b) o JOIN p w ON w.a = o.a AND w.b = o.a UNION ALL SELECT a, b, sim, false FROM p WHERE a <> b),
         r AS (SELECT a, b, y, rank() OVER (PARTITION BY a, b ORDER BY sim) + (count(*) OVER (PARTITION BY a, b, sim) - 1) / 2 AS r FROM x),

@@ -49,11 +49,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which all nodes see; a local one is set only where that is unset."""
+    """A new folder name below ``spark.checkpoint.dir``, which all nodes see. Where that is unset, a session of one machine
+    gets a temporary folder, and any other is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark.sparkContext, "_trackmotif_scratch", None)
         if base is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all nodes see")
             base = "file://" + tempfile.mkdtemp(prefix="trackmotif-shared-")
             spark.sparkContext._trackmotif_scratch = base
     return f"{base.rstrip('/')}/trackmotif/{name}-{uuid.uuid4().hex}"
