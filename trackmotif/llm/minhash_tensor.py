@@ -16,6 +16,7 @@ probability below n * m / 2**64, so below 1e-9 for sets of 100,000, and only one
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from trackmotif.llm.words import BASE, mix, spaced
 from trackmotif.session import materialise, ship_package
 
 COLLECTION, MINIMA, SEED = 16, 4, 20_261
-BLOCK, RARE = 4096, 8
+BLOCK, RARE = 1024, 8
 #: Similarity, as a percentage, from which two documents are linked.
 PERCENT = 80
 
@@ -45,17 +46,22 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def _parameters(minima: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def _parameters(minima: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multipliers and summands of the hash functions, and room for a block of their values."""
     rng = np.random.default_rng(SEED)
-    return rng.integers(0, 1 << 64, minima, np.uint64) | np.uint64(1), rng.integers(0, 1 << 64, minima, np.uint64)
+    return rng.integers(0, 1 << 64, minima, np.uint64) | np.uint64(1), rng.integers(0, 1 << 64, minima, np.uint64), np.empty((BLOCK, minima), np.uint64)
 
 
 def subkeys(h: np.ndarray, collection: int = COLLECTION, minima: int = MINIMA) -> np.ndarray:
     """2 * collection sub-keys of a set of hashes, as signed 64-bit: even ones are of collection a, odd ones of b."""
-    a, b = _parameters(2 * collection * minima)
+    a, b, room = _parameters(2 * collection * minima)
     low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(h), BLOCK):
-        np.minimum(low, (h[k : k + BLOCK, None] * a + b).min(axis=0), out=low)
+        part = room[: len(h[k : k + BLOCK])]
+        np.multiply(h[k : k + BLOCK, None], a, out=part)
+        np.add(part, b, out=part)
+        np.minimum(low, part.min(axis=0), out=low)
     key = np.arange(2 * collection, dtype=np.uint64)
     for part in low.reshape(2 * collection, minima).T:
         key = mix(key * BASE + part)
