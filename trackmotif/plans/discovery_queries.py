@@ -37,7 +37,7 @@ def seqlet_slices(spark, sf_dir):
 
 def seqlet_fasta(spark, sf_dir):
     cut = seqlets.slices(_members(spark, sf_dir), e_track(spark, sf_dir).withColumnRenamed("vec_id", "example_idx"), ("one_hot",))
-    return cut.select(F.format_string("example%d:%d-%d", "example_idx", "start", "end").alias("header"), vec.sequence_of(F.col("one_hot")).alias("bases"))
+    return cut.select(F.format_string("example%d:%d-%d", "example_idx", "start", "end").alias("header"), seqlets.key().alias("key"), vec.sequence_of(F.col("one_hot")).alias("bases"))
 
 
 def subpattern_means(spark, sf_dir):
@@ -242,7 +242,7 @@ tot AS (SELECT label, motif, strand, (tp - qp)::INT AS o, sum(s)::BIGINT AS scor
 
 QUERIES = {
     "seqlet_slices": (seqlet_slices, _MEMBERS + " SELECT example_idx, p AS pos, b AS base, round(contrib, 6) + 0.0::DOUBLE AS x FROM cut"),
-    "seqlet_fasta": (seqlet_fasta, _MEMBERS + " SELECT 'example' || example_idx || ':' || start || '-' || \"end\" AS header, string_agg(substr('ACGT', b + 1, 1), '' ORDER BY p) AS bases FROM cut WHERE one = 1 GROUP BY example_idx, start, \"end\""),
+    "seqlet_fasta": (seqlet_fasta, _MEMBERS + " SELECT 'example' || example_idx || ':' || start || '-' || \"end\" AS header, example_idx || '_' || start || '_' || \"end\" AS key, string_agg(substr('ACGT', b + 1, 1), '' ORDER BY p) AS bases FROM cut WHERE one = 1 GROUP BY example_idx, start, \"end\""),
     "subpattern_means": (
         subpattern_means,
         _MEMBERS + ", n AS (SELECT pattern_idx, subcluster, count(*) AS n_seqlets FROM mem GROUP BY ALL) SELECT sign, pattern_idx, subcluster, n_seqlets, p AS pos, b AS base, round(avg(contrib), 6) + 0.0::DOUBLE AS cwm FROM cut JOIN n USING (pattern_idx, subcluster) GROUP BY ALL",

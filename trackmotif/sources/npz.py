@@ -1,6 +1,7 @@
 """Format "npz": a tensor of (examples, 4, positions) in an .npz (key arr_0) or .npy file, as rows of positions.
 
-A partition is a range of examples. Stored members are read at their place in the file; compressed ones are streamed.
+A partition is a range of examples, which is read at its place in the file. A compressed member has no places: it is one
+partition, which inflates it once. Paths are local, or URIs that pyarrow's file systems take.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -27,9 +29,13 @@ def _header(f) -> tuple[tuple, np.dtype, bool]:
 
 
 def _open(path: str):
-    if path.endswith(".npz"):
-        return zipfile.ZipFile(path).open(f"{KEY}.npy")
-    return open(path, "rb")
+    """The array's bytes, and whether they are compressed."""
+    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    f = system.open_input_file(name)
+    if not path.endswith(".npz"):
+        return f, False
+    archive = zipfile.ZipFile(f)
+    return archive.open(f"{KEY}.npy"), archive.getinfo(f"{KEY}.npy").compress_type != zipfile.ZIP_STORED
 
 
 @dataclass
@@ -43,16 +49,18 @@ class NpzReader(DataSourceReader):
         self.path, self.rows = path, rows
 
     def partitions(self) -> list[Rows]:
-        with _open(self.path) as f:
+        f, packed = _open(self.path)
+        with f:
             shape, _, fortran = _header(f)
         if len(shape) != 3 or shape[1] != 4 or fortran:
             raise ValueError(f"{self.path}: (examples, 4, positions) in C order is needed, not {shape}")
-        return [Rows(k, min(k + self.rows, shape[0])) for k in range(0, shape[0], self.rows)]
+        step = max(1, shape[0]) if packed else self.rows
+        return [Rows(k, min(k + step, shape[0])) for k in range(0, shape[0], step)]
 
     def read(self, partition: Rows | None) -> Iterator[tuple]:
         if partition is None:
             return
-        with _open(self.path) as f:
+        with _open(self.path)[0] as f:
             shape, kind, _ = _header(f)
             size = shape[1] * shape[2] * kind.itemsize
             f.seek(f.tell() + partition.first * size)
