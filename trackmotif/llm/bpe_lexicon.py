@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackmotif.llm import storage
-from trackmotif.llm.memory import release
+from trackmotif.llm.memory import release, roomy
 from trackmotif.llm.pieces import Coder, Memo, Pieces, chunks, ranges
 from trackmotif.session import scratch_dir, ship_package
 
@@ -490,6 +490,7 @@ def codec_digests(df: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_WO
     lexicon = build_lexicon(df, tokenizer, lexicon_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roomy()
         encoder = Encoder.open(lexicon)
         coder, decimal = encoder.coder, [b"%d" % i for i in range(encoder.vocab.size)].__getitem__
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

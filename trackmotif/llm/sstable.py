@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from trackmotif.llm import storage
 from trackmotif.llm.bpe_lexicon import Vocabulary
-from trackmotif.llm.memory import release
+from trackmotif.llm.memory import release, roomy
 from trackmotif.llm.pieces import Coder, Pieces, chunks
 from trackmotif.session import materialise, scratch_dir, ship_package
 
@@ -199,6 +199,20 @@ class Reader:
         return out
 
 
+#: Pieces whose ids a worker keeps, about 36 bytes each.
+MEMO_PIECES = 2_000_000
+_coders: dict[str, tuple] = {}
+
+
+def coders_of(path: str) -> tuple[Coder | None, object, int]:
+    """``library_coder`` of the last file, which a worker keeps between tasks: reading the file and the library's work on
+    pieces met before cost more than all else. Its size is bounded by the file and ``MEMO_PIECES``."""
+    if path not in _coders:
+        _coders.clear()
+        _coders[path] = library_coder(path)
+    return _coders[path]
+
+
 def library_coder(path: str) -> tuple[Coder | None, object, int]:
     """The tokenizers library's ids, by distinct pieces where the file's word pattern allows that (see pieces); the
     library's tokenizer; and how many bytes an id takes."""
@@ -224,7 +238,7 @@ def library_coder(path: str) -> tuple[Coder | None, object, int]:
         found = [e.ids for e in tokenizer.encode_batch_fast([p.piece(k).decode() for k in at.tolist()], add_special_tokens=False)]
         return np.fromiter(map(len, found), np.int64, len(found)), np.array([i for ids in found for i in ids], f"<u{width}")
 
-    return Coder(resolve, special, vocab.bytes_of, np.uint16 if width == 2 else np.int32), tokenizer, width
+    return Coder(resolve, special, vocab.bytes_of, np.uint16 if width == 2 else np.int32, MEMO_PIECES), tokenizer, width
 
 
 def encode(texts: Iterable[str], coders: tuple, end_id: int | None = 0) -> Iterator[bytes]:
@@ -255,7 +269,8 @@ def write_shards(df: DataFrame, tokenizer: str, folder: str | None = None, id_co
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, writer = TaskContext.get().partitionId(), None
         path = f"{folder}/shard-{part:06d}-{uuid.uuid4().hex}.sst"
-        coders = library_coder(tokenizer)
+        roomy()
+        coders = coders_of(tokenizer)
         with storage.create(path) as out:
             for batch in batches:
                 values = encode((t.as_py() or "" for t in batch.column(1)), coders, end_id)
@@ -264,7 +279,6 @@ def write_shards(df: DataFrame, tokenizer: str, folder: str | None = None, id_co
                     writer.add(key_of(doc.as_py()), value)
             writer = writer or Writer(out, 4)
             writer.finish()
-        del coders
         release()
         if writer.entries:
             row = {"shard": [part], "path": [path], "first_key": [writer.first], "last_key": [writer.last], "n_docs": [writer.entries], "n_ids": [writer.ids]}
