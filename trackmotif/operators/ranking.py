@@ -31,7 +31,7 @@ def in_order(rows: DataFrame, *order: str | Column) -> tuple[DataFrame, DataFram
     return written, rows.sparkSession.createDataFrame(parts, "part long, before long, n long")
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
+def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
     """``rows`` with row_idx from 0 by ``order`` (rows that tie, in any order)."""
     written, parts = in_order(rows, *order)
     joined = written.join(F.broadcast(parts.drop("n")), F.shiftright(_ROW, 33) == F.col("part"))
