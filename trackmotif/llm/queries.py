@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmotif.llm import avi_mjpeg, bpe_lexicon, decontam, line_dedup, minhash_tensor, pii, quality, sstable, toxicity, warc
+from trackmotif.llm import avi_mjpeg, bpe_lexicon, decontam, lexical, line_dedup, minhash_tensor, pii, quality, resample, simhash, sstable, toxicity, warc
 from trackmotif.session import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,9 +56,25 @@ def op10_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.codec_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_suffix_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney_quality, op2_avi_motion_jpeg, op3_minhash_tensor, op4_warc_source, op5_token_sstable, op6_suffix_automaton, op7_information_pii, op8_ftrl_toxicity, op9_line_dedup, op10_bpe_lexicon)}
+    found = (
+        op1_kneser_ney_quality, op2_avi_motion_jpeg, op3_minhash_tensor, op4_warc_source, op5_token_sstable, op6_suffix_automaton, op7_information_pii,
+        op8_ftrl_toxicity, op9_line_dedup, op10_bpe_lexicon, op11_impact_search, op12_suffix_resample, op13_simhash_bktree,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_source": warc.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op4_warc_source": warc.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op11_impact_search": lexical.ORACLE_SQL}

@@ -82,3 +82,10 @@ def spaced(text: str | None) -> Words:
 def lettered(text: str | None) -> Words:
     """Runs of ASCII letters, digits and everything beyond ASCII."""
     return Words((text or "").encode().translate(_LETTERS))
+
+
+def joined(texts: list[bytes]) -> tuple[Words, np.ndarray]:
+    """The lettered words of many texts at once, and the number of each word's text."""
+    words = Words(b"\n".join(texts).translate(_LETTERS))
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    return words, np.searchsorted(ends, words.edges[:, 0], "right")
