@@ -44,7 +44,7 @@ def same():
         return x.item() if hasattr(x, "item") else x
 
     def rows(df):
-        return sorted(repr([plain(x) for x in r]) for r in df[sorted(df.columns)].itertuples(index=False))
+        return sorted(repr([plain(x) for x in r]) for r in df[sorted(df.columns)].convert_dtypes().itertuples(index=False))
 
     def check(got, expected):
         assert sorted(got.columns) == sorted(expected.columns)
