@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_source": warc.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op11_impact_search": lexical.ORACLE_SQL}
+    return {"op4_warc_source": warc.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op11_impact_search": lexical.ORACLE_SQL, "op12_suffix_resample": resample.ORACLE_SQL}

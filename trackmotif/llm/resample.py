@@ -171,3 +171,24 @@ def draw(df: DataFrame, target: DataFrame, id_column: str = "doc_id", **settings
     """The drawn rows of ``df`` with all their columns; rows without an identifier can't be told apart and stay out."""
     found = resample(df, target, id_column=id_column, **settings).where("rank is not null and doc_id is not null").select(F.col("doc_id").alias("_drawn")).distinct()
     return df.join(found, F.col(id_column).cast("long") == F.col("_drawn"), "left_semi")
+
+
+_LOWER_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce({_LOWER_SQL}, []) AS words FROM documents),
+b AS (SELECT unnest({_LOWER_SQL}) AS word FROM benchmark),
+r AS (SELECT list(list_reduce(list_prepend(byte, range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY byte) AS crcs FROM (SELECT unnest(range(256)) AS byte)),
+v AS (SELECT word, hex(encode(word)) AS hex FROM (SELECT unnest(words) AS word FROM d UNION SELECT word FROM b)),
+h AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(hex) // 2), lambda i: ('0x' || substr(hex, 2 * i + 1, 2))::BIGINT)),
+  lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1]))) % {BUCKETS} AS bucket FROM v, r),
+f AS (SELECT k, bucket FROM (SELECT k, unnest(words) AS word FROM d) JOIN h USING (word)),
+s AS (SELECT bucket, count(*) AS s FROM f GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN h USING (word) GROUP BY bucket),
+n AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::BIGINT AS sum_s, coalesce((SELECT sum(t) FROM t), 0)::BIGINT AS sum_t),
+g AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (sum_s + {BUCKETS}))::DOUBLE / ((s + 1) * (sum_t + {BUCKETS}))::DOUBLE))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), n),
+w AS (SELECT k, count(*) AS n_features, sum(gain)::BIGINT AS total FROM f JOIN g USING (bucket) GROUP BY k),
+x AS (SELECT k, doc_id, len(words) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+  ('0x' || substr(sha256('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (k)),
+y AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score FROM x),
+z AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able FROM y WHERE n_words >= {LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= {PERCENT} * able // 100 THEN place END AS rank FROM y LEFT JOIN z USING (k)"""
