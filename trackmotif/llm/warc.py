@@ -46,11 +46,11 @@ def _clean(value: str) -> str:
 
 
 def member(data: bytes) -> bytes:
-    """One gzip member whose extra field tells its length and that of its content."""
+    """One gzip member whose extra field tells its length and that of its content, unless it has 4 GB or more."""
     packer = zlib.compressobj(1, zlib.DEFLATED, -15)
     body = packer.compress(data) + packer.flush()
     size = 10 + 2 + 12 + len(body) + 8
-    extra = b"sl" + struct.pack("<HII", 8, size, len(data) & 0xFFFFFFFF)
+    extra = b"sl" + struct.pack("<HII", 8, size, len(data) & 0xFFFFFFFF) if size < 1 << 32 else b""  # the field has 32 bits
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -200,8 +200,8 @@ class Files(InputPartition):
 class Reader(DataSourceReader):
     """Options: path; payload = "full", "digest" (digest and length computed from what is read, no bytes) or "none" (the
     length that headers state; no payload is read or inflated whole); mode = "fail", where a malformed record or one
-    without a length ends the job, or "permissive", where it gives one row with nothing but ``error``, and the rest of its
-    file is given up."""
+    without a length ends the job, or "permissive", where it gives one row with nothing but ``error`` (all headers null, for
+    filters too), and the rest of its file is given up. A file is one task's: gzip members can't be found from the middle."""
 
     def __init__(self, options: dict[str, str]):
         self.path, self.payload, self.mode, self.filters = options["path"], options.get("payload", "full"), options.get("mode", "fail"), []
@@ -211,15 +211,17 @@ class Reader(DataSourceReader):
             raise ValueError("payload must be full, digest or none")
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Spark doesn't test again what is taken, so only columns that are what the header says, error rows included."""
+        header = {c for c in HEADERS if c != "payload_digest" or self.payload != "digest"}
         for f in filters:
             column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if column in HEADERS and isinstance(f, EqualTo) and isinstance(f.value, str):
+            if column in header and isinstance(f, EqualTo) and isinstance(f.value, str):
                 self.filters.append((column, "in", (f.value,)))
-            elif column in HEADERS and isinstance(f, In):
+            elif column in header and isinstance(f, In):
                 self.filters.append((column, "in", tuple(f.value)))
-            elif column in HEADERS and isinstance(f, StringStartsWith):
+            elif column in header and isinstance(f, StringStartsWith):
                 self.filters.append((column, "starts", f.value))
-            elif column in HEADERS and isinstance(f, IsNull | IsNotNull):
+            elif column in header and isinstance(f, IsNull | IsNotNull):
                 self.filters.append((column, "null", isinstance(f, IsNull)))
             else:
                 yield f
@@ -265,7 +267,8 @@ class Reader(DataSourceReader):
             except (ValueError, zlib.error) as e:
                 if self.mode == "fail":
                     raise ValueError(f"{path}: {e}") from e
-                rows.append({"error": f"{path}: {e}"})
+                if _matches(dict.fromkeys(HEADERS), self.filters):
+                    rows.append({"error": f"{path}: {e}"})
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_FIELDS)
 
