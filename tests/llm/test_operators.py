@@ -236,7 +236,10 @@ def test_pii_terms(spark):
     text = docs[0][1]
     found = {text[int(a) : int(b)] for a, b in (s.split(":")[1:] for s in rows[0].spans.split(",") if s.startswith("term"))}
     assert found == {"call", "smith", "zorblat", "at"} and rows[10].spans == ""
-    assert {r.doc_id: r.text for r in pii.sanitise(df).collect()}[0] == " john   at [EMAIL] about quarterly figures number0"
+    assert {r.doc_id: r.text for r in pii.sanitise(df).collect()}[0] == " john    [EMAIL] about quarterly figures number0"
+    docs += [(60 + k, f"zorblat by itself {k}") for k in range(1)]
+    told = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(docs, "doc_id long, text string"), disclosure=0.8).collect()}
+    assert told[0] == " john  [EMAIL TERM]  [EMAIL] about quarterly figures number0" and told[60] == docs[-1][1]
 
 
 def test_pii_terms_of_shared_parts(spark):

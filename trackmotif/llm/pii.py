@@ -150,7 +150,8 @@ def disclosures(df: DataFrame, private: DataFrame, disclosure: float = DISCLOSUR
 
 def find(df: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """Rows of doc_id, text (only where there are spans), arrays email, ip, card, phone of spans, and terms of
-    struct<start,end,value,share>: what the term discloses of an entity in that document, at most 1.
+    struct<start,end,value,share,of>: what the term discloses of an entity in that document, at most 1, and the kind of the
+    entity that it discloses most of.
 
     Null text counts as empty; repeated rows give repeated rows; a null doc_id stays null; other columns are left out.
     """
@@ -159,19 +160,21 @@ def find(df: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT)
     rows = df.select("doc_id", text.alias("text")).select("doc_id", "text", *(base_spans(F.col("text"), k).alias(k) for k in KINDS))
     some = F.greatest(*(F.size(k) for k in KINDS)) > 0
     rows = materialise(rows.select("doc_id", F.when(some, F.col("text")).alias("text"), F.when(some, F.md5("text")).alias("key"), *KINDS), "pii")
-    none = F.array().cast("array<struct<start:int,end:int,value:string,share:double>>")
+    none = F.array().cast("array<struct<start:int,end:int,value:string,share:double,of:string>>")
     plain = rows.where("key is null").select("doc_id", "text", *KINDS, none.alias("terms"))
     private = rows.where("key is not null")
 
     distinct = private.groupBy("key").agg(F.count("*").alias("rows"), F.first("text").alias("text"), *(F.first(k).alias(k) for k in KINDS))
     distinct = materialise(distinct.select("key", "rows", "text", F.array_distinct(F.concat(*(_entities(k) for k in KINDS))).alias("entities"), _terms(F.col("text")).alias("terms")), "pii-texts")
     told, pairs = disclosures(df, distinct, disclosure, support)
-    in_text = pairs.join(told, ["entity", "term"]).groupBy("key", "term").agg(F.max("share").alias("share")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias("told"))
+    kind = F.regexp_extract("entity", "^[a-z]+", 0).alias("of")
+    in_text = pairs.join(told, ["entity", "term"]).groupBy("key", "term").agg(F.max(F.struct("share", kind)).alias("most"))
+    in_text = in_text.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("term", "most"))).alias("told"))
 
     lower = F.translate("text", UPPER, LOWER)
     any_term = F.concat(F.lit(rf"(?<![{_TERM}])(?:"), F.array_join(F.transform("told", lambda x: x["term"]), "|"), F.lit(rf")(?![{_TERM}])"))
     shares = F.map_from_entries("told")
-    spans = distinct.select("key", "text").join(in_text, "key").select("key", F.transform(positions(lower, any_term), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.element_at(shares, x["value"]).alias("share"))).alias("terms"))
+    spans = distinct.select("key", "text").join(in_text, "key").select("key", F.transform(positions(lower, any_term), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.element_at(shares, x["value"])["share"].alias("share"), F.element_at(shares, x["value"])["of"].alias("of"))).alias("terms"))
     return plain.unionByName(private.join(spans, "key", "left").select("doc_id", "text", *KINDS, F.coalesce("terms", none).alias("terms")))
 
 
@@ -184,13 +187,14 @@ def digests(df: DataFrame) -> DataFrame:
 
 
 def sanitise(df: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """doc_id and clean text: base spans become [KIND], terms [TERM], or nothing where they disclose an entity wholly.
+    """doc_id and clean text: base spans become [KIND], terms [KIND TERM], the kind of what they disclose most of, or
+    nothing where they disclose an entity wholly. Any word can be a term, words like "at" too, where it goes with an entity.
 
     Texts without spans stay as they are (null becomes empty). Of overlapping spans the first, then the longest, counts.
     """
     found = find(df, disclosure, support)
     label = lambda k: lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("e"), F.lit(f"[{k.upper()}]").alias("to"))
-    term = lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("e"), F.when(x["share"] >= 1, "").otherwise("[TERM]").alias("to"))
+    term = lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("e"), F.when(x["share"] >= 1, "").otherwise(F.concat(F.lit("["), F.upper(x["of"]), F.lit(" TERM]"))).alias("to"))
     every = F.array_sort(F.concat(*(F.transform(k, label(k)) for k in KINDS), F.transform("terms", term)))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
