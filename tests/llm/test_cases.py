@@ -26,10 +26,13 @@ def test_fence_is_that_of_plain_quartiles(spark):
     labels = [(k, 1) for k in range(0, 240, 2)] + [(k, 0) for k in range(1, 240, 2)] + [(2, 0), (262, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     out = {r.doc_id: r for r in quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
-    trusted = {k for k, q in labels if q == 1}
+    trusted = [(k,) for k, q in labels if q == 1]
+    third = F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(quality.HELD_OUT)) == 0
+    held_out = {r.k for r in spark.createDataFrame(trusted, "k long").where(third).collect()}
+    assert 25 < len(held_out) < 60
     known = defaultdict(list)
     for k, r in out.items():
-        if k in trusted and r.log_ppl is not None:
+        if k in held_out and r.log_ppl is not None:
             known[r.lang].append(r.log_ppl)
     every = [x for v in known.values() for x in v]
     fence = lambda v: np.percentile(v, 75) + quality.FENCE * (np.percentile(v, 75) - np.percentile(v, 25))
@@ -46,6 +49,25 @@ def test_model_and_perplexity_run_by_themselves(spark):
     assert {r.k: (r.n_units, r.log_ppl is not None, r.gram) for r in rows} == {1: (9, True, "x"), 2: (0, False, "y"), 3: (0, False, "z")}
 
 
+def test_blocks_grow_with_the_table_behind_a_shuffle(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    n = lambda df: quality.blocked(df, 20_000).select("_block").distinct().count()
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    for df in (docs.repartition(7), docs.groupBy("doc_id").agg(F.first("text").alias("text"))):
+        assert size / 20_000 * 0.8 < n(df) <= -(-size // 20_000)
+    assert quality.blocked(docs).where("_block is null").count() == 0
+
+
+def test_quality_takes_columns_of_any_name(spark):
+    rows = [(k, f"some words {k}", "en", k, "x", k, "y") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, fence long, accepted string, n_units long, _block string")
+    labels = spark.createDataFrame([(k, 1) for k in range(10)], "doc_id long, quality int")
+    out = quality.classify(docs, labels)
+    assert out.columns == ["doc_id", "text", "lang", "n_units", "log_ppl", "fence", "accepted"] and out.count() == 20
+    assert {r.n_units for r in out.collect()} == {12, 13}
+    assert quality.classify(docs, labels, columns=["doc_id", "lang"]).count() == 20
+
+
 def _frames(levels, rows=8, columns=16):
     return avi_mjpeg.encode_frames(np.stack([np.full((rows, columns), v, np.uint8) for v in levels]))
 
@@ -347,3 +369,21 @@ def test_pipeline_on_nulls_repeats_and_empty_tables(spark, tmp_path, rows):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert all(r.exact for r in out) and sorted(r.doc_id or 0 for r in out) == ([0, 1, 4] if rows else [])
     assert hashlib.sha256(b"").hexdigest() not in {str(r) for r in out}
+
+
+def test_pushed_predicates_are_those_of_spark(spark, tmp_path):
+    """With digests computed and in archives with malformed records, filters give what they give on the rows read."""
+    body = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:a>\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+    (tmp_path / "a.warc").write_bytes(head + body + b"\r\n\r\n" + b"no record at all\r\n\r\n")
+    (tmp_path / "b.warc.gz").write_bytes(warc.member(head.replace(b"urn:a", b"urn:b") + body + b"\r\n\r\n"))
+    digest = warc.digest_of(b"hello")
+    tests = [f"payload_digest = '{digest}'", "payload_digest is null", "record_type = 'response'", "record_type is null", "record_id like 'urn:%'", "record_id in ('urn:b', 'urn:c')", "error is not null", "record_type <> 'revisit'", "record_type is not null and payload_digest is not null"]
+    for payload in ("full", "digest", "none"):
+        rows = warc.read(spark, str(tmp_path), payload, "permissive")
+        every = spark.createDataFrame(rows.collect(), rows.schema)
+        assert every.count() == 3
+        for test in tests:
+            key = lambda df: sorted((str(r.record_id), str(r.payload_digest), r.error is None) for r in df.where(test).collect())  # noqa: B023, E731
+            assert key(rows) == key(every), (payload, test)
+    assert warc.read(spark, str(tmp_path), "digest", "permissive").where(tests[0]).count() == 2

@@ -7,7 +7,7 @@ from joins of the count table with those of its contexts and of the next lower o
 Scoring is a join as well. Documents are in blocks; a block's distinct grams are joined, sharded by key, with each
 order's probabilities and backoffs, and come back to the block with one log-probability each, where every text's units are
 summed up. A document's perplexity is that of its whole text, and it is rejected where that is above a fence of its
-language's quantiles over the trusted documents.
+language's quantiles over trusted documents that the model was not trained on.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ from trackmotif.session import materialise, ship_package
 ORDER, PAD = 4, 0xDBFF
 #: A document is rejected where its log-perplexity is above q75 + FENCE * (q75 - q25) of its language; languages of fewer
 #: trusted documents use the quantiles of all.
-FENCE, LEAST_TRUSTED = 4.0, 30
+FENCE, LEAST_TRUSTED = 3.5, 30
+#: One of so many trusted documents isn't trained on, but fences the others.
+HELD_OUT = 3
 #: Units that a task looks at together, and that a block of documents has on average.
 CHUNK_UNITS, BLOCK_UNITS = 1 << 18, 40_000_000
 #: Distinct grams that a task holds before it hands them on.
@@ -223,7 +225,9 @@ def blocked(df: DataFrame, block_units: int = BLOCK_UNITS) -> DataFrame:
     spark = df.sparkSession
     plain = F.xxhash64(*(f.name for f in df.schema if isinstance(f.dataType, AtomicType)))
     parts = max(1, -(-3 * _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) // block_units))  # texts are about three times their files
-    if df.inputFiles():
+    # Behind a shuffle or where rows come from no file, Spark still lists the files but names none: no column is read here.
+    unnamed = df.select(F.input_file_name().alias("f")).agg(F.max((F.col("f") == "").cast("int"))).first()[0] if df.inputFiles() else 1
+    if unnamed == 0:
         return df.withColumn("_block", F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(plain, F.lit(parts))))
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return df.withColumn("_block", F.pmod(plain, F.lit(max(spark.sparkContext.defaultParallelism, -(-size // block_units)))))
@@ -255,21 +259,17 @@ def _log_p(grams_: DataFrame, found: DataFrame) -> DataFrame:
 
 def log_perplexity(df: DataFrame, found: DataFrame, block_units: int = BLOCK_UNITS, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``df`` (all of them unless told), which has a column text, and n_units, log_ppl (mean of -log p;
-    null for texts without characters).
+    null for texts without characters), in the place of columns with these names.
 
     A task holds a block's texts (see ``blocked``, which ``df`` may have gone through), and the log-probabilities of its
     distinct grams. A text longer than a block makes its block longer. Rows come back in any order.
     """
     spark = df.sparkSession
     ship_package(spark)
-    columns = columns or [c for c in df.columns if c != "_block"]
-    for c in ("n_units", "log_ppl"):
-        if c in df.columns:
-            raise ValueError(f"a column is named {c}")
+    columns = [c for c in columns or df.columns if c not in ("_block", "n_units", "log_ppl")]
     dealt = df if "_block" in df.columns else blocked(df, block_units)
     needed = materialise(dealt.select("_block", "text").mapInArrow(_wanted, "_block long, gram long"), "wanted")
-    every = materialise(_log_p(materialise(needed.select("gram").distinct(), "grams"), found), "log-p")
-    scored = needed.join(every, "gram")
+    scored = needed.join(_log_p(materialise(needed.select("gram").distinct(), "grams"), found), "gram")
     schema = ",".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema)
 
     def score(docs: pa.Table, rows: pa.Table) -> pa.Table:
@@ -302,24 +302,27 @@ def fences(known: DataFrame) -> tuple[dict, float | None]:
 def classify(docs: DataFrame, labels: DataFrame, trusted_label: str = "quality", columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``docs`` (all of them unless told) and n_units, log_ppl, fence (of its language) and accepted.
 
-    The model is trained on all documents whose label is 1; of several labels of a document, one such is enough. Texts
+    Documents whose label is 1 are trusted; of several labels of a document, one such is enough. A third of them, by a hash
+    of doc_id, is held out: the model is trained on the others, the fences are those of the texts it has not seen. Texts
     without characters have no perplexity and are not accepted; without any trusted text all others are. A null language
-    is a language. Rows and all other columns stay as they are; docs must not have columns of the new names.
+    is a language. Rows and all other columns stay as they are; columns of docs with the new names are replaced, whatever
+    ``columns`` leaves out doesn't matter.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    columns = columns or docs.columns
+    own = {"_known", "_block", "_trusted", "n_units", "log_ppl", "fence", "accepted"}
+    columns = [c for c in columns or docs.columns if c not in own]
+    docs = docs.select(*dict.fromkeys([*columns, "doc_id", "lang", "text"]))
     ids = labels.where(F.col(trusted_label) == 1).select(F.col("doc_id").alias("_trusted")).distinct()
-    ids = ids.withColumn("_known", F.lit(True))
+    held_out = F.pmod(F.xxhash64(F.col("_trusted").cast("string")), F.lit(HELD_OUT)) == 0
+    ids = ids.withColumn("_known", F.when(held_out, "fence").otherwise("model"))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    if clash := {"_known", "_block", "_trusted", "n_units", "log_ppl", "fence", "accepted"} & set(docs.columns):
-        raise ValueError(f"columns are named {sorted(clash)}")
     marked = blocked(docs).join(ids, F.col("doc_id") == F.col("_trusted"), "left").drop("_trusted")
-    found = model(marked.where("_known and text is not null and text <> ''"))
+    found = model(marked.where("_known = 'model' and text is not null and text <> ''"))
     kept = [c for c in dict.fromkeys([*columns, "lang", "_known", "_block"]) if c != "text"]
     scored = materialise(log_perplexity(marked.select(*kept, "text"), found, columns=list(dict.fromkeys([*columns, "lang", "_known"]))), "scored")
-    by_lang, overall = fences(scored.where("_known and log_ppl is not null").select("lang", "log_ppl"))
+    by_lang, overall = fences(scored.where("_known = 'fence' and log_ppl is not null").select("lang", "log_ppl"))
     rows = spark.createDataFrame([(k, v) for k, v in by_lang.items()], "_lang string, _fence double")
     out = scored.join(F.broadcast(rows), F.col("lang").eqNullSafe(F.col("_lang")), "left")
     out = out.select(*columns, "n_units", "log_ppl", F.coalesce(F.col("_fence"), F.lit(overall).cast("double")).alias("fence"))
-    return out.withColumn("accepted", F.coalesce(F.col("log_ppl") <= F.coalesce("fence", F.lit(float("inf"))), F.lit(False)))
+    return out.withColumn("accepted", F.coalesce(F.col("log_ppl").isNotNull() & (F.col("log_ppl") <= F.coalesce("fence", F.lit(float("inf")))), F.lit(False)))
