@@ -30,7 +30,7 @@ from trackmotif.session import materialise, ship_package
 
 TOP = 10
 #: Bytes of text of a shard, of a block of queries, and postings that are searched together.
-SHARD, BLOCK, POSTINGS = 16 << 20, 4 << 20, 1 << 21
+SHARD, BLOCK, POSTINGS = 8 << 20, 4 << 20, 1 << 21
 #: Groups of postings that are added before the bound is looked at; twice as many each time.
 STEP = 1024
 SCALE, LENGTH_PERCENT = 1_000_000_000, 90
