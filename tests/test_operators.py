@@ -107,6 +107,76 @@ def test_thresholds_of_a_planted_signal(spark):
     assert 0.2 < found["high"] < 3 and -3 < found["low"] < -0.2 and 0 < found["sign"] <= found["high"]
 
 
+@pytest.mark.parametrize("x", [[], [0.0] * 50, [2.5] * 7, [1.0], [0.0] * 40 + [3.0] * 5])
+def test_values_without_spread(spark, x):
+    df = spark.createDataFrame([(v,) for v in x], "v double")
+    low, high = (min(x), max(x)) if x else (0.0, 1.0)
+    n, edges = np.histogram(x, 1000)
+    got = {r.bin: (r.n, r.low, r.high) for r in thresholds.histogram(df, "v").collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: c for k, c in enumerate(n.tolist()) if c}
+    assert all(abs(a - edges[k]) < 1e-9 and abs(b - edges[k + 1]) < 1e-9 for k, (_, a, b) in got.items())
+    mu = [r.mu for r in thresholds.two_level_mode(df, "v").collect()]
+    assert len(mu) == bool(x) and (high > low or not x or mu == [0.0005])
+    found = thresholds.thresholds(df, "v")
+    assert (low < high and x != []) or found == {"high": np.inf, "low": -np.inf, "sign": np.inf}
+    rates = thresholds.laplace_rates(df, "v", spark.createDataFrame([(m,) for m in mu], "mu double")).collect()
+    assert len(rates) == len(mu) and thresholds.percentiles(df, "v").count() == (19 if x else 0)
+
+
+@pytest.mark.parametrize("increasing", [True, False])
+def test_isotonic_threshold_is_that_of_one_task(spark, increasing):
+    rng = np.random.RandomState(3)
+    turn = 1 if increasing else -1
+    for own, null in ((np.concatenate([rng.laplace(0, 0.1, 3000), rng.normal(2, 0.3, 300)]), rng.laplace(0, 0.1, 2000)), (np.round(rng.normal(0, 1, 500), 1), np.round(rng.normal(0, 1, 300), 1)), (np.array([1.0, 2.0]), np.array([0.5])), (np.array([1.0, 1.0]), np.array([1.0, 3.0]))):
+        own, null = turn * np.abs(own), turn * np.abs(null)
+        ordered = np.sort(own)[::turn]
+        df = spark.createDataFrame([(float(v),) for v in own], "v double").repartition(3)
+        for fdr in (0.05, 0.2, 0.5):
+            assert thresholds.isotonic_threshold(df, "v", null, increasing, fdr) == thresholds.precision_threshold(ordered, null, increasing, fdr)
+
+
+def test_isotonic_blocks_of_any_number_of_ranges(spark):
+    rng = np.random.RandomState(6)
+    x = np.round(rng.normal(size=2000), 2)
+    label = (rng.uniform(size=2000) < 1 / (1 + np.exp(-x))).astype(float)
+    points = spark.createDataFrame([(float(a), 1.0 + k % 3, float(b)) for k, (a, b) in enumerate(zip(x, label, strict=True))], "value double, w double, label double")
+    order = np.argsort(x, kind="stable")
+    fit = thresholds.pool_adjacent(x[order], label[order], (1.0 + np.arange(2000) % 3)[order])
+    for parts in (1, 5, 40):
+        blocks = thresholds.isotonic_blocks(points, parts).orderBy("low").collect()
+        assert sum(b.w for b in blocks) == sum(1 + k % 3 for k in range(2000)) and len(blocks) < 200
+        for b in blocks:
+            mine = (x[order] >= b.low) & (x[order] <= b.high)
+            assert np.allclose(fit[mine], b.y / b.w) and b.first == min(x[(x >= b.low) & (x <= b.high) & (label > 0)], default=None)
+
+
+@pytest.mark.parametrize("held", [200_000, 40, 2])
+def test_selection_by_counting(spark, monkeypatch, held):
+    monkeypatch.setattr(ranking, "HELD", held)
+    rng = np.random.RandomState(held % 7)
+    levels = [0.0, 0.05, 0.5, 0.9999, 1.0]
+    for x in (rng.normal(size=5000), np.exp(60 * rng.normal(size=3000)), np.concatenate([np.zeros(4000), rng.normal(size=300)]), np.array([2.0, 1.0]), np.ones(9)):
+        df = spark.createDataFrame([(float(v), "a" if k % 3 else None) for k, v in enumerate(x)], "v double, g string").repartition(3)
+        assert np.allclose(ranking.quantiles(df, "v", levels)[None][1], np.percentile(x, [100 * q for q in levels]), rtol=1e-6, atol=0)
+        found = ranking.quantiles(df, "v", levels, "g")
+        for g in {"a", None}:
+            own = [v for k, v in enumerate(x) if (k % 3 > 0) == (g == "a")]
+            assert np.allclose(found[g][1], np.percentile(own, [100 * q for q in levels]), rtol=1e-6, atol=0)
+        ordered = np.sort(x)
+        assert ranking.at_ranks(df, "v", {None: [0, len(x) // 2, len(x) - 1, len(x)]}) == {None: {k: ordered[k] for k in (0, len(x) // 2, len(x) - 1)}}
+
+
+def test_short_lines_of_a_peak_file(spark, tmp_path):
+    path = tmp_path / "p.bed"
+    path.write_text("chr1\t1\t9\ta\t5\n\nchr2\t2\t8\tb\t6\n")
+    rows = [tuple(r) for r in text.read_bed(spark, str(path)).orderBy("row_idx").select("row_idx", "chrom", "start").collect()]
+    assert rows == [(0, "chr1", 1), (1, None, None), (2, "chr2", 2)]
+    assert [r.row_idx for r in text.read_bed(spark, str(path), ["chr2"]).collect()] == [0]
+    path.write_text("chr1\t1\t9\ta\t5\nchr1\t2\t8\nchr2\t2\t8\tb\t6\n")
+    with pytest.raises(Exception, match="fewer than 5 columns"):
+        text.read_bed(spark, str(path)).collect()
+
+
 def test_meme_round_trip(spark, tmp_path):
     rows = [("m1", [[0.1, 0.2, 0.3, 0.4], [1.0, 0.0, 0.0, 0.0]]), ("m2", [[0.25] * 4])]
     path = str(tmp_path / "x.meme")
@@ -130,7 +200,7 @@ def test_auroc_pairs_score_all_rows(spark, data):
         x = np.array(r.contrib).ravel()
         rows.setdefault(r.label, []).append(x / np.abs(x).sum())
     got = {(r.a, r.b): r.auroc for r in pattern_queries.auroc_pairs(spark, big).collect()}
-    drawn = {(r.a, r.b): r.auroc for r in pattern_queries.auroc_pairs_all(spark, big).collect()}
+    drawn = {(r.a, r.b): r.auroc for r in pattern_queries.auroc_pairs_drawn(spark, big).collect()}
     assert set(got) == {(a, b) for a in rows for b in rows if a != b} == set(drawn)
     assert max(map(len, rows.values())) <= pattern_queries.SUB_SAMPLE and all(abs(got[k] - drawn[k]) < 2e-6 for k in got)
 

@@ -68,6 +68,11 @@ def contamination(value: Column) -> Column:
     return 2 * (1 - F.greatest(value, F.lit(0.5)))
 
 
+def of_sign(totals: DataFrame, total: str, sign: str) -> DataFrame:
+    """The patterns whose total contribution has the sign, "pos" or "neg", of the track they were found on; zero has neither."""
+    return totals.where(F.signum(total) == F.when(F.col(sign) == "pos", 1.0).when(F.col(sign) == "neg", -1.0))
+
+
 def first_of(members: DataFrame, pattern: str, order: str, cap: int) -> DataFrame:
     """At most ``cap`` members of a pattern, for pairwise comparison."""
     return members.withColumn("_k", F.row_number().over(Window.partitionBy(pattern).orderBy(order))).where(F.col("_k") <= cap).drop("_k")

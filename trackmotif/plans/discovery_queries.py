@@ -13,7 +13,7 @@ from trackmotif.functions import align, kmers, vec
 from trackmotif.operators import descriptive, graph, kernels, knn, matching, patterns, seqlets, thresholds, windows
 from trackmotif.plans.bindings import E_SQL, WINDOW, e_track, long, v_track
 from trackmotif.plans.merge_runs import union_of
-from trackmotif.plans.pattern_queries import _M, _label_aurocs, _means, _scaled
+from trackmotif.plans.pattern_queries import _M, _means, auroc_pairs
 from trackmotif.plans.similarity_queries import _BOTH, _WORDS, CHOICE, ENTRIES, K, SITES, SPAN, _both, _sites
 from trackmotif.session import materialise, ship_package
 from trackmotif.sources import legacy, results
@@ -78,8 +78,12 @@ def metacluster_gate(spark, sf_dir):
 
 
 def pattern_sign_filter(spark, sf_dir):
-    rows = e_track(spark, sf_dir).select("label", vec.total(vec.flatten(F.col("contrib"))).alias("x")).groupBy("label").agg(F.sum(F.col("x") - 20).alias("total"))
-    return rows.where(F.signum("total") == 1).select("label", r6("total").alias("total"))
+    """Labels whose contributions, beside the mean of all, have the sign of the track they count as."""
+    rows = e_track(spark, sf_dir).select("label", vec.total(vec.flatten(F.col("contrib"))).alias("x"))
+    mean = rows.agg(F.avg("x").alias("mean"))
+    totals = rows.crossJoin(F.broadcast(mean)).groupBy("label").agg(F.sum(F.col("x") - F.col("mean")).alias("total"))
+    signed = totals.withColumn("sign", F.when(F.col("label") % 2 == 0, "pos").otherwise("neg"))
+    return patterns.of_sign(signed, "total", "sign").select("label", "sign", r6("total").alias("total"))
 
 
 def runs_union(spark, sf_dir):
@@ -197,7 +201,11 @@ def quantile_examples(spark, sf_dir):
 
 
 def laplace_null(spark, sf_dir):
-    draws = thresholds.laplace_draws(0.5, 2.0, 3.0, 0.55, 1000)
+    """Draws from the null of the V-track: its mode, rates and the share of values above the mode."""
+    track = v_track(spark, sf_dir)
+    r = thresholds.laplace_rates(track, "value", thresholds.two_level_mode(track, "value", 50)).first()
+    n = track.agg(F.count_if(F.col("value") >= r.mu).alias("up"), F.count_if(F.col("value") <= r.mu).alias("down")).first()
+    draws = thresholds.laplace_draws(r.mu, r.rate_up, r.rate_down, n.up / (n.up + n.down))
     return spark.createDataFrame([(k, float(x)) for k, x in enumerate(draws)], "k long, x double")
 
 
@@ -208,10 +216,10 @@ def fdr_threshold(spark, sf_dir):
 
 
 def merge_order(spark, sf_dir):
-    """Which labels collapsing would merge, in order; the labels' pairs are what the driver holds."""
+    """Which labels collapsing would merge, in order, by similarities of all rows; the labels' pairs are what the driver holds."""
     mean = patterns.matrices(_means(spark, sf_dir), "label", "contrib").select("label", vec.centred_l2(vec.flatten(F.col("contrib"))).alias("m"))
     sim = mean.select(F.col("label").alias("a"), F.col("m").alias("x")).join(mean.select(F.col("label").alias("b"), F.col("m").alias("y")), F.col("a") < F.col("b")).select("a", "b", F.round(vec.cosine(F.col("x"), F.col("y")), 9).alias("sim"))
-    both = _label_aurocs(patterns.first_of(_scaled(spark, sf_dir), "label", "vec_id", 100)).select("a", "b", F.round(patterns.contamination(F.col("auroc")), 9).alias("c"))
+    both = materialise(auroc_pairs(spark, sf_dir).select("a", "b", F.col("contamination").alias("c")), "contamination")
     back = both.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("c").alias("back"))
     rows = sim.join(both, ["a", "b"]).join(back, ["a", "b"]).select("a", "b", "sim", F.least("c", "back").alias("least"), ((F.col("c") + F.col("back")) / 2).alias("mean")).collect()
     found = patterns.merges([tuple(r) for r in rows], [(0.8, -0.5)], [(0.2, -0.3)])
@@ -253,7 +261,11 @@ QUERIES = {
     "pattern_orders": (pattern_orders, _MEMBERS + " SELECT name, row_number() OVER (PARTITION BY sign ORDER BY pattern_idx)::BIGINT AS by_number, row_number() OVER (PARTITION BY sign ORDER BY name)::BIGINT AS by_name FROM (SELECT DISTINCT sign, pattern_idx, sign || '_patterns.pattern_' || pattern_idx AS name FROM mem)"),
     "pattern_sizes": (pattern_sizes, _MEMBERS + " SELECT *, row_number() OVER (PARTITION BY sign ORDER BY n DESC, pattern_idx)::BIGINT AS rank FROM (SELECT sign, pattern_idx, count(*) AS n FROM mem GROUP BY ALL)"),
     "metacluster_gate": (metacluster_gate, "SELECT CASE WHEN vec_id % 10 = 0 THEN 'neg' ELSE 'pos' END AS sign, count(*) AS n FROM embeddings GROUP BY 1 HAVING count(*) > 100"),
-    "pattern_sign_filter": (pattern_sign_filter, E_SQL + " SELECT label, round(sum(x), 6) AS total FROM (SELECT vec_id, label, sum(contrib) - 20 AS x FROM c GROUP BY ALL) GROUP BY label HAVING sum(x) > 0"),
+    "pattern_sign_filter": (
+        pattern_sign_filter,
+        E_SQL + """, x AS (SELECT vec_id, label, sum(contrib) AS x FROM c GROUP BY ALL), s AS (SELECT label, CASE WHEN label % 2 = 0 THEN 'pos' ELSE 'neg' END AS sign, sum(x - (SELECT avg(x) FROM x)) AS total FROM x GROUP BY label)
+        SELECT label, sign, round(total, 6) AS total FROM s WHERE sign(total) = CASE sign WHEN 'pos' THEN 1 ELSE -1 END""",
+    ),
     "runs_union": (
         runs_union,
         _MEMBERS + " SELECT (example_idx % 2)::INT AS run, sign, pattern_idx, ord, (row_number() OVER (ORDER BY example_idx % 2, example_idx) - 1)::BIGINT AS example_idx FROM mem WHERE example_idx % 5 <> 0",

@@ -119,7 +119,8 @@ def _label_aurocs(rows: DataFrame) -> DataFrame:
     return pairs.repartition("a", "b").mapInArrow(run, "a int, b int, auroc double")
 
 
-def auroc_pairs_all(spark, sf_dir):
+def auroc_pairs_drawn(spark, sf_dir):
+    """Over at most ``SUB_SAMPLE`` rows a label, drawn by hash, as discovery draws from a pattern."""
     rows = _scaled(spark, sf_dir).withColumn("drawn", F.xxhash64("vec_id"))
     found = _label_aurocs(patterns.first_of(rows, "label", "drawn", SUB_SAMPLE))
     return found.select("a", "b", r6("auroc").alias("auroc"), r6(patterns.contamination(F.col("auroc"))).alias("contamination"))
@@ -258,7 +259,7 @@ QUERIES = {
         u AS (SELECT a, b, (sum(r) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)) AS auroc FROM r GROUP BY a, b)
         SELECT a, b, round(auroc, 6) AS auroc, round(2 * (1 - greatest(auroc, 0.5)), 6) AS contamination FROM u""",
     ),
-    "auroc_pairs_all": (auroc_pairs_all, None),
+    "auroc_pairs_drawn": (auroc_pairs_drawn, None),
     "auroc_label_scores": (
         auroc_label_scores,
         E_SQL + """, x AS (SELECT label, round(contrib, 4) + 0.0 AS x, base < 2 AS y FROM c), r AS (SELECT label, y, rank() OVER (PARTITION BY label ORDER BY x) + (count(*) OVER (PARTITION BY label, x) - 1) / 2 AS r FROM x)

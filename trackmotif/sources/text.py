@@ -82,9 +82,15 @@ def fasta_entry(header: Column, sequence: Column) -> Column:
 
 
 def read_bed(spark: SparkSession, path: str, chroms: list[str] | None = None) -> DataFrame:
-    """row_idx and the first columns of a peak file; rows are numbered in file order, after the filter of chromosomes."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("_at"), F.split("value", "\t").alias("c")).where(F.size("c") >= 5)
-    rows = rows.select("_at", F.get("c", F.lit(0)).alias("chrom"), F.get("c", F.lit(1)).cast("long").alias("start"), F.get("c", F.lit(2)).cast("long").alias("end"), F.get("c", F.lit(3)).alias("name"), F.get("c", F.lit(4)).alias("score"))
+    """row_idx and the first columns of a peak file; rows are numbered in file order, after the filter of chromosomes.
+
+    Every line keeps its number, as seqlets name peaks by it: one with fewer than 5 columns ends the job, and a blank one
+    is a row of nulls (of no chromosome, for the filter).
+    """
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("_at"), F.split("value", "\t").alias("c"), (F.trim("value") == "").alias("blank"))
+    short = F.raise_error(F.concat(F.lit("a line of the peak file has fewer than 5 columns: "), F.array_join("c", " ")))
+    part = lambda k: F.when(F.col("blank"), None).when(F.size("c") < 5, short).otherwise(F.get("c", F.lit(k)))
+    rows = rows.select("_at", part(0).alias("chrom"), part(1).cast("long").alias("start"), part(2).cast("long").alias("end"), part(3).alias("name"), part(4).alias("score"))
     return numbered(with_chroms(rows, chroms), "_at").drop("_at")
 
 
