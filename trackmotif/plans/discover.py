@@ -1,9 +1,8 @@
 """Motif discovery end to end: tracks to windows, seqlets, neighbour graphs, clusters, patterns and results.
 
 Everything up to the clusters is relational and keyed by sign, so that both signs run as one job. A cluster is folded
-into its pattern in one task; merging is sequential in what it has merged before, so a sign's patterns meet in one task.
-Both are bounded by ``max_seqlets`` seqlets a sign, and each example's tracks come to such a task once. Each stage is
-written to the shared folder.
+into its pattern in one task, which is bounded by ``max_seqlets`` seqlets a sign, and each example's tracks come to it once;
+patterns merge by tasks of two (see ``collapse``). Each stage is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from trackmotif.functions import vec
 from trackmotif.operators import graph, knn, nms, seqlets, thresholds, windows
-from trackmotif.operators.kernels import Pattern, Settings, Tracks, cluster_pattern, features, fine_similarity, finished, words
+from trackmotif.operators.kernels import Settings, Tracks, cluster_pattern, features, fine_similarity, words
 from trackmotif.session import materialise, ship_package
 
 SIGNS = {"pos": 1, "neg": -1}
@@ -145,26 +144,12 @@ def background_of(found: DataFrame) -> np.ndarray:
 
 
 RESULT = pa.schema([("sign", pa.string()), ("pattern_idx", pa.int32()), ("ord", pa.int64()), ("example_idx", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("is_revcomp", pa.bool_()), ("subcluster", pa.int32())])
-RESULT_DDL = "sign string, pattern_idx int, ord long, example_idx long, start long, end long, is_revcomp boolean, subcluster int"
-
-
-def merged(patterns: DataFrame, tracks: DataFrame, background: np.ndarray, s: Settings) -> DataFrame:
-    """Members of the final patterns of each sign, from (sign, cluster, ord, coordinates)."""
-
-    def run(part: pa.Table, tracks: Tracks) -> pa.Table:
-        part = part.sort_by([("cluster", "ascending"), ("ord", "ascending")])
-        sign, by = part["sign"][0].as_py(), {}
-        for c, x in zip(part["cluster"].to_pylist(), seqlets_of(part), strict=True):
-            by.setdefault(c, []).append(x)
-        found = finished([Pattern(tracks, x) for x in by.values()], background, s)
-        out = [(sign, k, n, *x, int(c)) for k, (p, sub) in enumerate(found) for n, (x, c) in enumerate(zip(p.seqlets, sub, strict=True))]
-        return pa.Table.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(RESULT)], schema=RESULT)
-
-    return folded(patterns, tracks, ["sign"], run, RESULT_DDL)
 
 
 def discover(tracks: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The members of every final pattern: sign, pattern_idx (by size), ord, coordinates, strand and subcluster."""
+    from trackmotif.plans import collapse
+
     s = settings or Settings()
     ship_package(tracks.sparkSession)
     tracks = materialise(with_contributions(tracks), "tracks")
@@ -179,7 +164,7 @@ def discover(tracks: DataFrame, settings: Settings | None = None) -> DataFrame:
             one = seqlets.distinct(patterns.withColumn("_o", F.struct("cluster", "ord")), ["sign", "example_idx", "start", "end"], "_o")
             numbered = seqlets.first_of_each_sign(one.withColumnRenamed("ord", "place"), 1 << 30, "cluster", "place")
             rows = materialise(numbered.select("sign", "ord", "example_idx", "start", "end", "is_revcomp"), "seqlets")
-    return materialise(merged(patterns, tracks, background, s), "members")
+    return materialise(collapse.finished(patterns, tracks, background, s), "members")
 
 
 def summarised(members: DataFrame, tracks: DataFrame, *by: str) -> DataFrame:

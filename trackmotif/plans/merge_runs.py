@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackmotif.operators.kernels import Pattern, Settings, Tracks, collapsed
-from trackmotif.plans.discover import RESULT, RESULT_DDL, folded, seqlets_of, with_contributions
+from trackmotif.operators import seqlets
+from trackmotif.operators.kernels import Settings
+from trackmotif.operators.ranking import numbered
+from trackmotif.plans.collapse import COORDINATES, Collapse
+from trackmotif.plans.discover import with_contributions
 from trackmotif.session import materialise, ship_package
 
 
@@ -21,10 +23,7 @@ def union_of(runs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFr
         members = m if members is None else members.unionByName(m)
         tracks = t if tracks is None else tracks.unionByName(t)
     used = members.select("run", "example_idx").distinct()
-    numbers = materialise(used.withColumn("to", F.dense_rank().over(Window.partitionBy("run").orderBy("example_idx")).cast("long") - 1), "examples")
-    sizes = numbers.groupBy("run").agg(F.count("*").alias("n"))
-    before = sizes.select("run", F.coalesce(F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    numbers = numbers.join(F.broadcast(before), "run").select("run", "example_idx", (F.col("to") + F.col("before")).alias("to"))
+    numbers = materialise(numbered(used, "run", "example_idx"), "examples").withColumnRenamed("row_idx", "to")
     renumber = lambda df: df.join(numbers, ["run", "example_idx"]).drop("example_idx").withColumnRenamed("to", "example_idx")
     return renumber(members), renumber(tracks)
 
@@ -35,32 +34,32 @@ def background_of(tracks: DataFrame) -> np.ndarray:
     return np.array([r.f for r in mean])
 
 
-TREE = pa.schema([*RESULT, ("level", pa.int32()), ("node", pa.int64()), ("children", pa.list_(pa.int64())), ("n_seqlets", pa.int64())])
-
-
 def merge(runs: list[tuple[DataFrame, DataFrame]], settings: Settings | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members of the merged patterns, the tracks they lie on, and the merge tree (sign, level, node, children, n_seqlets).
 
-    Nodes are numbered within a sign: leaves by run and pattern from 0, then merges in order. A sign's patterns meet in
-    one task, as each merge depends on those before it.
+    Nodes are numbered within a sign: leaves by run and pattern from 0, then merges in order. See ``collapse`` for how
+    patterns merge.
     """
     s = settings or Settings(trim=20, initial_flank=5)
-    ship_package(runs[0][0].sparkSession)
+    spark = runs[0][0].sparkSession
+    ship_package(spark)
     members, tracks = union_of(runs)
     members, tracks = materialise(members, "runs"), materialise(with_contributions(tracks), "run-tracks")
-    background = background_of(tracks)
-
-    def run(part: pa.Table, tracks: Tracks) -> pa.Table:
-        part = part.sort_by([("run", "ascending"), ("pattern_idx", "ascending"), ("ord", "ascending")])
-        sign, by = part["sign"][0].as_py(), {}
-        for key, x in zip(zip(part["run"].to_pylist(), part["pattern_idx"].to_pylist(), strict=True), seqlets_of(part), strict=True):
-            by.setdefault(key, []).append(x)
-        leaves, history = [Pattern(tracks, x) for x in by.values()], []
-        found = collapsed(leaves, background, s, history)
-        number = {p.number: k for k, p in enumerate(leaves)} | {node: len(leaves) + k for k, (_, node, _, _) in enumerate(history)}
-        rows = [(sign, k, n, *x, 0, None, None, None, None) for k, p in enumerate(found) for n, x in enumerate(p.seqlets)]
-        rows += [(sign, *[None] * 6, None, level, number[node], [number[c] for c in children], n) for level, node, children, n in history]
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(TREE)], schema=TREE)
-
-    out = materialise(folded(members, tracks, ["sign"], run, RESULT_DDL + ", level int, node long, children array<long>, n_seqlets long"), "merged")
-    return out.where("node is null").select(*RESULT.names), tracks, out.where("node is not null").select("sign", "level", "node", "children", "n_seqlets")
+    leaves = members.select("sign", "run", "pattern_idx").distinct().orderBy("sign", "run", "pattern_idx").collect()
+    scopes: dict[str, list[int]] = {}
+    for k, r in enumerate(leaves):
+        scopes.setdefault(r.sign, []).append(k)
+    numbers = spark.createDataFrame([(*r, k) for k, r in enumerate(leaves)], "sign string, run int, pattern_idx int, number long")
+    one = seqlets.distinct(members.join(F.broadcast(numbers), ["sign", "run", "pattern_idx"]), ["number", "example_idx", "start", "end"], "ord")
+    state = Collapse(materialise(one.select("number", "ord", *COORDINATES), "leaves"), tracks, background_of(tracks), s)
+    left = state.run(scopes)
+    order = [(sign, k, number) for sign, found in left.items() for k, number in enumerate(found)]
+    names = F.broadcast(spark.createDataFrame(order, "sign string, pattern_idx int, number long"))
+    place = F.row_number().over(Window.partitionBy("number").orderBy("ord")) - 1
+    out = state.members.withColumn("place", place.cast("long")).join(names, "number").select("sign", "pattern_idx", F.col("place").alias("ord"), *COORDINATES, F.lit(0).alias("subcluster"))
+    node = {x: k for found in scopes.values() for k, x in enumerate(found)}
+    tree = []
+    for sign, level, number, children, n in state.history:
+        node[number] = len(scopes[sign]) + sum(r[0] == sign for r in tree)
+        tree.append((sign, level, node[number], [node[c] for c in children], n))
+    return materialise(out, "merged"), tracks, spark.createDataFrame(tree, "sign string, level int, node long, children array<long>, n_seqlets long")
