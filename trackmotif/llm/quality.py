@@ -228,7 +228,8 @@ def blocked(df: DataFrame, block_units: int = BLOCK_UNITS) -> DataFrame:
     # Behind a shuffle or where rows come from no file, Spark still lists the files but names none: no column is read here.
     unnamed = df.select(F.input_file_name().alias("f")).agg(F.max((F.col("f") == "").cast("int"))).first()[0] if df.inputFiles() else 1
     if unnamed == 0:
-        return df.withColumn("_block", F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(plain, F.lit(parts))))
+        of = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(plain, F.lit(parts)))
+        return df.withColumn("_block", of.bitwiseAND(F.lit((1 << 31) - 1)))  # a number that is shuffled small; two blocks may share it
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return df.withColumn("_block", F.pmod(plain, F.lit(max(spark.sparkContext.defaultParallelism, -(-size // block_units)))))
 
@@ -269,7 +270,8 @@ def log_perplexity(df: DataFrame, found: DataFrame, block_units: int = BLOCK_UNI
     columns = [c for c in columns or df.columns if c not in ("_block", "n_units", "log_ppl")]
     dealt = df if "_block" in df.columns else blocked(df, block_units)
     needed = materialise(dealt.select("_block", "text").mapInArrow(_wanted, "_block long, gram long"), "wanted")
-    scored = needed.join(_log_p(materialise(needed.select("gram").distinct(), "grams"), found), "gram")
+    every = materialise(_log_p(materialise(needed.select("gram").distinct(), "grams"), found), "log-p")
+    scored = needed.join(every, "gram")
     schema = ",".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema)
 
     def score(docs: pa.Table, rows: pa.Table) -> pa.Table:
