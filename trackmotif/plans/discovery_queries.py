@@ -215,6 +215,14 @@ def fdr_threshold(spark, sf_dir):
     return spark.createDataFrame([thresholds.thresholds(smoothed)], "high double, low double, sign double")
 
 
+def discover_patterns(spark, sf_dir):
+    """Members of the patterns of the E-track, from windows to merged patterns and subpatterns."""
+    from trackmotif.plans import discover
+
+    tracks = e_track(spark, sf_dir).select(F.col("vec_id").alias("example_idx"), "one_hot", "hyp")
+    return discover.discover(tracks, kernels.Settings(window=3, flank=1, min_metacluster=20, neighbours=30, perplexity=5.0, seeds=2, trim=4, initial_flank=0, least=5, sub_perplexity=10.0, min_cluster=5, min_ic=-1.0, ic_window=4))
+
+
 def merge_order(spark, sf_dir):
     """Which labels collapsing would merge, in order, by similarities of all rows; the labels' pairs are what the driver holds."""
     mean = patterns.matrices(_means(spark, sf_dir), "label", "contrib").select("label", vec.centred_l2(vec.flatten(F.col("contrib"))).alias("m"))
@@ -328,4 +336,5 @@ QUERIES = {
     "laplace_null": (laplace_null, None),
     "fdr_threshold": (fdr_threshold, None),
     "merge_order": (merge_order, None),
+    "discover_patterns": (discover_patterns, None),
 }
