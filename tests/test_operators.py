@@ -225,3 +225,34 @@ def test_threshold_sample_draws_equal_values_each_alone(spark):
     for seed in (1, 1234):
         rows = thresholds.sampled(df, "total", 1000, seed).collect()
         assert len(rows) == 1000 and 400 < sum(r.total == 0 for r in rows) < 600
+
+
+def _random_graph(kind, n, seed):
+    """Edges of planted groups, or of nodes that link to others at random, heavier to near ones."""
+    rng = np.random.RandomState(seed)
+    rows = {}
+    for a in range(n):
+        for _ in range(8):
+            if kind == "planted":
+                b = a // 25 * 25 + rng.randint(25) if rng.rand() < 0.8 else rng.randint(n)
+            else:
+                b = (a + 1 + int(rng.exponential(n / 12))) % n
+            if a != b:
+                rows[min(a, b), max(a, b)] = 0.5 + rng.rand()
+    return [(a, b, w) for (a, b), w in rows.items()] + [(k, k, 0.3) for k in range(0, n, 9)]
+
+
+@pytest.mark.parametrize("kind", ["planted", "ring"])
+def test_communities_without_a_packed_graph(spark, kind):
+    """Coarsening by joins ends within a hundredth of the modularity that one task finds."""
+    rows = _random_graph(kind, 500, 2)
+    i, j, w = (np.array(c) for c in zip(*rows, strict=True))
+    one = max(graph.leiden(500, i, j, w, 100 * seed)[1] for seed in (1, 2))
+    edges = spark.createDataFrame([("a", *map(float, r)) for r in rows], "g string, i double, j double, w double").withColumn("i", F.col("i").cast("long")).withColumn("j", F.col("j").cast("long"))
+    found = graph.communities(edges, "g", 2, small=900)
+    got = found.collect()
+    assert len(got) == 500 == len({r.id for r in got}) and len({r.q for r in got}) == 1
+    assert got[0].q > one * 0.99
+    sizes = np.bincount([r.label for r in got])
+    assert all(sizes > 0) and all(sizes[:-1] >= sizes[1:])
+    assert abs(graph.modularity(edges.drop("g"), found.select("id", "label")).first().q - got[0].q) < 1e-9

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackmotif.operators.ranking import numbered
 from trackmotif.session import materialise, ship_package
 
 EPS = 1e-7
@@ -195,15 +196,8 @@ def leiden(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, seed: int) -> tu
     return rank[best], base.quality(best)
 
 
-def communities(edges: DataFrame, group: str | None = None, seeds: int = 2) -> DataFrame:
-    """(group,) id, label, q: the best of ``seeds`` runs for each group of edges.
-
-    A group's edges are packed into one row of arrays, which goes to each seed's task; a metacluster's graph has a bounded
-    number of nodes (``max_seqlets``) with at most two times ``neighbours`` edges each, which is what has to fit.
-    """
-    ship_package(edges.sparkSession)
-    name = group or "_g"
-    rows = edges.withColumn("_g", F.lit(0)) if group is None else edges
+def _packed_runs(rows: DataFrame, name: str, seeds: int) -> DataFrame:
+    """(name), id, label, q: the best of ``seeds`` runs for each group of edges, each a task with a group's edges."""
     kind = rows.schema[name].dataType.simpleString()
     order = F.array_sort(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("w").cast("double").alias("w"))))
     packed = rows.groupBy(name).agg(order.alias("e"))
@@ -222,5 +216,105 @@ def communities(edges: DataFrame, group: str | None = None, seeds: int = 2) -> D
 
     found = materialise(tasks.mapInArrow(run, f"{name} {kind}, seed int, q double, id long, label long"), "communities")
     best = found.groupBy(name).agg(F.max(F.struct(F.col("q"), (-F.col("seed")).alias("s"))).alias("b")).select(name, F.col("b.q").alias("bq"), (-F.col("b.s")).alias("bs"))
-    out = found.join(F.broadcast(best), name).where((F.col("q") == F.col("bq")) & (F.col("seed") == F.col("bs"))).select(name, "id", "label", "q")
+    return found.join(F.broadcast(best), name).where((F.col("q") == F.col("bq")) & (F.col("seed") == F.col("bs"))).select(name, "id", "label", "q")
+
+
+#: Edges of a group that one task takes; larger groups are made smaller first, as tables.
+SMALL = 400_000
+#: Rounds of moving, and the share of nodes that still move below which it ends.
+ROUNDS, CALM = 16, 0.002
+
+
+def communities(edges: DataFrame, group: str | None = None, seeds: int = 2, small: int = SMALL) -> DataFrame:
+    """(group,) id, label, q: the best of ``seeds`` runs for each group of edges (i, j, w).
+
+    A group of at most ``small`` edges is packed into one row of arrays, which goes to each seed's task. A larger one is
+    first coarsened by moves and merges that are joins of its tables (see ``coarsened``) until it is small enough, and its
+    labels are settled by moves on all its edges; no task gets more than ``small`` edges.
+    """
+    spark = edges.sparkSession
+    ship_package(spark)
+    name = group or "_g"
+    rows = edges.withColumn("_g", F.lit(0)) if group is None else edges
+    rows = materialise(rows.select(name, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("w").cast("double").alias("w")), "graph-edges")
+    large = [r[0] for r in rows.groupBy(name).agg(F.count("*").alias("n")).where(F.col("n") > small).collect()]
+    out = _packed_runs(rows.where(~F.col(name).isin(large)) if large else rows, name, seeds)
+    for key in large:
+        own = rows.where(F.col(name) == F.lit(key)).drop(name)
+        found = _settled(own, seeds, small).select(F.lit(key).alias(name), "id", "label", "q")
+        out = out.unionByName(found)
     return out if group else out.drop("_g")
+
+
+def _adjacency(edges: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """(i, j, w) both ways without loops, (id, loop, k) of every node, and the weight of all edges."""
+    real = edges.where("i <> j")
+    adjacent = materialise(real.select("i", "j", "w").union(real.select("j", "i", "w")).groupBy("i", "j").agg(F.sum("w").alias("w")), "adjacent")
+    ends = adjacent.select(F.col("i").alias("id"), F.lit(0.0).alias("loop"), "w").union(edges.where("i = j").select("i", "w", F.lit(0.0)))
+    nodes = materialise(ends.groupBy("id").agg(F.sum("loop").alias("loop"), (F.sum("w") + 2 * F.sum("loop")).alias("k")), "nodes")
+    return adjacent, nodes, float(nodes.agg(F.sum("k")).first()[0] or 0.0) / 2
+
+
+def moved(nodes: DataFrame, adjacent: DataFrame, total: float, seed: int, rounds: int = ROUNDS, alone: bool = False) -> DataFrame:
+    """``nodes`` (id, k, c and more) with better communities c: rounds of moves to where modularity gains most.
+
+    Of two neighbours that want to move, only one does in a round, the one with the larger hash, so that neither counts on
+    the other's place. With ``alone``, only nodes that are their community's only one move. Each round is three joins
+    of the edges with what they need of their ends; a node's links are summed up by community before anything meets.
+    """
+    size = nodes.count()
+    for number in range(rounds):
+        sums = nodes.groupBy("c").agg(F.sum("k").alias("t"), F.count("*").alias("n"))
+        mine = nodes.join(sums, "c").select(F.col("id").alias("i"), "k", F.col("c").alias("own"), F.col("t").alias("t_own"), "n")
+        near = adjacent.join(nodes.select(F.col("id").alias("j"), "c"), "j").groupBy("i", "c").agg(F.sum("w").alias("w"))
+        rows = near.join(sums.select("c", "t"), "c").join(mine.where("n = 1") if alone else mine, "i")
+        stay = F.col("c") == F.col("own")
+        gain = F.col("w") - F.col("k") * (F.col("t") - F.when(stay, F.col("k")).otherwise(0.0)) / (2 * total)
+        best = rows.groupBy("i", "k", "own", "t_own").agg(F.max(F.when(stay, gain)).alias("here"), F.max(F.when(~stay, F.struct(gain.alias("gain"), (-F.col("c")).alias("c")))).alias("there"))
+        here = F.coalesce("here", -F.col("k") * (F.col("t_own") - F.col("k")) / (2 * total))
+        wish = best.where(F.col("there.gain") > here + 1e-12).select("i", (-F.col("there.c")).alias("to"), F.xxhash64("i", F.lit(number), F.lit(seed)).alias("turn"))
+        wish = materialise(wish, "wishes")
+        other = wish.select(F.col("i").alias("j"), F.col("turn").alias("before"))
+        waits = adjacent.select("i", "j").join(wish.select("i", "turn"), "i").join(other, "j").where("before > turn").select("i").distinct()
+        goes = wish.join(waits, "i", "left_anti").select(F.col("i").alias("id"), "to")
+        nodes = materialise(nodes.join(goes, "id", "left").withColumn("c", F.coalesce("to", "c")).drop("to"), "nodes")
+        if wish.count() <= CALM * size:
+            break
+    return nodes
+
+
+def coarsened(edges: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(id, c) of every node, and the edges between the c: local moves, then a refinement within each community, where nodes
+    join one another from scratch, so that what becomes one node is connected."""
+    adjacent, nodes, total = _adjacency(edges)
+    coarse = moved(nodes.withColumn("c", F.col("id")), adjacent, total, seed)
+    inside = adjacent.join(coarse.select(F.col("id").alias("i"), F.col("c").alias("ci")), "i").join(coarse.select(F.col("id").alias("j"), F.col("c").alias("cj")), "j")
+    inside = materialise(inside.where("ci = cj").select("i", "j", "w"), "inside")
+    fine = moved(nodes.withColumn("c", F.col("id")), inside, total, seed + 1, alone=True).select("id", "c")
+    place = lambda x: fine.select(F.col("id").alias(x), F.col("c").alias(f"{x}c"))
+    between = adjacent.where("i < j").join(place("i"), "i").join(place("j"), "j").select(F.least("ic", "jc").alias("i"), F.greatest("ic", "jc").alias("j"), "w")
+    loops = nodes.where("loop > 0").join(fine, "id").select(F.col("c").alias("i"), F.col("c").alias("j"), F.col("loop").alias("w"))
+    return fine, materialise(between.union(loops).groupBy("i", "j").agg(F.sum("w").alias("w")), "coarse")
+
+
+def _settled(edges: DataFrame, seeds: int, small: int) -> DataFrame:
+    """id, label (0 for the largest), q of a graph of any size."""
+    of, level, n = None, edges, edges.count()
+    seed = 1
+    while n > small:
+        fine, level = coarsened(level, 100 * seed)
+        of = materialise(fine if of is None else of.join(fine.select(F.col("id").alias("c"), F.col("c").alias("to")), "c").select("id", F.col("to").alias("c")), "levels")
+        before, n, seed = n, level.count(), seed + 1
+        if n > 0.95 * before:
+            break
+    if n <= small:
+        best = _packed_runs(level.withColumn("_g", F.lit(0)), "_g", seeds).select(F.col("id").alias("c"), F.col("label").cast("long").alias("label"))
+        of = best.withColumnRenamed("c", "id") if of is None else of.join(best, "c").select("id", "label")
+    else:
+        of = of.withColumnRenamed("c", "label")
+    adjacent, nodes, total = _adjacency(edges)
+    last = moved(nodes.join(of.withColumnRenamed("label", "c"), "id"), adjacent, total, 7, rounds=6)
+    sizes = materialise(last.groupBy("c").agg(F.count("*").alias("n")), "sizes")
+    rank = numbered(sizes, F.desc("n"), F.col("c")).select("c", F.col("row_idx").alias("label"))
+    labels = materialise(last.select("id", "c").join(rank, "c").select("id", "label"), "labels")
+    return labels.withColumn("q", F.lit(modularity(edges, labels).first().q))
