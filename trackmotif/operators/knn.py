@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackmotif.session import materialise, ship_package
+
+#: Of each row, so many words lead to the neighbours that it is compared with first.
+LEADS = 4
+#: Similarities that differ by less may tie.
+SLACK = 1e-8
+
 
 def normalised(df: DataFrame, key: str, value: str = "value") -> DataFrame:
     """Values divided by the Euclidean length of their row; all-zero rows go."""
@@ -15,15 +26,79 @@ def normalised(df: DataFrame, key: str, value: str = "value") -> DataFrame:
 def sparse_dot(a: DataFrame, b: DataFrame, key: str, word: str = "word", value: str = "value") -> DataFrame:
     """i, j, dot of every pair of rows with a word in common.
 
-    A sort-merge join on the word and a sum that starts before the shuffle by pair. Rows hold at most a fixed number of
-    words each; a word that n rows have makes n * n products, so that the rows a call may have (``max_seqlets`` of a sign
-    in discovery) are what bounds it. AQE splits words that many rows have.
+    A sort-merge join on the word and a sum that starts before the shuffle by pair; a word that n rows have makes n * n
+    products. ``nearest`` does without most of them where only the best are wanted.
     """
     left = a.select(F.col(key).alias("i"), word, F.col(value).alias("_a"))
     right = b.select(F.col(key).alias("j"), word, F.col(value).alias("_b"))
     return left.join(right, word).groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("dot"))
 
 
+def _vectors(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, words (sorted numbers, hashes where they are none) and values of each row."""
+    number = F.col("word") if rows.schema["word"].dataType.simpleString() == "bigint" else F.xxhash64("word")
+    held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(number.alias("word"), F.col("value").cast("double").alias("value")))).alias("v"))
+    return held.select(*keys, F.col("v.word").alias("words"), F.col("v.value").alias("values"))
+
+
+def _dots(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """i, j, sim: the products of whole rows of ``pairs`` (i, j, part)."""
+    both = pairs.join(left.withColumnsRenamed({"words": "wa", "values": "va"}), "i").join(right.withColumnsRenamed({"words": "wb", "values": "vb"}), ["j", "part"]).select("i", "j", "wa", "va", "wb", "vb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [[x.values.to_numpy() for x in batch.column(c)] for c in ("wa", "va", "wb", "vb")]
+            out = []
+            for wa, va, wb, vb in zip(*parts, strict=True):
+                _, x, y = np.intersect1d(wa, wb, assume_unique=True, return_indices=True)
+                out.append(float(va[x] @ vb[y]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["i", "j", "sim"])
+
+    kind = lambda c: both.schema[c].dataType.simpleString()
+    return both.mapInArrow(run, f"i {kind('i')}, j {kind('j')}, sim double")
+
+
+def bounded_words(left: DataFrame, right: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The words of each row of ``left`` that can lead to one of its ``k`` nearest: i, word, value, n (rows of ``right`` with
+    the word), bar and slack; and the similarities i, j, sim that are known by then.
+
+    A row's bar is its k-th best similarity with the rows that hold most of its ``LEADS`` weightiest words. What its words
+    give with any row at most, |value| times the word's largest, is summed up from the commonest word on: while the sum, its
+    slack, stays below the bar, a row that shares no other word can't be among the nearest, so these words join nothing.
+    """
+    stats = right.groupBy("word").agg(F.count("*").alias("n"), F.max(F.abs("value")).alias("top"))
+    own = materialise(left.join(stats, "word").select("i", "word", "value", "n", (F.abs("value") * F.col("top")).alias("most")), "weighed")
+    lead = own.withColumn("_k", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("most"), "word"))).where(F.col("_k") <= LEADS).select("i", "word")
+    strong = right.withColumn("_k", F.row_number().over(Window.partitionBy("word").orderBy(F.desc(F.abs("value")), "j"))).where(F.col("_k") <= k + 1)
+    first = lead.join(strong, "word").select("i", "j", "part").distinct()
+    known = _dots(first, _vectors(left, "i"), _vectors(right, "j", "part")).groupBy("i", "j").agg(F.max("sim").alias("sim"))
+    known = materialise(known, "known")
+    bar = known.withColumn("_k", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("sim")))).where(F.col("_k") == k).select("i", F.col("sim").alias("bar"))
+    common = Window.partitionBy("i").orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, 0)
+    rows = own.withColumn("rest", F.sum("most").over(common)).join(bar, "i", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
+    idle = F.col("rest") < F.col("bar") - SLACK
+    slack = F.coalesce(F.max(F.when(idle, F.col("rest"))).over(Window.partitionBy("i")), F.lit(0.0))
+    return rows.withColumn("slack", slack).where(~idle).select("i", "word", "value", "n", "bar", "slack"), known
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, score: Column | str = "sim") -> DataFrame:
+    """i, j, sim, rank: the ``k`` rows j of ``right`` (j, part, word, value) most similar to each row of ``left`` (i, word,
+    value) by the largest product of any part, among those with a word in common; ties as ``score`` has them: smallest j.
+
+    Equal to ranking all products, but words too common or light to matter to a row aren't joined (see ``bounded_words``), and
+    of the pairs that the others make only those whose sum so far can reach the bar are multiplied out.
+    """
+    ship_package(left.sparkSession)
+    left, right = materialise(left.select("i", "word", "value"), "left-words"), materialise(right.select("j", "part", "word", "value"), "right-words")
+    needed, known = bounded_words(left, right, k)
+    products = needed.join(right.withColumnRenamed("value", "_b"), "word").groupBy("i", "j", "part", "bar", "slack").agg(F.sum(F.col("value") * F.col("_b")).alias("sim"))
+    could = materialise(products.where(F.col("sim") + F.col("slack") >= F.col("bar") - SLACK), "could")
+    whole = could.where("slack = 0").select("i", "j", "sim")
+    rest = _dots(could.where("slack > 0").select("i", "j", "part"), _vectors(left, "i"), _vectors(right, "j", "part"))
+    found = known.unionByName(whole).unionByName(rest).groupBy("i", "j").agg(F.max("sim").alias("sim"))
+    return top_k(found, k, score)
+
+
 def larger_of(forward: DataFrame, reverse: DataFrame) -> DataFrame:
     """i, j, sim: the larger of two strands, where a pair that is missing counts 0."""
     both = forward.withColumn("f", F.col("dot")).withColumn("r", F.lit(0.0)).select("i", "j", "f", "r").unionByName(reverse.withColumn("f", F.lit(0.0)).withColumn("r", F.col("dot")).select("i", "j", "f", "r"))

@@ -71,11 +71,11 @@ def coarse(found: DataFrame, s: Settings) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array([sign] * n), pa.array([ord_] * n, pa.int64()), pa.array([strand] * n, pa.int32()), pa.array(key), pa.array(value / norm)], names=["sign", "id", "strand", "word", "value"])
 
     rows = materialise(found.select("sign", "ord", "one_hot", "hyp").mapInArrow(run, "sign string, id long, strand int, word long, value double"), "words")
-    key = F.struct("sign", "id")
-    side = lambda k: rows.where(F.col("strand") == k).select(key.alias("id"), F.struct("sign", "word").alias("word"), "value")
-    sims = knn.larger_of(knn.sparse_dot(side(0), side(0), "id"), knn.sparse_dot(side(0), side(1), "id"))
-    near = knn.top_k(sims, s.neighbours + 1, F.round("sim", 12))
+    key, word = F.struct("sign", "id"), F.struct("sign", "word").alias("word")
+    own = rows.where("strand = 0").select(key.alias("i"), word, "value")
+    near = knn.nearest(own, rows.select(key.alias("j"), F.col("strand").alias("part"), word, "value"), s.neighbours + 1, F.round("sim", 12))
     near = near.select(F.col("i.sign").alias("sign"), F.col("i.id").alias("i"), F.col("j.id").alias("j"), "sim")
+    near = near.withColumn("sim", F.greatest("sim", F.lit(0.0)))
     return knn.filled(materialise(near, "near"), found.select("sign", F.col("ord").alias("id")), s.neighbours + 1, "sign")
 
 

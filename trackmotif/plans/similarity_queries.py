@@ -53,7 +53,9 @@ def _near(spark, sf_dir):
 
 
 def sparse_cosine_knn(spark, sf_dir):
-    return _neighbours(spark, sf_dir).select("i", "j", "rank", r6("sim").alias("sim"))
+    rows = materialise(knn.normalised(_words(spark, sf_dir), "vec_id"), "words")
+    right = rows.select(F.col("vec_id").alias("j"), F.lit(0).alias("part"), "word", "value")
+    return knn.nearest(rows.withColumnRenamed("vec_id", "i"), right, K, F.round("sim", 9)).select("i", "j", "rank", r6("sim").alias("sim"))
 
 
 def _features(spark, sf_dir):
