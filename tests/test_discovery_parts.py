@@ -136,7 +136,7 @@ def test_reports_conversions_and_layouts(spark, tmp_path):
 
 def test_bed_and_tomtom_forms(spark, tmp_path):
     row = spark.range(1).select(text.track_line(F.lit("a b"), visibility="2", description="two words").alias("t"), text.bed_line(*(F.lit(x) for x in ("chr1", "1", "2", None, "x"))).alias("l")).first()
-    assert row.t == 'track name="a b" visibility=2 description="two words"' and row.l == "chr1\t1\t2\tx"
+    assert row.t == 'track name="a b" visibility="2" description="two words"' and row.l == "chr1\t1\t2\tx"
     path = tmp_path / "t.tsv"
     path.write_text("Query\tTarget\tOffset\tp\tE\tq\n1\tM1\t0\t0.1\t1\t0.5\n# end\n")
     assert [tuple(r) for r in text.read_tomtom(spark, str(path)).collect()] == [("M1", 0.5)]

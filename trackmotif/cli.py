@@ -34,6 +34,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
         if name.startswith("seqlet"):
             p.add_argument("--peaks", required=True)
             p.add_argument("--chroms", default="*")
+            p.add_argument("--parts", action="store_true", help="a folder of files in order, written side by side")
         if name.startswith("seqlet") or name in ("convert", "report"):
             p.add_argument("--window", type=int)
         if name in ("seqlet-fasta", "convert", "report"):
@@ -72,7 +73,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command == "meme":
         results.write_meme(spark, a.results, a.output, a.datatype)
     elif a.command == "seqlet-bed":
-        results.write_bed(spark, a.results, a.peaks, a.output, a.chroms.split(","), a.window)
+        results.write_bed(spark, a.results, a.peaks, a.output, a.chroms.split(","), a.window, a.parts)
     elif a.command == "convert":
         window = a.window or 400
         legacy.convert(spark, a.results, a.output, _tracks(spark, a.sequences, a.attributions, window), window)
@@ -86,7 +87,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         tree.write.parquet(f"{a.output}/merge_tree")
     else:
         window = a.window or results.window_size(spark, a.results)
-        results.write_fasta(spark, a.results, a.peaks, _tracks(spark, a.sequences, a.sequences, window), a.output, a.chroms.split(","), window)
+        results.write_fasta(spark, a.results, a.peaks, _tracks(spark, a.sequences, a.sequences, window), a.output, a.chroms.split(","), window, a.parts)
 
 
 if __name__ == "__main__":

@@ -14,7 +14,7 @@ from trackmotif.operators import descriptive, kernels, matching, seqlets
 from trackmotif.plans.discover import summarised, with_contributions
 from trackmotif.session import materialise
 from trackmotif.sources import text
-from trackmotif.sources.files import create
+from trackmotif.sources.files import create, write_lines
 
 #: Matrices that a motif export can hold.
 KINDS = ("PFM", "CWM", "hCWM", "CWM-PFM", "hCWM-PFM")
@@ -69,45 +69,53 @@ def write_meme(spark: SparkSession, path: str, out: str, kind: str = "PFM") -> N
 
 
 def _placed(spark: SparkSession, path: str, peaks: str, chroms: list[str] | None, window: int | None) -> DataFrame:
+    """Members with their place in the genome, and in exports: pos before neg, patterns by name, members as they stand. A
+    member without a peak ends the job."""
     found = members(spark, path).withColumnsRenamed({"start": "s", "end": "e"})
     places = text.read_bed(spark, peaks, chroms).withColumnsRenamed({"start": "peak_start", "end": "peak_end"})
     start, end = text.genome_coordinates("s", "e", "peak_start", "peak_end", window or window_size(spark, path))
-    joined = found.join(places, found.example_idx == places.row_idx)
-    return joined.select("sign", "pattern_idx", "ord", "example_idx", "s", "e", "is_revcomp", "chrom", start.alias("start"), end.alias("end"), "score", F.when(F.col("is_revcomp"), "-").otherwise("+").alias("strand"))
+    joined = found.join(places, found.example_idx == places.row_idx, "left")
+    none = F.raise_error(F.concat(F.lit("the peak file has no peak for example "), F.col("example_idx").cast("string")))
+    name = F.concat(F.lit("pattern_"), "pattern_idx")
+    return joined.select(
+        "sign", (F.col("sign") != "pos").alias("late"), name.alias("name"), "pattern_idx", "ord", "example_idx", "s", "e", "is_revcomp", F.coalesce("chrom", none).alias("chrom"),
+        start.alias("start"), end.alias("end"), "score", F.when(F.col("is_revcomp"), "-").otherwise("+").alias("strand"), F.concat(name, F.lit("."), "ord").alias("member"),
+    )
 
 
-def write_bed(spark: SparkSession, path: str, peaks: str, out: str, chroms: list[str] | None = None, window: int | None = None) -> None:
-    """One track a pattern, in order of names; tracks are parted by a blank line. Lines are streamed to the file."""
-    rows = _placed(spark, path, peaks, chroms, window).withColumn("pattern", tag())
+def bed_lines(spark: SparkSession, path: str, peaks: str, chroms: list[str] | None = None, window: int | None = None) -> DataFrame:
+    """late, name, ord, line: one track a pattern, after a blank line but for the first."""
+    rows = _placed(spark, path, peaks, chroms, window)
     c = lambda n: F.col(n).cast("string")
-    line = text.bed_line(c("chrom"), c("start"), c("end"), c("pattern"), c("score"), c("strand"))
-    last = None
-    with create(out) as f:
-        for r in rows.orderBy("pattern", "ord").select("pattern", line.alias("line"), text.track_line(F.col("pattern")).alias("track")).toLocalIterator():
-            if r.pattern != last:
-                f.write(("" if last is None else "\n") + r.track + "\n")
-                last = r.pattern
-            f.write(r.line + "\n")
+    line = text.bed_line(c("chrom"), c("start"), c("end"), c("member"), c("score"), c("strand"))
+    named = rows.select("late", "name").distinct()
+    told = text.track_line(F.col("name"), description=F.concat(F.lit("Pattern '"), "name", F.lit("' on the positive strand.")))
+    first = named.agg(F.min(F.struct("late", "name")).alias("first"))
+    between = named.crossJoin(F.broadcast(first)).where(F.struct("late", "name") != F.col("first"))
+    heads = named.select("late", "name", F.lit(-1).cast("long").alias("ord"), told.alias("line"))
+    gaps = between.select("late", "name", F.lit(-2).cast("long").alias("ord"), F.lit("").alias("line"))
+    return rows.select("late", "name", "ord", line.alias("line")).unionByName(heads).unionByName(gaps)
+
 
+def write_bed(spark: SparkSession, path: str, peaks: str, out: str, chroms: list[str] | None = None, window: int | None = None, parts: bool = False) -> None:
+    """One track a pattern: pos first, patterns by name, members named pattern_k.n in their order (see ``write_lines``)."""
+    write_lines(bed_lines(spark, path, peaks, chroms, window), out, "late", "name", "ord", parts=parts)
 
-def write_fasta(spark: SparkSession, path: str, peaks: str, tracks: DataFrame, out: str, chroms: list[str] | None = None, window: int | None = None) -> None:
-    """The bases of every seqlet, read on its strand."""
+
+def write_fasta(spark: SparkSession, path: str, peaks: str, tracks: DataFrame, out: str, chroms: list[str] | None = None, window: int | None = None, parts: bool = False) -> None:
+    """The bases of every seqlet, read on its strand, in the order of ``write_bed``."""
     rows = _placed(spark, path, peaks, chroms, window)
-    cut = seqlets.slices(rows.select("sign", "pattern_idx", "ord", "chrom", F.col("start").alias("g"), F.col("end").alias("h"), "strand", "example_idx", F.col("s").alias("start"), F.col("e").alias("end"), "is_revcomp"), tracks, ("one_hot",))
-    header = F.concat_ws(":", "chrom", F.concat_ws("-", "g", "h"), "strand", tag())
-    with create(out) as f:
-        for r in cut.orderBy("sign", "pattern_idx", "ord").select(text.fasta_entry(header, vec.sequence_of(F.col("one_hot"))).alias("x")).toLocalIterator():
-            f.write(r.x + "\n")
+    cut = seqlets.slices(rows.select("late", "name", "ord", "member", "chrom", F.col("start").alias("g"), F.col("end").alias("h"), "strand", "example_idx", F.col("s").alias("start"), F.col("e").alias("end"), "is_revcomp"), tracks, ("one_hot",))
+    header = F.concat("chrom", F.lit(":"), "g", F.lit("-"), "h", F.lit(" dir="), "strand", F.lit(" "), "member")
+    write_lines(cut.select("late", "name", "ord", text.fasta_entry(header, vec.sequence_of(F.col("one_hot"))).alias("line")), out, "late", "name", "ord", parts=parts)
 
 
-def save_seqlets(spark: SparkSession, path: str, sign: str, pattern_idx: int, tracks: DataFrame, out: str) -> None:
+def save_seqlets(spark: SparkSession, path: str, sign: str, pattern_idx: int, tracks: DataFrame, out: str, parts: bool = False) -> None:
     """The bases of one pattern's seqlets, each under its coordinates within the track."""
     rows = members(spark, path).where((F.col("sign") == sign) & (F.col("pattern_idx") == pattern_idx))
     cut = seqlets.slices(rows, tracks, ("one_hot",))
     header = F.format_string("example%d:%d-%d", "example_idx", "start", "end")
-    with create(out) as f:
-        for r in cut.orderBy("ord").select(text.fasta_entry(header, vec.sequence_of(F.col("one_hot"))).alias("x")).toLocalIterator():
-            f.write(r.x + "\n")
+    write_lines(cut.select("ord", text.fasta_entry(header, vec.sequence_of(F.col("one_hot"))).alias("line")), out, "ord", parts=parts)
 
 
 def legacy_strings(spark: SparkSession, path: str) -> DataFrame:

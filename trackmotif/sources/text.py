@@ -71,10 +71,10 @@ def bed_line(*columns: Column) -> Column:
     return F.concat_ws("\t", *columns)
 
 
-def track_line(name: Column, **options: str) -> Column:
-    """The line that begins a track; options follow in the order given, quoted where they have spaces."""
-    more = "".join(f' {k}="{v}"' if " " in v else f" {k}={v}" for k, v in options.items())
-    return F.concat(F.lit('track name="'), name, F.lit(f'"{more}'))
+def track_line(name: Column, **options: Column | str) -> Column:
+    """The line that begins a track; options follow in the order given, all quoted."""
+    more = [x for k, v in options.items() for x in (F.lit(f' {k}="'), v if isinstance(v, Column) else F.lit(v), F.lit('"'))]
+    return F.concat(F.lit('track name="'), name, F.lit('"'), *more)
 
 
 def fasta_entry(header: Column, sequence: Column) -> Column:
