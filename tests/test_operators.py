@@ -39,6 +39,36 @@ def test_nms_with_ties_equals_greedy(spark):
         assert got.get(e, []) == kept
 
 
+@pytest.mark.parametrize(("cell", "margin"), [(None, None), (64, 16), (40, 6), (16, 4)])
+def test_nms_of_long_examples_in_cells(spark, cell, margin):
+    """Ties, ramps and gaps over cells with narrow margins, where some dependence reaches through."""
+    rng = random.Random(cell or 1)
+    shapes = {0: lambda p: float(rng.randrange(4)), 1: lambda p: float(p), 2: lambda p: float(-p), 3: lambda p: rng.random(), 4: lambda p: abs(100.0 - p % 200), 5: lambda p: 1.0}
+    rows = [(e, p, f(p)) for e, f in shapes.items() for p in range(700) if rng.random() < (0.9 if e % 2 else 0.5)]
+    got = {}
+    for r in nms.pick(spark.createDataFrame(rows, "example long, pos long, score double"), 3, cell=cell, margin=margin).orderBy("example", "pick_ord").collect():
+        got.setdefault(r.example, []).append((r.pick_ord, r.pos, r.score))
+    for e in shapes:
+        kept = []
+        for s, p in sorted((-s, p) for x, p, s in rows if x == e):
+            if all(abs(p - q) > 3 for _, q, _ in kept):
+                kept.append((len(kept), p, -s))
+        assert got[e] == kept
+
+
+def test_nms_of_a_very_long_example(spark):
+    n = 1_000_000
+    df = spark.range(0, n, numPartitions=8).select(F.lit(1).alias("example"), F.col("id").alias("pos"), (F.pmod(F.xxhash64("id"), F.lit(50_000)) / 7).alias("score"))
+    found = nms.pick(df, 15).orderBy("pick_ord").collect()
+    score = np.array([r.score for r in df.orderBy("pos").collect()])
+    free, expected = np.ones(n, bool), []
+    for p in np.lexsort((np.arange(n), -score)):
+        if free[p]:
+            expected.append(int(p))
+            free[max(0, p - 15) : p + 16] = False
+    assert [r.pos for r in found] == expected
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 8), st.floats(0, 1), st.floats(0.1, 3)), min_size=1, max_size=12))
 def test_isotonic_is_the_max_min_formula(rows):
