@@ -60,8 +60,10 @@ def test_match_p_values_by_counting(spark):
 def test_quantile_examples_take_the_nearest_left(spark):
     rng = np.random.RandomState(3)
     rows = [(f"t{k % 3}", k, float(np.round(rng.gamma(2), 1))) for k in range(90)] + [("few", 100 + k, float(k)) for k in range(4)]
+    rows += [("same", 200 + k, 2.5) for k in range(30)] + [("ten", 300 - k, float(k % 3)) for k in range(10)] + [("long", 1000 + k, float(rng.randint(20))) for k in range(3000)]
     got = descriptive.quantile_examples(spark.createDataFrame(rows, "tag string, ord long, importance double"), 10).collect()
-    for tag in ("t0", "t1", "t2", "few"):
+    assert len(got) == 64
+    for tag in ("t0", "t1", "t2", "few", "same", "ten", "long"):
         own = [(o, v) for t, o, v in rows if t == tag]
         steps, used, expected = np.linspace(10, 100, min(10, len(own))), set(), []
         for q in steps:

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmotif.functions import vec
-from trackmotif.session import ship_package
+from trackmotif.operators.ranking import quantiles
+from trackmotif.session import materialise, ship_package
 
 BINS, EXAMPLES = 30, 10
 
@@ -53,24 +54,37 @@ def quantile_examples(members: DataFrame, n: int = EXAMPLES, tag: str = "tag", k
     """tag, rank, quantile, ord, importance: for quantiles from 10 to 100 in even steps the seqlet of the nearest importance
     that no lower quantile has taken (ties: smallest ord); ranks count from the highest quantile.
 
-    What a pick leaves decides the next one, so that a tag's (importance, ord) pairs meet in one task; a pattern has
-    ``max_seqlets`` of them at most.
+    What a pick leaves decides the next one, but fewer than ``n`` are taken before it, so that each is among the ``n``
+    nearest of its quantile: only these meet, at most n * n rows a tag. The driver has n numbers a tag, their quantiles.
     """
-    ship_package(members.sparkSession)
+    spark = members.sparkSession
+    ship_package(spark)
+    rows = members.where("importance is not null").select(F.col(tag).cast("string").alias("tag"), F.col(key).cast("long").alias("k"), F.col("importance").cast("double").alias("v"))
+    rows = materialise(rows, "importance")
+    sizes = {r.tag: r.n for r in rows.groupBy("tag").agg(F.count("*").alias("n")).collect()}
+    steps = np.linspace(10, 100, n)
+    large = [t for t, size in sizes.items() if size >= n]
+    named = rows.where(F.col("tag").isin(large)) if large else rows.limit(0)
+    found = quantiles(named, "v", [float(q) / 100 for q in steps], "tag") if large else {}
+    at = spark.createDataFrame([(t, k, float(q)) for t, (_, values) in found.items() for k, q in enumerate(values)], "tag string, step int, q double")
+    place = F.row_number().over(Window.partitionBy("tag", "step").orderBy("away", "k"))
+    near = named.join(F.broadcast(at), "tag").withColumn("away", F.abs(F.col("v") - F.col("q"))).withColumn("place", place).where(F.col("place") <= n)
+    few = near.select("tag", "k", "v").distinct().unionByName(rows.where(~F.col("tag").isin(large)) if large else rows)
+    packed = few.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("rows"))
     schema = pa.schema([(tag, pa.string()), ("rank", pa.int32()), ("quantile", pa.int32()), (key, pa.int64()), ("importance", pa.float64())])
-    packed = members.where("importance is not null").groupBy(tag).agg(F.array_sort(F.collect_list(F.struct(F.col(key).cast("long").alias("k"), F.col("importance").cast("double").alias("v")))).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for name, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys, values = (rows.values.field(c).to_numpy(zero_copy_only=False) for c in ("k", "v"))
-                free, steps = np.ones(len(values), bool), np.linspace(10, 100, min(n, len(values)))
-                for rank, q in enumerate(steps):
-                    away = np.where(free, np.abs(values - np.percentile(values, q)), np.inf)
-                    k = int(away.argmin())
+            for name, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys, values = (held.values.field(c).to_numpy(zero_copy_only=False) for c in ("k", "v"))
+                own = steps if name in found else np.linspace(10, 100, len(values))
+                goals = found[name][1] if name in found else [np.percentile(values, q) for q in own]
+                free = np.ones(len(values), bool)
+                for rank, (q, goal) in enumerate(zip(own, goals, strict=True)):
+                    k = int(np.where(free, np.abs(values - goal), np.inf).argmin())
                     free[k] = False
-                    out.append((name, len(steps) - rank, int(q), int(keys[k]), float(values[k])))
+                    out.append((name, len(own) - rank, int(q), int(keys[k]), float(values[k])))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return packed.mapInArrow(run, f"{tag} string, rank int, quantile int, {key} long, importance double")

@@ -136,6 +136,11 @@ def _selected(rows: DataFrame, value: str, levels: list[float] | None, wanted, b
     return found, sizes
 
 
+def _between(a: float, b: float, share: float) -> float:
+    """Between two values, from the nearer one."""
+    return a + (b - a) * share if share < 0.5 else b - (b - a) * (1 - share)
+
+
 def at_ranks(rows: DataFrame, value: str, wanted: dict[object, list[int] | object], by: str | None = None, levels: list[float] | None = None) -> dict:
     """{key: {rank: value}} of the ranks (from 0) that ``wanted`` gives for each key of ``by``, or for the key None.
 
@@ -156,5 +161,5 @@ def quantiles(rows: DataFrame, value: str, levels: list[float], by: str | None =
     for key, ranks in found.items():
         n = sizes[key]
         ends = [(place(n, q), ranks[math.floor(place(n, q))], ranks[math.ceil(place(n, q))]) for q in levels]
-        out[key] = (n, [a + (b - a) * (p - math.floor(p)) for p, a, b in ends])
+        out[key] = (n, [_between(a, b, p - math.floor(p)) for p, a, b in ends])
     return out
