@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackmotif.llm import bpe_lexicon, decontam, line_dedup, minhash_tensor, quality
-from trackmotif.session import materialise, table
+from trackmotif.session import drop_tables, materialise, table, tables_written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,8 +62,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``. When a stage's rows are written, the tables that it and the one before left are dropped."""
+    docs, before = table(spark, sf_dir, "documents"), tables_written(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{k}")
+        drop_tables(spark, before, -1)  # all but the stage's own
     return docs

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from trackmotif import session
 from trackmotif.functions import vec
 from trackmotif.operators import graph, nms, patterns, ranking, thresholds, windows
 from trackmotif.plans import bindings, pattern_queries
@@ -286,3 +287,16 @@ def test_communities_without_a_packed_graph(spark, kind):
     sizes = np.bincount([r.label for r in got])
     assert all(sizes > 0) and all(sizes[:-1] >= sizes[1:])
     assert abs(graph.modularity(edges.drop("g"), found.select("id", "label")).first().q - got[0].q) < 1e-9
+
+
+def test_tables_are_dropped_but_those_still_read(spark):
+    first = session.tables_written(spark)
+    a = session.materialise(spark.range(10).toDF("x"), "a")
+    since = session.tables_written(spark)
+    b, c = (session.materialise(a.where(f"x > {k}"), "b") for k in (3, 50))
+    session.drop_tables(spark, since, -1)
+    assert session.tables_written(spark) == first + 2 and (a.count(), c.count()) == (10, 0)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|not exist"):
+        b.collect()
+    session.drop_tables(spark, first)
+    assert session.tables_written(spark) == first

@@ -68,12 +68,14 @@ def _scaled(spark, sf_dir):
 
 def _pair_scores(rows: DataFrame, size: int = BLOCK) -> DataFrame:
     """a, b, sim, n: how often a row of label a and one of label b have each similarity, over all rows. Rows are in blocks
-    of about ``size``; a task compares two blocks, so that no label is one task's."""
+    of about ``size``; a task compares two blocks, so that no label is one task's, and each two once: similarities are the
+    same both ways."""
     ship_package(rows.sparkSession)
     count = rows.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("of"))
     dealt = rows.join(F.broadcast(count), "label").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("of")))
-    blocks = materialise(dealt.groupBy(F.col("label").alias("a"), "block").agg(F.collect_list("x").alias("x")), "blocks")
-    pairs = blocks.select("a", "x").crossJoin(blocks.select(F.col("a").alias("b"), F.col("x").alias("y")))
+    name = F.struct("label", "block").alias("a")
+    blocks = materialise(dealt.groupBy(name).agg(F.collect_list("x").alias("x")), "blocks")
+    pairs = blocks.select("a", "x").join(blocks.select(F.col("a").alias("b"), F.col("x").alias("y")), F.col("a") <= F.col("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,10 +83,14 @@ def _pair_scores(rows: DataFrame, size: int = BLOCK) -> DataFrame:
                 x, y = (np.array(batch.column(c)[k].as_py()) for c in ("x", "y"))
                 sims, n = np.unique(np.round(kernels.similarities(x, y), 9) + 0.0, return_counts=True)
                 labels = [pa.concat_arrays([batch.column(c).slice(k, 1)] * len(sims)) for c in ("a", "b")]
-                yield pa.RecordBatch.from_arrays([*labels, pa.array(sims), pa.array(n, pa.int64())], names=["a", "b", "sim", "n"])
-
-    found = pairs.select("a", "b", "x", "y").mapInArrow(run, "a int, b int, sim double, n long")
-    return found.groupBy("a", "b", "sim").agg(F.sum("n").alias("n"))
+                twice = batch.column("twice")[k].as_py()
+                yield pa.RecordBatch.from_arrays([*labels, pa.array(sims), pa.array(n * (1 + twice), pa.int64())], names=["a", "b", "sim", "n"])
+
+    a, b = F.col("a.label").alias("a"), F.col("b.label").alias("b")
+    twice = (F.col("a.label") == F.col("b.label")) & (F.col("a.block") < F.col("b.block"))
+    found = pairs.select(a, b, "x", "y", twice.alias("twice")).mapInArrow(run, "a int, b int, sim double, n long")
+    found = materialise(found.groupBy("a", "b", "sim").agg(F.sum("n").alias("n")), "pair-scores")
+    return found.unionByName(found.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "n"))
 
 
 def auroc_pairs(spark, sf_dir):

@@ -62,14 +62,41 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/trackmotif/{name}-{uuid.uuid4().hex}"
 
 
+def _written(spark: SparkSession) -> list[str]:
+    """Tables that ``materialise`` has written in this session and that are still there."""
+    if not hasattr(spark.sparkContext, "_trackmotif_tables"):
+        spark.sparkContext._trackmotif_tables = []
+    return spark.sparkContext._trackmotif_tables
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: lineage is cut, a lost executor loses nothing."""
+    """Write ``df`` to the shared scratch folder and read it back: lineage is cut, a lost executor loses nothing.
+
+    The table stays until ``drop_tables``.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.parquet(path)
+    _written(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Remove what ``materialise`` has written, from the ``since``-th table to before the ``until``-th (counted as slices are).
+
+    For when what was derived from the tables is written itself: nothing that reads them can run again.
+    """
+    tables = _written(spark)
+    for path in tables[since:until]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del tables[since:until]
+
+
+def tables_written(spark: SparkSession) -> int:
+    return len(_written(spark))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
