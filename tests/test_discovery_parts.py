@@ -19,14 +19,22 @@ def test_laplace_draws_take_two_uniforms_each():
     assert np.allclose(thresholds.laplace_draws(0.3, 2.0, 5.0, 0.6, 500), expected)
 
 
-def test_match_p_values_by_counting(spark):
+@pytest.mark.parametrize("columns_by", ["euclidean", "pearson"])
+def test_match_p_values_by_counting(spark, columns_by):
     rng = np.random.RandomState(2)
     motif = lambda n: rng.dirichlet([0.4] * 4, n)
     queries = [("q0", motif(3)), ("q1", motif(2)), ("q2", motif(4))]
     db = [(f"m{k}", motif(rng.randint(2, 5))) for k in range(7)] + [("copy", queries[2][1][::-1, ::-1])]
     frame = lambda rows: spark.createDataFrame([(n, m.tolist()) for n, m in rows], "name string, pwm array<array<double>>")
     columns = [c for _, m in db for c in m] + [c[::-1] for _, m in db for c in m]
-    score = lambda a, b: int(np.floor((1 - np.sqrt(((a - b) ** 2).sum()) / np.sqrt(2)) * 100 + 1e-9))
+    db.append(("even", np.full((3, 4), 0.25)))
+    columns += [np.full(4, 0.25)] * 6
+
+    def score(a, b):
+        if columns_by == "euclidean":
+            return int(np.floor((1 - np.sqrt(((a - b) ** 2).sum()) / np.sqrt(2)) * 100 + 1e-9))
+        return int(np.floor((1 + (np.corrcoef(a, b)[0, 1] if np.ptp(a) and np.ptp(b) else 0.0)) * 50 + 1e-9))
+
     expected = {}
     for name, q in queries:
         null = [[score(c, d) for d in columns] for c in q]
@@ -45,7 +53,10 @@ def test_match_p_values_by_counting(spark):
             p, total, reverse, o, overlap = min(tried)
             expected[name, target] = (1 - (1 - p) ** len(tried), -total, o, overlap, "-" if reverse else "+")
     for block in (100, 2):
-        rows = matching.matches(frame(queries), frame(db), 20, 2, block).collect()
+        rows = matching.matches(frame(queries), frame(db), 20, 2, block, columns_by).collect()
+        few = matching.matches(frame(queries), frame(db), 20, 2, block, columns_by, 2.5).collect()
+        assert [tuple(r) for r in few] == [tuple(r) for r in rows if r.p * len(db) <= 2.5] and 0 < len(few) < len(rows)
+        assert all(abs(r.e - r.p * len(db)) < 1e-12 for r in rows)
         assert len(rows) == len(expected)
         for r in rows:
             p, *rest = expected[r["query"], r.target]

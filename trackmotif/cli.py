@@ -30,6 +30,8 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
             p.add_argument("--meme-db")
             p.add_argument("--matches", type=int, default=3)
             p.add_argument("--trim-threshold", type=float, default=0.3)
+            p.add_argument("--columns", choices=["euclidean", "pearson"], default="euclidean", help="how columns of motifs compare (report-simple)")
+            p.add_argument("--most-e", type=float, help="matches of larger E-values are none (report-simple)")
             p.add_argument("--write-tomtom", help="a folder for the tables of matches")
         if name.startswith("seqlet"):
             p.add_argument("--peaks", required=True)
@@ -64,7 +66,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command.startswith("report"):
         database = materialise(text.read_meme(spark, a.meme_db), "motif-db") if a.meme_db else None
         if a.command == "report-simple":
-            results.report(spark, a.results, a.output, database, a.matches, a.trim_threshold, a.write_tomtom)
+            results.report(spark, a.results, a.output, database, a.matches, a.trim_threshold, a.write_tomtom, a.columns, a.most_e)
         else:
             tracks = _tracks(spark, a.sequences, a.attributions, a.window or results.window_size(spark, a.results))
             results.descriptive_report(spark, a.results, tracks, a.output, database, a.matches, share=a.trim_threshold)

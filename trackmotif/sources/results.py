@@ -167,17 +167,17 @@ def _scaled(ppm: list[list[float]]) -> list[list[float]]:
     return (np.array(ppm, float) * ic[:, None]).tolist()
 
 
-def matched(spark: SparkSession, path: str, database: DataFrame, n: int = 3, share: float = 0.3) -> DataFrame:
-    """query (a pattern's tag), rank, target, p, score, offset, overlap, strand: the best motifs of ``database`` for each
+def matched(spark: SparkSession, path: str, database: DataFrame, n: int = 3, share: float = 0.3, columns: str = "euclidean", most_e: float | None = None) -> DataFrame:
+    """query (a pattern's tag), rank, target, p, e, score, offset, overlap, strand: the best motifs of ``database`` for each
     pattern's probabilities, trimmed by its contributions."""
     queries = patterns(spark, path).select(tag().alias("name"), matching.trimmed(F.col("ppm"), F.col("cwm"), share).alias("pwm"))
-    return matching.matches(queries, database, n)
+    return matching.matches(queries, database, n, columns=columns, most_e=most_e)
 
 
 def write_matches(found: DataFrame, folder: str) -> None:
     """One table of tab-separated matches a pattern; patterns and their matches are few."""
     by: dict[str, list[str]] = {}
-    columns = ("query", "target", "offset", "p", "overlap", "strand")
+    columns = ("query", "target", "offset", "p", "e", "overlap", "strand")
     for r in found.orderBy("query", "rank").select(*columns).toLocalIterator():
         by.setdefault(r["query"], ["\t".join(columns)]).append("\t".join(map(str, r)))
     for name, lines in by.items():
@@ -194,13 +194,13 @@ def _match_cells(found: DataFrame, database: DataFrame, n: int) -> dict[str, lis
     return {k: v + ["<td><td><td>"] * (n - len(v)) for k, v in cells.items()}
 
 
-def report(spark: SparkSession, path: str, out: str, database: DataFrame | None = None, n: int = 3, share: float = 0.3, write_tomtom: str | None = None) -> None:
+def report(spark: SparkSession, path: str, out: str, database: DataFrame | None = None, n: int = 3, share: float = 0.3, write_tomtom: str | None = None, columns: str = "euclidean", most_e: float | None = None) -> None:
     """An HTML table of the patterns (a driver's handful of rows): tag, seqlets, logos of the trimmed contributions on both
     strands, and with a ``database`` (name, pwm) the ``n`` best motifs, their p-values and logos. ``write_tomtom`` names a
     folder for the tables of matches."""
     cells: dict[str, list[str]] = {}
     if database is not None:
-        found = materialise(matched(spark, path, database, n, share), "matches")
+        found = materialise(matched(spark, path, database, n, share, columns, most_e), "matches")
         cells = _match_cells(found, database, n)
         if write_tomtom:
             write_matches(found, write_tomtom)
