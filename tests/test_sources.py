@@ -17,6 +17,15 @@ def test_npz_tracks(spark, tmp_path):
         npz.read_tracks(spark, str(tmp_path / "a.npz"), str(tmp_path / "b.npy"), 14)
 
 
+def test_compressed_arrays_of_bounded_size(spark, tmp_path):
+    path = str(tmp_path / "a.npz")
+    np.savez_compressed(path, np.zeros((5, 4, 10), np.float32))
+    npz.read_tracks(spark, path, path)  # registers the source
+    assert spark.read.format("npz").option("packed_bytes", "800").load(path).count() == 5
+    with pytest.raises(Exception, match="save the array uncompressed"):
+        spark.read.format("npz").option("packed_bytes", "799").load(path).count()
+
+
 def test_results_and_exports(spark, tmp_path):
     rng = np.random.RandomState(1)
     tracks = spark.createDataFrame([(k, np.eye(4)[rng.randint(0, 4, 20)].tolist(), rng.normal(size=(20, 4)).tolist()) for k in range(6)], "example_idx long, one_hot array<array<double>>, hyp array<array<double>>")

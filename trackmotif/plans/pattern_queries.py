@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmotif.functions import vec
-from trackmotif.operators import kernels, patterns, ranking, seqlets
+from trackmotif.operators import matching, kernels, patterns, ranking, seqlets
 from trackmotif.plans.bindings import E_SQL, e_track, long
 from trackmotif.session import materialise, ship_package, table
 from trackmotif.sources import text
@@ -199,9 +199,10 @@ def motif_match_topn(spark, sf_dir):
 
 
 def descriptive_names(spark, sf_dir):
-    rows = _matches(spark, sf_dir).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rank", "motif"))).alias("m"))
-    name = F.array_join(F.transform("m", lambda x: F.substring(F.concat(F.lit("motif_number_"), x["motif"]), 1, 10)), ";")
-    return rows.select("label", F.concat(F.lit("pos_patterns.pattern_"), F.col("label")).alias("tag"), name.alias("name"))
+    tag = F.concat(F.lit("pos_patterns.pattern_"), "label")
+    found = _matches(spark, sf_dir).select("label", tag.alias("query"), "rank", F.concat(F.lit("motif_number_"), "motif").alias("target"))
+    tags = found.select("label", F.col("query").alias("tag")).distinct()
+    return matching.descriptive_names(found, tags).join(tags, "tag").select("label", "tag", "name")
 
 
 def report_stats(spark, sf_dir):

@@ -1,7 +1,8 @@
 """Format "npz": a tensor of (examples, 4, positions) in an .npz (key arr_0) or .npy file, as rows of positions.
 
 A partition is a range of examples, which is read at its place in the file. A compressed member has no places: it is one
-partition, which inflates it once. Paths are local, or URIs that pyarrow's file systems take.
+partition, which inflates it once, an example at a time, and one beyond ``packed_bytes`` (an option) is refused, as what one
+task would take too long for. Paths are local, or URIs that pyarrow's file systems take.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from trackmotif.session import ship_package
 
 KEY, ROWS = "arr_0", 1024
+#: Bytes that a compressed tensor may have when it is inflated.
+PACKED_BYTES = 32 << 30
 
 
 def _header(f) -> tuple[tuple, np.dtype, bool]:
@@ -45,13 +48,15 @@ class Rows(InputPartition):
 
 
 class NpzReader(DataSourceReader):
-    def __init__(self, path: str, rows: int):
-        self.path, self.rows = path, rows
+    def __init__(self, path: str, rows: int, packed_bytes: int):
+        self.path, self.rows, self.packed_bytes = path, rows, packed_bytes
 
     def partitions(self) -> list[Rows]:
         f, packed = _open(self.path)
         with f:
-            shape, _, fortran = _header(f)
+            shape, kind, fortran = _header(f)
+        if packed and (size := int(np.prod(shape)) * kind.itemsize) > self.packed_bytes:
+            raise ValueError(f"{self.path}: {size} compressed bytes are more than one task should inflate ({self.packed_bytes}); save the array uncompressed")
         if len(shape) != 3 or shape[1] != 4 or fortran:
             raise ValueError(f"{self.path}: (examples, 4, positions) in C order is needed, not {shape}")
         step = max(1, shape[0]) if packed else self.rows
@@ -77,7 +82,7 @@ class NpzSource(DataSource):
         return "example_idx long, tensor array<array<double>>"
 
     def reader(self, schema) -> NpzReader:
-        return NpzReader(self.options["path"], int(self.options.get("rows", ROWS)))
+        return NpzReader(self.options["path"], int(self.options.get("rows", ROWS)), int(self.options.get("packed_bytes", PACKED_BYTES)))
 
 
 def read_tracks(spark: SparkSession, sequences: str, attributions: str, window: int | None = None) -> DataFrame:
