@@ -18,7 +18,7 @@ from trackmotif.plans.similarity_queries import _BOTH, _WORDS, CHOICE, ENTRIES,
 from trackmotif.session import materialise, ship_package
 from trackmotif.sources import legacy, results
 
-PERPLEXITY, FILL, LEAST, OVERLAP, EVERY = 2.0, 8, 5, 0.7, 3
+PERPLEXITY, FILL, LEAST, OVERLAP = 2.0, 40, 5, 0.7
 r6 = lambda c: F.round(c, 6)
 
 
@@ -87,8 +87,13 @@ def pattern_sign_filter(spark, sf_dir):
 
 
 def runs_union(spark, sf_dir):
-    tracks = e_track(spark, sf_dir).select(F.col("vec_id").alias("example_idx"), "one_hot", "hyp", "label")
-    runs = [(_members(spark, sf_dir).where(f"example_idx % 2 = {k} and example_idx % 5 <> 0"), tracks.where(f"example_idx % 2 = {k}").drop("label")) for k in (0, 1)]
+    """Two runs, of even and of odd examples; each has as many more examples on which no member lies, and which go."""
+    tracks = e_track(spark, sf_dir).select(F.col("vec_id").alias("example_idx"), "one_hot", "hyp")
+    runs = []
+    for k in (0, 1):
+        own = tracks.where(f"example_idx % 2 = {k}")
+        idle = own.withColumn("example_idx", -1 - F.col("example_idx"))
+        runs.append((_members(spark, sf_dir).where(f"example_idx % 2 = {k}"), own.unionByName(idle)))
     members, kept = union_of(runs)
     there = kept.select(F.col("run"), F.col("example_idx").alias("to"))
     return members.join(there, (F.col("example_idx") == F.col("to")) & (members.run == there.run), "left_semi").select("run", "sign", "pattern_idx", "ord", "example_idx")
@@ -111,10 +116,10 @@ def information_as_given(spark, sf_dir):
 
 
 def zero_filled_knn(spark, sf_dir):
-    """Neighbours of every ``EVERY``-th vector's words alone, so that rows fall short and are filled."""
-    rows = knn.normalised(kmers.word_scores(_sites(spark, sf_dir).where(F.col("vec_id") % EVERY == 0), "sites", "vec_id", 3, **CHOICE), "vec_id")
+    """Neighbours by few words, more than rows have, so that they fall short and are filled."""
+    rows = knn.normalised(kmers.word_scores(_sites(spark, sf_dir), "sites", "vec_id", 3, **CHOICE), "vec_id")
     pairs = knn.sparse_dot(rows, rows, "vec_id").select(F.lit("pos").alias("sign"), "i", "j", F.round("dot", 9).alias("sim"))
-    ids = e_track(spark, sf_dir).where(F.col("vec_id") % EVERY == 0).select(F.lit("pos").alias("sign"), F.col("vec_id").alias("id"))
+    ids = e_track(spark, sf_dir).select(F.lit("pos").alias("sign"), F.col("vec_id").alias("id"))
     return knn.filled(pairs, ids, FILL, "sign").select("i", "j", "rank", r6("sim").alias("sim"))
 
 
@@ -276,7 +281,7 @@ QUERIES = {
     ),
     "runs_union": (
         runs_union,
-        _MEMBERS + " SELECT (example_idx % 2)::INT AS run, sign, pattern_idx, ord, (row_number() OVER (ORDER BY example_idx % 2, example_idx) - 1)::BIGINT AS example_idx FROM mem WHERE example_idx % 5 <> 0",
+        _MEMBERS + " SELECT (example_idx % 2)::INT AS run, sign, pattern_idx, ord, (row_number() OVER (ORDER BY example_idx % 2, example_idx) - 1)::BIGINT AS example_idx FROM mem",
     ),
     "centred_features": (
         centred_features,
@@ -290,8 +295,8 @@ QUERIES = {
     "zero_filled_knn": (
         zero_filled_knn,
         _WORDS.replace(f"WHERE k <= {ENTRIES})", "WHERE k <= 3)")
-        + f""", few AS (SELECT a.vec_id AS i, b.vec_id AS j, round(sum(a.value * b.value), 9) AS sim FROM nw a JOIN nw b USING (word) WHERE a.vec_id % {EVERY} = 0 AND b.vec_id % {EVERY} = 0 GROUP BY 1, 2),
-        ids AS (SELECT vec_id AS i FROM embeddings WHERE vec_id % {EVERY} = 0),
+        + f""", few AS (SELECT a.vec_id AS i, b.vec_id AS j, round(sum(a.value * b.value), 9) AS sim FROM nw a JOIN nw b USING (word) GROUP BY 1, 2),
+        ids AS (SELECT vec_id AS i FROM embeddings),
         every AS (SELECT a.i, b.i AS j, coalesce(greatest(sim, 0), 0) AS sim FROM ids a CROSS JOIN ids b LEFT JOIN few ON few.i = a.i AND few.j = b.i)
         SELECT i, j, rank, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j)::BIGINT AS rank FROM every) WHERE rank <= {FILL}""",
     ),
