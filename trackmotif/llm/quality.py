@@ -24,7 +24,7 @@ from pyspark.sql.types import AtomicType
 
 from trackmotif.llm.memory import release
 from trackmotif.operators.ranking import quantiles
-from trackmotif.session import materialise, ship_package
+from trackmotif.session import drop_tables, materialise, ship_package, tables_written
 
 #: Order, and what stands before a text: a high surrogate that nothing completes, which no text has in such a place.
 ORDER, PAD = 4, 0xDBFF
@@ -270,7 +270,9 @@ def log_perplexity(df: DataFrame, found: DataFrame, block_units: int = BLOCK_UNI
     columns = [c for c in columns or df.columns if c not in ("_block", "n_units", "log_ppl")]
     dealt = df if "_block" in df.columns else blocked(df, block_units)
     needed = materialise(dealt.select("_block", "text").mapInArrow(_wanted, "_block long, gram long"), "wanted")
+    place = tables_written(spark)
     every = materialise(_log_p(materialise(needed.select("gram").distinct(), "grams"), found), "log-p")
+    drop_tables(spark, place, place + 1)  # of grams, which nothing reads any more
     scored = needed.join(every, "gram")
     schema = ",".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema)
 
