@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
@@ -258,6 +259,27 @@ def _log_p(grams_: DataFrame, found: DataFrame) -> DataFrame:
     return below
 
 
+def _packed(df: DataFrame) -> DataFrame:
+    """``df`` with the column text as compressed bytes: texts are most of what goes through the shuffle by block."""
+    at = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            texts = [None if t is None else pack(t) for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield batch.set_column(at, "text", pa.array(texts, pa.binary()))
+        release()
+
+    kind = lambda f: "binary" if f.name == "text" else f.dataType.simpleString()
+    return df.mapInArrow(run, ",".join(f"`{f.name}` {kind(f)}" for f in df.schema))
+
+
+def _unpacked(texts: pa.ChunkedArray) -> Iterator[str | None]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for t in texts:
+        yield None if not t.is_valid else unpack(t.as_py()).decode()
+
+
 def log_perplexity(df: DataFrame, found: DataFrame, block_units: int = BLOCK_UNITS, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``df`` (all of them unless told), which has a column text, and n_units, log_ppl (mean of -log p;
     null for texts without characters), in the place of columns with these names.
@@ -278,19 +300,22 @@ def log_perplexity(df: DataFrame, found: DataFrame, block_units: int = BLOCK_UNI
         table = Lookup(rows["gram"].to_numpy().view(np.uint64))
         logs = rows["s"].to_numpy()
         counts, sums = [], []
-        for held in _chunks(x.as_py() for x in docs["text"]):
+        for held in _chunks(_unpacked(docs["text"])):
             p = logs[table.find(np.concatenate(held))]
             ends = np.cumsum([len(h) for h in held])
             total = np.concatenate([[0.0], np.cumsum(p)])
             counts += [len(h) for h in held]
             sums += (total[ends] - total[np.concatenate([[0], ends[:-1]])]).tolist()
         mean = [-s / n if n else None for n, s in zip(counts, sums, strict=True)]
+        if "text" in columns:
+            docs = docs.set_column(docs.column_names.index("text"), "text", pa.array(_unpacked(docs["text"]), pa.string()))
         out = docs.select(columns).append_column("n_units", pa.array(counts, pa.int64())).append_column("log_ppl", pa.array(mean, pa.float64()))
         del table, logs, rows
         release()
         return out
 
-    return dealt.groupBy("_block").cogroup(scored.groupBy("_block")).applyInArrow(score, f"{schema},n_units bigint,log_ppl double")
+    packed = _packed(dealt.select("_block", *dict.fromkeys([*columns, "text"])))
+    return packed.groupBy("_block").cogroup(scored.groupBy("_block")).applyInArrow(score, f"{schema},n_units bigint,log_ppl double")
 
 
 def fences(known: DataFrame) -> tuple[dict, float | None]:
