@@ -204,6 +204,32 @@ def test_contamination(spark, data, documents):
         assert sorted(tuple(r) for r in decontam.contamination(a, b, 4, shard_bytes).collect()) == _brute_contamination(docs, items, 4)
 
 
+def test_texts_meet_only_shards_that_they_can_hit(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 3, 6, 30])))) for k in range(20)] + [(20, "p q r s t u"), (21, None), (22, "--")]
+    items = [(k, t) for k, t in items if t is None or len(t) != 1]
+    docs = [(k, " ".join(rng.choice([*"abcdefgh", "zz"]) for _ in range(rng.randrange(60)))) for k in range(150)] + [(150, None), (150, ""), (151, "x p q r s t y"), (152, "p q r s")]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = _brute_contamination([(k, t or "") for k, t in docs], [(k, t or "") for k, t in items], 5)
+    # Doors of a few rows, and automata that are read where they are needed, two at a time.
+    monkeypatch.setattr(decontam, "DOOR_ROWS", 7)
+    monkeypatch.setattr(decontam, "SENT_BYTES", 0)
+    monkeypatch.setattr(decontam, "HELD", 2)
+    assert sorted(tuple(r) for r in decontam.contamination(a, b, 5, 15).collect()) == expected
+    shards = decontam.compile_shards(b, 5, shard_bytes=15)
+    assert len(shards.automata) > 5 and len(shards.doors) > 5 and not shards.sent
+    search = decontam.Search(shards)
+    assert search("zz y x " * 50) == (150, [], []) and search("p q r s") == (4, [], []) and not search.automata
+    assert search("x p q r s t y") == (7, [(1, 6)], ["20"]) and len(search.automata) == 1
+    search(" ".join("abcdefgh" * 300))
+    for _, t in docs:
+        search(t)
+    assert len(search.automata) == 2
+    monkeypatch.setattr(decontam, "DOORS_BYTES", 1)
+    with pytest.raises(ValueError, match="too large"):
+        decontam.compile_shards(b, 5)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -6,8 +6,13 @@ item ends), those words are hit. Only stretches of words whose every neighbourin
 
 Items are dealt to shards of about ``SHARD_BYTES`` of text, long ones in pieces that overlap by a window less one word, and
 a task compiles each shard to flat arrays in a file of the shared folder. The files go to every node once and are
-memory-mapped there, so that a node's workers share them and none holds states of its own. Documents are read once, and go
-through all shards in that pass.
+memory-mapped there, so that a node's workers share them and none holds states of its own. Automata of more than
+``SENT_BYTES`` stay in the shared folder, and a task reads those that its texts need, ``HELD`` at a time.
+
+Documents are read once. Hashes of all windows and short items, each with the shards that have it, are dealt by their first
+bits to files called doors. A text's runs of words are looked up there, each in one door, and the text goes through the
+automata of the shards found, which know words and not only hashes. So a text without a hit costs the same with any number
+of shards, and no hit is lost, as equal words have equal hashes.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +38,10 @@ from trackmotif.session import materialise, scratch_dir, ship_package
 WINDOW, SHARD_BYTES, PIECE_WORDS = 10, 1 << 20, 20_000
 #: A document of which more than this share of words is hit is dropped whole by ``decontaminate``.
 MAX_COVERAGE = 0.8
+#: Bytes of automata that are sent to all nodes, and of doors, beyond which a benchmark is refused (about 1.5 GB of text).
+SENT_BYTES, DOORS_BYTES = 2 << 30, 4 << 30
+#: Rows of a door, and automata that a task holds when they are not sent.
+DOOR_ROWS, HELD = 1 << 22, 8
 #: Bits of the table of pairs of neighbouring words.
 PAIR_BITS = 21
 
@@ -252,8 +262,39 @@ def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["name", "text"])
 
 
-def compile_shards(items: DataFrame, window: int = WINDOW, item_id: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES) -> list[str]:
-    """Names, on every node, of the automata of all items: a task compiles a shard and writes it to the shared folder.
+def _runs(h: np.ndarray, sizes: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each of the sizes that ``h``, hashes of consecutive words, has runs of, and the hashes of all these runs."""
+    run = h
+    for size in range(1, min(max(sizes, default=0), len(h)) + 1):
+        if size > 1:
+            run = run[:-1] * BASE + h[size - 1 :]
+        if size in sizes:
+            yield size, mix(run + np.uint64(size))
+
+
+def _door_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """size, hash, shard of the windows of each piece (text, shard), or of all of a shorter one."""
+    for batch in batches:
+        found = [(size, np.unique(runs), shard) for text, shard in zip(batch.column(0), batch.column(1).to_pylist(), strict=True) for h in [lettered(text.as_py()).hashes] for size, runs in _runs(h, {min(window, len(h))})]
+        counts = [len(h) for _, h, _ in found]
+        each = lambda k: pa.array(np.repeat(np.array([x[k] for x in found], np.int32), counts))  # noqa: B023, E731
+        own = np.concatenate([np.zeros(0, np.uint64), *(h for _, h, _ in found)]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([each(0), pa.array(own), each(2)], names=["size", "hash", "shard"])
+
+
+@dataclass
+class Shards:
+    """Where the automata and doors of a benchmark are; a hash's door is given by its first ``bits`` bits."""
+
+    automata: dict[int, str]
+    sent: bool
+    doors: dict[int, str]
+    bits: int
+    sizes: set[int]
+
+
+def compile_shards(items: DataFrame, window: int = WINDOW, item_id: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES) -> Shards:
+    """Automata and doors of all items: a task compiles a shard, or sorts a door, and writes it to the shared folder.
 
     Items with a null id or text are left out. Only the files' names and sizes reach the driver.
     """
@@ -263,38 +304,88 @@ def compile_shards(items: DataFrame, window: int = WINDOW, item_id: str = "item_
     pieces = materialise(rows.mapInArrow(lambda b: _pieces(b, window), "name string, text string").distinct(), "items")
     count = max(1, math.ceil((pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / shard_bytes))
     folder = scratch_dir(spark, "automata")
+    stem = f"{folder}/{hashlib.md5(folder.encode()).hexdigest()}"
 
-    def build(part: pa.Table) -> pa.Table:
-        k = part["shard"][0].as_py()
-        found = Automaton.compile(sorted(zip(part["name"].to_pylist(), part["text"].to_pylist(), strict=True)), window)
-        path = f"{folder}/{hashlib.md5(folder.encode()).hexdigest()}-{k}.sam"
+    def written(path: str, parts: dict[str, np.ndarray], number: int) -> pa.Table:
         with storage.create(path) as out:
-            storage.pack(found.parts, out)
-        states = len(found.parts["link"])
-        del found
+            storage.pack(parts, out)
+        size = sum(x.nbytes for x in parts.values())
+        parts.clear()
         release()
-        return pa.table({"path": [path], "states": pa.array([states], pa.int64())})
+        return pa.table({"number": pa.array([number], pa.int64()), "path": [path], "bytes": pa.array([size], pa.int64())})
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("name", "text"), F.lit(count)))
-    paths = sorted(r.path for r in dealt.groupBy("shard").applyInArrow(build, "path string, states long").collect())
-    for path in paths:
-        spark.sparkContext.addFile(path)
-    return [p.rpartition("/")[2] for p in paths]
+    def build(part: pa.Table) -> pa.Table:
+        k = part["shard"][0].as_py()
+        found = Automaton.compile(sorted(zip(part["name"].to_pylist(), part["text"].to_pylist(), strict=True)), window)
+        return written(f"{stem}-{k}.sam", found.parts, k)
+
+    def door(part: pa.Table) -> pa.Table:
+        k = part["door"][0].as_py()
+        h, shard = part["hash"].to_numpy().view(np.uint64), part["shard"].to_numpy()
+        order = np.lexsort((shard, h))
+        own, start = np.unique(h[order], return_index=True)
+        return written(f"{stem}-{k}.door", {"hash": own, "start": np.append(start, len(h)).astype(np.int64), "shard": shard[order]}, k)
+
+    files = "number long, path string, bytes long"
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("name", "text"), F.lit(count)).cast("int"))
+    automata = dealt.groupBy("shard").applyInArrow(build, files).collect()
+    entries = materialise(dealt.select("text", "shard").mapInArrow(lambda b: _door_rows(b, window), "size int, hash long, shard int").distinct(), "doors")
+    sizes = {r["size"]: r["count"] for r in entries.groupBy("size").count().collect()}
+    bits = max(0, math.ceil(math.log2(max(1, sum(sizes.values())) / DOOR_ROWS)))
+    first = F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0).cast("long")
+    doors = entries.select(first.alias("door"), "hash", "shard").distinct().groupBy("door").applyInArrow(door, files).collect()
+    if sum(r.bytes for r in doors) > DOORS_BYTES:
+        raise ValueError("the benchmark is too large: take it in parts")
+    sent = sum(r.bytes for r in automata) <= SENT_BYTES
+    for r in [*doors, *(automata if sent else [])]:
+        spark.sparkContext.addFile(r.path)
+    name = lambda path: path.rpartition("/")[2]
+    return Shards({r.number: name(r.path) if sent else r.path for r in automata}, sent, {r.number: name(r.path) for r in doors}, bits, set(sizes))
 
 
 class Search:
-    """All shards of a benchmark, on a node."""
+    """A benchmark's doors on a node, and the automata that texts have needed."""
+
+    def __init__(self, shards: Shards):
+        self.shards = shards
+        self.doors = {k: storage.mapped(SparkFiles.get(name)) for k, name in shards.doors.items()}
+        self.automata: dict[int, Automaton] = {}
+
+    def _behind(self, door: int, h: np.ndarray) -> set[int]:
+        if door not in self.doors:
+            return set()
+        own, start, shard = (self.doors[door][x] for x in ("hash", "start", "shard"))
+        at = np.searchsorted(own, h)
+        hits = np.unique(at[own[np.minimum(at, len(own) - 1)] == h])
+        return {k for i in hits.tolist() for k in shard[int(start[i]) : int(start[i + 1])].tolist()}
+
+    def shards_of(self, words: Words) -> list[int]:
+        """Numbers of the shards that have some run of the words as a window or a short item."""
+        found: set[int] = set()
+        for _, h in _runs(words.hashes, self.shards.sizes):
+            if self.shards.bits:
+                door = (h >> np.uint64(64 - self.shards.bits)).astype(np.int64)
+                for d in np.unique(door).tolist():
+                    found |= self._behind(d, h[door == d])
+            else:
+                found |= self._behind(0, h)
+        return sorted(found)
 
-    def __init__(self, names: list[str]):
-        self.automata = [Automaton(storage.mapped(SparkFiles.get(n))) for n in names]
+    def automaton(self, k: int) -> Automaton:
+        if k not in self.automata:
+            if not self.shards.sent and len(self.automata) >= HELD:
+                del self.automata[next(iter(self.automata))]
+            where = self.shards.automata[k]
+            self.automata[k] = Automaton(storage.mapped(SparkFiles.get(where)) if self.shards.sent else storage.loaded(where))
+        return self.automata[k]
 
     def __call__(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[str]]:
         """Number of words, hit spans as word numbers, and names of the items found, sorted."""
         words = lettered(text)
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
-        for a in self.automata:
-            more, found = a.match(words)
+        for k in self.shards_of(words):
+            more, found = self.automaton(k).match(words)
             spans += more
             items |= found
         return len(words), merged(spans), sorted(items)
@@ -324,10 +415,10 @@ def contamination(df: DataFrame, items: DataFrame, window: int = WINDOW, shard_b
     Null text has no words; items with a null id or text are left out, and rows with one item id are one item; an empty
     benchmark hits nothing. Other columns are left out; repeated rows give repeated rows.
     """
-    names = compile_shards(items, window, shard_bytes=shard_bytes)
+    shards = compile_shards(items, window, shard_bytes=shard_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = Search(names)
+        search = Search(shards)
         for batch in batches:
             rows = [search(t.as_py()) for t in batch.column(1)]
             hit = [covered(s) for _, s, _ in rows]
@@ -358,11 +449,11 @@ def decontaminate(df: DataFrame, items: DataFrame, window: int = WINDOW, max_cov
     All other columns and all rows without a hit stay as they are, null texts too. What a cut brings together is not
     searched again.
     """
-    names = compile_shards(items, window)
+    shards = compile_shards(items, window)
     at = df.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = Search(names)
+        search = Search(shards)
         for batch in batches:
             texts, kept = [], []
             for value in batch.column(at):

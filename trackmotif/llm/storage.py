@@ -42,14 +42,23 @@ def pack(parts: dict[str, np.ndarray], out: BinaryIO) -> None:
         out.write(data + b"\0" * (-len(data) % 8))
 
 
-def mapped(path: str) -> dict[str, np.ndarray]:
-    """The arrays of a local file, memory-mapped: their pages are the file's, and a node's processes share them."""
-    data = np.memmap(path, np.uint8, "r")
-    with open(path, "rb") as f:
-        head = f.readline()
+def _arrays(data: np.ndarray, head: bytes) -> dict[str, np.ndarray]:
     parts, at = {}, len(head)
     for name, kind, n in json.loads(head):
         end = at + n * np.dtype(kind).itemsize
         parts[name] = data[at:end].view(kind)
         at = end + -end % 8
     return parts
+
+
+def mapped(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a local file, memory-mapped: their pages are the file's, and a node's processes share them."""
+    with open(path, "rb") as f:
+        return _arrays(np.memmap(path, np.uint8, "r"), f.readline())
+
+
+def loaded(uri: str) -> dict[str, np.ndarray]:
+    """The arrays of a file of the shared folder, read into memory."""
+    with open_file(uri) as f:
+        data = f.read()
+    return _arrays(np.frombuffer(data, np.uint8), data[: data.index(b"\n") + 1])
