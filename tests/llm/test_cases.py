@@ -174,6 +174,41 @@ def test_families_just_below_the_limit(spark):
     assert got == {i: c for i, (_, c) in _brute_components(rows, 4).items()}
 
 
+def test_hot_subkeys_are_compared_by_classes(spark, monkeypatch):
+    compared = lambda named, meet: named.join(meet, "class").join(named.select(F.col("class").alias("class2")), "class2").count()
+    # 10,000 variants below the limit, each a component: 86 of 100 shingles can be common; none meets another.
+    family = spark.range(10_000).selectExpr("1L as key", "id", "id as c", "100L as n", "86L as s")
+    assert compared(*minhash_tensor._classes(family, 80)) == 0
+    # 10,000 of one component and 5 others, all of one size: only the others meet something.
+    linked = spark.range(10_005).selectExpr("1L as key", "id", "if(id < 10000, 0, id) as c", "100L as n", "100L as s")
+    assert 50_000 <= compared(*minhash_tensor._classes(linked, 80)) <= 2 * 50_000 + 25
+    # All pairs that fit and are of two components meet, in the order of these.
+    monkeypatch.setattr(minhash_tensor, "LARGE", 3)
+    rng = random.Random(13)
+    rows = [(rng.randrange(3), k, rng.choice([1, 2, 3, 10 + k]), n, n - rng.randrange(12)) for k in range(150) for n in [rng.randrange(60, 70)]]
+    named, meet = minhash_tensor._classes(spark.createDataFrame(rows, "key long, id long, c long, n long, s long"), 80)
+    pairs = named.join(meet, "class").join(minhash_tensor._twin(named), "class2").where("key = key2 and c < c2").where(minhash_tensor._fits(80))
+    fit = lambda a, b: 100 * min(a[4], b[4]) >= 80 * (a[3] + b[3] - min(a[4], b[4]))
+    expected = sorted((a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] < b[2] and fit(a, b))
+    assert sorted(tuple(r) for r in pairs.select("id", "id2").collect()) == expected and len(expected) > 500
+
+
+def test_families_about_the_limit_with_large_components(spark, monkeypatch):
+    monkeypatch.setattr(minhash_tensor, "LARGE", 2)
+    monkeypatch.setattr(minhash_tensor, "RARE", 2)
+    rng = random.Random(17)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(70)]
+        for k in range(25):
+            words = list(base)
+            for i in rng.sample(range(70), rng.randrange(6)):
+                words[i] = f"other{family}x{i}y{rng.randrange(3)}"
+            rows.append((100 * family + k, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in minhash_tensor.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got == {i: c for i, (_, c) in _brute_components(rows, 4).items()} and len(set(got.values())) > 3
+
+
 def test_payloads_are_not_read_for_their_length(spark, tmp_path, monkeypatch):
     sizes = [0, 10, 5000, 300_000]
     records = [warc.record("response", f"urn:{n}", b"y" * n, "D", "u", "d") for n in sizes]

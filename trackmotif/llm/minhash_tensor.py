@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackmotif.llm.components import components
@@ -31,6 +31,8 @@ from trackmotif.session import materialise, ship_package
 
 COLLECTION, MINIMA, SEED = 16, 4, 20_261
 BLOCK, RARE = 1024, 8
+#: Sets of one component that make it a class of its own under a sub-key.
+LARGE = 32
 #: Similarity, as a percentage, from which two documents are linked.
 PERCENT = 80
 
@@ -164,13 +166,39 @@ def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return _labelled(_labelled(pairs, of, "a", "ca"), of, "b", "cb").where("ca <> cb").select("a", "b")
 
 
+def _fits(percent: int) -> Column:
+    """Whether sets of n and n2 shingles, of which s and s2 can be common, can be similar enough."""
+    m = F.least("s", "s2")
+    return 100 * m >= percent * (F.col("n") + F.col("n2") - m)
+
+
+def _twin(rows: DataFrame, *same: str) -> DataFrame:
+    return rows.select(*same, *(F.col(x).alias(f"{x}2") for x in rows.columns if x not in same))
+
+
+def _classes(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (key, c, n, s and others) with a class, and the pairs class, class2 of which rows can be similar enough.
+
+    Rows of a key are of one class if they agree in n and s and are of one component of more than ``LARGE`` rows there, or
+    of any smaller ones. So the rows of a large component never meet each other, and those that no row of the key fits, as
+    in a family whose members all lie below the limit, meet none: only their classes are compared.
+    """
+    large = rows.groupBy("key", "c").agg(F.count("*").alias("f")).where(F.col("f") > LARGE).select("key", "c", F.col("c").alias("d"))
+    of = F.xxhash64("key", F.col("d").isNull(), "d", "n", "s")
+    named = rows.join(large, ["key", "c"], "left").withColumn("class", of)
+    each = named.select("key", "d", "n", "s", "class").distinct()
+    apart = F.col("d").isNull() | F.col("d2").isNull() | (F.col("d") < F.col("d2"))
+    return named.drop("d"), each.join(_twin(each, "key"), "key").where(_fits(percent) & apart).select("class", "class2").distinct()
+
+
 def _rest(entries: DataFrame, halves: DataFrame, sets: DataFrame, of: DataFrame, percent: int) -> DataFrame:
     """The pairs that share a table, are in different components, and can be similar enough.
 
     Of the sets in buckets of several components, a shingle that at most ``RARE`` have is rare. Pairs with a rare shingle
     in common are found by it: no shingle makes more than RARE * RARE / 2. All others have at most m = min(s, s') shingles
     in common, where s of a set's n are not rare, so their similarity is at most m / (n + n' - m): what falls short is
-    never formed. Each other pair is formed once, under the smallest sub-key of the first collection that it shares.
+    never formed (see ``_classes``). Each other pair is formed once, under the smallest sub-key of the first collection that
+    it shares.
     """
     labelled = _labelled(entries, of, "id", "c")
     mixed = labelled.groupBy("bucket").agg(F.min("c").alias("lc"), F.max("c").alias("hc")).where("lc < hc").select("bucket")
@@ -184,18 +212,12 @@ def _rest(entries: DataFrame, halves: DataFrame, sets: DataFrame, of: DataFrame,
     less = rare.groupBy("id", "of").agg(F.count("*").alias("rare"), F.sum((F.col("f") == 1).cast("long")).alias("alone"))
     sized = own.select("id", "of", "c", "n").join(less, ["id", "of"], "left").na.fill(0, ["rare", "alone"])
 
-    m = F.least("s", "s2")
-    fits = (F.col("c") < F.col("c2")) & (100 * m >= percent * (F.col("n") + F.col("n2") - m))
-
-    def twice(rows: DataFrame, key: str, *carried: str) -> tuple[DataFrame, DataFrame]:
-        return rows.select(key, "id", *carried), rows.select(key, F.col("id").alias("id2"), *(F.col(x).alias(f"{x}2") for x in carried))
-
+    fits = (F.col("c") < F.col("c2")) & _fits(percent)
     could = lambda common: 100 * F.col(common) >= percent * F.col("n")
-    by_rare = sized.withColumn("s", F.col("n") - F.col("alone")).where(could("s")).join(rare.where("f > 1").drop("f"), ["id", "of"])
-    a, b = twice(by_rare, "shingle", "c", "n", "s")
-    first = a.join(b, "shingle").where(fits).select("id", "id2")
+    by_rare = sized.withColumn("s", F.col("n") - F.col("alone")).where(could("s")).join(rare.where("f > 1").drop("f"), ["id", "of"]).select("shingle", "id", "c", "n", "s")
+    first = by_rare.join(_twin(by_rare, "shingle"), "shingle").where(fits).select("id", "id2")
     by_key = sized.withColumn("s", F.col("n") - F.col("rare")).where(could("s")).join(halves, "id").withColumn("key", F.explode("ka"))
-    a, b = twice(by_key, "key", "c", "n", "s", "ka", "kb")
+    named, meet = _classes(by_key.select("key", "id", "c", "n", "s", "ka", "kb"), percent)
     once = (F.array_min(F.array_intersect("ka", "ka2")) == F.col("key")) & F.arrays_overlap("kb", "kb2")
-    second = a.join(b, "key").where(fits & once).select("id", "id2")
+    second = named.join(meet, "class").join(_twin(named), "class2").where((F.col("key") == F.col("key2")) & fits & once).select("id", "id2")
     return first.unionByName(second).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
