@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trackmotif import session
 from trackmotif.functions import vec
-from trackmotif.operators import graph, nms, patterns, ranking, thresholds, windows
+from trackmotif.operators import graph, nms, patterns, ranking, seqlets, thresholds, windows
 from trackmotif.plans import bindings, pattern_queries
 from trackmotif.sources import text
 
@@ -300,3 +300,17 @@ def test_tables_are_dropped_but_those_still_read(spark):
         b.collect()
     session.drop_tables(spark, first)
     assert session.tables_written(spark) == first
+
+
+def _sums(spark, values, width=3):
+    rows = [(0, k, v) for k, v in enumerate(values)]
+    return windows.sliding_sum(spark.createDataFrame(rows, "example long, pos long, value double"), width)
+
+
+def test_windows_are_added_up_by_themselves(spark):
+    values = [1e9 + 0.1, 0.1, -0.3, 0.3, 0.0, -0.3, 0.1, 0.2, 7.7]
+    got = {r.pos: r.total for r in _sums(spark, values).collect()}
+    assert got == {k: values[k] + values[k + 1] + values[k + 2] for k in range(7)}
+    rows = _sums(spark, values).select("example", "pos", (F.col("pos") + 3).alias("end"), (F.col("total") < 0).alias("rc"))
+    texts = [r.text for r in rows.orderBy("pos").select(seqlets.to_string("example", "pos", "end", "rc").alias("text")).collect()]
+    assert texts[2:4] == ["example:0,start:2,end:5,rc:False", "example:0,start:3,end:6,rc:False"]  # these sum to 0

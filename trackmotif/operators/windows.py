@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 def sliding_sum(df: DataFrame, width: int, example: str = "example", pos: str = "pos", value: str = "value", out: str = "total") -> DataFrame:
     """example, pos (first of the window) and the sum of each full window of ``width`` positions.
 
-    A difference of running sums, so that the work doesn't grow with the width; one shuffle by example.
+    Each window is added up by itself, from its first position on: a difference of running sums is off by their rounding, so
+    that windows which sum to 0 or to a threshold would fall on either side of it. Windows of nulls alone are null. One shuffle
+    by example.
     """
     order = Window.partitionBy(example).orderBy(pos)
-    running = df.select(example, pos, F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_s"))
-    first = F.col(pos) - F.lit(width - 1)
-    sums = running.select(example, first.alias(pos), (F.col("_s") - F.coalesce(F.lag("_s", width).over(order), F.lit(0.0))).alias(out))
-    return sums.where(F.col(pos) >= 0)
+    frame = order.rowsBetween(0, width - 1)
+    sums = df.select(example, pos, F.sum(value).over(frame).alias(out), F.count("*").over(frame).alias("_n"))
+    return sums.where(F.col("_n") == width).drop("_n")
 
 
 def candidates(df: DataFrame, high: float, low: float, flank: int, example: str = "example", pos: str = "pos", value: str = "total") -> DataFrame:
