@@ -314,3 +314,9 @@ def test_windows_are_added_up_by_themselves(spark):
     rows = _sums(spark, values).select("example", "pos", (F.col("pos") + 3).alias("end"), (F.col("total") < 0).alias("rc"))
     texts = [r.text for r in rows.orderBy("pos").select(seqlets.to_string("example", "pos", "end", "rc").alias("text")).collect()]
     assert texts[2:4] == ["example:0,start:2,end:5,rc:False", "example:0,start:3,end:6,rc:False"]  # these sum to 0
+
+
+def test_windows_that_sum_to_the_threshold_pass(spark):
+    values = [1.52, 50.12, 3.77, 20.0, 20.0, 20.0, 1.0, 2.0, 3.0, 4.0]
+    got = windows.candidates(_sums(spark, values), 60.0, -600.0, 2, "example").collect()
+    assert [(r.pos, r.score) for r in got] == [(3, 60.0)]
