@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackmotif.operators import knn
-from trackmotif.plans import similarity_queries
+from trackmotif.plans import discovery_queries, similarity_queries
 
 
 def _rows(seed, n, words, signed, common=0.02):
@@ -78,3 +78,29 @@ def test_rows_without_a_common_word(spark):
 def test_query_is_the_plain_join(spark, data):
     rows = lambda df: sorted(map(tuple, df.select("i", "j", "rank").collect()))
     assert rows(similarity_queries.sparse_cosine_knn(spark, data)) == rows(similarity_queries._neighbours(spark, data))
+
+
+@pytest.mark.parametrize(("signed", "parts", "k", "blocks"), [(False, 1, 5, 1), (True, 1, 5, 3), (True, 2, 3, 3), (False, 1, 400, 2)])
+def test_nearest_of_all_are_those_of_all_products(spark, monkeypatch, signed, parts, k, blocks):
+    monkeypatch.setattr(knn, "_blocks", lambda n: blocks)
+    left = _rows(1, 150, 60, signed)
+    rights = [left, *(_rows(9, 150, 60, signed) for _ in range(parts - 1))]
+    right = _frame(spark, rights[0], "j", 0)
+    for p, more in enumerate(rights[1:]):
+        right = right.unionByName(_frame(spark, more, "j", p + 1))
+    assert _same(knn.of_all(_frame(spark, left, "i"), right, k).collect(), _brute(left, rights, k))
+
+
+def test_nearest_of_all_with_ties_and_rows_alone(spark, monkeypatch):
+    monkeypatch.setattr(knn, "_blocks", lambda n: 2)
+    rows = {k: {k % 3: 0.6, 10 + k % 2: 0.8} for k in range(120)} | {500: {77: -1.0}, 501: {77: 1.0}}
+    assert _same(knn.of_all(_frame(spark, rows, "i"), _frame(spark, rows, "j", 0), 4).collect(), _brute(rows, [rows], 4))
+    assert knn.of_all(_frame(spark, {}, "i"), _frame(spark, rows, "j", 0), 3).count() == 0
+    assert [(r.i, r.j) for r in knn.of_all(_frame(spark, {1: {5: 1.0}}, "i"), _frame(spark, rows, "j", 0), 3).collect()] == []
+
+
+def test_queries_shuffle_no_pairs_but_the_best(spark, data, monkeypatch):
+    monkeypatch.setattr(knn, "sparse_dot", None)
+    plans = (similarity_queries.sparse_cosine_knn, similarity_queries.leiden_labels, similarity_queries.modularity_of_labels, similarity_queries.spearman_rows)
+    assert all(make(spark, data).count() for make in plans)
+    assert discovery_queries.strand_knn(spark, data).count() and discovery_queries.zero_filled_knn(spark, data).count()

@@ -15,6 +15,8 @@ from trackmotif.session import materialise, ship_package
 LEADS = 4
 #: Similarities that differ by less may tie.
 SLACK = 1e-8
+#: Rows of a block at most; blocks for work in parallel, of so many rows at least; runs of rows for each neighbour wanted.
+BLOCK, SPREAD, FEW, RUNS = 65_536, 5, 2_000, 8
 
 
 def normalised(df: DataFrame, key: str, value: str = "value") -> DataFrame:
@@ -99,6 +101,110 @@ def nearest(left: DataFrame, right: DataFrame, k: int, score: Column | str = "si
     return top_k(found, k, score)
 
 
+class _Rows:
+    """The rows of a block by word: for each word the rows that have it, with their values."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        held = pa.Table.from_batches(parts).combine_chunks()
+        lists = held.column("words").combine_chunks()
+        words, values = lists.flatten().to_numpy(), held.column("values").combine_chunks().flatten().to_numpy()
+        rows = np.repeat(np.arange(held.num_rows), lists.value_lengths().to_numpy())
+        order = np.argsort(words, kind="stable")
+        self.words, starts = np.unique(words[order], return_index=True)
+        self.ends = np.append(starts, len(words))
+        self.rows, self.values, self.n = rows[order], values[order], held.num_rows
+        j = held.column("j").combine_chunks().to_numpy(zero_copy_only=False)
+        self.first = np.flatnonzero(np.append(True, j[1:] != j[:-1]))
+        self.j = held.column("j").combine_chunks().take(pa.array(self.first))
+
+    def best(self, batch: pa.RecordBatch, k: int, digits: int) -> pa.RecordBatch:
+        """i, j, sim: the ``k`` best of these rows for each of ``batch``; ties, rounded to ``digits``, in the order of rows."""
+        words, values = (batch.column(c).flatten().to_numpy() for c in ("words", "values"))
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        lows, highs = self.ends[at], np.where(self.words[at] == words, self.ends[at + 1], self.ends[at])
+        cuts = np.append(0, np.cumsum(batch.column("words").value_lengths().to_numpy()))
+        lows, highs, values, cuts = lows.tolist(), highs.tolist(), values.tolist(), cuts.tolist()
+        mine, found, sims = [], [], []
+        for r in range(batch.num_rows):
+            spans = [n for n in range(cuts[r], cuts[r + 1]) if lows[n] < highs[n]]
+            if not spans:
+                continue
+            rows = np.concatenate([self.rows[lows[n] : highs[n]] for n in spans])
+            products = np.bincount(rows, np.concatenate([self.values[lows[n] : highs[n]] * values[n] for n in spans]), self.n)
+            near, sim = self._top(rows, products, k, digits)
+            mine.append(np.full(len(near), r))
+            found.append(near)
+            sims.append(sim)
+        mine, found, sims = (np.concatenate(x) if x else np.array([], "int64") for x in (mine, found, sims))
+        return pa.RecordBatch.from_arrays([batch.column("i").take(pa.array(mine)), self.j.take(pa.array(found)), pa.array(sims.astype("float64"))], names=["i", "j", "sim"])
+
+    def _top(self, rows: np.ndarray, products: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``j`` and products of the best: a bar that k runs of rows reach leaves few to rank. Rows without a word
+        in common have the product 0, so that a bar which isn't above 0 won't do."""
+        several = len(self.first) < self.n
+        sims = np.maximum.reduceat(products, self.first) if several else products
+        runs, width = RUNS * k, len(sims) // (RUNS * k)
+        bar = np.partition(sims[: runs * width].reshape(runs, width).max(axis=1), runs - k)[runs - k] if width else 0.0
+        if bar > 0:
+            near = np.flatnonzero(sims >= bar - 2 * 10.0**-digits)
+        else:
+            shared = np.zeros(self.n, bool)
+            shared[rows] = True
+            sims = np.where(shared, products, -np.inf)
+            sims = np.maximum.reduceat(sims, self.first) if several else sims
+            near = np.flatnonzero(sims > -np.inf)
+        near = near[np.argsort(-np.round(sims[near], digits), kind="stable")[:k]]
+        return near, sims[near]
+
+
+def _blocks(n: int) -> int:
+    """Blocks of at most ``BLOCK`` rows, and ``SPREAD`` of them where they have ``FEW`` rows or more."""
+    return max(-(-n // BLOCK), min(SPREAD, n // FEW), 1)
+
+
+def of_all(left: DataFrame, right: DataFrame | None, k: int, digits: int = 9) -> DataFrame:
+    """i, j, sim, rank: what ``nearest`` gives, from all products, where rows have few words and these are common. Without
+    ``right``, rows of ``left`` among themselves.
+
+    Both sides are dealt to blocks and a task has a block of each. It adds up a row's products by the postings of its words
+    and gives its ``k`` best, so that no pair of rows is shuffled but these. ``digits`` rounds for ties: smallest j.
+    """
+    ship_package(left.sparkSession)
+    mine = materialise(_vectors(left, "i"), "left-vectors")
+    theirs = mine.select(F.col("i").alias("j"), F.lit(0).alias("part"), "words", "values") if right is None else materialise(_vectors(right, "j", "part"), "right-vectors")
+    p, q = _blocks(mine.count()), _blocks(theirs.count())
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda side, c: F.lit(None).cast(side.schema[c].dataType).alias(c)
+    a = mine.select(dealt("i", p).alias("_a"), every(q).alias("_b"), F.lit(1).alias("side"), "i", none(theirs, "j"), none(theirs, "part"), "words", "values")
+    b = theirs.select(every(p).alias("_a"), dealt("j", q).alias("_b"), F.lit(0).alias("side"), none(mine, "i"), "j", "part", "words", "values")
+    pairs = a.unionByName(b).withColumn("pair", F.col("_a") * q + F.col("_b")).repartitionById(p * q, "pair")
+    sorted_ = pairs.sortWithinPartitions("pair", "side", "j", "part").select("pair", "side", "i", "j", "words", "values")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, now = [], None, None
+        for batch in batches:
+            pair, side = (batch.column(c).to_numpy() for c in ("pair", "side"))
+            cuts = [0, *(np.flatnonzero(np.diff(pair * 2 + side)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if low == high:
+                    continue
+                part = batch.slice(low, high - low)
+                if pair[low] != now:
+                    held, rows, now = [], None, pair[low]
+                if side[low] == 0:
+                    held.append(part)
+                    continue
+                if held:
+                    rows, held = _Rows(held), []
+                if rows is not None:
+                    yield rows.best(part, k, digits)
+
+    kind = lambda side, c: side.schema[c].dataType.simpleString()
+    found = sorted_.mapInArrow(run, f"i {kind(mine, 'i')}, j {kind(theirs, 'j')}, sim double")
+    return top_k(found, k, F.round("sim", digits))
+
+
 def larger_of(forward: DataFrame, reverse: DataFrame) -> DataFrame:
     """i, j, sim: the larger of two strands, where a pair that is missing counts 0."""
     both = forward.withColumn("f", F.col("dot")).withColumn("r", F.lit(0.0)).select("i", "j", "f", "r").unionByName(reverse.withColumn("f", F.lit(0.0)).withColumn("r", F.col("dot")).select("i", "j", "f", "r"))

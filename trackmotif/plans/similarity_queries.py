@@ -49,13 +49,13 @@ def _neighbours(spark, sf_dir):
 
 
 def _near(spark, sf_dir):
-    return materialise(_neighbours(spark, sf_dir), "near")
+    """``_neighbours`` without a shuffle of all pairs."""
+    rows = knn.normalised(_words(spark, sf_dir), "vec_id").withColumnRenamed("vec_id", "i")
+    return materialise(knn.of_all(rows, None, K), "near")
 
 
 def sparse_cosine_knn(spark, sf_dir):
-    rows = materialise(knn.normalised(_words(spark, sf_dir), "vec_id"), "words")
-    right = rows.select(F.col("vec_id").alias("j"), F.lit(0).alias("part"), "word", "value")
-    return knn.nearest(rows.withColumnRenamed("vec_id", "i"), right, K, F.round("sim", 9)).select("i", "j", "rank", r6("sim").alias("sim"))
+    return _near(spark, sf_dir).select("i", "j", "rank", r6("sim").alias("sim"))
 
 
 def _features(spark, sf_dir):
