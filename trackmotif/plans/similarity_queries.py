@@ -170,7 +170,7 @@ def modularity_of_labels(spark, sf_dir):
 
 
 def leiden_labels(spark, sf_dir):
-    edges = _neighbours(spark, sf_dir).select("i", "j", F.round("sim", 9).alias("w"))
+    edges = _near(spark, sf_dir).select("i", "j", F.round("sim", 9).alias("w"))
     return graph.communities(edges).select("id", "label", r6("q").alias("q"))
 
 
