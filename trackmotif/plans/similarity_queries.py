@@ -164,7 +164,7 @@ def density_weights(spark, sf_dir):
 
 
 def modularity_of_labels(spark, sf_dir):
-    edges = knn.top_k(_neighbours(spark, sf_dir), K).select("i", "j", F.col("sim").alias("w"))
+    edges = _near(spark, sf_dir).select("i", "j", F.col("sim").alias("w"))
     labels = e_track(spark, sf_dir).select(F.col("vec_id").alias("id"), "label")
     return graph.modularity(edges, labels).select(r6("q").alias("q"))
 
