@@ -130,8 +130,9 @@ def strand_knn(spark, sf_dir):
     turned = rows.select("vec_id", kmers.top_sites(vec.row_sums(F.col("contrib")), base, SITES).alias("sites"))
     words = lambda sites: knn.normalised(kmers.word_scores(sites, "sites", "vec_id", ENTRIES, **CHOICE), "vec_id")
     own = materialise(words(_sites(spark, sf_dir)), "words")
-    sims = knn.larger_of(knn.sparse_dot(own, own, "vec_id"), knn.sparse_dot(own, words(turned), "vec_id"))
-    return knn.top_k(sims.where("sim > 0"), K, F.round("sim", 9)).select("i", "j", "rank", r6("sim").alias("sim"))
+    strand = lambda rows, part: rows.select(F.col("vec_id").alias("j"), F.lit(part).alias("part"), "word", "value")
+    near = knn.of_all(own.withColumnRenamed("vec_id", "i"), strand(own, 0).unionByName(strand(words(turned), 1)), K)
+    return near.where("sim > 0").select("i", "j", "rank", r6("sim").alias("sim"))
 
 
 def subcluster_probs(spark, sf_dir):
