@@ -118,7 +118,8 @@ def information_as_given(spark, sf_dir):
 def zero_filled_knn(spark, sf_dir):
     """Neighbours by few words, more than rows have, so that they fall short and are filled."""
     rows = knn.normalised(kmers.word_scores(_sites(spark, sf_dir), "sites", "vec_id", 3, **CHOICE), "vec_id")
-    pairs = knn.sparse_dot(rows, rows, "vec_id").select(F.lit("pos").alias("sign"), "i", "j", F.round("dot", 9).alias("sim"))
+    near = knn.of_all(rows.withColumnRenamed("vec_id", "i"), None, FILL)
+    pairs = materialise(near, "near").select(F.lit("pos").alias("sign"), "i", "j", F.round("sim", 9).alias("sim"))
     ids = e_track(spark, sf_dir).select(F.lit("pos").alias("sign"), F.col("vec_id").alias("id"))
     return knn.filled(pairs, ids, FILL, "sign").select("i", "j", "rank", r6("sim").alias("sim"))
 
