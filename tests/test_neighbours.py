@@ -3,10 +3,11 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackmotif.operators import knn
+from trackmotif.operators import kernels, knn
 from trackmotif.plans import discovery_queries, similarity_queries
 
 
@@ -104,3 +105,12 @@ def test_queries_shuffle_no_pairs_but_the_best(spark, data, monkeypatch):
     plans = (similarity_queries.sparse_cosine_knn, similarity_queries.leiden_labels, similarity_queries.modularity_of_labels, similarity_queries.spearman_rows)
     assert all(make(spark, data).count() for make in plans)
     assert discovery_queries.strand_knn(spark, data).count() and discovery_queries.zero_filled_knn(spark, data).count()
+
+
+@pytest.mark.parametrize("metric", ["jaccard", "cosine"])
+def test_slides_of_rows_are_those_of_each(metric):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(2, 40, 16, 4)) * (rng.random((2, 40, 16, 4)) < 0.3)
+    x[0] = y[1] = 0
+    each = np.array([kernels.slide(q, t, 4, metric) for q, t in zip(x, y, strict=True)])
+    assert np.allclose(kernels.slides(x, y, 4, metric), each, rtol=0, atol=1e-14)
