@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trackmotif import catalog
 from trackmotif.operators import kernels, knn
 from trackmotif.plans import discovery_queries, similarity_queries
 
@@ -114,3 +115,15 @@ def test_slides_of_rows_are_those_of_each(metric):
     x[0] = y[1] = 0
     each = np.array([kernels.slide(q, t, 4, metric) for q, t in zip(x, y, strict=True)])
     assert np.allclose(kernels.slides(x, y, 4, metric), each, rtol=0, atol=1e-14)
+
+
+#: Queries that took their neighbours from a shuffle of all pairs.
+WITHOUT_PAIRS = [
+    "density_weights",
+]
+
+
+@pytest.mark.parametrize("name", WITHOUT_PAIRS)
+def test_query_makes_no_pairs_but_the_best(name, spark, data, monkeypatch):
+    monkeypatch.setattr(knn, "sparse_dot", None)
+    assert catalog.queries()[name](spark, data).count()
