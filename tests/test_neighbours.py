@@ -120,6 +120,7 @@ def test_slides_of_rows_are_those_of_each(metric):
 #: Queries that took their neighbours from a shuffle of all pairs.
 WITHOUT_PAIRS = [
     "density_weights",
+    "spearman_rows",
 ]
 
 
