@@ -122,6 +122,7 @@ WITHOUT_PAIRS = [
     "density_weights",
     "spearman_rows",
     "subcluster_probs",
+    "symmetrise_edges",
 ]
 
 
