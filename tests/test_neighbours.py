@@ -123,6 +123,7 @@ WITHOUT_PAIRS = [
     "spearman_rows",
     "subcluster_probs",
     "symmetrise_edges",
+    "perplexity_beta",
 ]
 
 
