@@ -124,6 +124,7 @@ WITHOUT_PAIRS = [
     "subcluster_probs",
     "symmetrise_edges",
     "perplexity_beta",
+    "spearman_filter",
 ]
 
 
