@@ -125,6 +125,7 @@ WITHOUT_PAIRS = [
     "symmetrise_edges",
     "perplexity_beta",
     "spearman_filter",
+    "sim_to_distance",
 ]
 
 
