@@ -126,6 +126,7 @@ WITHOUT_PAIRS = [
     "perplexity_beta",
     "spearman_filter",
     "sim_to_distance",
+    "sliding_cosine_best",
 ]
 
 
