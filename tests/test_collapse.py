@@ -1,6 +1,7 @@
 """Merging and splitting by small tasks against the same done in one."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,33 @@ def test_pairs_that_leave_the_track(spark, planted):
         assert np.allclose(got[a, b], kernels._pair(one[a], one[b], SETTINGS), atol=1e-9)
 
 
+def test_pair_scores_by_blocks(spark, planted, monkeypatch):
+    """Patterns that meet block by block have the scores of one task, also where one has no seqlet of its full length."""
+    tracks, held, places = planted
+    found = [*_patterns(places), [(0, 2, 22, False), (1, 40, 58, True)]]
+    assert collapse.blocks_of({4: 30, 2: 900, 7: 5000, 9: 20}, 1000, 1000) == {2: 0, 4: 0, 7: 1, 9: 2}
+    monkeypatch.setattr(collapse, "blocks_of", lambda sizes, cap: {k: n // 2 for n, k in enumerate(sorted(sizes))})
+    wanted = [(a, b) for a in range(len(found)) for b in range(len(found)) if a != b and (a, b) != (0, 5)]
+    members = _members(spark, found)
+    rows = collapse.pair_scores(spark.createDataFrame(wanted, "a long, b long"), members, tracks, collapse.sizes_of(members), SETTINGS).collect()
+    got = {(r.a, r.b): (r.sim, r.auroc) for r in rows}
+    one = [kernels.Pattern(held, x) for x in found]
+    assert len(rows) == len(got) and got.keys() == set(wanted)
+    assert all(np.allclose(got[a, b], kernels._pair(one[a], one[b], SETTINGS), atol=1e-9) for a, b in wanted)
+
+
+def test_a_pattern_is_moved_once_for_all_it_lies_on():
+    rng = np.random.default_rng(2)
+    own = {a: rng.normal(size=(3 + a, 8)) for a in range(4)}
+    moved = {10: rng.normal(size=(5, 8)), 11: own[2][:4]}
+    lines = [(0, 0, a, None, x) for a, x in own.items()] + [(0, 1, b, [0, 1, 2, 3, 77], x) for b, x in moved.items()] + [(1, 0, 0, None, own[1]), (1, 1, 10, [0], moved[10])]
+    table = pa.table({c: pa.array([r[k].tolist() if k == 4 else r[k] for r in lines], t) for k, (c, t) in enumerate((("job", pa.int32()), ("side", pa.int32()), ("number", pa.int64()), ("on", pa.list_(pa.int64())), ("flats", pa.list_(pa.list_(pa.float64())))))})
+    got = [tuple(r.values()) for b in collapse.told_apart(iter(table.to_batches(max_chunksize=3))) for r in b.to_pylist()]
+    told = lambda x, y: kernels._auroc(kernels.similarities(x, x).ravel(), kernels.similarities(x, y).ravel())
+    assert sorted(got[:-1]) == sorted([(a, b, told(x, y)) for b, y in moved.items() for a, x in own.items()] + [(77, b, 0.5) for b in moved])
+    assert got[-1] == (0, 10, told(own[1], moved[10]))
+
+
 def test_chains_of_pairs():
     assert collapse._chains([]) == []
     pairs = [(0, 1), (2, 3), (1, 2), (5, 6), (4, 6)]

@@ -1,6 +1,6 @@
 import numpy as np
 
-from trackmotif.operators import kernels
+from trackmotif.operators import kernels, knn
 from trackmotif.plans import discover
 
 MOTIF = "TGACTCAGCATT"
@@ -40,6 +40,31 @@ def test_words_equal_enumeration():
     assert got.keys() == expected.keys() and all(abs(got[k] - v) < 1e-12 for k, v in expected.items())
 
 
+def test_seqlets_of_few_words_meet_by_postings(spark, monkeypatch):
+    """Both signs and strands, as the pruned search has them."""
+    rng = np.random.RandomState(4)
+    rows = [(("pos", "neg")[k % 2], k // 2 + 1, np.eye(4)[rng.randint(0, 4, 5)].tolist(), rng.normal(size=(5, 4)).round(3).tolist()) for k in range(160)]
+    found = spark.createDataFrame(rows, "sign string, ord long, one_hot array<array<double>>, hyp array<array<double>>")
+    s = kernels.Settings(neighbours=6)
+    got = lambda: sorted((r.sign, r.i, r.j, r.rank, round(r.sim, 9)) for r in discover.coarse(found, s).collect())
+    monkeypatch.setattr(knn, "SHORT", 0)
+    pruned = got()
+    monkeypatch.setattr(knn, "SHORT", 32)
+    monkeypatch.setattr(knn, "nearest", None)
+    assert got() == pruned and len(pruned) == 160 * 7
+
+
+def test_fine_similarities_are_those_of_each_pair():
+    rng = np.random.default_rng(6)
+    cut = lambda lengths: [rng.normal(size=(n, 4)) * (rng.random((n, 4)) < 0.3) for n in lengths]
+    left, right = [5] * 1200 + [7] * 9 + [11], [5] * 1200 + [7] * 4 + [5] * 5 + [11]
+    ci, hi, cj, hj = cut(left), cut(left), cut(right), cut(right)
+    ci[0][:], hj[1][:] = 0, 0
+    each = [kernels.fine_similarity(kernels.features(c, d), kernels.features(a, b)) for a, b, c, d in zip(ci, hi, cj, hj, strict=True)]
+    assert np.allclose(kernels.fine_similarities(ci, hi, cj, hj), each, rtol=0, atol=1e-14)
+    assert len(kernels.fine_similarities([], [], [], [])) == 0
+
+
 def test_planted_motif_is_found_on_both_strands(spark):
     tracks = spark.createDataFrame(planted(), "example_idx long, one_hot array<array<double>>, hyp array<array<double>>")
     settings = kernels.Settings(window=15, flank=5, max_seqlets=300, seeds=2, trim=20, initial_flank=5, neighbours=60, min_metacluster=50)

@@ -289,6 +289,20 @@ def test_communities_without_a_packed_graph(spark, kind):
     assert abs(graph.modularity(edges.drop("g"), found.select("id", "label")).first().q - got[0].q) < 1e-9
 
 
+def test_both_ways_of_an_edge_are_one(spark, monkeypatch):
+    """A graph whose edges fit a task once each isn't coarsened for being given both ways, with loops."""
+    rows = _random_graph("planted", 200, 3)
+    real = [r for r in rows if r[0] != r[1]]
+    both = [(a, b, w / 2) for a, b, w in real] + [(b, a, w / 2) for a, b, w in real] + [(k, k, 0.1) for k in range(200)]
+    edges = spark.createDataFrame([(int(a), int(b), float(w)) for a, b, w in both], "i long, j long, w double")
+    monkeypatch.setattr(graph, "coarsened", None)
+    found = graph.communities(edges, None, 2, small=len(real))
+    got = found.collect()
+    assert len(got) == 200 and abs(graph.modularity(edges, found.select("id", "label")).first().q - got[0].q) < 1e-9
+    i, j, w = (np.array(c) for c in zip(*both, strict=True))
+    assert got[0].q > 0.99 * max(graph.leiden(200, i, j, w, 100 * seed)[1] for seed in (1, 2))
+
+
 def test_tables_are_dropped_but_those_still_read(spark):
     first = session.tables_written(spark)
     a = session.materialise(spark.range(10).toDF("x"), "a")

@@ -228,9 +228,10 @@ ROUNDS, CALM = 16, 0.002
 def communities(edges: DataFrame, group: str | None = None, seeds: int = 2, small: int = SMALL) -> DataFrame:
     """(group,) id, label, q: the best of ``seeds`` runs for each group of edges (i, j, w).
 
-    A group of at most ``small`` edges is packed into one row of arrays, which goes to each seed's task. A larger one is
-    first coarsened by moves and merges that are joins of its tables (see ``coarsened``) until it is small enough, and its
-    labels are settled by moves on all its edges; no task gets more than ``small`` edges.
+    A group of at most ``small`` edges is packed into one row of arrays, which goes to each seed's task; of a larger one, both
+    ways of an edge are first made one, and loops don't count. If it is still too large, it is coarsened by moves and merges that are joins of its
+    tables (see ``coarsened``) until it is small enough, and its labels are settled by moves on all its edges; no task gets
+    more than ``small`` edges.
     """
     spark = edges.sparkSession
     ship_package(spark)
@@ -299,8 +300,11 @@ def coarsened(edges: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
 
 def _settled(edges: DataFrame, seeds: int, small: int) -> DataFrame:
     """id, label (0 for the largest), q of a graph of any size."""
-    of, level, n = None, edges, edges.count()
-    seed = 1
+    once = edges.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.sum("w").alias("w"))
+    of, level, seed = None, materialise(once, "once"), 1
+    n = level.where("i <> j").count()
+    if n <= small:
+        return _packed_runs(level.withColumn("_g", F.lit(0)), "_g", seeds).select("id", F.col("label").cast("long").alias("label"), "q")
     while n > small:
         fine, level = coarsened(level, 100 * seed)
         of = materialise(fine if of is None else of.join(fine.select(F.col("id").alias("c"), F.col("c").alias("to")), "c").select("id", F.col("to").alias("c")), "levels")
@@ -309,7 +313,7 @@ def _settled(edges: DataFrame, seeds: int, small: int) -> DataFrame:
             break
     if n <= small:
         best = _packed_runs(level.withColumn("_g", F.lit(0)), "_g", seeds).select(F.col("id").alias("c"), F.col("label").cast("long").alias("label"))
-        of = best.withColumnRenamed("c", "id") if of is None else of.join(best, "c").select("id", "label")
+        of = of.join(best, "c").select("id", "label")
     else:
         of = of.withColumnRenamed("c", "label")
     adjacent, nodes, total = _adjacency(edges)

@@ -2,9 +2,9 @@
 
 Merging goes by rounds. The driver holds each pattern's number and size, and a similarity and an AUROC of each pair of
 patterns that may merge; all else is tables. A round scores only the pairs that no round before it has scored: means of
-patterns come from one aggregate, a task aligns two of them, and another compares a bounded draw of seqlets of one with
-that of the other where it aligns. Merges that depend on each other follow one another, all others run side by side, each
-a task with the seqlets of two patterns and the tracks of their examples.
+patterns come from one aggregate, a task aligns two of them, and another compares bounded draws of seqlets of a block of
+patterns with those of another block where they align. Merges that depend on each other follow one another, all others run
+side by side, each a task with the seqlets of two patterns and the tracks of their examples.
 
 Subpatterns come from all pairs of a pattern's seqlets, in blocks: a task compares two blocks and passes on each seqlet's
 nearest, which are the edges of a graph whose communities are the subpatterns.
@@ -27,8 +27,8 @@ from trackmotif.session import materialise
 COORDINATES = ("example_idx", "start", "end", "is_revcomp")
 MEMBERS = pa.schema([("number", pa.int64()), ("ord", pa.int64()), ("example_idx", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("is_revcomp", pa.bool_())])
 MEMBERS_DDL = "number long, ord long, example_idx long, start long, end long, is_revcomp boolean"
-#: Seqlets of a block of all pairs.
-BLOCK = 512
+#: Seqlets of a block of all pairs; drawn seqlets of a block of patterns.
+BLOCK, DRAWN = 512, 2_000
 #: (number, seqlets) of a pattern, as the driver has it.
 Sizes = list[tuple[int, int]]
 
@@ -66,11 +66,6 @@ def flat_features(rows: DataFrame, tracks: DataFrame, *keep: str) -> DataFrame:
     return cut.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.select(*keep).schema) + ", flat array<double>")
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    rows = column.combine_chunks()
-    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
-
-
 def aligned_pairs(pairs: DataFrame, means: DataFrame) -> DataFrame:
     """a, b, place, turn, sim, length of a: where the mean contributions of b (number, contrib) lie best on those of a."""
     side = lambda c, m: means.select(F.col("number").alias(c), F.col("contrib").alias(m))
@@ -87,9 +82,55 @@ def aligned_pairs(pairs: DataFrame, means: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, place long, turn boolean, sim double, length long")
 
 
+def blocks_of(sizes: dict[int, int], cap: int, most: int = DRAWN) -> dict[int, int]:
+    """A block for each pattern, in order of their numbers: of at most ``most`` seqlets that are drawn, or one pattern."""
+    out, block, filled = {}, 0, 0
+    for number in sorted(sizes):
+        n = min(sizes[number], cap)
+        if filled and filled + n > most:
+            block, filled = block + 1, 0
+        out[number] = block
+        filled += n
+    return out
+
+
+def told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, auroc of rows by job, patterns (a and flats of their own) before those that lie on them (b, flats and all a
+    that they lie on in this way). What a pattern has within itself is compared once a job."""
+    own: dict[int, np.ndarray] = {}
+    within: dict[int, np.ndarray] = {}
+    now = None
+    for batch in batches:
+        job, side, number = (batch.column(c).to_numpy() for c in ("job", "side", "number"))
+        for r in range(batch.num_rows):
+            if job[r] != now:
+                own, within, now = {}, {}, job[r]
+            rows = batch.column("flats")[r].values
+            flats = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+            if side[r] == 0:
+                own[int(number[r])] = flats
+                continue
+            on = batch.column("on")[r].values.to_numpy()
+            there = [int(a) for a in on if int(a) in own]
+            aurocs = dict.fromkeys((int(a) for a in on), 0.5)
+            if there:
+                stack, cuts = np.concatenate([own[a] for a in there]), np.cumsum([0, *(len(own[a]) for a in there)])
+                sims = kernels.similarities(flats, stack) if len(flats) <= len(stack) else kernels.similarities(stack, flats).T
+                for a, low, high in zip(there, cuts, cuts[1:], strict=False):
+                    if a not in within:
+                        within[a] = np.sort(kernels.similarities(own[a], own[a]), axis=None)
+                    aurocs[a] = kernels.auroc_of_sorted(within[a], sims[:, low:high].ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(list(aurocs), pa.int64()), pa.array([number[r]] * len(aurocs), pa.int64()), pa.array(list(aurocs.values()), pa.float64())], names=["a", "b", "auroc"])
+
+
 def pair_scores(pairs: DataFrame, members: DataFrame, tracks: DataFrame, sizes: dict[int, int], s: Settings) -> DataFrame:
     """a, b, sim, auroc of the pairs (a, b) of patterns: similarity of b aligned on a by contributions, and how well
-    similarities within a are told from those with b's seqlets, moved to where they align (0 and 0.5 if none can be)."""
+    similarities within a are told from those with b's seqlets, moved to where they align (0 and 0.5 if none can be).
+
+    A pattern is moved once for all that it lies on in the same way, and patterns meet by blocks, so that no pair has rows
+    of its own.
+    """
+    spark = pairs.sparkSession
     cut = seqlets.slices(members, tracks, ("contrib",))
     means = materialise(patterns.matrices(patterns.means(cut.select("number", "contrib"), "number", "contrib"), "number", "contrib"), "pattern-means")
     placed = materialise(aligned_pairs(pairs, means), "pattern-places")
@@ -97,22 +138,27 @@ def pair_scores(pairs: DataFrame, members: DataFrame, tracks: DataFrame, sizes:
 
     length = means.select("number", F.size("contrib").alias("length"))
     own = flat_features(few.join(length, "number").where(F.col("end") - F.col("start") == F.col("length")), tracks, "number")
+    way = ("b", "place", "turn", "length")
     rc = F.col("is_revcomp") != F.col("turn")
     left, right = F.col("place"), F.col("length") - F.col("place") - (F.col("end") - F.col("start"))
     start, end = F.col("start") - F.when(rc, right).otherwise(left), F.col("end") + F.when(rc, left).otherwise(right)
-    moved = placed.join(few.withColumnRenamed("number", "b"), "b").select("a", "b", "example_idx", start.alias("start"), end.alias("end"), rc.alias("is_revcomp"))
+    moved = placed.select(*way).distinct().join(few.withColumnRenamed("number", "b"), "b").select(*way, "example_idx", start.alias("start"), end.alias("end"), rc.alias("is_revcomp"))
     whole = tracks.select(F.size("one_hot").alias("n")).first()
     moved = moved.where(seqlets.inside("start", "end", F.lit(whole.n if whole else 0), strict=True) & (F.col("end") > F.col("start")))
-    moved = flat_features(moved, tracks, "a", "b").withColumn("own", F.lit(False))
-    rows = placed.select("a", "b").join(own, F.col("a") == F.col("number")).select("a", "b", "flat", F.lit(True).alias("own")).unionByName(moved)
-
-    def told(part: pa.Table) -> pa.Table:
-        mine = part["own"].to_numpy().astype(bool)
-        own, other = _matrix(part["flat"].filter(pa.array(mine))), _matrix(part["flat"].filter(pa.array(~mine)))
-        auroc = kernels._auroc(kernels.similarities(own, own).ravel(), kernels.similarities(own, other).ravel()) if len(other) else None
-        return part.select(["a", "b"]).slice(0, 1).append_column("auroc", pa.array([auroc], pa.float64()))
-
-    found = rows.groupBy("a", "b").applyInArrow(told, "a long, b long, auroc double")
+    moved = flat_features(moved, tracks, *way)
+
+    block = spark.createDataFrame(list(blocks_of(sizes, s.sub_sample).items()), "number long, block long")
+    of = lambda c: F.broadcast(block.select(F.col("number").alias(c), F.col("block").alias(f"{c}_block")))
+    met = placed.select("a", *way).join(of("a"), "a").join(of("b"), "b")
+    jobs = [(r.a_block, r.b_block, n) for n, r in enumerate(met.select("a_block", "b_block").distinct().orderBy("a_block", "b_block").collect())]
+    job = F.broadcast(spark.createDataFrame(jobs, "a_block long, b_block long, job int"))
+    mine = own.groupBy("number").agg(F.collect_list("flat").alias("flats")).join(of("a"), F.col("number") == F.col("a")).join(job, "a_block")
+    on = met.join(job, ["a_block", "b_block"]).groupBy("job", *way).agg(F.array_sort(F.collect_list("a")).alias("on"))
+    theirs = moved.groupBy(*way).agg(F.collect_list("flat").alias("flats")).join(on, list(way))
+    rows = mine.select("job", F.lit(0).alias("side"), "number", F.lit(None).cast("array<bigint>").alias("on"), "flats")
+    rows = rows.unionByName(theirs.select("job", F.lit(1).alias("side"), F.col("b").alias("number"), "on", "flats"))
+    dealt = rows.repartitionById(max(len(jobs), 1), "job").sortWithinPartitions("job", "side", "number")
+    found = dealt.mapInArrow(told_apart, "a long, b long, auroc double")
     sim = F.when(F.col("auroc").isNull(), 0.0).otherwise(F.col("sim"))
     return placed.join(found, ["a", "b"], "left").select("a", "b", sim.alias("sim"), F.coalesce("auroc", F.lit(0.5)).alias("auroc"))
 

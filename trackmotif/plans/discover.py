@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from trackmotif.functions import vec
 from trackmotif.operators import graph, knn, nms, seqlets, thresholds, windows
-from trackmotif.operators.kernels import Settings, Tracks, cluster_pattern, features, fine_similarity, words
+from trackmotif.operators.kernels import Settings, Tracks, cluster_pattern, fine_similarities, words
 from trackmotif.session import materialise, ship_package
 
 SIGNS = {"pos": 1, "neg": -1}
@@ -71,10 +71,10 @@ def coarse(found: DataFrame, s: Settings) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array([sign] * n), pa.array([ord_] * n, pa.int64()), pa.array([strand] * n, pa.int32()), pa.array(key), pa.array(value / norm)], names=["sign", "id", "strand", "word", "value"])
 
     rows = materialise(found.select("sign", "ord", "one_hot", "hyp").mapInArrow(run, "sign string, id long, strand int, word long, value double"), "words")
-    key, word = F.struct("sign", "id"), F.struct("sign", "word").alias("word")
+    key, word = F.col("id") * 2 + (F.col("sign") == "neg").cast("long"), F.xxhash64("sign", "word").alias("word")
     own = rows.where("strand = 0").select(key.alias("i"), word, "value")
-    near = knn.nearest(own, rows.select(key.alias("j"), F.col("strand").alias("part"), word, "value"), s.neighbours + 1, F.round("sim", 12))
-    near = near.select(F.col("i.sign").alias("sign"), F.col("i.id").alias("i"), F.col("j.id").alias("j"), "sim")
+    near = knn.by_words(own, rows.select(key.alias("j"), F.col("strand").alias("part"), word, "value"), s.neighbours + 1, 12)
+    near = near.select(F.when(F.col("i") % 2 == 1, "neg").otherwise("pos").alias("sign"), F.shiftright("i", 1).alias("i"), F.shiftright("j", 1).alias("j"), "sim")
     near = near.withColumn("sim", F.greatest("sim", F.lit(0.0)))
     return knn.filled(materialise(near, "near"), found.select("sign", F.col("ord").alias("id")), s.neighbours + 1, "sign")
 
@@ -88,8 +88,7 @@ def fine(found: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = zip(*(tensors(batch.column(c)) for c in ("ci", "hi", "cj", "hj")), strict=True)
-            value = [fine_similarity(features(cj, hj), features(ci, hi)) for ci, hi, cj, hj in parts]
+            value = fine_similarities(*(tensors(batch.column(c)) for c in ("ci", "hi", "cj", "hj")))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sign", "i", "j", "rank", "sim")), pa.array(value, pa.float64())], names=["sign", "i", "j", "rank", "sim", "fine"])
 
     return joined.select("sign", "i", "j", "rank", "sim", "ci", "hi", "cj", "hj").mapInArrow(run, "sign string, i long, j long, rank long, sim double, fine double")
