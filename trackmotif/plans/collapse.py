@@ -12,6 +12,7 @@ nearest, which are the edges of a graph whose communities are the subpatterns.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ MEMBERS = pa.schema([("number", pa.int64()), ("ord", pa.int64()), ("example_idx"
 MEMBERS_DDL = "number long, ord long, example_idx long, start long, end long, is_revcomp boolean"
 #: Seqlets of a block of all pairs; drawn seqlets of a block of patterns.
 BLOCK, DRAWN = 512, 2_000
+#: Scored pairs that the driver takes up at once.
+PASSED = 10_000
 #: (number, seqlets) of a pattern, as the driver has it.
 Sizes = list[tuple[int, int]]
 
@@ -207,13 +210,19 @@ class Collapse:
         self.history: list[tuple] = []  # (scope, level, number, children, seqlets)
 
     def _score(self, scopes: dict[object, Sizes]) -> None:
-        wanted = [(a, b) for found in scopes.values() for a, _ in found for b, _ in found if a != b and (a, b) not in self.known]
-        if wanted:
-            pairs = self.members.sparkSession.createDataFrame(wanted, "a long, b long")
-            numbers = sorted({k for pair in wanted for k in pair})
+        first, second = array("q"), array("q")
+        for found in scopes.values():
+            for a, b in ((a, b) for a, _ in found for b, _ in found if a != b and (a, b) not in self.known):
+                first.append(a)
+                second.append(b)
+        if first:
+            pairs = self.members.sparkSession.createDataFrame(pa.table({"a": np.array(first), "b": np.array(second)}))
+            numbers = sorted({*first, *second})
             sizes = {k: self.sizes[k] for k in numbers}
-            for r in pair_scores(pairs, self.members.where(F.col("number").isin(numbers)), self.tracks, sizes, self.s).collect():
-                self.known[r.a, r.b] = r.sim, r.auroc
+            scored = pair_scores(pairs, self.members.where(F.col("number").isin(numbers)), self.tracks, sizes, self.s).toArrow()
+            for part in scored.to_batches(PASSED):
+                a, b, sim, auroc = (part.column(c).to_pylist() for c in ("a", "b", "sim", "auroc"))
+                self.known.update(zip(zip(a, b, strict=True), zip(sim, auroc, strict=True), strict=True))
 
     def _merges(self, found: Sizes) -> list[tuple[int, int]]:
         rows = []
